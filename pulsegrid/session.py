@@ -24,3 +24,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     spark = builder(cores, shuffle_partitions).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes Python workers find this package where the driver found it (a cluster's executors have it installed)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([root, *paths])
+    return spark
