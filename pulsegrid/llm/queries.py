@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, quality_rules, warc
+from . import licenses, line_dedup, packing, quality_rules, warc
 from .common import documents, table
 
 
@@ -24,11 +24,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_warc": op6_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL = {
