@@ -104,6 +104,7 @@ def page_plan(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         .where(F.col("holder") != F.col("least"))
         .drop("least")
     )
+    holders = materialize(holders, "holders")
     revisits = (
         keys.join(holders, "key")
         .where(F.col("page_id") != F.col("holder"))
