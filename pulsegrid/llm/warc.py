@@ -27,7 +27,7 @@ from .common import materialize, shared_path
 #: Bytes of an archive that one task scans.
 SPLIT_BYTES = 32 << 20
 #: Bytes of compressed data that a candidate member's header is decoded from, and that are read at once.
-PROBE_BYTES, READ_BYTES = 4096, 4 << 20
+PROBE_BYTES, READ_BYTES = 4096, 64 << 10
 #: Payloads smaller than this are always written whole.
 MIN_BYTES = 0
 #: Compressed bytes after which a task begins another archive.
@@ -251,7 +251,8 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
-    spread = ranges.repartition(F.col("path"), F.col("start"))
+    # a range is much work but a short row: one task each, which partitions of a set number are
+    spread = ranges.repartition(max(1, ranges.count()))
     return spread.mapInArrow(read, RECORDS)
 
 
