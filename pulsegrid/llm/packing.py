@@ -14,7 +14,6 @@ have any name.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -56,21 +55,28 @@ class WordIds(dict):
     """Little-endian 32-bit ids of words, filled from the tokenizer as words turn up.
 
     The tokenizer's pre-tokens never cross a space or a line feed and both are dropped, so a text's ids are those of
-    its chunks between them, one after another. A chunk of letters and punctuation behind them is two pre-tokens;
-    letters are looked up in lower case, as the tokenizer takes them, and many new ones are encoded as one text, in
-    which the last token of each word is one that ends words.
+    its chunks between them, one after another. A chunk of Latin letters and punctuation behind them is two
+    pre-tokens; the letters are looked up in lower case, as the tokenizer takes them, and many new ones are encoded as
+    one text, in which the last token of each word is one that ends words. Such letters are already composed, so the
+    merges are all that the tokenizer has to do for them.
     """
 
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+    #: ASCII punctuation but for the apostrophe, which can begin a pre-token of letters.
+    TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.most, self.letters, self.tails = most, {}, {"": b""}
         tokenizer = Tokenizer.from_file(path)
         self.encode = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        merges = Tokenizer(tokenizer.model)
+        merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.merge = lambda texts: [x.ids for x in merges.encode_batch_fast(texts, add_special_tokens=False)]
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         for token, k in tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
@@ -81,7 +87,7 @@ class WordIds(dict):
 
     def learn_letters(self, words: list[str]) -> None:
         runs = [words[lo : lo + 1000] for lo in range(0, len(words), 1000)]
-        for run, ids in zip(runs, self.encode([" ".join(run) for run in runs])):
+        for run, ids in zip(runs, self.merge([" ".join(run) for run in runs])):
             ids = np.array(ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(run):
@@ -95,9 +101,9 @@ class WordIds(dict):
         """Makes self hold the new chunks."""
         simple, other = [], []
         for word in new:
-            m = self.SIMPLE.match(word)
-            if m:
-                simple.append((word, m[1].lower(), m[2]))
+            core = word.rstrip(self.TAIL)
+            if core.isalpha() and (core.isascii() or max(core) <= "ÿ"):
+                simple.append((word, core.lower(), word[len(core) :]))
             else:
                 other.append(word)
         self.learn(other)
@@ -111,9 +117,13 @@ class WordIds(dict):
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words}.difference(self)
+        found = [list(map(self.get, words)) for words in split]
+        gaps = [[i for i, ids in enumerate(x) if ids is None] if None in x else [] for x in found]
+        new = {words[i] for words, at in zip(split, gaps) for i in at}
         self.fill(new)
-        out = [b"".join([self[w] for w in words]) for words in split]
+        for words, ids, at in zip(split, found, gaps):
+            for i in at:
+                ids[i] = self[words[i]]
         if len(self) > self.most:  # the words known longest are the commonest
             for word in new:
                 del self[word]
@@ -121,7 +131,7 @@ class WordIds(dict):
             self.letters.clear()
         if len(self.tails) > 100_000:
             self.tails = {"": b""}
-        return out
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=1)
@@ -196,11 +206,11 @@ def _frame(grp: int, first: int, bins: list[tuple[int, list[dict]]], done: bool)
     """Bins as rows of the BIN schema, numbered from `first`."""
     return pd.DataFrame(
         {
-            "grp": [grp] * len(bins),
+            "grp": np.full(len(bins), grp),
             "part": range(first, first + len(bins)),
-            "done": [done] * len(bins),
-            "used": [u for u, _ in bins],
-            "members": [m for _, m in bins],
+            "done": np.full(len(bins), done),
+            "used": np.array([u for u, _ in bins], np.int64),
+            "members": pd.Series([m for _, m in bins], dtype=object),
         }
     )
 
