@@ -1,11 +1,15 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
+"""SentencePiece encoding and decoding: one pass over a text, driven by an Aho-Corasick automaton of the pieces.
 
-At each position the automaton's output links name the pieces that end there, and each one relaxes the best score of
-its end. Characters that no piece covers cost the unknown score and become their bytes' pieces. Of equally good
-segmentations the one whose last piece is longest wins, from the end of the text backwards.
+At each position the automaton's output links name the pieces that end there. Unigram models: each one relaxes the
+best score of its end (Viterbi); of equally good ones the longest wins; a character that is no piece may be passed at
+the unknown score. Pair-merge models: sums of scores are not what such a model means, so a piece is taken when it and
+the piece that ends at its start are what merging the two together gives; exactly one piece at each position passes,
+and the pieces found are those that merging the whole text by score gives. Unknown characters become their bytes'
+pieces.
 
-No piece has the word mark behind another character, so a text falls apart before each run of marks and its parts are
-segmented one by one, each distinct one once per worker (up to a bound).
+No piece has the word mark behind another character, so a text falls apart before each run of marks (and around line
+feeds where no piece has them), and its parts are segmented one by one, each distinct one once per worker (up to a
+bound).
 
 The pieces and scores are those of a public vocabulary file; nothing is trained here.
 
@@ -35,6 +39,7 @@ CACHE_PARTS = 600_000
 #: The unknown score is this much below the worst piece.
 UNKNOWN_BELOW = 10.0
 
+UNIGRAM, PAIR_MERGES = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -70,46 +75,108 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
             at += n
 
 
-def read_pieces(data: bytes) -> list[tuple[str, float, int]]:
-    """(piece, score, type) of each id of a model file."""
-    found = []
+def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], int]:
+    """(piece, score, type) of each id of a model file, and the model's type."""
+    found, kind = [], UNIGRAM
     for number, value in _fields(data):
-        if number == 1:
+        if number == 2:
+            kind = dict(_fields(value)).get(3, UNIGRAM)
+        elif number == 1:
             f = dict(_fields(value))
             score = float(np.frombuffer(f[2], "<f4")[0]) if 2 in f else 0.0
             found.append((f[1].decode(), score, f.get(3, NORMAL)))
-    return found
+    return found, kind
 
 
 class Encoder:
     """Segments texts into ids; a worker process has one for each model."""
 
-    PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-
-    def __init__(self, path: str, most: int = CACHE_PARTS):
+    def __init__(self, path: str, most: int = CACHE_PARTS, kind: int | None = None):
         import ahocorasick
 
         with open(path, "rb") as f:
-            self.pieces = read_pieces(f.read())
+            self.pieces, own = read_model(f.read())
+        self.kind = kind or own
         self.auto = ahocorasick.Automaton()
         for k, (piece, score, kind) in enumerate(self.pieces):
             if kind in (NORMAL, USER):
                 self.auto.add_word(piece, (len(piece), score, k))
         self.auto.make_automaton()
-        self.single = {p for p, _, kind in self.pieces if kind in (NORMAL, USER) and len(p) == 1}
+        self.scores = {p: s for p, s, kind in self.pieces if kind in (NORMAL, USER)}
+        self.single = {p for p in self.scores if len(p) == 1}
         normal = [s for _, s, kind in self.pieces if kind == NORMAL]
         self.unknown = min(normal) - UNKNOWN_BELOW
         self.byte_ids = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown_id = next(k for k, p in enumerate(self.pieces) if p[2] == UNKNOWN)
+        # characters that no piece has part a text as well
+        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.scores))
+        self.parts = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else ""))
         self.cache: dict[str, bytes] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.most = most
 
     def segment(self, part: str) -> list[int]:
-        """Ids of the best-scored segmentation of a part."""
+        back = self._viterbi(part) if self.kind == UNIGRAM else self._merges(part)
+        ids: list[int] = []
+        end = len(part)
+        while end:
+            start, k = back[end]
+            if k >= 0:
+                ids.append(k)
+            else:
+                ids += [self.byte_ids.get(b, self.unknown_id) for b in reversed(part[start:end].encode())]
+            end = start
+        return ids[::-1]
+
+    def _merges(self, part: str) -> list[tuple[int, int]]:
+        """(start, id) of the piece that ends at each position when the text up to it is merged."""
+        n = len(part)
+        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        done = 0
+        for end, (length, _, k) in self.auto.iter(part):
+            end += 1
+            while done < end - 1:  # positions at which nothing passed end in a character that is no piece
+                done += 1
+                if back[done] == (0, -1):
+                    back[done] = (done - 1, -1)
+            if back[end] == (0, -1):
+                start = end - length
+                before = part[back[start][0] : start]
+                if self._stay(before, part[start:end]):
+                    back[end] = (start, k)
+        while done < n:
+            done += 1
+            if back[done] == (0, -1):
+                back[done] = (done - 1, -1)
+        return back
+
+    def _stay(self, a: str, b: str) -> bool:
+        """Whether merging the characters of a + b gives a and b again; a may be empty."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            found = self._merge(a + b) == ([a, b] if a else [b])
+            if len(self.pairs) > 4 * self.most:
+                self.pairs.clear()
+            self.pairs[a, b] = found
+        return found
+
+    def _merge(self, text: str) -> list[str]:
+        """The best-scored pair of neighbours is merged, the leftmost of equals, until no pair is a piece."""
+        parts, scores = list(text), self.scores
+        while len(parts) > 1:
+            options = [(scores[x], -i) for i, x in enumerate(map(str.__add__, parts, parts[1:])) if x in scores]
+            if not options:
+                break
+            i = -max(options)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    def _viterbi(self, part: str) -> list[tuple[int, int]]:
+        """(start, id) of the last piece of the best-scored segmentation up to each position."""
         n = len(part)
         best = [float("-inf")] * (n + 1)
         best[0] = 0.0
-        back = [(0, -1)] * (n + 1)  # (start, id) of the last piece; id -1: an unknown character
+        back = [(0, -1)] * (n + 1)  # id -1: an unknown character
         at = 0  # positions below are final
         for end, (length, score, k) in self.auto.iter(part):  # by end; at each end the longest first
             while at < end:
@@ -121,16 +188,7 @@ class Encoder:
         while at < n:
             at += 1
             self._pass_unknown(part, best, back, at)
-        ids: list[int] = []
-        end = n
-        while end:
-            start, k = back[end]
-            if k >= 0:
-                ids.append(k)
-            else:
-                ids += [self.byte_ids.get(b, self.unknown_id) for b in reversed(part[start:end].encode())]
-            end = start
-        return ids[::-1]
+        return back
 
     def _pass_unknown(self, part: str, best: list[float], back: list, end: int) -> None:
         """A character that is no piece by itself may be passed as unknown."""
@@ -143,7 +201,7 @@ class Encoder:
             return b""
         cache = self.cache
         out = []
-        for part in self.PARTS.findall(MARK + text.replace(" ", MARK)):
+        for part in self.parts.findall(MARK + text.replace(" ", MARK)):
             ids = cache.get(part)
             if ids is None:
                 ids = np.array(self.segment(part), "<u4").tobytes()
