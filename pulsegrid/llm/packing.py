@@ -35,7 +35,7 @@ FULL_WITHIN = 1 / 64
 #: Groups whose residues meet in one group of the next round.
 FAN_IN = 8
 #: Distinct words whose ids a worker process remembers.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 
 #: Underfull bins that a group hands on at most; beyond that the fullest are final, so no group grows with the input.
 MOST_RESIDUE = 4096

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_dedup, ngram_join, packing, quality_rules, sentencepiece, warc
+from . import licenses, line_dedup, ngram_join, packing, quality_rules, secrets, sentencepiece, warc
 from .common import documents, table
 
 
@@ -20,6 +20,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_secret_scan": op5_secret_scan,
     "op6_warc": op6_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
