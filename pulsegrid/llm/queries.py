@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_dedup, ngram_join, packing, quality_rules, secrets, sentencepiece, warc
+from . import licenses, line_dedup, neighbours, ngram_join, packing, quality_rules, secrets, sentencepiece, warc
 from .common import documents, table
 
 
@@ -28,6 +28,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search_table(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_warc": op6_warc,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
