@@ -250,7 +250,7 @@ def enough(shared, size_a, size_b, percent: int):
 
 
 def bounded_pairs(products: DataFrame, percent: int) -> DataFrame:
-    """a, b, size_a, size_b of the pairs that can still be similar, from one row for each shared prefix member.
+    """a, b, shared of the pairs that can still be similar, from one row for each shared prefix member.
 
     Beyond the last shared prefix member a pair can share no more than what either set has left.
     """
@@ -260,7 +260,7 @@ def bounded_pairs(products: DataFrame, percent: int) -> DataFrame:
     )
     left = F.least(F.col("size_a") - F.col("place_a") - 1, F.col("size_b") - F.col("place_b") - 1)
     most = F.col("shared") + left
-    return totals.where(enough(most, F.col("size_a"), F.col("size_b"), percent)).select("a", "b", "size_a", "size_b")
+    return totals.where(enough(most, F.col("size_a"), F.col("size_b"), percent)).select("a", "b", "shared")
 
 
 def size_bound(a: str, b: str, percent: int):
@@ -297,14 +297,27 @@ def sets_of(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(look, "key long, grams array<long>").dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar, compared on their whole sets."""
+def sets_in(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """key, grams of the classes in pairs."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = materialize(sets_of(docs, classes.join(keys, "key", "left_semi"), n), "gram-sets")
-    with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a")), "a")
+    return materialize(sets_of(docs, classes.join(keys, "key", "left_semi"), n), "gram-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar, compared on their whole sets."""
+    with_a = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a")), "a")
     with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("grams_b")), "b")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    return with_b.where(enough(shared, F.size("grams_a"), F.size("grams_b"), percent)).select("a", "b")
+    similar = with_b.where(enough(shared, F.size("grams_a"), F.size("grams_b"), percent))
+    return materialize(similar.select("a", "b"), "links")
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose classes are not in one component yet."""
+    of = found.select("node", "component")
+    with_a = pairs.join(of.toDF("a", "part_a"), "a", "left")
+    with_b = with_a.join(of.toDF("b", "part_b"), "b", "left")
+    return with_b.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select(*pairs.columns)
 
 
 def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int) -> DataFrame:
@@ -327,8 +340,16 @@ def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int)
     )
     # a pair's products are not complete here, so one that falls short is not decided but left to round 2
     tried = materialize(bounded_pairs(star, percent), "pairs")
-    links = materialize(verified(tried, docs, classes, n, percent), "links")
+    sets = sets_in(tried, docs, classes, n)
+    # each class with its likeliest pivot first; its other pivots only where that leaves them apart
+    best = tried.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+    links = verified(best, sets, percent)
     found = connected_components(links)
+    others = apart(tried.join(best, ["a", "b"], "left_anti"), found)
+    more = verified(others, sets, percent)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = connected_components(links)
     # round 2: classes of different components that share a list
     placed = lists.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
@@ -351,12 +372,11 @@ def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int)
         .where(size_bound("x.size", "y.size", percent))
         .select(*sides("x", "y"))
     )
-    rest = bounded_pairs(cross, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialize(rest, "pairs")
-    more = materialize(verified(rest, docs, classes, n, percent), "links")
-    if more.isEmpty():
+    rest = materialize(bounded_pairs(cross, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    if rest.isEmpty():
         return found
-    return connected_components(links.unionByName(more))
+    more = verified(rest, sets_in(rest, docs, classes, n), percent)
+    return found if more.isEmpty() else connected_components(links.unionByName(more))
 
 
 def link_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
