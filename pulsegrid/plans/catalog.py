@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from . import pairing_queries, sequence_queries
 from .query import Query
 
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = {
+    **sequence_queries.QUERIES,
+    **pairing_queries.QUERIES,
+}
