@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import pairing_queries, sequence_queries
+from . import pairing_queries, sequence_queries, summary_queries
 from .query import Query
 
 QUERIES: dict[str, Query] = {
     **sequence_queries.QUERIES,
     **pairing_queries.QUERIES,
+    **summary_queries.QUERIES,
 }
