@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import pairing_queries, sequence_queries, summary_queries
+from . import model_queries, pairing_queries, sequence_queries, summary_queries
 from .query import Query
 
 QUERIES: dict[str, Query] = {
     **sequence_queries.QUERIES,
     **pairing_queries.QUERIES,
     **summary_queries.QUERIES,
+    **model_queries.QUERIES,
 }
