@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import blocks, hash_spans, id_text, lowered, materialize, mix, rolling, word_spans
 from .components import connected_components
@@ -38,6 +39,9 @@ N, PERCENT = 5, 80
 HEAVY = 200_000
 #: Distinct sets of a task whose n-grams are counted together.
 COUNT_SETS = 20_000
+#: So many pairs are compared at once; of more, each class's likeliest PARTNERS first, then four times as many, and so
+#: on, pairs that have come into one component by then left out.
+FEW_PAIRS, PARTNERS = 20_000, 4
 
 
 def gram_sets(col, n: int) -> Iterator[np.ndarray]:
@@ -312,6 +316,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(similar.select("a", "b"), "links")
 
 
+def likeliest(pairs: DataFrame, most: int) -> DataFrame:
+    """a, b of the pairs that are among the `most` of either class with most shared prefix members."""
+    picked = None
+    for own, other in (("a", "b"), ("b", "a")):
+        place = F.row_number().over(Window.partitionBy(own).orderBy(F.desc("shared"), other))
+        some = pairs.withColumn("place", place).where(F.col("place") <= most).select("a", "b")
+        picked = some if picked is None else picked.unionByName(some)
+    return materialize(picked.distinct(), "likeliest")
+
+
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs whose classes are not in one component yet."""
     of = found.select("node", "component")
@@ -320,6 +334,31 @@ def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return with_b.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select(*pairs.columns)
 
 
+def cross_pairs(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """a, b, shared of all pairs of a list that can be similar and are not in one component."""
+    placed = lists.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "component", F.coalesce("component", "key")
+    )
+    tally = placed.groupBy("gram", "component").agg(F.count("*").alias("n"))
+    largest = (
+        tally.groupBy("gram")
+        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
+        .where("parts > 1")
+        .drop("parts")
+    )
+    mixed = materialize(placed.join(materialize(largest, "largest"), "gram"), "postings")
+    full = F.struct("key", "size", "place", "component", "main")
+    x, y = mixed.select("gram", full.alias("x")), mixed.select("gram", full.alias("y"))
+    cross = (
+        x.where("x.component <> x.main")
+        .join(y, "gram")
+        .where("x.component <> y.component AND (y.component = y.main OR x.key < y.key)")
+        .where(size_bound("x.size", "y.size", percent))
+        .select(*sides("x", "y"))
+    )
+    return bounded_pairs(cross, percent)
+
+
 def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int) -> DataFrame:
     """node, component of the classes that link with another one."""
     heavy = heavy_grams(profiled)
@@ -351,32 +390,26 @@ def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int)
         links = links.unionByName(more)
         found = connected_components(links)
     # round 2: classes of different components that share a list
-    placed = lists.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "component", F.coalesce("component", "key")
-    )
-    tally = placed.groupBy("gram", "component").agg(F.count("*").alias("n"))
-    largest = (
-        tally.groupBy("gram")
-        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
-        .where("parts > 1")
-        .drop("parts")
-    )
-    largest = materialize(largest, "largest")
-    mixed = materialize(placed.join(largest, "gram"), "postings")
-    full = F.struct("key", "size", "place", "component", "main")
-    x, y = mixed.select("gram", full.alias("x")), mixed.select("gram", full.alias("y"))
-    cross = (
-        x.where("x.component <> x.main")
-        .join(y, "gram")
-        .where("x.component <> y.component AND (y.component = y.main OR x.key < y.key)")
-        .where(size_bound("x.size", "y.size", percent))
-        .select(*sides("x", "y"))
-    )
-    rest = materialize(bounded_pairs(cross, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if rest.isEmpty():
-        return found
-    more = verified(rest, sets_in(rest, docs, classes, n), percent)
-    return found if more.isEmpty() else connected_components(links.unionByName(more))
+    sets, partners = None, PARTNERS
+    while True:
+        rest = materialize(cross_pairs(lists, found, percent), "pairs")
+        last = rest.count() <= FEW_PAIRS
+        if last or sets is not None:
+            rest = materialize(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if rest.isEmpty():
+            return found
+        # what is compared later is among these pairs as well: components only grow
+        sets = sets_in(rest, docs, classes, n) if sets is None else sets
+        # in a large group each class's likeliest partners first; what they join need not be compared any more
+        now = rest if last else likeliest(rest, partners)
+        more = verified(now, sets, percent)
+        if not more.isEmpty():
+            links = materialize(links.unionByName(more), "links")
+            found = connected_components(links)
+        if last:
+            return found
+        tried = tried.select("a", "b").unionByName(now.select("a", "b"))
+        partners *= 4
 
 
 def link_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
