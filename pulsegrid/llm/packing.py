@@ -35,7 +35,7 @@ FULL_WITHIN = 1 / 64
 #: Groups whose residues meet in one group of the next round.
 FAN_IN = 8
 #: Distinct words whose ids a worker process remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 
 #: Underfull bins that a group hands on at most; beyond that the fullest are final, so no group grows with the input.
 MOST_RESIDUE = 4096
@@ -69,7 +69,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.most, self.letters, self.tails = most, {}, {"": b""}
+        self.most, self.tails = most, {"": b""}
         tokenizer = Tokenizer.from_file(path)
         self.encode = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         merges = Tokenizer(tokenizer.model)
@@ -85,8 +85,9 @@ class WordIds(dict):
         for word, ids in zip(words, self.encode(words)):
             self[word] = np.array(ids, "<u4").tobytes()
 
-    def learn_letters(self, words: list[str]) -> None:
-        runs = [words[lo : lo + 1000] for lo in range(0, len(words), 1000)]
+    def letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters."""
+        runs, out = [words[lo : lo + 1000] for lo in range(0, len(words), 1000)], {}
         for run, ids in zip(runs, self.merge([" ".join(run) for run in runs])):
             ids = np.array(ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -94,8 +95,9 @@ class WordIds(dict):
                 raise ValueError("words and word ends differ")
             data, at = ids.tobytes(), 0
             for word, end in zip(run, (4 * cuts).tolist()):
-                self.letters[word] = data[at:end]
+                out[word] = data[at:end]
                 at = end
+        return out
 
     def fill(self, new: set[str]) -> None:
         """Makes self hold the new chunks."""
@@ -107,11 +109,10 @@ class WordIds(dict):
             else:
                 other.append(word)
         self.learn(other)
-        self.learn_letters(list({x[1] for x in simple}.difference(self.letters)))
+        letters, ends = self.letters(list({x[1] for x in simple})), self.tails
         tails = list({x[2] for x in simple}.difference(self.tails))
         for tail, ids in zip(tails, self.encode(tails)):
             self.tails[tail] = np.array(ids, "<u4").tobytes()
-        letters, ends = self.letters, self.tails
         for word, core, tail in simple:
             self[word] = letters[core] + ends[tail]
 
@@ -127,8 +128,6 @@ class WordIds(dict):
         if len(self) > self.most:  # the words known longest are the commonest
             for word in new:
                 del self[word]
-        if len(self.letters) > self.most:
-            self.letters.clear()
         if len(self.tails) > 100_000:
             self.tails = {"": b""}
         return [b"".join(ids) for ids in found]
