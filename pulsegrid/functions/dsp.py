@@ -1,0 +1,342 @@
+"""Small numeric kernels of one channel or one epoch, for grouped functions; NumPy only."""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+
+
+# -------------------------------------------------------------------------------------------------- filters
+
+
+@lru_cache(maxsize=64)
+def butter_sos(order: int, low_hz: float | None, high_hz: float | None, rate_hz: float) -> np.ndarray:
+    """Second-order sections of a Butterworth filter: low-pass, high-pass (one limit) or band-pass (two limits).
+
+    The analogue prototype's poles are moved to the band, then mapped by the bilinear transform with prewarped limits.
+    """
+    k = np.arange(order)
+    poles = np.exp(1j * np.pi * (2 * k + order + 1) / (2 * order))
+    warp = lambda f: 2 * rate_hz * np.tan(np.pi * f / rate_hz)
+    if low_hz is None:
+        p, z = poles * warp(high_hz), np.zeros(0)
+        centre = 0.0
+    elif high_hz is None:
+        p, z = warp(low_hz) / poles, np.zeros(order)
+        centre = rate_hz / 2
+    else:
+        a, b = warp(low_hz), warp(high_hz)
+        half = poles * (b - a) / 2
+        root = np.sqrt(half**2 - a * b + 0j)
+        p, z = np.concatenate([half + root, half - root]), np.zeros(order)
+        centre = rate_hz / np.pi * np.arctan(np.sqrt(a * b) / (2 * rate_hz))
+    double = 2 * rate_hz
+    zd = np.concatenate([(double + z) / (double - z), -np.ones(len(p) - len(z))])
+    pd = (double + p) / (double - p)
+    # conjugate pairs of poles, nearest the unit circle last; zeros are at 1 and -1 and are dealt out evenly
+    upper = sorted((x for x in pd if x.imag > 1e-12), key=abs)
+    real = sorted((x.real for x in pd if abs(x.imag) <= 1e-12), key=abs)
+    plus, minus = int((zd.real > 0).sum()), int((zd.real <= 0).sum())
+    sections = []
+    groups = [(x, x.conjugate()) for x in upper] + [tuple(real[i : i + 2]) for i in range(0, len(real), 2)]
+    for g in groups:
+        zeros = []
+        while len(zeros) < len(g) and (plus or minus):
+            if plus and (plus >= minus or len(zeros) % 2 == 0 and plus):
+                zeros.append(1.0)
+                plus -= 1
+            else:
+                zeros.append(-1.0)
+                minus -= 1
+        b = np.poly(zeros).real
+        a = np.poly(g).real
+        sections.append(np.concatenate([np.pad(b, (0, 3 - len(b))), np.pad(a, (0, 3 - len(a)))]))
+    sos = np.array(sections)
+    # unit gain at the band's centre
+    e = np.exp(-2j * np.pi * centre / rate_hz)
+    gain = np.prod([(s[0] + s[1] * e + s[2] * e * e) / (s[3] + s[4] * e + s[5] * e * e) for s in sos])
+    sos[0, :3] /= abs(gain)
+    return sos
+
+
+def sos_start(sos: np.ndarray) -> np.ndarray:
+    """Section states for which a step of one gives a settled output from the first sample on."""
+    states, level = [], 1.0
+    for b0, b1, b2, _, a1, a2 in sos:
+        out = (b0 + b1 + b2) / (1 + a1 + a2)
+        z2 = b2 - a2 * out
+        states.append([level * (b1 - a1 * out + z2), level * z2])
+        level *= out
+    return np.array(states)
+
+
+def _recursive(x: np.ndarray, a1: float, a2: float, w1: float, w2: float, block: int = 64) -> np.ndarray:
+    """w[n] = x[n] - a1 w[n-1] - a2 w[n-2], a block at a time by the block's impulse response."""
+    n = len(x)
+    h = np.zeros(block)
+    h[0] = 1.0
+    for i in range(1, block):
+        h[i] = -a1 * h[i - 1] - (a2 * h[i - 2] if i > 1 else 0.0)
+    i, j = np.indices((block, block))
+    within = np.where(i >= j, h[np.maximum(i - j, 0)], 0.0)
+    from1 = np.array([-a1 * h[k] - (a2 * h[k - 1] if k else 0.0) for k in range(block)])
+    from2 = -a2 * h
+    rows = np.pad(x, (0, -n % block)).reshape(-1, block) @ within.T
+    for r in rows:
+        r += from1 * w1 + from2 * w2
+        w1, w2 = r[-1], r[-2]
+    return rows.ravel()[:n]
+
+
+def sosfilt(sos: np.ndarray, x: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Causal filtering by sections; start holds two states a section."""
+    y = np.asarray(x, float)
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+        z1, z2 = (0.0, 0.0) if start is None else start[k]
+        # the direct form: the feed-forward part with the states added to the first two samples, then the recursion
+        u = b0 * y
+        u[1:] += b1 * y[:-1]
+        u[2:] += b2 * y[:-2]
+        if len(u):
+            u[0] += z1
+        if len(u) > 1:
+            u[1] += z2
+        y = _recursive(u, a1, a2, 0.0, 0.0)
+    return y
+
+
+def sosfiltfilt(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Forward and backward filtering with odd extension at both ends; too short arrays raise an error."""
+    x = np.asarray(x, float)
+    # padding: three times the taps, less the zeros at the origin that numerator and denominator share
+    taps = 2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum()))
+    pad = 3 * taps
+    if len(x) <= pad:
+        raise ValueError(f"at least {pad + 1} samples are needed")
+    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    zi = sos_start(sos)
+    y = sosfilt(sos, ext, zi * ext[0])
+    y = sosfilt(sos, y[::-1], zi * y[-1])[::-1]
+    return y[pad:-pad]
+
+
+def notch(x: np.ndarray, rate_hz: float, notch_hz: float, bandwidth_hz: float = 10.0) -> np.ndarray:
+    """Second-order notch; the first two samples pass unchanged."""
+    d = np.exp(-2 * np.pi * (bandwidth_hz / 2) / rate_hz)
+    b = (1 + d * d) * np.cos(2 * np.pi * notch_hz / rate_hz)
+    a0, a1, a2 = 1.0, -b, d * d
+    b0, b1, b2 = (1 + d * d) / 2, -2 * np.cos(2 * np.pi * notch_hz / rate_hz) * (1 + d * d) / 2, (1 + d * d) / 2
+    x = np.asarray(x, float)
+    y = x.copy()
+    if len(x) < 3:
+        return y
+    u = b0 * x[2:] + b1 * x[1:-1] + b2 * x[:-2]
+    y[2:] = _recursive(u, a1 / a0, a2 / a0, y[1], y[0])
+    return y
+
+
+def one_pole_highpass(x: np.ndarray, k: int, frozen: np.ndarray | None = None, start: float | None = None) -> np.ndarray:
+    """Offset removal y = x - s with s += (x - s) 2^-k after each sample; s rests while frozen."""
+    alpha = 2.0**-k
+    s = float(x[0] if start is None else start)
+    y = np.empty(len(x))
+    for i, v in enumerate(np.asarray(x, float)):
+        y[i] = v - s
+        if frozen is None or not frozen[i]:
+            s += alpha * (v - s)
+    return y
+
+
+def one_pole_inverse(y: np.ndarray, k: int, start: float) -> np.ndarray:
+    """The input that one_pole_highpass turned into y: a running sum."""
+    return np.asarray(y, float) + start + 2.0**-k * np.concatenate([[0.0], np.cumsum(y)[:-1]])
+
+
+def gaussian_lowpass(x: np.ndarray, cutoff_hz: float, rate_hz: float) -> np.ndarray:
+    """Gaussian smoothing whose response falls by 3 dB at the cutoff; ends are reflected."""
+    sigma = 0.1325 / cutoff_hz * rate_hz
+    half = max(1, int(4 * sigma + 0.5))
+    w = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+    return np.convolve(np.pad(np.asarray(x, float), half, mode="symmetric" if len(x) >= half else "edge"), w / w.sum(), "valid")
+
+
+# -------------------------------------------------------------------------------------------------- epochs
+
+
+def half_even(x: float) -> int:
+    """Sample offsets are rounded half to even."""
+    return int(round(x))
+
+
+def epoch(x: np.ndarray, onset: int, lo: int, hi: int, pad: int) -> tuple[np.ndarray, bool] | None:
+    """Samples onset+lo-pad .. onset+hi+pad, reflected where the padding leaves the recording; None if the core does."""
+    a, b = onset + lo, onset + hi
+    if a < 0 or b > len(x):
+        return None
+    before, after = max(0, pad - a), max(0, b + pad - len(x))
+    core = x[max(0, a - pad) : min(len(x), b + pad)]
+    return (np.pad(core, (before, after), mode="reflect") if before or after else core), bool(before or after)
+
+
+def blank(x: np.ndarray, windows: list[tuple[int, int]]) -> np.ndarray:
+    """Samples of half-open windows replaced by straight lines; the median where fewer than two good samples are left."""
+    x = np.asarray(x, float).copy()
+    bad = np.zeros(len(x), bool)
+    for a, b in windows:
+        bad[max(0, a) : max(0, b)] = True
+    good = ~bad & np.isfinite(x)
+    if good.sum() < 2:
+        x[:] = np.median(x[good]) if good.any() else 0.0
+        return x
+    x[~good] = np.interp(np.flatnonzero(~good), np.flatnonzero(good), x[good])
+    return x
+
+
+# -------------------------------------------------------------------------------------------------- spectra
+
+
+def welch(x: np.ndarray, rate_hz: float, nperseg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and power density: Hann windows, half overlapping, each less its mean; empty under 32 samples."""
+    nperseg = min(nperseg, len(x))
+    if nperseg < 32:
+        return np.zeros(0), np.zeros(0)
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nperseg) / nperseg)
+    step = nperseg - nperseg // 2
+    seg = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), nperseg)[::step]
+    spec = np.abs(np.fft.rfft((seg - seg.mean(1, keepdims=True)) * w, axis=1)) ** 2 / (rate_hz * (w**2).sum())
+    spec[:, 1 : -1 if nperseg % 2 == 0 else None] *= 2
+    return np.fft.rfftfreq(nperseg, 1 / rate_hz), spec.mean(0)
+
+
+def band_power(f: np.ndarray, p: np.ndarray, lo: float, hi: float, comb_hz: float | None = None) -> float:
+    """Power of a half-open band; bins near harmonics of comb_hz are left out and the rest scaled up for them."""
+    inside = (f >= lo) & (f < hi)
+    if not inside.any():
+        return float("nan")
+    df = f[1] - f[0]
+    keep = inside.copy()
+    if comb_hz:
+        near = np.abs(f - comb_hz * np.maximum(1, np.round(f / comb_hz)))
+        keep &= near > max(0.5, 2 * df)
+    if not keep.any():
+        return float("nan")
+    return float(p[keep].mean() * inside.sum() * df)
+
+
+# ---------------------------------------------------------------------------------------------------- peaks
+
+
+def find_peaks(x: np.ndarray, prominence: float, width: float = 0.0) -> list[dict]:
+    """Local maxima (middles of plateaus) of enough prominence and of enough width at half of it."""
+    x = np.asarray(x, float)
+    found, i, n = [], 1, len(x)
+    while i < n - 1:
+        if x[i - 1] < x[i]:
+            j = i
+            while j < n - 1 and x[j + 1] == x[i]:
+                j += 1
+            if j < n - 1 and x[j + 1] < x[i]:
+                found.append((i + j) // 2)
+            i = j
+        i += 1
+    out = []
+    for k in found:
+        higher = np.flatnonzero(x[:k] > x[k])
+        left = x[(higher[-1] if len(higher) else 0) : k + 1].min()
+        higher = np.flatnonzero(x[k + 1 :] > x[k])
+        right = x[k : (k + 1 + higher[0] if len(higher) else n)].min()
+        prom = x[k] - max(left, right)
+        if prom < prominence:
+            continue
+        level = x[k] - prom / 2
+        a = k
+        while a > 0 and x[a] > level:
+            a -= 1
+        b = k
+        while b < n - 1 and x[b] > level:
+            b += 1
+        lo = a + ((level - x[a]) / (x[a + 1] - x[a]) if x[a] < level else 0.0)
+        hi = b - ((level - x[b]) / (x[b - 1] - x[b]) if x[b] < level else 0.0)
+        if hi - lo >= width:
+            out.append({"index": int(k), "height": float(x[k]), "prominence": float(prom), "width": float(hi - lo)})
+    return out
+
+
+# --------------------------------------------------------------------------------------------- fits and tests
+
+
+def bootstrap(values: np.ndarray, statistic, n: int = 2000, level: float = 0.95, seed: int = 0) -> tuple[float, float]:
+    """Percentile interval of a statistic(rows of resamples, axis) over resamples of values."""
+    values = np.asarray(values, float)
+    if len(values) < 2:
+        return float("nan"), float("nan")
+    rng = np.random.default_rng(seed)
+    stats = np.concatenate(
+        [statistic(values[rng.integers(len(values), size=(min(256, n - lo), len(values)))], 1) for lo in range(0, n, 256)]
+    )
+    a = (1 - level) / 2
+    return float(np.quantile(stats, a)), float(np.quantile(stats, 1 - a))
+
+
+def least_squares(residual, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, soft: bool = False, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Bounded Levenberg-Marquardt with numeric derivatives; soft weighs residuals over one down (soft L1)."""
+    cost_of = (lambda r: float((2 * (np.sqrt(1 + r * r) - 1)).sum())) if soft else (lambda r: float((r * r).sum()))
+    p, lam = np.clip(np.asarray(start, float), lo, hi), 1e-2
+    r = residual(p)
+    cost = cost_of(r)
+    for _ in range(rounds):
+        w = 1 / np.sqrt(1 + r * r) if soft else np.ones_like(r)
+        step = 1e-6 * np.maximum(1, np.abs(p))
+        jac = np.stack([(residual(p + step * e) - r) / (step @ e) for e in np.eye(len(p))], 1)
+        a, g = (jac * w[:, None]).T @ jac, (jac * w[:, None]).T @ r
+        for _ in range(8):
+            q = np.clip(p - np.linalg.solve(a + lam * np.diag(np.maximum(np.diag(a), 1e-12)), g), lo, hi)
+            rq = residual(q)
+            if cost_of(rq) < cost:
+                break
+            lam *= 4
+        else:
+            break
+        done = cost - cost_of(rq) < 1e-10 * cost
+        p, r, cost, lam = q, rq, cost_of(rq), max(lam / 4, 1e-9)
+        if done:
+            break
+    return p, cost
+
+
+def exponential_tail(t_ms: np.ndarray, y: np.ndarray, decimate: int = 10) -> dict | None:
+    """A exp(-t / tau) + c over a decay, fitted softly; None with fewer than 30 points."""
+    t, y = np.asarray(t_ms, float)[::decimate], np.asarray(y, float)[::decimate]
+    if len(t) < 30:
+        return None
+    scale = max(np.abs(y - y[-1]).max(), 1e-9)
+    t0, span = t[0], max(t[-1] - t[0], 1e-9)
+
+    def model(p: np.ndarray) -> np.ndarray:
+        return scale * (p[0] * np.exp(-(t - t0) / np.exp(p[1])) + p[2])
+
+    best = None
+    for tau in (span / 20, span / 5, span):
+        lo, hi = np.array([-20, np.log(span / 1000), -20.0]), np.array([20, np.log(20 * span), 20.0])
+        got = least_squares(lambda p: 20 * (model(p) - y) / scale, np.array([(y[0] - y[-1]) / scale, np.log(tau), y[-1] / scale]), lo, hi, soft=True)
+        if best is None or got[1] < best[1]:
+            best = got
+    p = best[0]
+    total = ((y - y.mean()) ** 2).sum()
+    r2 = 1 - ((model(p) - y) ** 2).sum() / total if total > 0 else float("nan")
+    return {"amplitude": float(scale * p[0]), "tau_ms": float(np.exp(p[1])), "offset": float(scale * p[2]), "r2": float(r2)}
+
+
+def sigmoid_fit(x: np.ndarray, y: np.ndarray) -> dict | None:
+    """top / (1 + exp(-(x - i50) / slope)) from several starts; None with fewer than 4 points."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    if len(x) < 4 or np.ptp(x) == 0:
+        return None
+    top = max(np.abs(y).max(), 1e-9)
+    lo, hi = np.array([-3, x.min() - np.ptp(x), np.log(np.ptp(x) / 100)]), np.array([3, x.max() + np.ptp(x), np.log(3 * np.ptp(x))])
+    model = lambda p: top * p[0] / (1 + np.exp(-np.clip((x - p[1]) / np.exp(p[2]), -500, 500)))
+    starts = [np.array([np.sign(y.sum()) or 1.0, q, np.log(np.ptp(x) / 8)]) for q in np.quantile(x, [0.25, 0.5, 0.75])]
+    p, cost = min((least_squares(lambda p: (model(p) - y) / top, s, lo, hi) for s in starts), key=lambda g: g[1])
+    rss, n = cost * top * top, len(x)
+    return {"top": float(top * p[0]), "i50": float(p[1]), "slope": float(np.exp(p[2])), "rss": float(rss), "aic": float(n * np.log(max(rss, 1e-300) / n) + 6)}
