@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import model_queries, pairing_queries, sequence_queries, summary_queries
+from . import model_queries, pairing_queries, sequence_queries, signal_queries, summary_queries
 from .query import Query
 
 QUERIES: dict[str, Query] = {
@@ -10,4 +10,5 @@ QUERIES: dict[str, Query] = {
     **pairing_queries.QUERIES,
     **summary_queries.QUERIES,
     **model_queries.QUERIES,
+    **signal_queries.QUERIES,
 }
