@@ -43,11 +43,10 @@ def hash_text(h1: Column, h2: Column) -> Column:
     return F.concat_ws(":", h1.cast("string"), h2.cast("string"))
 
 
-def common_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+def common_lines(keyed: DataFrame, min_docs: int) -> DataFrame:
     """h1, h2, keeper of the keys to be dropped elsewhere."""
     return (
-        keyed_lines(docs, min_chars)
-        .distinct()
+        keyed.distinct()
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
@@ -57,10 +56,10 @@ def common_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
 
 def drop_lists(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """drop_id, drops: per document that loses lines, the 128-bit hashes (as text) of the keys it loses."""
-    common = materialize(common_lines(docs, min_chars, min_docs), "common-lines")
+    keyed = materialize(keyed_lines(docs, min_chars), "keyed-lines")
+    common = materialize(common_lines(keyed, min_docs), "common-lines")
     return (
-        keyed_lines(docs, min_chars)
-        .join(common, ["h1", "h2"])
+        keyed.join(common, ["h1", "h2"])
         .where(F.col("doc_id") != F.col("keeper"))
         .groupBy(F.col("doc_id").alias("drop_id"))
         .agg(F.collect_set(hash_text(F.col("h1"), F.col("h2"))).alias("drops"))
