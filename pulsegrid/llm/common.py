@@ -47,13 +47,23 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 _written: list[str] = []
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: Narrow rows of one file of a materialized table whose size is known.
+FILE_ROWS = 500_000
+
+
+def files_for(rows: int) -> int:
+    return max(1, -(-rows // FILE_ROWS))
+
+
+def materialize(df: DataFrame, tag: str, files: int = 0) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Results read such tables, so they stay until `release` is called.
+    files: so many files at most, where the number of rows is known to suit them. Results read such tables, so they
+    stay until `release` is called.
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
+    df = df.coalesce(files) if files else df
     df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, hash_spans, id_text, lowered, materialize, mix, rolling, word_spans
+from .common import blocks, files_for, hash_spans, id_text, lowered, materialize, mix, rolling, word_spans
 from .components import connected_components
 
 N, PERCENT = 5, 80
@@ -41,7 +41,7 @@ HEAVY = 200_000
 COUNT_SETS = 20_000
 #: So many pairs are compared at once; of more, each class's likeliest PARTNERS first, then four times as many, and so
 #: on, pairs that have come into one component by then left out.
-FEW_PAIRS, PARTNERS = 20_000, 4
+FEW_PAIRS, PARTNERS = 40_000, 8
 
 
 def gram_sets(col, n: int) -> Iterator[np.ndarray]:
@@ -316,25 +316,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(similar.select("a", "b"), "links")
 
 
-def likeliest(pairs: DataFrame, most: int) -> DataFrame:
+def likeliest(pairs: DataFrame, most: int, files: int) -> DataFrame:
     """a, b of the pairs that are among the `most` of either class with most shared prefix members."""
     picked = None
     for own, other in (("a", "b"), ("b", "a")):
         place = F.row_number().over(Window.partitionBy(own).orderBy(F.desc("shared"), other))
         some = pairs.withColumn("place", place).where(F.col("place") <= most).select("a", "b")
         picked = some if picked is None else picked.unionByName(some)
-    return materialize(picked.distinct(), "likeliest")
+    return materialize(picked.distinct(), "likeliest", files)
 
 
-def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose classes are not in one component yet."""
-    of = found.select("node", "component")
-    with_a = pairs.join(of.toDF("a", "part_a"), "a", "left")
-    with_b = with_a.join(of.toDF("b", "part_b"), "b", "left")
-    return with_b.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select(*pairs.columns)
-
-
-def cross_pairs(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(lists: DataFrame, found: DataFrame, percent: int, files: int) -> DataFrame:
     """a, b, shared of all pairs of a list that can be similar and are not in one component."""
     placed = lists.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
@@ -346,7 +338,7 @@ def cross_pairs(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         .where("parts > 1")
         .drop("parts")
     )
-    mixed = materialize(placed.join(materialize(largest, "largest"), "gram"), "postings")
+    mixed = materialize(placed.join(materialize(largest, "largest", files), "gram"), "postings", files)
     full = F.struct("key", "size", "place", "component", "main")
     x, y = mixed.select("gram", full.alias("x")), mixed.select("gram", full.alias("y"))
     cross = (
@@ -366,10 +358,11 @@ def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int)
         profiled.where("doc_id IS NOT NULL AND size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     )
     lists = materialize(postings(prefixes(docs, n, percent, heavy), heavy), "postings")
+    files = files_for(lists.count())
     row = F.struct("key", "size", "place")
     # round 1: every class of a list with the list's pivot
     pivots = lists.groupBy("gram").agg(F.min(row).alias("x"), F.max("key").alias("top")).where("x.key < top")
-    pivots = materialize(pivots.drop("top"), "pivots")
+    pivots = materialize(pivots.drop("top"), "pivots", files)
     star = (
         lists.withColumn("y", row)
         .join(pivots, "gram")
@@ -377,35 +370,30 @@ def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int)
         .where(size_bound("x.size", "y.size", percent))
         .select(*sides("x", "y"))
     )
-    # a pair's products are not complete here, so one that falls short is not decided but left to round 2
-    tried = materialize(bounded_pairs(star, percent), "pairs")
-    sets = sets_in(tried, docs, classes, n)
-    # each class with its likeliest pivot first; its other pivots only where that leaves them apart
-    best = tried.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    links = verified(best, sets, percent)
-    found = connected_components(links)
-    others = apart(tried.join(best, ["a", "b"], "left_anti"), found)
-    more = verified(others, sets, percent)
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        found = connected_components(links)
+    # each class with its likeliest pivot; a pair's products are not complete here, so all else is left to round 2
+    star = bounded_pairs(star, percent).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+    tried = materialize(star, "pairs", files)
+    links = verified(tried, sets_in(tried, docs, classes, n), percent)
+    found = connected_components(links, files)
     # round 2: classes of different components that share a list
     sets, partners = None, PARTNERS
     while True:
-        rest = materialize(cross_pairs(lists, found, percent), "pairs")
-        last = rest.count() <= FEW_PAIRS
+        rest = materialize(cross_pairs(lists, found, percent, files), "pairs")
+        n_rest = rest.count()
+        last = n_rest <= FEW_PAIRS
+        files_rest = files_for(n_rest)
         if last or sets is not None:
-            rest = materialize(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            rest = materialize(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs", files_rest)
         if rest.isEmpty():
             return found
         # what is compared later is among these pairs as well: components only grow
         sets = sets_in(rest, docs, classes, n) if sets is None else sets
         # in a large group each class's likeliest partners first; what they join need not be compared any more
-        now = rest if last else likeliest(rest, partners)
+        now = rest if last else likeliest(rest, partners, files_rest)
         more = verified(now, sets, percent)
         if not more.isEmpty():
-            links = materialize(links.unionByName(more), "links")
-            found = connected_components(links)
+            links = materialize(links.unionByName(more), "links", files_for(links.count() + n_rest))
+            found = connected_components(links, files)
         if last:
             return found
         tried = tried.select("a", "b").unionByName(now.select("a", "b"))
