@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import blocks, files_for, hash_spans, id_text, lowered, materialize, mix, rolling, word_spans
 from .components import connected_components
@@ -39,9 +38,9 @@ N, PERCENT = 5, 80
 HEAVY = 200_000
 #: Distinct sets of a task whose n-grams are counted together.
 COUNT_SETS = 20_000
-#: So many pairs are compared at once; of more, each class's likeliest PARTNERS first, then four times as many, and so
-#: on, pairs that have come into one component by then left out.
-FEW_PAIRS, PARTNERS = 40_000, 8
+#: Where lists hold more than FEW_PAIRS pairs between components, those that share most of the prefix members by which
+#: they must meet come first, then the next ones, and so on to all, pairs that have come into one component left out.
+FEW_PAIRS, SHARES = 1_000_000, (1.0, 0.85, 0.0)
 
 
 def gram_sets(col, n: int) -> Iterator[np.ndarray]:
@@ -267,9 +266,16 @@ def bounded_pairs(products: DataFrame, percent: int) -> DataFrame:
     return totals.where(enough(most, F.col("size_a"), F.col("size_b"), percent)).select("a", "b", "shared")
 
 
-def size_bound(a: str, b: str, percent: int):
-    """The smaller set must have `percent` of the larger one's size."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def reachable(x: str, y: str, percent: int):
+    """Whether a shared n-gram of x and y can be one of those by which a pair of their sizes must meet.
+
+    The sizes must be near enough, and similar sets share at least `least` members, so one of the first
+    size - least + 1 of either.
+    """
+    a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
+    least = F.ceil(percent * (a + b) / (100.0 + percent) - 1e-9)
+    near = 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return near & (F.col(f"{x}.place") <= a - least) & (F.col(f"{y}.place") <= b - least)
 
 
 def sides(left: str, right: str) -> list:
@@ -316,39 +322,59 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(similar.select("a", "b"), "links")
 
 
-def likeliest(pairs: DataFrame, most: int, files: int) -> DataFrame:
-    """a, b of the pairs that are among the `most` of either class with most shared prefix members."""
-    picked = None
-    for own, other in (("a", "b"), ("b", "a")):
-        place = F.row_number().over(Window.partitionBy(own).orderBy(F.desc("shared"), other))
-        some = pairs.withColumn("place", place).where(F.col("place") <= most).select("a", "b")
-        picked = some if picked is None else picked.unionByName(some)
-    return materialize(picked.distinct(), "likeliest", files)
+def heads(lists: DataFrame, files: int) -> DataFrame:
+    """key, grams, places: the listed prefix members of each class in the global order."""
+    row = F.sort_array(F.collect_list(F.struct("place", "gram")))
+    per = lists.groupBy(F.col("key").alias("head_key")).agg(row.alias("r"))
+    grams, places = F.transform("r", lambda r: r["gram"]), F.transform("r", lambda r: r["place"])
+    return materialize(per.select("head_key", grams.alias("grams"), places.alias("places")), "heads", files)
 
 
-def cross_pairs(lists: DataFrame, found: DataFrame, percent: int, files: int) -> DataFrame:
-    """a, b, shared of all pairs of a list that can be similar and are not in one component."""
+def placed_lists(lists: DataFrame, found: DataFrame, files: int) -> tuple[DataFrame, int]:
+    """The lists that have several components, with each class's component and the list's largest one, and the number
+    of pairs of classes between components that they hold."""
     placed = lists.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
     tally = placed.groupBy("gram", "component").agg(F.count("*").alias("n"))
-    largest = (
-        tally.groupBy("gram")
-        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
-        .where("parts > 1")
-        .drop("parts")
-    )
-    mixed = materialize(placed.join(materialize(largest, "largest", files), "gram"), "postings", files)
-    full = F.struct("key", "size", "place", "component", "main")
-    x, y = mixed.select("gram", full.alias("x")), mixed.select("gram", full.alias("y"))
-    cross = (
-        x.where("x.component <> x.main")
-        .join(y, "gram")
+    n = F.col("n")
+    largest = tally.groupBy("gram").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"),
+        ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("between"),
+    )
+    largest = materialize(largest.where("parts > 1").drop("parts"), "largest", files)
+    between = largest.agg(F.sum("between")).first()[0] or 0
+    return materialize(placed.join(largest.drop("between"), "gram"), "postings", files), between
+
+
+def cross_pairs(mixed: DataFrame, head: DataFrame, percent: int, low: float, high: float) -> DataFrame:
+    """a, b of the pairs of a list that are in different components and can still be similar.
+
+    A pair comes out once, at its first shared prefix member. Beyond the last one it can share no more than what either
+    set has left. Only pairs that share from `low` to under `high` of the prefix members by which they must meet.
+    """
+    full = F.struct("key", "size", "place", "component", "main", "grams", "places")
+    rows = mixed.join(head, F.col("key") == F.col("head_key")).select("gram", full.alias("x"))
+    x, y = rows.where("x.component <> x.main"), rows.withColumnRenamed("x", "y")
+    both = F.array_intersect("x.grams", "y.grams")
+    last = F.element_at(both, -1)
+
+    def left(side: str):
+        at = F.element_at(F.col(f"{side}.places"), F.array_position(F.col(f"{side}.grams"), last).cast("int"))
+        return F.col(f"{side}.size") - at - 1
+
+    sizes = F.col("x.size"), F.col("y.size")
+    reach = F.least(*sizes) - F.ceil(percent * (sizes[0] + sizes[1]) / (100.0 + percent) - 1e-9) + 1
+    share = F.size(both) / F.greatest(reach, F.lit(1))
+    pairs = (
+        x.join(y, "gram")
         .where("x.component <> y.component AND (y.component = y.main OR x.key < y.key)")
-        .where(size_bound("x.size", "y.size", percent))
-        .select(*sides("x", "y"))
+        .where(reachable("x", "y", percent))
+        .where(both[0] == F.col("gram"))
+        .where(enough(F.size(both) + F.least(left("x"), left("y")), *sizes, percent))
+        .where((share >= low) & (share < high))
     )
-    return bounded_pairs(cross, percent)
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
 
 
 def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int) -> DataFrame:
@@ -367,7 +393,7 @@ def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int)
         lists.withColumn("y", row)
         .join(pivots, "gram")
         .where(F.col("x.key") != F.col("y.key"))
-        .where(size_bound("x.size", "y.size", percent))
+        .where(reachable("x", "y", percent))
         .select(*sides("x", "y"))
     )
     # each class with its likeliest pivot; a pair's products are not complete here, so all else is left to round 2
@@ -376,28 +402,24 @@ def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int)
     links = verified(tried, sets_in(tried, docs, classes, n), percent)
     found = connected_components(links, files)
     # round 2: classes of different components that share a list
-    sets, partners = None, PARTNERS
-    while True:
-        rest = materialize(cross_pairs(lists, found, percent, files), "pairs")
-        n_rest = rest.count()
-        last = n_rest <= FEW_PAIRS
-        files_rest = files_for(n_rest)
-        if last or sets is not None:
-            rest = materialize(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs", files_rest)
-        if rest.isEmpty():
-            return found
-        # what is compared later is among these pairs as well: components only grow
-        sets = sets_in(rest, docs, classes, n) if sets is None else sets
-        # in a large group each class's likeliest partners first; what they join need not be compared any more
-        now = rest if last else likeliest(rest, partners, files_rest)
-        more = verified(now, sets, percent)
-        if not more.isEmpty():
-            links = materialize(links.unionByName(more), "links", files_for(links.count() + n_rest))
-            found = connected_components(links, files)
-        if last:
-            return found
-        tried = tried.select("a", "b").unionByName(now.select("a", "b"))
-        partners *= 4
+    head = heads(lists, files)
+    mixed, between = placed_lists(lists, found, files)
+    high = float("inf")
+    for low in SHARES:
+        if low and between <= FEW_PAIRS:
+            continue
+        # likelier pairs first; what they join need not be compared any more
+        rest = cross_pairs(mixed, head, percent, low, high).join(tried, ["a", "b"], "left_anti")
+        rest = materialize(rest, "pairs")
+        high = low
+        if not rest.isEmpty():
+            more = verified(rest, sets_in(rest, docs, classes, n), percent)
+            if not more.isEmpty():
+                links = materialize(links.unionByName(more), "links", files)
+                found = connected_components(links, files)
+                if low:
+                    mixed, between = placed_lists(lists, found, files)
+    return found
 
 
 def link_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
