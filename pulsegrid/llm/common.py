@@ -66,14 +66,26 @@ def materialize(df: DataFrame, tag: str, files: int = 0) -> DataFrame:
     df = df.coalesce(files) if files else df
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that this driver has materialized, once results that read them are written."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def n_written() -> int:
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the tables that this driver has materialized, once results that read them are written.
+
+    since: only those after the first so many (`n_written` told how many there were); keep: but not this one.
+    """
+    kept = getattr(keep, "table_path", None)
+    for name in _written[since:]:
+        if name != kept:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written[since:] = [kept] if kept in _written[since:] else []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

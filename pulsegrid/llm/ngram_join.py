@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, files_for, hash_spans, id_text, lowered, materialize, mix, rolling, word_spans
+from .common import (
+    blocks, files_for, hash_spans, id_text, lowered, materialize, mix, n_written, release, rolling, word_spans,
+)
 from .components import connected_components
 
 N, PERCENT = 5, 80
@@ -426,7 +428,9 @@ def link_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every row."""
     rows = id_text(docs)
     profiled = materialize(profile(rows, n), "profile")
+    before = n_written()
     parts = class_components(rows, profiled, n, percent)
+    release(docs.sparkSession, before, parts)  # only the components are read from here on
     members = profiled.where("doc_id IS NOT NULL").join(parts.withColumnRenamed("node", "key"), "key", "left")
     # classes that link with nothing still join their own copies; empty sets join nothing
     members = members.withColumn("component", F.coalesce("component", "key"))
