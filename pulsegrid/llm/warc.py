@@ -151,10 +151,11 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
             ["path", "bytes"],
         )
 
-    spark = plan.sparkSession
     fs, root = _open(folder)
     fs.create_dir(root)
-    return materialize(plan.select("page_id", "url", "html", "refers_to").mapInArrow(write, "path string, bytes long"), "archives")
+    return materialize(
+        plan.select("page_id", "url", "html", "refers_to").mapInArrow(write, "path string, bytes long"), "archives"
+    )
 
 
 def members(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -258,7 +259,10 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
 
 def round_trip(spark: SparkSession, pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Writes pages as archives and reads them back: the records without their payloads."""
-    archives = write_archives(page_plan(pages), shared_path(spark, "warc"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "warc"))
+    # with its store's scheme, also where the setting has none
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    archives = write_archives(page_plan(pages), folder)
     return read_archives(archives, split_bytes, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
