@@ -43,6 +43,8 @@ COUNT_SETS = 20_000
 #: Where lists hold more than FEW_PAIRS pairs between components, those that share most of the prefix members by which
 #: they must meet come first, then the next ones, and so on to all, pairs that have come into one component left out.
 FEW_PAIRS, SHARES = 1_000_000, (1.0, 0.85, 0.0)
+#: Classes of a short list.
+SHORT = 16
 
 
 def gram_sets(col, n: int) -> Iterator[np.ndarray]:
@@ -325,11 +327,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def heads(lists: DataFrame, files: int) -> DataFrame:
-    """key, grams, places: the listed prefix members of each class in the global order."""
+    """head_key, size, grams, places: the listed prefix members of each class in the global order."""
     row = F.sort_array(F.collect_list(F.struct("place", "gram")))
-    per = lists.groupBy(F.col("key").alias("head_key")).agg(row.alias("r"))
+    per = lists.groupBy(F.col("key").alias("head_key")).agg(row.alias("r"), F.first("size").alias("size"))
     grams, places = F.transform("r", lambda r: r["gram"]), F.transform("r", lambda r: r["place"])
-    return materialize(per.select("head_key", grams.alias("grams"), places.alias("places")), "heads", files)
+    return materialize(per.select("head_key", "size", grams.alias("grams"), places.alias("places")), "heads", files)
 
 
 def placed_lists(lists: DataFrame, found: DataFrame, files: int) -> tuple[DataFrame, int]:
@@ -341,7 +343,7 @@ def placed_lists(lists: DataFrame, found: DataFrame, files: int) -> tuple[DataFr
     tally = placed.groupBy("gram", "component").agg(F.count("*").alias("n"))
     n = F.col("n")
     largest = tally.groupBy("gram").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"),
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum(n).alias("total"),
         ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("between"),
     )
     largest = materialize(largest.where("parts > 1").drop("parts"), "largest", files)
@@ -352,12 +354,11 @@ def placed_lists(lists: DataFrame, found: DataFrame, files: int) -> tuple[DataFr
 def cross_pairs(mixed: DataFrame, head: DataFrame, percent: int, low: float, high: float) -> DataFrame:
     """a, b of the pairs of a list that are in different components and can still be similar.
 
-    A pair comes out once, at its first shared prefix member. Beyond the last one it can share no more than what either
-    set has left. Only pairs that share from `low` to under `high` of the prefix members by which they must meet.
+    Beyond the last shared prefix member a pair can share no more than what either set has left. Only pairs that share
+    from `low` to under `high` of the prefix members by which they must meet. Rows of long lists carry their classes'
+    prefixes, so a pair comes out of them only when it passes, and once, at its first shared member; pairs of short
+    lists are at most SHORT for each row and are looked up afterwards.
     """
-    full = F.struct("key", "size", "place", "component", "main", "grams", "places")
-    rows = mixed.join(head, F.col("key") == F.col("head_key")).select("gram", full.alias("x"))
-    x, y = rows.where("x.component <> x.main"), rows.withColumnRenamed("x", "y")
     both = F.array_intersect("x.grams", "y.grams")
     last = F.element_at(both, -1)
 
@@ -368,15 +369,25 @@ def cross_pairs(mixed: DataFrame, head: DataFrame, percent: int, low: float, hig
     sizes = F.col("x.size"), F.col("y.size")
     reach = F.least(*sizes) - F.ceil(percent * (sizes[0] + sizes[1]) / (100.0 + percent) - 1e-9) + 1
     share = F.size(both) / F.greatest(reach, F.lit(1))
-    pairs = (
-        x.join(y, "gram")
-        .where("x.component <> y.component AND (y.component = y.main OR x.key < y.key)")
-        .where(reachable("x", "y", percent))
-        .where(both[0] == F.col("gram"))
-        .where(enough(F.size(both) + F.least(left("x"), left("y")), *sizes, percent))
-        .where((share >= low) & (share < high))
-    )
-    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+
+    def passing(pairs: DataFrame) -> DataFrame:
+        fits = enough(F.size(both) + F.least(left("x"), left("y")), *sizes, percent)
+        return pairs.where(fits).where((share >= low) & (share < high))
+
+    def met(rows: DataFrame) -> DataFrame:
+        x, y = rows.where("x.component <> x.main"), rows.withColumnRenamed("x", "y")
+        apart = "x.component <> y.component AND (y.component = y.main OR x.key < y.key)"
+        return x.join(y, "gram").where(apart).where(reachable("x", "y", percent))
+
+    ends = F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")
+    narrow, wide = ["key", "size", "place", "component", "main"], ["grams", "places"]
+    long = mixed.where(F.col("total") > SHORT).join(head.drop("size"), F.col("key") == F.col("head_key"))
+    long = met(long.select("gram", F.struct(*narrow, *wide).alias("x"))).where(both[0] == F.col("gram"))
+    short = met(mixed.where(F.col("total") <= SHORT).select("gram", F.struct(*narrow).alias("x"))).select(*ends).distinct()
+    for side, name in (("a", "x"), ("b", "y")):
+        own = head.select(F.col("head_key").alias(side), F.struct("size", *wide).alias(name))
+        short = short.join(own, side)
+    return passing(long).select(*ends).unionByName(passing(short).select("a", "b")).distinct()
 
 
 def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int) -> DataFrame:
