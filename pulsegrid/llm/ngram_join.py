@@ -40,9 +40,9 @@ N, PERCENT = 5, 80
 HEAVY = 200_000
 #: Distinct sets of a task whose n-grams are counted together.
 COUNT_SETS = 20_000
-#: Where lists hold more than FEW_PAIRS pairs between components, those that share most of the prefix members by which
+#: Where lists hold more than PAIRS_A_ROW pairs between components for each of their rows, those that share most of the prefix members by which
 #: they must meet come first, then the next ones, and so on to all, pairs that have come into one component left out.
-FEW_PAIRS, SHARES = 1_000_000, (1.0, 0.85, 0.0)
+PAIRS_A_ROW, SHARES = 32, (1.0, 0.85, 0.0)
 #: Classes of a short list.
 SHORT = 16
 
@@ -334,9 +334,9 @@ def heads(lists: DataFrame, files: int) -> DataFrame:
     return materialize(per.select("head_key", "size", grams.alias("grams"), places.alias("places")), "heads", files)
 
 
-def placed_lists(lists: DataFrame, found: DataFrame, files: int) -> tuple[DataFrame, int]:
+def placed_lists(lists: DataFrame, found: DataFrame, files: int) -> tuple[DataFrame, float]:
     """The lists that have several components, with each class's component and the list's largest one, and the number
-    of pairs of classes between components that they hold."""
+    of pairs of classes between components that they hold, for each of their rows."""
     placed = lists.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
@@ -347,8 +347,8 @@ def placed_lists(lists: DataFrame, found: DataFrame, files: int) -> tuple[DataFr
         ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("between"),
     )
     largest = materialize(largest.where("parts > 1").drop("parts"), "largest", files)
-    between = largest.agg(F.sum("between")).first()[0] or 0
-    return materialize(placed.join(largest.drop("between"), "gram"), "postings", files), between
+    between, rows = largest.agg(F.sum("between"), F.sum("total")).first()
+    return materialize(placed.join(largest.drop("between"), "gram"), "postings", files), (between or 0) / (rows or 1)
 
 
 def cross_pairs(mixed: DataFrame, head: DataFrame, percent: int, low: float, high: float) -> DataFrame:
@@ -419,7 +419,7 @@ def class_components(docs: DataFrame, profiled: DataFrame, n: int, percent: int)
     mixed, between = placed_lists(lists, found, files)
     high = float("inf")
     for low in SHARES:
-        if low and between <= FEW_PAIRS:
+        if low and between <= PAIRS_A_ROW:
             continue
         # likelier pairs first; what they join need not be compared any more
         rest = cross_pairs(mixed, head, percent, low, high).join(tried, ["a", "b"], "left_anti")

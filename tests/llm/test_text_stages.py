@@ -146,7 +146,7 @@ def test_ngram_join(table, awkward):
 
 def test_ngram_join_large_group_in_steps(table, monkeypatch):
     """The order in which pairs are compared, and how many at once, leaves the result as it is."""
-    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 20)
+    monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", 0)
     monkeypatch.setattr(ngram_join, "HEAVY", 5)
     rng = random.Random(4)
     rows = list(enumerate(near_copies(rng, 80, 100, 6)))
