@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame, files: int = 0) -> DataFrame:
     """node, component (the smallest node reachable) of every node of edges (a, b); isolated nodes do not occur.
 
     A node with very many neighbours is pre-aggregated to its smallest one; the join back is one that Spark can split.
-    Rounds end when nothing changes, so the result is exact whatever the shape of the graph. No round has more edges
+    Rounds end when only stars around smallest nodes are left, so the result is exact whatever the shape of the graph. No round has more edges
     than twice the first, so all tables have as many files as suit those; files: of the first one.
     """
     edges = materialize(
@@ -31,9 +31,11 @@ def connected_components(edges: DataFrame, files: int = 0) -> DataFrame:
             low.select("a", F.col("m").alias("b"))
         )
         small = materialize(small.where("a <> b").distinct(), "cc", files)
-        # done when all edges are stars around smallest nodes: no centre has a smaller neighbour
+        # done when all edges are stars around smallest nodes: no centre has a smaller neighbour, no node two centres
         centres = small.select(F.col("b").alias("a")).distinct()
-        uneven = small.join(centres, "a", "left_semi").limit(1).count()
+        uneven = small.join(centres, "a", "left_semi").limit(1).count() or (
+            small.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        )
         edges = small
         if not uneven:
             break

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from pulsegrid.llm import licenses, line_dedup, ngram_join, quality_crf, quality_rules, secrets
+from pulsegrid.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -160,6 +161,39 @@ def test_ngram_join_keeps_one(table):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 6, 9]
 
 
+def least_reachable(edges):
+    """node -> the smallest node of its component, by union-find."""
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in parent}
+
+
+def random_graph(rng, n, path):
+    names = rng.sample(range(10 * n), n)
+    return [(names[k - 1] if path else names[rng.randrange(k)], names[k]) for k in range(1, n)]
+
+
+def test_connected_components_of_paths_and_trees(spark):
+    rng = random.Random(5)
+    graphs = [[(1, 3), (3, 4), (4, 5), (5, 2)]]  # after one round 3 still hangs on both 1 and 2
+    graphs += [random_graph(rng, n, path) for n, path in ((8, True), (60, True), (60, False))]
+    many, at = [], 0
+    for k in range(150):
+        many += [(a + at, b + at) for a, b in random_graph(rng, rng.randint(2, 10), k % 2 == 0)]
+        at += 100
+    for edges in [*graphs, many]:
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == least_reachable(edges)
+
+
 # ----------------------------------------------------------------------------------------------------- licenses
 
 
