@@ -1,9 +1,15 @@
 """Best-fit packing: documents become token pieces, and pieces are packed into sequences of bounded length.
 
-Hierarchical residual packing. Each partition packs its own pieces best-fit, longest first, and emits the bins that
-are nearly full; its underfull bins are items of the next round, in which the residues of several partitions meet in
-one group, and so on up a tree to one last group. A bin carries its pieces (at most as many as it has tokens), so no
-join is needed to place them.
+Hierarchical residual packing. Pieces (five numbers each, no text) are dealt evenly into groups of bounded size, so
+that every group holds long and short pieces of all parts of the table. Each group packs its own pieces best-fit,
+longest first, and emits the bins that are nearly full; its underfull bins are items of the next round, in which the
+residues of several groups meet in one, and so on up a tree to one last group. A bin carries its pieces (at most as
+many as it has tokens), so no join is needed to place them.
+
+Best-fit leaves a group at most one bin that is half full or less, and two bins over half never fit together. So in
+each later round a group gets at most `fan_in` bins that can join another one, and from any subtree at most so many
+others are joined in a round. Of its bins over half a group therefore hands on the `fan_in` emptiest for each round
+to come: whatever fits into a fuller one fits into these, so no merge is lost, and no group grows with the input.
 
 Defined cases: null or empty text is the single end token; a document longer than the capacity is cut into pieces of
 exactly the capacity and one rest; ties between equally long items are broken by doc_id and piece; repeated rows are
@@ -37,8 +43,8 @@ FAN_IN = 8
 #: Distinct words whose ids a worker process remembers.
 CACHE_WORDS = 500_000
 
-#: Underfull bins that a group hands on at most; beyond that the fullest are final, so no group grows with the input.
-MOST_RESIDUE = 4096
+#: Pieces of a group of the first round.
+GROUP_PIECES = 16_384
 
 PIECE = "struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint, offset: bigint>"
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -182,9 +188,12 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack_round(
-    items: list[tuple[int, list[dict]]], capacity: int, last: bool
+    items: list[tuple[int, list[dict]]], capacity: int, joins: int
 ) -> tuple[list[tuple[int, list[dict]]], list[tuple[int, list[dict]]]]:
-    """(used, members) items into finished bins and residues, members' offsets being their places in the bin."""
+    """(used, members) items into finished bins and residues, members' offsets being their places in the bin.
+
+    joins: how many bins over half full later rounds can join with others at most; 0 in the last one.
+    """
     items.sort(key=lambda x: (-x[0], x[1][0]["doc_id"], x[1][0]["piece"]))
     full, rest = [], []
     for g in best_fit([x[0] for x in items], capacity):
@@ -193,11 +202,11 @@ def _pack_round(
             for m in items[i][1]:
                 members.append({**m, "offset": used})
                 used += m["length"]
-        (full if last or capacity - used <= capacity * FULL_WITHIN else rest).append((used, members))
-    if len(rest) > MOST_RESIDUE:
-        rest.sort(key=lambda x: x[0])
-        full += rest[MOST_RESIDUE:]
-        del rest[MOST_RESIDUE:]
+        (full if not joins or capacity - used <= capacity * FULL_WITHIN else rest).append((used, members))
+    rest.sort(key=lambda x: x[0])
+    keep = joins + sum(2 * used <= capacity for used, _ in rest)
+    full += rest[keep:]
+    del rest[keep:]
     return full, rest
 
 
@@ -214,46 +223,55 @@ def _frame(grp: int, first: int, bins: list[tuple[int, list[dict]]], done: bool)
     )
 
 
-def _first_round(batches: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.DataFrame]:
-    """Best-fit over a partition's pieces, batch by batch; a batch's underfull bins meet the next one's pieces."""
+def _first_round(batches: Iterator[pd.DataFrame], capacity: int, joins: int) -> Iterator[pd.DataFrame]:
+    """Best-fit over all pieces of a group, which is a partition."""
     from pyspark import TaskContext
 
-    grp, n = TaskContext.get().partitionId(), 0
-    rest: list[tuple[int, list[dict]]] = []
-    for batch in batches:
-        new = [(int(r[3]), [dict(zip(NAMES, map(int, r)))]) for r in batch[NAMES].itertuples(index=False)]
-        full, rest = _pack_round(rest + new, capacity, last=False)
-        yield _frame(grp, n, full, True)
-        n += len(full)
-    yield _frame(grp, n, rest, False)
+    grp = TaskContext.get().partitionId()
+    items = [
+        (int(r[3]), [dict(zip(NAMES, map(int, r)))]) for batch in batches for r in batch[NAMES].itertuples(index=False)
+    ]
+    full, rest = _pack_round(items, capacity, joins)
+    yield _frame(grp, 0, full, True)
+    yield _frame(grp, len(full), rest, False)
 
 
-def _later_round(items: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
+def _later_round(items: pd.DataFrame, capacity: int, joins: int) -> pd.DataFrame:
     grp = int(items["grp"].iloc[0])
     full, rest = _pack_round(
-        [(int(u), list(m)) for u, m in zip(items["used"], items["members"])], capacity, last
+        [(int(u), list(m)) for u, m in zip(items["used"], items["members"])], capacity, joins
     )
     return pd.concat([_frame(grp, 0, full, True), _frame(grp, len(full), rest, False)])
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN) -> DataFrame:
+def rounds_above(groups: int, fan_in: int) -> int:
+    """Rounds from so many groups to a single one, that one's included."""
+    n = 0
+    while groups > 1:
+        groups, n = -(-groups // fan_in), n + 1
+    return n
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """The pieces with sequence_id and offset; items as from `pieces`."""
-    packed = materialize(items.mapInPandas(lambda batches: _first_round(batches, capacity), BIN), "packed-0")
+    items = materialize(items, "pieces")
+    width = max(1, -(-items.count() // group_pieces))
+    # dealt in turn, not by a key, so that all groups are alike whatever rows repeat
+    dealt = items.repartition(width)
+    joins = fan_in * rounds_above(width, fan_in)
+    packed = materialize(dealt.mapInPandas(lambda batches: _first_round(batches, capacity, joins), BIN), "packed-0")
     finished = [packed.where("done")]
     rest = packed.where("not done")
-    width = (rest.agg(F.max("grp")).first()[0] or 0) + 1  # groups with residues
-    while True:
-        last = width <= fan_in
+    while width > 1:
         width = -(-width // fan_in)
+        left = fan_in * rounds_above(width, fan_in)
         merged = rest.withColumn("grp", F.floor(F.col("grp") / fan_in).cast("long"))
         packed = materialize(
-            merged.groupBy("grp").applyInPandas(lambda x: _later_round(x, capacity, last), BIN),
+            merged.groupBy("grp").applyInPandas(lambda x: _later_round(x, capacity, left), BIN),
             f"packed-{len(finished)}",
         )
         finished.append(packed.where("done"))
         rest = packed.where("not done")
-        if last:
-            break
     bins = None
     for k, df in enumerate(finished):
         # a bin's number: its round, its group and its place in the group

@@ -99,6 +99,23 @@ def test_packing(table, awkward, capacity):
     assert packing.pack_documents(table([])).count() == 0
 
 
+@pytest.mark.parametrize("group_pieces", [40_000, 4096, 200])
+def test_packing_of_long_pieces_apart_from_short_ones(spark, group_pieces):
+    """One partition has only pieces of 2,100 to 3,999 tokens, the other only the ones that fill them up."""
+    n = 9000
+    rows = spark.range(0, 2 * n, 1, 2).selectExpr(
+        "id AS doc_id", "0 AS piece", "0L AS start", "id AS ids_crc32",
+        f"IF(id < {n}, 2100 + id * 7 % 1900, 1996 - id % {n} * 7 % 1900) AS length",
+    )
+    got = packing.pack(rows, group_pieces=group_pieces).collect()
+    assert sorted(r.doc_id for r in got) == list(range(2 * n))
+    used = collections.Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= packing.CAPACITY
+    assert len(used) <= 1.05 * n, len(used)
+
+
 def test_best_fit():
     assert packing.best_fit([5, 4, 3, 2, 1], 8) == [[0, 2], [1, 3, 4]]
     assert packing.best_fit([], 8) == []
