@@ -268,6 +268,15 @@ def test_secrets_base_and_model(table, awkward):
     assert secrets.scan(table([])).count() == 0
 
 
+def test_secrets_threshold_keeps_recall_of_hard_positives():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, secrets._CLASSES, (600, 72)), (rng.random(600) < 0.1).astype(float)  # nothing to learn
+    net = secrets.train(x, y, seed=7)
+    held = np.random.default_rng(7).permutation(600)[:120]
+    good = net.scores(x[held])[y[held] == 1]
+    assert len(good) and (good >= net.threshold).mean() >= secrets.RECALL
+
+
 def test_secrets_are_masked(table):
     docs = table([(1, None), (2, "é token=abcdef0123 end"), (3, "nothing here"), *secret_rows()])
     out = secrets.mask_documents(docs)
