@@ -277,6 +277,24 @@ def test_secrets_threshold_keeps_recall_of_hard_positives():
     assert len(good) and (good >= net.threshold).mean() >= secrets.RECALL
 
 
+def test_secrets_behind_a_long_prefix():
+    class DigitRuns:
+        """Sees a key where 16 digits of a stretch follow one another."""
+
+        threshold = 0.5
+
+        def scores(self, x):
+            inside = x[:, secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] == secrets._CLASS[ord("0")]
+            return np.lib.stride_tricks.sliding_window_view(inside, 16, axis=1).all(2).any(1).astype(float)
+
+    key = "8391047562018374"
+    texts = ["com/" + "services/" * k + key + "/" + "tail-" * j for k in (0, 5, 9, 200) for j in (0, 1, 30)]
+    texts += ["1" * 15 + "/" + "services/" * 20, "short-1234567890"]
+    found = list(secrets.scan_texts(pa.array(["see " + t for t in texts]), DigitRuns()))
+    want = [[(4, 4 + len(t), "model", 1.0)] if key in t else [] for t in texts]
+    assert found == want
+
+
 def test_secrets_are_masked(table):
     docs = table([(1, None), (2, "é token=abcdef0123 end"), (3, "nothing here"), *secret_rows()])
     out = secrets.mask_documents(docs)
