@@ -32,9 +32,12 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset and
+    all of Spark runs in one local process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -44,9 +47,6 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/pulsegrid-{tag}-{uuid.uuid4().hex}"
 
 
-_written: list[str] = []
-
-
 #: Narrow rows of one file of a materialized table whose size is known.
 FILE_ROWS = 500_000
 
@@ -61,31 +61,41 @@ def materialize(df: DataFrame, tag: str, files: int = 0) -> DataFrame:
     files: so many files at most, where the number of rows is known to suit them. Results read such tables, so they
     stay until `release` is called.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df = df.coalesce(files) if files else df
-    df.write.parquet(path)
-    _written.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.table_path = path
-    return out
+    return Scratch(df.sparkSession).table(df, tag, files)
 
 
-def n_written() -> int:
-    return len(_written)
+class Scratch:
+    """The tables that one call of an operator has written, so that it can delete those that its result does not read."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
 
-def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Deletes the tables that this driver has materialized, once results that read them are written.
+    def table(self, df: DataFrame, tag: str, files: int = 0) -> DataFrame:
+        path = shared_path(self.spark, tag)
+        df = df.coalesce(files) if files else df
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
 
-    since: only those after the first so many (`n_written` told how many there were); keep: but not this one.
-    """
-    kept = getattr(keep, "table_path", None)
-    for name in _written[since:]:
-        if name != kept:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _written[since:] = [kept] if kept in _written[since:] else []
+    def drop(self, *keep: DataFrame) -> None:
+        """Deletes all tables but those in keep."""
+        kept = {id(x) for x in keep}
+        for k in [k for k in self.paths if k not in kept]:
+            _delete(self.spark, self.paths.pop(k)[0])
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(result: DataFrame) -> None:
+    """Deletes the materialized tables that a result reads, once it is written or no longer wanted."""
+    spark = result.sparkSession
+    for folder in {name.rpartition("/")[0] for name in result.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("pulsegrid-"):
+            _delete(spark, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -145,15 +145,87 @@ def test_ngram_join(table, awkward):
     assert rows_of(ngram_join.link_documents(table([(1, None), (2, "")]))) == [(1, 0, 1), (2, 0, 2)]
 
 
-def test_ngram_join_large_group_in_steps(table, monkeypatch):
-    """The order in which pairs are compared, and how many at once, leaves the result as it is."""
-    monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", 0)
+@pytest.mark.parametrize("cell_rows, block", [(4, 3), (30, 1000), (1000, 7)])
+def test_ngram_join_of_large_groups_in_cells_and_blocks(table, monkeypatch, cell_rows, block):
+    """The sizes of cells and blocks, and how many n-grams are known to be common, leave the result as it is."""
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
     monkeypatch.setattr(ngram_join, "HEAVY", 5)
     rng = random.Random(4)
-    rows = list(enumerate(near_copies(rng, 80, 100, 6)))
+    texts = [*near_copies(rng, 80, 100, 6), *near_copies(rng, 60, 70, 3), *near_copies(rng, 40, 30, 2)]
+    rows = list(enumerate(texts))
     assert rows_of(ngram_join.link_documents(table(rows))) == components_by_hand(rows)
 
 
+def test_ngram_join_of_one_group_of_thousands(table):
+    """Near copies with one or two words changed: links by the hundred thousand, no base text among them."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(64)]
+    rows = []
+    for k in range(5000):
+        own = list(base)
+        for at in rng.sample(range(64), 1 + (k % 3 == 0)):
+            own[at] = f"e{rng.randint(0, 10**9)}"
+        rows.append((k, " ".join(own)))
+    got = rows_of(ngram_join.link_documents(table(rows)))
+    assert got == components_by_incidence(rows)
+
+
+def components_by_incidence(rows):
+    """components_by_hand by one dense product."""
+    sets = sets_by_hand(rows)
+    code = {g: k for k, g in enumerate({g for _, s in sets for g in s})}
+    inner = [g for g, n in collections.Counter(g for _, s in sets for g in s).items() if n > 1]
+    code = {g: k for k, g in enumerate(inner)}
+    x = np.zeros((len(sets), len(code)), np.float32)
+    for k, (_, s) in enumerate(sets):
+        x[k, [code[g] for g in s if g in code]] = 1
+    size, parent = np.array([len(s) for _, s in sets]), {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k in range(len(sets)):
+        shared = x @ x[k]
+        for j in np.flatnonzero(100 * shared >= 80 * (size + size[k] - shared)):
+            a, b = find(sets[k][0]), find(sets[int(j)][0])
+            parent[max(a, b)] = min(a, b)
+    return sorted((i, len(s), find(i)) for i, s in sets)
+
+
+def test_ngram_join_without_ids(table):
+    """Rows with a null doc_id link, but never name a component."""
+    same = "a b c d e f g h"
+    rows = [(None, same), (7, same), (4, same + " i"), (None, "k l m n o p"), (None, None), (2, "q r"), (2**62 + 1, "k2 l m n o p")]
+    got = ngram_join.link_documents(table(rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [
+        (0, 0, 0), (0, 2, 0), (0, 4, 4), (2, 1, 2), (4, 5, 4), (7, 4, 4), (2**62 + 1, 2, 2**62 + 1),
+    ]
+    left = ngram_join.keep_one(table(rows)).collect()
+    assert sorted((r.doc_id or 0) for r in left) == [0, 0, 0, 2, 4, 2**62 + 1]
+
+
+def test_ngram_join_of_keys_that_clash(table, monkeypatch):
+    monkeypatch.setattr(ngram_join, "set_key", lambda grams, seed=7, real=ngram_join.set_key: real(grams, seed) if seed != 7 else 1)
+    rows = [(k, " ".join(f"w{k}{j}" for j in range(9))) for k in range(4)]
+    assert rows_of(ngram_join.link_documents(table(rows))) == [(k, 5, k) for k in range(4)]
+
+
+def test_sketches_never_differ_by_more_than_their_sets():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 6000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 5, 300, 700, 2500, 5000) for _ in range(4)]
+    words, levels = ngram_join.folded(pa.array([ngram_join.sketch(s) for s in sets], pa.binary()))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            w = min(words[a], words[b])
+            place, matrix = levels[w]
+            bits = np.bitwise_count(matrix[place[a]] ^ matrix[place[b]]).sum()
+            assert bits <= len(np.setxor1d(x, y))
+
+
 def test_ngram_join_keeps_one(table):
     rows = [(5, "a b c d e f"), (3, "A B c d e f"), (9, "other words here now then"), (4, None), (6, None)]
     docs = table(rows)
