@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding: one pass over a text, driven by an Aho-Corasick automaton of the pieces.
 
-At each position the automaton's output links name the pieces that end there. Unigram models: each one relaxes the
-best score of its end (Viterbi); of equally good ones the longest wins; a character that is no piece may be passed at
-the unknown score. Pair-merge models: sums of scores are not what such a model means, so a piece is taken when it and
-the piece that ends at its start are what merging the two together gives; exactly one piece at each position passes,
-and the pieces found are those that merging the whole text by score gives. Unknown characters become their bytes'
-pieces.
+At each position the automaton's output links name the pieces that end there, and each one relaxes the best score of
+its end (Viterbi); of equally good ones the longest wins; a character that is no piece may be passed at the unknown
+score, as its bytes' pieces. This is what a unigram model means by encoding, and what `encode_documents` and the query
+give for any model.
+
+Pair-merge models are decoded by their library in another way, which sums of scores do not express. For them there is
+a second answer of the same pass over the output links (`merged=True`; further columns of the query): of the pieces
+that end at a position the one is taken that stays when it and the piece before it are merged; exactly one passes, and
+the pieces found are those that merging the whole text by score gives, so these ids equal the library's.
 
 No piece has the word mark behind another character, so a text falls apart before each run of marks (and around line
 feeds where no piece has them), and its parts are segmented one by one, each distinct one once per worker (up to a
@@ -14,8 +17,8 @@ bound).
 The pieces and scores are those of a public vocabulary file; nothing is trained here.
 
 Defined cases: null or empty text encodes to no ids and decodes to empty; rows are encoded one by one, so repeated
-rows give repeated results; an empty table gives an empty result; only id and text are read, so other columns may have
-any name; texts of any length are taken whole.
+rows give repeated results, and a null doc_id stays null; an empty table gives an empty result; only id and text are
+read, so other columns may have any name; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -91,12 +94,11 @@ def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], int]:
 class Encoder:
     """Segments texts into ids; a worker process has one for each model."""
 
-    def __init__(self, path: str, most: int = CACHE_PARTS, kind: int | None = None):
+    def __init__(self, path: str, most: int = CACHE_PARTS):
         import ahocorasick
 
         with open(path, "rb") as f:
-            self.pieces, own = read_model(f.read())
-        self.kind = kind or own
+            self.pieces, self.kind = read_model(f.read())
         self.auto = ahocorasick.Automaton()
         for k, (piece, score, kind) in enumerate(self.pieces):
             if kind in (NORMAL, USER):
@@ -111,12 +113,12 @@ class Encoder:
         # characters that no piece has part a text as well
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.scores))
         self.parts = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else ""))
-        self.cache: dict[str, bytes] = {}
+        self.caches: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.most = most
 
-    def segment(self, part: str) -> list[int]:
-        back = self._viterbi(part) if self.kind == UNIGRAM else self._merges(part)
+    def segment(self, part: str, merged: bool = False) -> list[int]:
+        back = self._merges(part) if merged else self._viterbi(part)
         ids: list[int] = []
         end = len(part)
         while end:
@@ -195,20 +197,25 @@ class Encoder:
         if part[end - 1] not in self.single and best[end - 1] + self.unknown > best[end]:
             best[end], back[end] = best[end - 1] + self.unknown, (end - 1, -1)
 
-    def encode(self, text: str) -> bytes:
+    def split(self, text: str) -> list[str]:
+        """The parts of a text, each to be segmented alone."""
+        return self.parts.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def encode(self, text: str, merged: bool = False) -> bytes:
         """Little-endian 32-bit ids of a text."""
-        if not text:
-            return b""
-        cache = self.cache
-        out = []
-        for part in self.parts.findall(MARK + text.replace(" ", MARK)):
-            ids = cache.get(part)
-            if ids is None:
-                ids = np.array(self.segment(part), "<u4").tobytes()
-                if len(cache) < self.most and len(part) < 64:
-                    cache[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_parts(self.split(text), merged)
+
+    def encode_parts(self, parts: list[str], merged: bool = False) -> bytes:
+        cache = self.caches[merged]
+        found = list(map(cache.get, parts))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    part = parts[i]
+                    ids = found[i] = cache.get(part) or np.array(self.segment(part, merged), "<u4").tobytes()
+                    if len(cache) < self.most and len(part) < 64:
+                        cache[part] = ids
+        return b"".join(found)
 
     @property
     def id_bytes(self) -> list[bytes]:
@@ -246,8 +253,8 @@ def tools(path: str) -> tuple[Encoder, Decoder]:
     return encoder, Decoder(encoder.id_bytes)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array<int>) of each row."""
+def encode_documents(docs: DataFrame, path: str | None = None, merged: bool = False) -> DataFrame:
+    """doc_id, ids (array<int>) of each row; merged: a pair-merge model's own encoding."""
     path = path or model_path()
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -256,7 +263,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 some = batch.slice(lo, 500)
-                found = [np.frombuffer(encoder.encode(t or ""), "<i4") for t in some.column("text").to_pylist()]
+                found = [np.frombuffer(encoder.encode(t or "", merged), "<i4") for t in some.column("text").to_pylist()]
                 offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 values = np.concatenate(found) if found else np.zeros(0, np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
@@ -283,24 +290,31 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 and the SHA-256 of the text decoded from the ids again."""
+    """doc_id, n_ids, ids_crc32 and the SHA-256 of the text decoded from the ids again; merged_n_ids, merged_crc32: of a
+    pair-merge model's own encoding (null for other models)."""
     path = path or model_path()
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string())]
-    )
+        [("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()),
+         ("merged_n_ids", pa.int64()), ("merged_crc32", pa.int64())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = tools(path)
         for batch in batches:
-            sizes, crcs, shas = [], [], []
+            rows: list[tuple] = []
             for lo in range(0, batch.num_rows, 500):
                 for text in batch.column("text").slice(lo, 500).to_pylist():
-                    ids = encoder.encode(text or "")
-                    sizes.append(len(ids) // 4)
-                    crcs.append(zlib.crc32(ids))
-                    shas.append(hashlib.sha256(decoder.decode(ids).encode()).hexdigest())
+                    parts = encoder.split(text or "")
+                    ids = encoder.encode_parts(parts)
+                    again = encoder.encode_parts(parts, True) if encoder.kind == PAIR_MERGES else None
+                    rows.append((
+                        len(ids) // 4, zlib.crc32(ids), hashlib.sha256(decoder.decode(ids).encode()).hexdigest(),
+                        None if again is None else len(again) // 4, None if again is None else zlib.crc32(again),
+                    ))
+            cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t.type) for c, t in zip((batch.column("doc_id"), sizes, crcs, shas), schema)], schema=schema
+                [batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema
             )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+    names = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, merged_n_ids long, merged_crc32 long"
+    return id_text(docs).mapInArrow(run, names)

@@ -28,7 +28,7 @@ def test_pair_merges_equal_the_library(spark, table, awkward):
     library = sp.SentencePieceProcessor(model_file=pieces.model_path())
     rows = awkward + list(enumerate(ODD, 100))
     docs = table(rows)
-    encoded = pieces.encode_documents(docs)
+    encoded = pieces.encode_documents(docs, merged=True)
     got = sorted((r.doc_id, list(r.ids)) for r in encoded.collect())
     assert got == sorted((i, library.encode(t or "")) for i, t in rows)
     back = sorted((r.doc_id, r.text) for r in pieces.decode_documents(encoded).collect())
@@ -36,33 +36,47 @@ def test_pair_merges_equal_the_library(spark, table, awkward):
     digests = {r.doc_id: r for r in pieces.digests(docs).collect()}
     for i, t in rows:
         ids = library.encode(t or "")
-        assert digests[i].n_ids == len(ids) and digests[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        assert digests[i].merged_n_ids == len(ids) and digests[i].merged_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
     assert pieces.digests(table([])).count() == 0
 
 
-def test_unigram_viterbi_by_enumeration():
-    encoder = pieces.Encoder(pieces.model_path(), kind=pieces.UNIGRAM)
-    scores = encoder.scores
+def test_viterbi_by_enumeration(table, awkward):
+    """The query's ids have the best total score of all segmentations, and decode to the text again."""
+    encoder = pieces.Encoder(pieces.model_path())
+    scores, byte_score = encoder.scores, encoder.unknown
 
     def best(text):
         """Best total score over all segmentations."""
         total = [0.0] + [-math.inf] * len(text)
         for end in range(1, len(text) + 1):
-            for start in range(end):
+            for start in range(max(0, end - 24), end):
                 s = scores.get(text[start:end])
                 if s is None and end - start == 1:
-                    s = encoder.unknown
+                    s = byte_score
                 if s is not None:
                     total[end] = max(total[end], total[start] + s)
         return total[-1]
 
-    for text in ("▁the", "▁international", "▁日本語🎉", "▁qzxv", "▁Thlyatat."):
-        back, end, got = encoder._viterbi(text), len(text), 0.0
-        while end:
-            start, k = back[end]
-            got += encoder.pieces[k][1] if k >= 0 else encoder.unknown
-            end = start
-        assert got == pytest.approx(best(text))
+    rows = [(i, t) for i, t in awkward + list(enumerate(ODD, 100)) if len(t or "") < 3000]
+    rows += [(200, "the international Thlyatat. qzxv"), (None, "no id"), (201, "a" * 40)]
+    digests = pieces.digests(table(rows)).collect()
+    ids = {(r.doc_id, tuple(r.ids)) for r in pieces.encode_documents(table(rows)).collect()}
+    for r in digests:
+        text = next(t for i, t in rows if i == r.doc_id) or ""
+        own = next(x for i, x in ids if i == r.doc_id)
+        assert r.n_ids == len(own) and r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
+        assert r.decoded_sha256 == hashlib.sha256(text.replace(pieces.MARK, " ").encode()).hexdigest()
+        marked = pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+        total, k = 0.0, 0
+        while k < len(own):
+            if encoder.pieces[own[k]][2] == pieces.BYTE:
+                lead = int(encoder.pieces[own[k]][0][3:5], 16)
+                k += 1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4
+                total += byte_score
+            else:
+                total += encoder.pieces[own[k]][1]
+                k += 1
+        assert total == pytest.approx(best(marked))
 
 
 # ------------------------------------------------------------------------------------------------------ packing
