@@ -1,18 +1,18 @@
 """Line dedup: drop lines whose key is found in many documents, everywhere but in one of them.
 
-Lines are exploded and their keys hashed to 128 bits; counting distinct documents per hash is two pre-aggregated
-group-bys, so a line in a third of all documents is combined before each shuffle. Hashes over the threshold are joined
-back to the lines, and documents that lose lines are reassembled by line position.
+Lines are exploded with their positions and their keys hashed to 128 bits; counting distinct documents per hash is two
+pre-aggregated group-bys, so a line in a third of all documents is combined before each shuffle. Hashes over the
+threshold are joined back to the lines, and each document that loses lines is reassembled by position: the positions
+that stay, in order.
 
 Defined cases: null or empty text is one empty line; a key shorter than min_chars never counts; copies of a line
 within one document count once and are dropped or kept together; rows that repeat a doc_id count as one document and
-lose the same lines; an empty table gives an empty result; other columns are kept by `dedup_documents` and may have
-any name.
+each loses the same lines; a row with a null doc_id is no document that could hold a line: it counts for none and loses
+none; an empty table gives an empty result; other columns are kept by `dedup_documents` and may have any name.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +29,20 @@ def line_key(line: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, h1, h2 of each line with a long enough key."""
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    keys = lines.select("doc_id", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keys.select("doc_id", *line_hash(F.col("key")))
-
-
-def line_hash(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(17), key).alias("h2")
-
-
-def hash_text(h1: Column, h2: Column) -> Column:
-    return F.concat_ws(":", h1.cast("string"), h2.cast("string"))
+    """doc_id, own (hash of the text: rows may repeat a doc_id), position, h1, h2 of each line with a long enough key."""
+    lines = docs.where("doc_id IS NOT NULL").select(
+        "doc_id", F.xxhash64("text").alias("own"), F.posexplode(F.split("text", "\n")).alias("position", "line")
+    )
+    keys = lines.select("doc_id", "own", "position", line_key(F.col("line")).alias("key"))
+    h1, h2 = F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(17), "key").alias("h2")
+    return keys.where(F.length("key") >= min_chars).select("doc_id", "own", "position", h1, h2)
 
 
 def common_lines(keyed: DataFrame, min_docs: int) -> DataFrame:
     """h1, h2, keeper of the keys to be dropped elsewhere."""
     return (
-        keyed.distinct()
+        keyed.select("doc_id", "h1", "h2")
+        .distinct()
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
@@ -55,54 +51,38 @@ def common_lines(keyed: DataFrame, min_docs: int) -> DataFrame:
 
 
 def drop_lists(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """drop_id, drops: per document that loses lines, the 128-bit hashes (as text) of the keys it loses."""
+    """__drop_id, __own, __drops: per document that loses lines, the positions of those."""
     keyed = materialize(keyed_lines(docs, min_chars), "keyed-lines")
     common = materialize(common_lines(keyed, min_docs), "common-lines")
     return (
         keyed.join(common, ["h1", "h2"])
         .where(F.col("doc_id") != F.col("keeper"))
-        .groupBy(F.col("doc_id").alias("drop_id"))
-        .agg(F.collect_set(hash_text(F.col("h1"), F.col("h2"))).alias("drops"))
+        .groupBy(F.col("doc_id").alias("__drop_id"), F.col("own").alias("__own"))
+        .agg(F.collect_set("position").alias("__drops"))
     )
 
 
-def _without(text: Column, drops: Column, min_chars: int) -> Column:
-    """struct(text, n_dropped) of a text without the lines whose keys are in drops; null without drops."""
-
-    @F.pandas_udf("struct<text string, n_dropped long>")
-    def keep(texts: pd.Series, keys: pd.Series, dropped: pd.Series) -> pd.DataFrame:
-        out, counts = [], []
-        for text, lines, gone in zip(texts, keys, dropped):
-            if text is None:
-                out.append(None)
-                counts.append(0)
-                continue
-            gone = set(gone)
-            stay = [line for line, key in zip(text.split("\n"), lines) if key not in gone]
-            out.append("\n".join(stay))
-            counts.append(len(lines) - len(stay))
-        return pd.DataFrame({"text": out, "n_dropped": counts})
+def _kept(lines: Column, drops: Column) -> Column:
+    """The lines at the other positions, joined."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops)
+    return F.array_join(F.transform(stay, lambda i: lines[i]), "\n")
 
-    def key_of(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.length(key) >= min_chars, hash_text(*line_hash(key))).otherwise("")
 
-    some = F.when(drops.isNotNull(), text)
-    return keep(some, F.when(drops.isNotNull(), F.transform(F.split(text, "\n"), key_of)), drops)
+def _with_drops(docs: DataFrame, drops: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+    own = F.xxhash64(F.coalesce(text, F.lit("")))
+    return docs.join(drops, (doc_id == F.col("__drop_id")) & (own == F.col("__own")), "left")
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text, n_lines, n_dropped, kept_text of each row."""
     rows = id_text(docs)
-    drops = drop_lists(rows, min_chars, min_docs)
-    joined = rows.join(drops, F.col("doc_id") == F.col("drop_id"), "left")
-    kept = joined.withColumn("kept", _without(F.col("text"), F.col("drops"), min_chars))
-    return kept.select(
+    joined = _with_drops(rows, drop_lists(rows, min_chars, min_docs), F.col("doc_id"), F.col("text"))
+    return joined.select("doc_id", "text", F.split("text", "\n").alias("lines"), "__drops").select(
         "doc_id",
         "text",
-        F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.col("kept.n_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce(F.col("kept.text"), F.when(F.col("drops").isNull(), F.col("text")), F.lit("")).alias("kept_text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("__drops").isNull(), F.col("text")).otherwise(_kept(F.col("lines"), F.col("__drops"))).alias("kept_text"),
     )
 
 
@@ -112,16 +92,13 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the dropped lines gone from text (and n_chars following it, where there is such a column)."""
-    drops = drop_lists(id_text(docs), min_chars, min_docs).withColumnsRenamed(
-        {"drop_id": "__drop_id", "drops": "__drops"}
-    )
-    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("__drop_id"), "left")
-    kept = joined.withColumn("__kept", _without(F.col("text").cast("string"), F.col("__drops"), min_chars))
-    changed = F.col("__kept.n_dropped") > 0
-    out = {"text": F.when(changed, F.col("__kept.text")).otherwise(F.col("text"))}
+    text = F.col("text").cast("string")
+    joined = _with_drops(docs, drop_lists(id_text(docs), min_chars, min_docs), F.col("doc_id").cast("long"), text)
+    kept = joined.withColumn("__kept", F.when(F.col("__drops").isNotNull(), _kept(F.split(text, "\n"), F.col("__drops"))))
+    out = {"text": F.coalesce("__kept", F.col("text"))}
     if "n_chars" in docs.columns:
-        n = F.length("__kept.text").cast(docs.schema["n_chars"].dataType)
-        out["n_chars"] = F.when(changed, n).otherwise(F.col("n_chars"))
+        n = F.length("__kept").cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("__kept").isNotNull(), n).otherwise(F.col("n_chars"))
     return kept.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
 
 

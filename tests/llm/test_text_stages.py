@@ -88,6 +88,13 @@ def test_line_dedup(table, awkward):
     rows += [(200, "the same long line of a text\n" * 3), (200, "the same long line of a text"), (201, "The same long line of a text"), (202, "the same long line of a text ")]
     assert rows_of(line_dedup.digests(table(rows))) == dedup_by_hand(rows)
     assert line_dedup.digests(table([])).count() == 0
+    # rows without an id count for nothing and lose nothing
+    line = "a line of which two rows have no id"
+    few = [(None, line), (None, line), (1, line), (2, line)]
+    assert {tuple(r)[1:3] for r in line_dedup.digests(table(few)).collect()} == {(1, 0)}
+    more = line_dedup.digests(table([*few, (3, line + "\nx")])).collect()
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in more) == [(0, 0), (0, 0), (1, 1), (2, 1), (3, 0)]
+    assert line_dedup.dedup_documents(table(few)).count() == 4
     docs = table(rows)
     out = line_dedup.dedup_documents(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
