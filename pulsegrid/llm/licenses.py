@@ -1,15 +1,18 @@
 """License scans by diagonal voting.
 
 All rolling k-word hashes of all documents are joined to the hashes' positions in license templates. A match votes for
-the diagonal document position - template position; votes are counted per diagonal, diagonals of nearly the same
-offset (words put in or left out) are merged, and a merged span is a finding when enough of the template's windows
-were seen in a stretch of about the template's length. Exact phrases need all their windows on one diagonal.
+the diagonal document position - template position; votes are collected per diagonal, and diagonals of nearly the same
+offset (words put in or left out) are merged. Merged spans are verified: a window only counts when its words are those
+of the template one by one, and each place of the template once, however many diagonals saw it. A span is a finding
+when enough of the template's windows are there in a stretch of about the template's length. Exact phrases need all
+their windows on one diagonal.
 
-The template table is a fixed list of under 2,000 rows, so it is broadcast; only matching windows are ever shuffled.
+A template table of up to BROADCAST_WINDOWS windows is broadcast, a larger one is joined by hash; only matching windows
+are ever shuffled.
 
 Defined cases: null or empty text has no words and no findings; texts shorter than k words match nothing; every row is
-judged on its own, also when a doc_id repeats; a phrase found at several places counts each; an empty table gives an
-empty result; only id and text are read, so other columns may have any name.
+judged on its own, also when a doc_id repeats or is null; a phrase found at several places counts each; an empty table
+gives an empty result; only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import id_text, let
@@ -28,6 +30,8 @@ K = 3
 #: Diagonals this far apart are one span; share of a template's windows that a finding needs; most words of a finding
 #: for each word of the template.
 DIAGONAL_GAP, MIN_SHARE, MOST_STRETCH = 3, 0.75, 1.5
+#: Windows of a template table that is small enough to be sent to every task (about 100 bytes each).
+BROADCAST_WINDOWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -93,42 +97,48 @@ def license_words(text: Column) -> Column:
 
 
 def template_rows(spark, templates, k: int) -> DataFrame:
-    """t, t_pos, h of every window of every template, and t = -1 for the row that each document has."""
-    rows = [(t, p, *words[p : p + k]) for t, x in enumerate(templates) for words in [template_words(x.text)]
+    """t, t_pos, h and the words of every window of every template; t = -1 for the row that each document has."""
+    rows = [(t, p, words[p : p + k]) for t, x in enumerate(templates) for words in [template_words(x.text)]
             for p in range(len(words) - k + 1)]
-    names = [f"w{j}" for j in range(k)]
-    schema = T.StructType(
-        [T.StructField("t", T.IntegerType()), T.StructField("t_pos", T.IntegerType())]
-        + [T.StructField(n, T.StringType()) for n in names]
-    )
-    df = spark.createDataFrame(rows, schema).select("t", "t_pos", F.xxhash64(*names).alias("h"))
-    return df.unionByName(spark.createDataFrame([(-1, -1, -1)], "t int, t_pos int, h long"))
+    schema = "t int, t_pos int, t_window array<string>"
+    hashed = F.xxhash64(*[F.col("t_window")[j] for j in range(k)])
+    df = spark.createDataFrame(rows, schema).withColumn("h", hashed)
+    df = df.unionByName(spark.createDataFrame([(-1, -1, None, -1)], schema + ", h long"))
+    return F.broadcast(df) if len(rows) <= BROADCAST_WINDOWS else df
 
 
 def votes(docs: DataFrame, templates, k: int = K) -> DataFrame:
-    """doc_id, row_id, n_words, t, diagonal, votes, first, last (document words); t = -1 once for every row."""
+    """doc_id, row_id, n_words, t, diagonal, places (of the template), first, last (document words); t = -1 once for
+    every row."""
 
     def windows(w: Column) -> Column:
         n = F.size(w)
-        hashes = F.when(
-            n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[w[i + j] for j in range(k)]))
-        ).otherwise(F.array().cast("array<long>"))
+        none = F.array().cast("array<struct<h: bigint, window: array<string>>>")
+
+        def window(i: Column) -> Column:
+            words = [w[i + j] for j in range(k)]
+            return F.struct(F.xxhash64(*words).alias("h"), F.array(*words).alias("window"))
+
+        hashes = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), window)).otherwise(none)
         # the first entry stands for the document itself
-        return F.struct(n.alias("n_words"), F.array_prepend(hashes, F.lit(-1).cast("long")).alias("hashes"))
+        own = F.struct(F.lit(-1).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("window"))
+        return F.struct(n.alias("n_words"), F.array_prepend(hashes, own).alias("hashes"))
 
     rows = id_text(docs).select(
         "doc_id",
         F.monotonically_increasing_id().alias("row_id"),
         let(license_words(F.col("text")), windows).alias("x"),
     )
-    grams = rows.select("doc_id", "row_id", F.col("x.n_words").alias("n_words"), F.posexplode("x.hashes").alias("p", "h"))
-    found = grams.join(F.broadcast(template_rows(docs.sparkSession, templates, k)), "h").where(
-        (F.col("p") == 0) == (F.col("t") == -1)
+    grams = rows.select("doc_id", "row_id", F.col("x.n_words").alias("n_words"), F.posexplode("x.hashes").alias("p", "g"))
+    grams = grams.select("doc_id", "row_id", "n_words", "p", F.col("g.h").alias("h"), F.col("g.window").alias("window"))
+    # equal hashes only count with equal words
+    found = grams.join(template_rows(docs.sparkSession, templates, k), "h").where(
+        ((F.col("p") == 0) & (F.col("t") == -1)) | ((F.col("p") > 0) & (F.col("window") == F.col("t_window")))
     )
     pos = F.col("p") - 1
     return found.groupBy("doc_id", "row_id", "t", (pos - F.col("t_pos")).alias("diagonal")).agg(
         F.max("n_words").alias("n_words"),
-        F.count("*").alias("votes"),
+        F.collect_set("t_pos").alias("places"),
         F.min(pos).alias("first"),
         (F.max(pos) + k - 1).alias("last"),
     )
@@ -143,24 +153,26 @@ def scan(
         [(i, t.label, t.phrase, size[i], size[i] - k + 1) for i, t in enumerate(templates)],
         "t int, label string, phrase boolean, t_words int, t_windows int",
     )
+    info = F.broadcast(info) if len(templates) <= BROADCAST_WINDOWS else info
     # phrases stay on their diagonal; notices take in the neighbouring ones
     by = Window.partitionBy("doc_id", "row_id", "t").orderBy("diagonal")
     apart = (F.col("phrase")) | (F.col("diagonal") - F.lag("diagonal", 1, -1 << 30).over(by) > gap)
     spans = (
         votes(docs, templates, k)
-        .join(F.broadcast(info), "t", "left")
+        .join(info, "t", "left")
         .withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(by))
         .groupBy("doc_id", "row_id", "t", "span")
         .agg(
             F.max("n_words").alias("n_words"),
-            F.sum("votes").alias("votes"),
+            # places of the template, each once
+            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("seen"),
             F.min("first").alias("first"),
             F.max("last").alias("last"),
             *[F.first(c).alias(c) for c in ("label", "phrase", "t_words", "t_windows")],
         )
     )
-    score = F.least(F.col("votes") / F.col("t_windows"), F.lit(1.0))
-    right = F.when(F.col("phrase"), F.col("votes") == F.col("t_windows")).otherwise(
+    score = F.col("seen") / F.col("t_windows")
+    right = F.when(F.col("phrase"), F.col("seen") == F.col("t_windows")).otherwise(
         (score >= share) & (F.col("last") - F.col("first") + 1 <= MOST_STRETCH * F.col("t_words"))
     )
     finding = F.struct(

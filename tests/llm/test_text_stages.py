@@ -296,7 +296,45 @@ def test_licenses(table, awkward):
     assert got[24].labels == "mit" and 0.7 < got[24].score < 1  # two words are left out
     assert got[27].labels == "" and got[7].score == 0
     assert licenses.digests(table([])).count() == 0
-    assert licenses.digests(table([(1, "cc by nc"), (1, "cc by nc")])).count() == 2
+    assert licenses.digests(table([(1, "cc by nc"), (1, "cc by nc"), (None, "cc by nc"), (None, None)])).count() == 4
+
+
+def spans_by_hand(words, template, k=3, gap=3, share=0.75, stretch=1.5):
+    """(start, end, score) of the merged diagonals of a template that hold enough of it."""
+    windows = collections.defaultdict(list)
+    for p in range(len(template) - k + 1):
+        windows[tuple(template[p : p + k])].append(p)
+    seen = sorted((i - p, i, p) for i in range(len(words) - k + 1) for p in windows.get(tuple(words[i : i + k]), []))
+    groups = []
+    for d, i, p in seen:
+        if not groups or d - groups[-1][-1][0] > gap:
+            groups.append([])
+        groups[-1].append((d, i, p))
+    out = []
+    for g in groups:
+        first, last = min(i for _, i, _ in g), max(i for _, i, _ in g) + k - 1
+        score = len({p for *_, p in g}) / (len(template) - k + 1)
+        if score >= share and last - first + 1 <= stretch * len(template):
+            out.append((first, last + 1, score))
+    return out
+
+
+def test_license_labels_by_hand(table):
+    """The labels that the method adds: templates with words changed, put in, left out and said twice."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):
+        t = rng.choice(licenses.NOTICES).text.split()
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randint(0, 2)] = [["other"], [], t[max(0, at - 3) : at + 1]][rng.randrange(3)]
+        rows.append((k, " ".join(["before"] * rng.randint(0, 5) + t * rng.randint(1, 2) + ["behind"] * rng.randint(0, 5))))
+    rows.append((500, " ".join(licenses.NOTICES[2].text.split()[:6] * 9)))  # the same few windows again and again
+    got = {r.doc_id: r for r in licenses.scan(table(rows)).collect()}
+    for i, text in rows:
+        w = licenses.template_words(text)
+        want = sorted((x.label, *s) for x in licenses.NOTICES for s in spans_by_hand(w, licenses.template_words(x.text)))
+        assert sorted((f.label, f.start, f.end, f.score) for f in got[i].findings if not f.phrase) == want
 
 
 # ------------------------------------------------------------------------------------------------------ secrets
