@@ -13,8 +13,8 @@ to come: whatever fits into a fuller one fits into these, so no merge is lost, a
 
 Defined cases: null or empty text is the single end token; a document longer than the capacity is cut into pieces of
 exactly the capacity and one rest; ties between equally long items are broken by doc_id and piece; repeated rows are
-packed as often as they occur; an empty table gives an empty result; only id and text are read, so other columns may
-have any name.
+packed as often as they occur, and so are rows with a null doc_id; an empty table gives an empty result; only id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +47,15 @@ CACHE_WORDS = 500_000
 GROUP_PIECES = 16_384
 
 PIECE = "struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint, offset: bigint>"
-NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
+PIECES = pa.schema(
+    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
+     ("offset", pa.int64())]
+)
+BINS = pa.schema(
+    [("grp", pa.int64()), ("part", pa.int64()), ("done", pa.bool_()), ("used", pa.int64()),
+     ("members", pa.list_(pa.struct(list(PIECES))))]
+)
+PIECE_TYPES = [("doc_id", "long"), ("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")]
 BIN = f"grp long, part long, done boolean, used long, members array<{PIECE}>"
 
 
@@ -188,60 +196,72 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack_round(
-    items: list[tuple[int, list[dict]]], capacity: int, joins: int
-) -> tuple[list[tuple[int, list[dict]]], list[tuple[int, list[dict]]]]:
-    """(used, members) items into finished bins and residues, members' offsets being their places in the bin.
+    grp: int, used: np.ndarray, members: pa.LargeListArray, capacity: int, joins: int
+) -> pa.RecordBatch:
+    """Items (tokens used, pieces with their places in them) into bins of the BIN schema, finished or not.
 
     joins: how many bins over half full later rounds can join with others at most; 0 in the last one.
     """
-    items.sort(key=lambda x: (-x[0], x[1][0]["doc_id"], x[1][0]["piece"]))
-    full, rest = [], []
-    for g in best_fit([x[0] for x in items], capacity):
-        used, members = 0, []
-        for i in g:
-            for m in items[i][1]:
-                members.append({**m, "offset": used})
-                used += m["length"]
-        (full if not joins or capacity - used <= capacity * FULL_WITHIN else rest).append((used, members))
-    rest.sort(key=lambda x: x[0])
-    keep = joins + sum(2 * used <= capacity for used, _ in rest)
-    full += rest[keep:]
-    del rest[keep:]
-    return full, rest
-
-
-def _frame(grp: int, first: int, bins: list[tuple[int, list[dict]]], done: bool) -> pd.DataFrame:
-    """Bins as rows of the BIN schema, numbered from `first`."""
-    return pd.DataFrame(
-        {
-            "grp": np.full(len(bins), grp),
-            "part": range(first, first + len(bins)),
-            "done": np.full(len(bins), done),
-            "used": np.array([u for u, _ in bins], np.int64),
-            "members": pd.Series([m for _, m in bins], dtype=object),
-        }
-    )
-
-
-def _first_round(batches: Iterator[pd.DataFrame], capacity: int, joins: int) -> Iterator[pd.DataFrame]:
+    offsets = np.asarray(members.offsets)
+    counts, starts = np.diff(offsets), offsets[:-1]
+    flat = members.values
+    head = flat.take(pa.array(starts))
+    ids = pc.fill_null(head.field("doc_id"), -(1 << 63)).to_numpy(zero_copy_only=False)
+    order = np.lexsort((head.field("piece").to_numpy(zero_copy_only=False), ids, -used))
+    groups = best_fit(used[order].tolist(), capacity)
+    items = order[np.fromiter((i for g in groups for i in g), np.int64, len(order))]
+    per_bin = np.array([len(g) for g in groups], np.int64)
+    # where an item begins in its bin
+    ends = np.cumsum(used[items])
+    first = np.cumsum(per_bin) - per_bin
+    begin = ends - used[items] - np.repeat((ends - used[items])[first], per_bin)
+    full = np.add.reduceat(used[items], first) if len(groups) else np.zeros(0, np.int64)
+    # an item's pieces follow one another
+    n = counts[items]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[items], n)
+    pieces_ = flat.take(pa.array(at))
+    place = pieces_.field("offset").to_numpy(zero_copy_only=False) + np.repeat(begin, n)
+    fields = [pa.array(place) if f.name == "offset" else pieces_.field(f.name) for f in PIECES]
+    own = pa.StructArray.from_arrays(fields, fields=list(PIECES))
+    bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(n, first))]) if len(groups) else np.zeros(1, np.int64)
+
+    done = np.full(len(groups), not joins) | (capacity - full <= capacity * FULL_WITHIN)
+    rest = np.flatnonzero(~done)
+    rest = rest[np.argsort(full[rest], kind="stable")]
+    done[rest[joins + int((2 * full[rest] <= capacity).sum()) :]] = True
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(groups), grp)), pa.array(np.arange(len(groups))), pa.array(done), pa.array(full, pa.int64()),
+            pa.LargeListArray.from_arrays(pa.array(bounds), own).cast(BINS.field("members").type),
+        ],
+        schema=BINS,
+    )
+
+
+def _first_round(batches: Iterator[pa.RecordBatch], capacity: int, joins: int) -> Iterator[pa.RecordBatch]:
     """Best-fit over all pieces of a group, which is a partition."""
     from pyspark import TaskContext
 
     grp = TaskContext.get().partitionId()
-    items = [
-        (int(r[3]), [dict(zip(NAMES, map(int, r)))]) for batch in batches for r in batch[NAMES].itertuples(index=False)
-    ]
-    full, rest = _pack_round(items, capacity, joins)
-    yield _frame(grp, 0, full, True)
-    yield _frame(grp, len(full), rest, False)
-
-
-def _later_round(items: pd.DataFrame, capacity: int, joins: int) -> pd.DataFrame:
-    grp = int(items["grp"].iloc[0])
-    full, rest = _pack_round(
-        [(int(u), list(m)) for u, m in zip(items["used"], items["members"])], capacity, joins
+    table = pa.Table.from_batches(batches, schema=pa.schema(list(PIECES)[:-1])).combine_chunks()
+    if not table.num_rows:
+        return
+    zero = pa.array(np.zeros(table.num_rows, np.int64))
+    cols = [table.column(f.name).chunk(0) for f in list(PIECES)[:-1]]
+    single = pa.StructArray.from_arrays([*cols, zero], fields=list(PIECES))
+    members = pa.LargeListArray.from_arrays(pa.array(np.arange(table.num_rows + 1)), single)
+    yield _pack_round(grp, table.column("length").to_numpy(), members, capacity, joins)
+
+
+def _later_round(items: pa.Table, capacity: int, joins: int) -> pa.Table:
+    """Best-fit over the bins that the groups below handed on."""
+    members = items.column("members").combine_chunks()
+    members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
+    members = pa.LargeListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(members).to_numpy())])), members.flatten()
     )
-    return pd.concat([_frame(grp, 0, full, True), _frame(grp, len(full), rest, False)])
+    grp = items.column("grp")[0].as_py()
+    return pa.Table.from_batches([_pack_round(grp, items.column("used").to_numpy(), members, capacity, joins)])
 
 
 def rounds_above(groups: int, fan_in: int) -> int:
@@ -254,12 +274,12 @@ def rounds_above(groups: int, fan_in: int) -> int:
 
 def pack(items: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """The pieces with sequence_id and offset; items as from `pieces`."""
-    items = materialize(items, "pieces")
+    items = materialize(items.select(*[F.col(f).cast(t) for f, t in PIECE_TYPES]), "pieces")
     width = max(1, -(-items.count() // group_pieces))
     # dealt in turn, not by a key, so that all groups are alike whatever rows repeat
     dealt = items.repartition(width)
     joins = fan_in * rounds_above(width, fan_in)
-    packed = materialize(dealt.mapInPandas(lambda batches: _first_round(batches, capacity, joins), BIN), "packed-0")
+    packed = materialize(dealt.mapInArrow(lambda batches: _first_round(batches, capacity, joins), BIN), "packed-0")
     finished = [packed.where("done")]
     rest = packed.where("not done")
     while width > 1:
@@ -267,7 +287,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, group
         left = fan_in * rounds_above(width, fan_in)
         merged = rest.withColumn("grp", F.floor(F.col("grp") / fan_in).cast("long"))
         packed = materialize(
-            merged.groupBy("grp").applyInPandas(lambda x: _later_round(x, capacity, left), BIN),
+            merged.groupBy("grp").applyInArrow(lambda x: _later_round(x, capacity, left), BIN),
             f"packed-{len(finished)}",
         )
         finished.append(packed.where("done"))
@@ -278,7 +298,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, group
         number = F.lit(k << 58).bitwiseOR(F.shiftleft("grp", 32)).bitwiseOR(F.col("part"))
         df = df.select(number.alias("sequence_id"), F.explode("members").alias("m"))
         bins = df if bins is None else bins.unionByName(df)
-    return bins.select(*[f"m.{c}" for c in NAMES], "sequence_id", "m.offset")
+    return bins.select(*[f"m.{c}" for c in PIECES.names[:-1]], "sequence_id", "m.offset")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

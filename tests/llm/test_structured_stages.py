@@ -106,6 +106,7 @@ def check_packing(rows, got, capacity):
 @pytest.mark.parametrize("capacity", [4096, 64])
 def test_packing(table, awkward, capacity):
     rows = awkward + list(enumerate(ODD, 100)) + [(1000 + k, "word " * (k % 50)) for k in range(300)]
+    rows += [(None, "no id"), (None, None), (2**62 + 1, "an id beyond the doubles"), (1, "y " * 5000)]
     docs = table(rows).repartition(9)
     got = packing.pack_documents(docs, capacity=capacity).collect()
     n, tokens = check_packing(rows, got, capacity)
