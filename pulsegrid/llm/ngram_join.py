@@ -45,8 +45,8 @@ from .components import connected_components
 N, PERCENT = 5, 80
 #: N-grams whose counts are broadcast to order prefixes.
 HEAVY = 200_000
-#: Distinct sets of a task whose n-grams are counted together.
-COUNT_SETS = 20_000
+#: Distinct sets of a task whose n-grams are counted together, and n-grams of those, about.
+COUNT_SETS, HELD_GRAMS = 20_000, 2_500_000
 #: Rows of a list in one cell, about; classes and n-grams of a block; pairs of a cell looked at together.
 CELL_ROWS, BLOCK_CLASSES, BLOCK_GRAMS, PAIRS = 4096, 256, 500_000, 1 << 20
 #: Bits of the sketch of a set: about one a member.
@@ -120,7 +120,7 @@ def profile(docs: DataFrame, n: int, seed: int = 7) -> DataFrame:
                     seen.add(key)
                     sets.append(grams)
                     held += len(grams)
-                if held > 4_000_000 or len(sets) >= COUNT_SETS:
+                if held > HELD_GRAMS or len(sets) >= COUNT_SETS:
                     yield count(sets)
                     sets, held, seen = [], 0, set()
             null = pa.nulls(len(keys), pa.int64())
@@ -153,16 +153,21 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+LISTED = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+
+
 def prefixes(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
-    """gram, key, size, place: prefix members of each class and their places in the global order."""
+    """gram, key, size, place, known: prefix members of each class, their places in the global order, and whether they
+    are known to be common."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+    schema = LISTED.append(pa.field("known", pa.bool_()))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         seen: set[int] = set()
         for batch in batches:
             out: list[np.ndarray] = []
+            known: list[np.ndarray] = []
             keys, sizes, lengths = [], [], []
             for grams in gram_sets(batch.column("text"), n):
                 size = len(grams)
@@ -171,12 +176,15 @@ def prefixes(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.
                     continue
                 seen.add(key)
                 take = prefix_length(size, percent)
+                weight = np.zeros(size, np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
                     weight = np.where(common[at] == grams, counts[at], 0)
                     if weight.any():
-                        grams = grams[np.lexsort((grams, weight))]
+                        order = np.lexsort((grams, weight))
+                        grams, weight = grams[order], weight[order]
                 out.append(grams[:take])
+                known.append(weight[:take] > 0)
                 keys.append(key)
                 sizes.append(size)
                 lengths.append(take)
@@ -187,32 +195,19 @@ def prefixes(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.
                     np.repeat(np.array(keys, np.int64), lengths),
                     np.repeat(np.array(sizes, np.int32), lengths),
                     np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]),
+                    np.concatenate(known),
                 )
 
-    return docs.mapInArrow(look, "gram long, key long, size int, place int")
+    return docs.mapInArrow(look, "gram long, key long, size int, place int, known boolean")
 
 
-def postings(prefixed: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def postings(prefixed: DataFrame) -> DataFrame:
     """The rows of prefixed whose n-gram is in the prefixes of several classes, each once.
 
     Rows are sorted by n-gram and streamed past their neighbours. Known common n-grams skip that: their lists may be
     long, and they are combined by hash aggregation instead.
     """
-    shared = prefixed.sparkSession.sparkContext.broadcast(heavy[0].view(np.int64))
-    schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.sort(shared.value)
-        for batch in batches:
-            grams = batch.column("gram").to_numpy()
-            if len(common):
-                at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-                known = common[at] == grams
-            else:
-                known = np.zeros(len(grams), bool)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(known)], schema=schema.append(pa.field("known", pa.bool_()))
-            )
+    schema = LISTED
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before, and whether it has been given out
@@ -239,10 +234,9 @@ def postings(prefixed: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataF
             yield _batch(schema, gram[keep], key[keep], size[keep], place[keep])
 
     names = "gram long, key long, size int, place int"
-    marked = prefixed.mapInArrow(mark, f"{names}, known boolean")
     # a known n-gram's rows are dealt out by class, so that no task gets them all
     salt = F.when(F.col("known"), F.pmod(F.col("key"), F.lit(4096))).otherwise(F.lit(0))
-    dealt = marked.repartition(F.col("gram"), salt).sortWithinPartitions("known", "gram", "key")
+    dealt = prefixed.repartition(F.col("gram"), salt).sortWithinPartitions("known", "gram", "key")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of known n-grams once each, of the others when repeated; the others come first."""
@@ -606,7 +600,7 @@ def class_components(
     classes = profiled.where("sets IS NULL AND size > 0").groupBy("key").agg(
         F.min("member").alias("member"), F.first("sketch").alias("sketch")
     )
-    lists = scratch.table(postings(prefixes(docs, n, percent, heavy, seed), heavy), "postings")
+    lists = scratch.table(postings(prefixes(docs, n, percent, heavy, seed)), "postings")
     files = files_for(lists.count())
     # every class of a list with the list's pivot
     row = F.struct("place", "key", "size")
