@@ -2,12 +2,16 @@
 
 Writer: payload digests are grouped (narrow rows, pre-aggregated), each page learns which page holds its payload, and
 tasks write one gzip member a record to files of the shared folder. Reader: archives are cut into byte ranges; a task
-scans its range for the gzip magic, takes a candidate for a member only when its first decoded bytes are a WARC
-header, and owns the records that start inside its range, reading beyond its end to finish the last one.
+scans its range for the gzip magic, takes a candidate for a member only when the first decoded bytes are the head of a
+WARC record (version, type and length), and owns the records that start inside its range, reading beyond its end to
+finish the last one. A member that cannot be decoded, and bytes behind a member that begin no other one, are errors: a
+damaged archive never reads as a shorter one (`strict=False` skips what is between members).
 
 Defined cases: null payload is empty; equal payloads of at least `min_bytes` have one response, that of the largest
-page_id; rows that repeat a page_id each get a record; an empty table writes no archive and reads as no records; null
-url is written as an empty target; only id, url and html are read, so other columns may have any name.
+page_id; a row with a null page_id is a revisit of the payload's page where one with an id holds it, else a response,
+and has a null page_id again when read; rows that repeat a page_id each get a record; an empty table writes no archive
+and reads as no records; null url is written as an empty target; only id, url and html are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from .common import materialize, shared_path
 SPLIT_BYTES = 32 << 20
 #: Bytes of compressed data that a candidate member's header is decoded from, and that are read at once.
 PROBE_BYTES, READ_BYTES = 4096, 64 << 10
+#: Decoded bytes of a candidate in which the head of a record is looked for.
+HEAD_BYTES = 2048
 #: Payloads smaller than this are always written whole.
 MIN_BYTES = 0
 #: Compressed bytes after which a task begins another archive.
@@ -47,7 +53,11 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _record_id(page_id: int | None, url: str, digest: str) -> uuid.UUID:
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}" if page_id is not None else f"payload:{digest}:{url}")
+
+
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record; a revisit has the HTTP head only, which still tells the payload's length."""
     http = (
         f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
@@ -56,11 +66,11 @@ def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int |
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
+        f"WARC-Record-ID: <urn:uuid:{_record_id(page_id, url, digest)}>",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Page-ID: {page_id}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
         "Content-Type: application/http; msgtype=response",
     ]
     block = http + payload
@@ -68,7 +78,7 @@ def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int |
         block = http
         head += [
             f"WARC-Profile: {PROFILE}",
-            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>",
+            f"WARC-Refers-To: <urn:uuid:{_record_id(refers_to, url, digest)}>",
             f"X-Refers-To-Page-ID: {refers_to}",
         ]
     head.append(f"Content-Length: {len(block)}")
@@ -97,23 +107,29 @@ def page_plan(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
+    # rows without an id are moved by their payload
     keys = rows.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha2("html", 256).alias("key"))
     holders = (
         keys.groupBy("key")
-        .agg(F.max("page_id").alias("holder"), F.min("page_id").alias("least"))
-        .where(F.col("holder") != F.col("least"))
-        .drop("least")
+        .agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
+        .where((F.col("n") > 1) & F.col("holder").isNotNull())
+        .drop("n")
     )
     holders = materialize(holders, "holders")
+    moved = F.coalesce(F.col("page_id"), F.xxhash64("key")).alias("moved")
     revisits = (
         keys.join(holders, "key")
-        .where(F.col("page_id") != F.col("holder"))
-        .select(F.col("page_id").alias("revisit_id"), F.col("key"), "holder")
+        .where(F.coalesce(F.col("page_id") != F.col("holder"), F.lit(True)))
+        .select(moved, F.col("page_id").alias("revisit_id"), F.col("key").alias("revisit_key"), "holder")
+        .distinct()
     )
     # a repeated page_id may hold other payloads: the payload's key decides beside the id
+    rows = rows.withColumn("key", F.sha2("html", 256)).select("*", moved)
     joined = rows.join(
-        revisits.distinct(),
-        (F.col("page_id") == F.col("revisit_id")) & (F.sha2("html", 256) == F.col("key")),
+        revisits.withColumnRenamed("moved", "to"),
+        (F.col("moved") == F.col("to"))
+        & F.col("page_id").eqNullSafe(F.col("revisit_id"))
+        & (F.col("key") == F.col("revisit_key")),
         "left",
     )
     return joined.select("page_id", "url", "html", F.col("holder").alias("refers_to"))
@@ -158,52 +174,71 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
     )
 
 
-def members(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+class Bytes:
+    """Reads of an archive, of which the last one is kept."""
+
+    def __init__(self, path: str):
+        fs, name = _open(path)
+        self.file = fs.open_input_file(name)
+        self.size, self.base, self.held = self.file.size(), 0, b""
+
+    def at(self, at: int, n: int) -> bytes:
+        """n bytes from at on, fewer at the end."""
+        n = min(n, self.size - at)
+        if not self.base <= at <= at + n <= self.base + len(self.held):
+            self.base, self.held = at, self.file.read_at(min(max(n, READ_BYTES), self.size - at), at)
+        return self.held[at - self.base : at - self.base + n]
+
+
+def begins_record(data: bytes) -> bool:
+    """Whether compressed data begins a gzip member whose text is the head of a WARC record."""
+    if not data.startswith(MAGIC):
+        return False
+    try:
+        head = zlib.decompressobj(31).decompress(data, HEAD_BYTES)
+    except zlib.error:
+        return False
+    lines = head.partition(b"\r\n\r\n")[0].lower().split(b"\r\n")
+    # a head that is longer than what is looked at may tell its length behind that
+    whole = b"\r\n\r\n" in head or len(head) < HEAD_BYTES
+    told = any(x.startswith(b"content-length:") for x in lines) or not whole
+    return lines[0].startswith(b"warc/1.") and any(x.startswith(b"warc-type:") for x in lines) and told
+
+
+def decode_member(source: Bytes, at: int) -> tuple[bytes, int]:
+    """The text of the member that begins at `at`, and its compressed length."""
+    z, parts, used, step = zlib.decompressobj(31), [], 0, PROBE_BYTES
+    while not z.eof:
+        some = source.at(at + used, step)
+        if not some:
+            raise zlib.error("the archive ends inside a member")
+        parts.append(z.decompress(some))
+        used += len(some) - len(z.unused_data)
+        step = min(2 * step, READ_BYTES)
+    return b"".join(parts), used
+
+
+def members(path: str, start: int, end: int, strict: bool = True) -> Iterator[tuple[int, bytes]]:
     """(offset, decoded bytes) of the WARC gzip members that start at start..end-1 of an archive."""
-    fs, name = _open(path)
-    with fs.open_input_file(name) as f:
-        size = f.size()
-        at, buf, base = start, b"", start  # buf holds the file from base on
-
-        def have(n: int) -> bool:
-            """Makes buf hold n bytes from `at` on, where the file has them."""
-            nonlocal buf, base
-            if at > base:
-                buf, base = buf[at - base :], at
-            while len(buf) < n and base + len(buf) < size:
-                buf += f.read_at(min(READ_BYTES, size - base - len(buf)), base + len(buf))
-            return len(buf) >= n
-
-        while at < min(end, size):
-            have(PROBE_BYTES)
-            hit = buf.find(MAGIC)
-            if hit < 0:
-                at = base + max(len(buf) - len(MAGIC) + 1, 1)
-                continue
-            if hit:
-                at = base + hit
-                continue
-            try:
-                head = zlib.decompressobj(31).decompress(buf[:PROBE_BYTES], 16)
-            except zlib.error:
-                head = b""
-            if not head.startswith(b"WARC/"):
-                at += 1
-                continue
-            z, parts, used = zlib.decompressobj(31), [], 0
+    source = Bytes(path)
+    at, follows = start, start == 0  # follows: a member must begin here
+    while at < min(end, source.size):
+        if begins_record(source.at(at, PROBE_BYTES)):
             try:
-                while not z.eof:
-                    have(used + 1)
-                    some = buf[used : used + READ_BYTES]
-                    if not some:
-                        raise zlib.error("the archive ends inside a member")
-                    parts.append(z.decompress(some))
-                    used += len(some) - len(z.unused_data)
-            except zlib.error:
-                at += 1
-                continue
-            yield at, b"".join(parts)
-            at += used
+                text, used = decode_member(source, at)
+            except zlib.error as e:
+                raise ValueError(f"{path}: the member at {at} is damaged ({e})") from e
+            yield at, text
+            at, follows = at + used, True
+            if at >= end and strict and at < source.size and not begins_record(source.at(at, PROBE_BYTES)):
+                raise ValueError(f"{path}: no member at {at}")
+            continue
+        if follows and strict:
+            raise ValueError(f"{path}: no member at {at}")
+        follows = False
+        some = source.at(at + 1, READ_BYTES)
+        hit = some.find(MAGIC)
+        at = at + 1 + hit if hit >= 0 else at + 1 + max(len(some) - len(MAGIC) + 1, 1)
 
 
 RECORDS = (
@@ -212,7 +247,9 @@ RECORDS = (
 )
 
 
-def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
+def read_archives(
+    archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True, strict: bool = True
+) -> DataFrame:
     """The records of archives (path, bytes), whichever ranges they are cut into; digests of responses are verified."""
     ranges = archives.select(
         "path",
@@ -228,7 +265,7 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows, held = [], 0
-                for offset, data in members(path, start, start + split_bytes):
+                for offset, data in members(path, start, start + split_bytes, strict):
                     rec = parse(data)
                     f, http = rec["fields"], rec["block"].partition(b"\r\n\r\n")
                     kind, digest, payload = f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:"), None
@@ -242,7 +279,7 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
                         length = int(low.partition(b"content-length:")[2].split(b"\r\n")[0])
                     refers = f.get("x-refers-to-page-id")
                     rows.append(
-                        (path, offset, int(f["x-page-id"]), kind, f["warc-target-uri"], int(refers) if refers else None,
+                        (path, offset, int(f["x-page-id"]) if f["x-page-id"] else None, kind, f["warc-target-uri"], int(refers) if refers else None,
                          digest, length, payload if payloads else None)
                     )
                     held += len(payload or b"")
