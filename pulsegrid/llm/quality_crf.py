@@ -2,19 +2,22 @@
 
 Every line is labelled good or bad from features of it and its neighbours and from the labels next to it. Forward and
 backward passes give each line's marginal probability; the mean of the marginals of a document's lines, weighted by
-their lengths and calibrated, is its quality. The field is trained by maximum likelihood on a bounded sample of labelled documents,
-whose lines all take the document's label. Only the text is a feature.
+their lengths and calibrated, is its quality. The field is trained by maximum likelihood on a bounded sample of labelled
+documents, whole ones, whose lines all take the document's label. A fifth of the sample is kept out of that and serves
+to calibrate. Only the text is a feature.
 
 Features are counted for all lines of a block of texts at once; chains of a block run side by side.
 
 Defined cases: null or empty text is one empty line and has a score like any other; rows that repeat a doc_id are
-scored one by one; of contradicting labels of a doc_id the commoner counts, 1 in a tie, null labels do not; without
-training labels of both kinds every score is 0.5; an empty table gives an empty result; only id, text and the label
-are read, so other columns may have any name; texts of any length are taken whole.
+scored one by one; rows with a null doc_id are scored, with held_out null; of contradicting labels of a doc_id the
+commoner counts, 1 in a tie, null labels do not; without training labels of both kinds every score is 0.5; an empty
+table gives an empty result; only id, text and the label are read, so other columns may have any name; texts of any
+length are taken whole.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import Block, blocks, hash_spans, id_text, mix, rolling, word_spans
 
-#: Labelled documents trained on, lines of each (one run of neighbours), and passes over them.
-SAMPLE_DOCS, SAMPLE_LINES, STEPS = 4000, 48, 150
+#: Labelled documents of the sample at most, lines of all of them together at most, and passes over them.
+SAMPLE_DOCS, SAMPLE_LINES, STEPS = 4000, 100_000, 150
+#: Of the sampled documents every so manieth only calibrates.
+CALIBRATE_EVERY = 5
 FOLDS, THRESHOLD = 5, 0.3
 L2 = 1e-3
 
@@ -211,8 +216,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Field | None:
-    """A field trained on labelled documents outside the held-out fold; None where one label is missing."""
+def training_sample(
+    rows: DataFrame, labels: DataFrame, label: str, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES
+) -> DataFrame:
+    """doc_id, y of the sampled documents: the labelled ones of the smallest id hashes outside the held-out fold, as long
+    as their lines together stay within the bound."""
     truth = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
         .where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -221,38 +229,52 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_docs)
     )
-    rows = id_text(docs).join(F.broadcast(truth), "doc_id")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sizes = rows.join(F.broadcast(truth), "doc_id").groupBy("doc_id", "y").agg(F.sum(n_lines).alias("n"))
+    picked, held = [], 0
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # one short row for each sampled document
+        if held + r.n <= sample_lines:
+            picked.append((r.doc_id, r.y))
+            held += r.n
+    return rows.sparkSession.createDataFrame(picked, "doc_id long, y double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Field | None:
+    """A field trained on labelled documents outside the held-out fold; None where one label is missing."""
+    texts = id_text(docs)
+    rows = texts.join(F.broadcast(training_sample(texts, labels, label)), "doc_id")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y, ids = batch.column("y").to_numpy(), batch.column("doc_id").to_numpy()
             for block in blocks(batch.column("text")):
                 doc, x, length = line_features(block)
-                _, start = np.unique(doc, return_index=True)
-                place = np.arange(len(doc)) - start[doc]
-                size = np.bincount(doc, minlength=len(block))
-                # a run of lines from anywhere in the document, the same on every run
-                skip = ids[block.lo : block.lo + len(block)] % np.maximum(size - SAMPLE_LINES + 1, 1)
-                keep = (place >= skip[doc]) & (place < skip[doc] + SAMPLE_LINES)
+                start = np.unique(doc, return_index=True)[1]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[block.lo + doc[keep]]), pa.array(place[keep]), pa.array(y[block.lo + doc[keep]]),
-                        pa.array(length[keep]),
-                        pa.FixedSizeListArray.from_arrays(pa.array(x[keep].ravel()), N_FEATURES).cast(pa.list_(pa.float64())),
+                        pa.array(ids[block.lo + doc]), pa.array(np.arange(len(doc)) - start[doc]), pa.array(y[block.lo + doc]),
+                        pa.array(length),
+                        pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), N_FEATURES).cast(pa.list_(pa.float32())),
                     ],
                     ["doc_id", "place", "y", "size", "x"],
                 )
 
-    found = rows.mapInArrow(look, "doc_id long, place long, y double, size double, x array<double>").toArrow()
-    doc, place, y, size = (found.column(c).to_numpy() for c in ("doc_id", "place", "y", "size"))
+    found = rows.mapInArrow(look, "doc_id long, place long, y double, size double, x array<float>").toArrow()
+    ids, place, y, size = (found.column(c).to_numpy() for c in ("doc_id", "place", "y", "size"))
     if not len(y) or y.min() == y.max():
         return None
-    x = found.column("x").combine_chunks().values.to_numpy().reshape(len(y), N_FEATURES)
-    order = np.lexsort((place, doc))
-    doc, x, y, size = np.unique(doc[order], return_inverse=True)[1], x[order], y[order], size[order]
-    field = train(doc, x, y)
-    first = np.unique(doc, return_index=True)[1]
-    field.scale = calibrate(mean_log_odds(field, doc, x, size), y[first])
+    x = found.column("x").combine_chunks().values.to_numpy().astype(float).reshape(len(y), N_FEATURES)
+    order = np.lexsort((place, ids))
+    ids, x, y, size = ids[order], x[order], y[order], size[order]
+    # apart by document; a sample too small to part serves for both
+    last = np.array([zlib.crc32(str(i).encode()) // FOLDS % CALIBRATE_EVERY == 0 for i in ids.tolist()])
+    if not last.any() or y[last].min() == y[last].max() or y[~last].min() == y[~last].max():
+        fitted, last = np.ones(len(y), bool), np.ones(len(y), bool)
+    else:
+        fitted = ~last
+    field = train(np.unique(ids[fitted], return_inverse=True)[1], x[fitted], y[fitted])
+    _, first, doc = np.unique(ids[last], return_index=True, return_inverse=True)
+    field.scale = calibrate(mean_log_odds(field, doc, x[last], size[last]), y[last][first])
     return field
 
 

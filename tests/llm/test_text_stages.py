@@ -430,7 +430,9 @@ def test_quality_crf(table, awkward, spark):
     bad = lambda: "\n".join(" ".join("ABC" * 2 + "###" for _ in range(9)) for _ in range(rng.randint(1, 12)))
     rows = [(1000 + k, good() if k % 4 else bad()) for k in range(400)]
     labels = spark.createDataFrame([(1000 + k, int(k % 4 > 0), 0) for k in range(400)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
-    got = quality_crf.score_documents(table(rows + awkward), labels).collect()
+    got = quality_crf.score_documents(table(rows + awkward + [(None, "no id")]), labels).collect()
+    assert [0 <= r.score <= 1 and r.held_out is None for r in got if r.doc_id is None] == [True]
+    got = [r for r in got if r.doc_id is not None]
     assert len(got) == len(rows) + len(awkward) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     held = [r for r in got if r.held_out and r.doc_id >= 1000]
     assert len(held) > 40 and np.mean([r.predicted == ((r.doc_id - 1000) % 4 > 0) for r in held]) > 0.97
@@ -442,6 +444,35 @@ def test_quality_crf(table, awkward, spark):
     assert quality_crf.score_documents(table([]), labels).count() == 0
 
 
+def test_crf_scores_by_hand(table, spark):
+    """Scores of documents: marginals by enumeration of all labellings, weighted by lengths, calibrated."""
+    rng = random.Random(17)
+    field = quality_crf.Field(np.random.default_rng(1).normal(size=quality_crf.N_FEATURES), np.array([[0.4, -0.2], [0.1, 0.6]]), np.array([0.2, -0.1]), (1.7, -0.3))
+    texts = ["\n".join("".join(rng.choice("ab C1#!.") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 7))) for _ in range(30)]
+    block = next(quality_crf.blocks(pa.array(texts)))
+    got = quality_crf.quality(field, block)
+    doc, x, size = quality_crf.line_features(block)
+    for d, text in enumerate(texts):
+        own, length = x[doc == d] @ field.weights, [len(line) for line in text.split("\n")]
+        assert size[doc == d].tolist() == length
+        total, ones = 0.0, np.zeros(len(own))
+        for code in range(2 ** len(own)):
+            y = np.array([(code >> k) & 1 for k in range(len(own))])
+            s = np.exp(field.first[y[0]] + own @ y + sum(field.transitions[a, b] for a, b in zip(y, y[1:])))
+            total, ones = total + s, ones + s * y
+        w = np.array(length) + 1e-6
+        p = (ones / total * w).sum() / w.sum()
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-(1.7 * np.log(p / (1 - p)) - 0.3))))
+
+
+def test_crf_sample_is_of_whole_documents(table, spark):
+    rows = [(k, "line of words\n" * (k % 7)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    docs = quality_crf.id_text(table(rows))
+    got = [r.doc_id for r in quality_crf.training_sample(docs, labels, "quality", 30, 50).collect()]
+    assert len(got) < 30 and sum(k % 7 + 1 for k in got) <= 50
+
+
 def test_crf_marginals_by_enumeration():
     rng = np.random.default_rng(8)
     field = quality_crf.Field(rng.normal(size=3), rng.normal(size=(2, 2)), rng.normal(size=2))
