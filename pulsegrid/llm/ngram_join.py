@@ -48,7 +48,7 @@ HEAVY = 200_000
 #: Distinct sets of a task whose n-grams are counted together, and n-grams of those, about.
 COUNT_SETS, HELD_GRAMS = 20_000, 2_500_000
 #: Rows of a list in one cell, about; classes and n-grams of a block; pairs of a cell looked at together.
-CELL_ROWS, BLOCK_CLASSES, BLOCK_GRAMS, PAIRS = 4096, 256, 500_000, 1 << 20
+CELL_ROWS, BLOCK_CLASSES, BLOCK_GRAMS, PAIRS = 4096, 256, 1_000_000, 1 << 20
 #: Bits of the sketch of a set: about one a member.
 LEAST_BITS, MOST_BITS = 256, 2048
 
