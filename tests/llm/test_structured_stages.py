@@ -229,7 +229,6 @@ def test_neighbours_recall_and_ties(spark, monkeypatch):
     rows = [(k, (centres[k % 8] + 0.4 * rng.normal(size=16)).astype(np.float32).tolist()) for k in range(3000)]
     rows += [(3000 + k, rows[5][1]) for k in range(60)]  # many equal vectors
     rows += [(4000, None), (4020, [0.0] * 16), (4040, [None] + [1.0] * 15), (4060, [float("nan")] * 16), (4080, [float("inf")] * 16), (20, rows[20][1])]
-    monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 512)
     want = nearest_by_hand(rows, 20, 20)
     vs = neighbours.usable(vectors(spark, rows), "vec_id", "embedding")
     got = sorted(tuple(r) for r in neighbours.nearest(vs, vs.where("vec_id % 20 = 0"), block_vectors=512, block_queries=64).collect())
@@ -243,6 +242,51 @@ def test_neighbours_recall_and_ties(spark, monkeypatch):
     assert all(s == math.fsum((by[q] * by[v]).tolist()) for q, _, v, s in got)
 
 
+def test_neighbours_in_many_blocks(spark):
+    """Recall over a few hundred blocks, and how few points are verified for it."""
+    rng = np.random.default_rng(10)
+    centres = 3 * rng.normal(size=(400, 16))
+    x = (centres[rng.integers(0, 400, 100_000)] + 0.5 * rng.normal(size=(100_000, 16))).astype(np.float32)
+    import pyarrow as pa
+
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    vs = neighbours.usable(table, "vec_id", "embedding")
+    got = neighbours.nearest(vs, vs.where("vec_id % 500 = 0"), 20, block_vectors=512).toPandas()
+    x = x.astype(float)
+    hit = 0
+    for q in range(0, len(x), 500):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hit += len(set(np.argpartition(-scores, 20)[:20].tolist()) & set(got.vec_id[got.query_id == q].tolist()))
+    assert len(got) == 200 * 20 and hit / len(got) >= 0.9
+
+
+def test_neighbours_verify_few_points_of_tight_groups():
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(200, 16))[rng.integers(0, 200, 8192)] + 0.05 * rng.normal(size=(8192, 16))
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    longest = (x**2).sum(1).max()
+    leaf = neighbours.leaves_of(neighbours.projected(x, longest))
+    q, v, s, seen = neighbours.search(np.arange(8192), x, leaf, np.arange(200), x[:200], np.full(200, -np.inf), longest)
+    hit = 0
+    for k in range(200):
+        scores = x @ x[k]
+        scores[k] = -np.inf
+        hit += len(set(np.argpartition(-scores, 20)[:20].tolist()) & set(v[q == k].tolist()))
+    assert hit / 4000 >= 0.9 and seen < 0.25 * 200 * 8192, seen / 200 / 8192
+
+
+def test_neighbours_planes():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(20_000, 8))
+    for blocks in (1, 2, 7, 40):
+        counts = np.bincount(neighbours.Splits(points[:5000], blocks).of(points), minlength=blocks)
+        assert len(counts) == blocks and counts.max() < 1.5 * 20_000 / blocks
+    assert set(neighbours.Splits(np.zeros((0, 8)), 5).of(points)) == {0}
+    leaf = neighbours.leaves_of(points)
+    assert np.bincount(leaf).max() <= neighbours.LEAF and leaf.min() == 0
+
+
 def test_neighbours_of_few(spark):
     rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0, 3.0]), (20, [3.0, 1.0]), (40, [1.0])]
     got = sorted(tuple(r) for r in neighbours.search_table(vectors(spark, rows)).collect())
