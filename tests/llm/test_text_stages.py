@@ -40,6 +40,7 @@ def test_quality_rules_counts(table, awkward):
     rng = random.Random(1)
     more = [(100 + k, " ".join(rng.choice("ab cd ef gh ij kl".split()) + "." * rng.randint(0, 1) for _ in range(rng.randint(3, 300)))) for k in range(40)]
     rows = awkward + more
+    assert [tuple(r)[:2] for r in quality_rules.score_documents(table([(None, "a b")])).collect()] == [(None, 2)]
     got = sorted(tuple(r)[:7] for r in quality_rules.score_documents(table(rows)).collect())
     assert got == sorted((i, *rule_counts(t)) for i, t in rows)
 
