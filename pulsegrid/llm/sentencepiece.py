@@ -6,9 +6,10 @@ score, as its bytes' pieces. This is what a unigram model means by encoding, and
 give for any model.
 
 Pair-merge models are decoded by their library in another way, which sums of scores do not express. For them there is
-a second answer of the same pass over the output links (`merged=True`; further columns of the query): of the pieces
-that end at a position the one is taken that stays when it and the piece before it are merged; exactly one passes, and
-the pieces found are those that merging the whole text by score gives, so these ids equal the library's.
+a second answer (`merged=True`; further columns of the query), whose ids equal the library's. Short parts are merged
+pair by pair, the best-scored first. Long ones, for which that is quadratic, take one pass over the output links: of the
+pieces that end at a position the one is taken that stays when it and the piece before it are merged; exactly one
+passes, and the pieces found are those that merging the whole part gives.
 
 No piece has the word mark behind another character, so a text falls apart before each run of marks (and around line
 feeds where no piece has them), and its parts are segmented one by one, each distinct one once per worker (up to a
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,8 +39,8 @@ from .common import id_text
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Parts of texts whose ids a worker process remembers.
-CACHE_PARTS = 600_000
+#: Parts of texts whose ids a worker process remembers, and the characters of one that is remembered.
+CACHE_PARTS, SHORT = 600_000, 64
 #: The unknown score is this much below the worst piece.
 UNKNOWN_BELOW = 10.0
 
@@ -106,6 +108,7 @@ class Encoder:
         self.auto.make_automaton()
         self.scores = {p: s for p, s, kind in self.pieces if kind in (NORMAL, USER)}
         self.single = {p for p in self.scores if len(p) == 1}
+        self.ids = {p: k for k, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
         normal = [s for _, s, kind in self.pieces if kind == NORMAL]
         self.unknown = min(normal) - UNKNOWN_BELOW
         self.byte_ids = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
@@ -114,10 +117,13 @@ class Encoder:
         alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.scores))
         self.parts = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else ""))
         self.caches: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
+        self.both: dict[str, tuple[bytes, bytes]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.most = most
 
     def segment(self, part: str, merged: bool = False) -> list[int]:
+        if merged and len(part) <= SHORT:
+            return self._short_merge(part)
         back = self._merges(part) if merged else self._viterbi(part)
         ids: list[int] = []
         end = len(part)
@@ -130,6 +136,27 @@ class Encoder:
             end = start
         return ids[::-1]
 
+    def _short_merge(self, part: str) -> list[int]:
+        """Ids once the best-scored pair of neighbours has been merged, the leftmost of equals, until no pair is a piece."""
+        parts, score, none = list(part), self.scores.get, float("-inf")
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], none)
+        out, known = [], self.ids.get
+        for x in parts:
+            k = known(x)
+            if k is None:
+                out += [self.byte_ids.get(b, self.unknown_id) for b in x.encode()]
+            else:
+                out.append(k)
+        return out
+
     def _merges(self, part: str) -> list[tuple[int, int]]:
         """(start, id) of the piece that ends at each position when the text up to it is merged."""
         n = len(part)
@@ -179,15 +206,18 @@ class Encoder:
         best = [float("-inf")] * (n + 1)
         best[0] = 0.0
         back = [(0, -1)] * (n + 1)  # id -1: an unknown character
+        strange = not self.single.issuperset(part)
         at = 0  # positions below are final
         for end, (length, score, k) in self.auto.iter(part):  # by end; at each end the longest first
-            while at < end:
+            end += 1
+            while strange and at < end - 1:
                 at += 1
                 self._pass_unknown(part, best, back, at)
-            total = best[end + 1 - length] + score
-            if total > best[end + 1]:
-                best[end + 1], back[end + 1] = total, (end + 1 - length, k)
-        while at < n:
+            start = end - length
+            total = best[start] + score
+            if total > best[end]:
+                best[end], back[end] = total, (start, k)
+        while strange and at < n:
             at += 1
             self._pass_unknown(part, best, back, at)
         return back
@@ -212,11 +242,27 @@ class Encoder:
             for i, ids in enumerate(found):
                 if ids is None:
                     part = parts[i]
-                    ids = found[i] = cache.get(part) or np.array(self.segment(part, merged), "<u4").tobytes()
-                    if len(cache) < self.most and len(part) < 64:
+                    ids = found[i] = cache.get(part) or array("I", self.segment(part, merged)).tobytes()
+                    if len(cache) < self.most and len(part) <= SHORT:
                         cache[part] = ids
         return b"".join(found)
 
+    def encode_both(self, parts: list[str]) -> tuple[bytes, bytes]:
+        """Both encodings of parts, looked up together."""
+        cache = self.both
+        found = list(map(cache.get, parts))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    part = parts[i]
+                    ids = cache.get(part)
+                    if ids is None:
+                        ids = tuple(array("I", self.segment(part, m)).tobytes() for m in (False, True))
+                        if len(cache) < self.most and len(part) <= SHORT:
+                            cache[part] = ids
+                    found[i] = ids
+        return b"".join([x for x, _ in found]), b"".join([x for _, x in found])
+
     @property
     def id_bytes(self) -> list[bytes]:
         found = []
@@ -305,8 +351,10 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             for lo in range(0, batch.num_rows, 500):
                 for text in batch.column("text").slice(lo, 500).to_pylist():
                     parts = encoder.split(text or "")
-                    ids = encoder.encode_parts(parts)
-                    again = encoder.encode_parts(parts, True) if encoder.kind == PAIR_MERGES else None
+                    if encoder.kind == PAIR_MERGES:
+                        ids, again = encoder.encode_both(parts)
+                    else:
+                        ids, again = encoder.encode_parts(parts), None
                     rows.append((
                         len(ids) // 4, zlib.crc32(ids), hashlib.sha256(decoder.decode(ids).encode()).hexdigest(),
                         None if again is None else len(again) // 4, None if again is None else zlib.crc32(again),
