@@ -29,6 +29,24 @@ def within(a: DataFrame, b: DataFrame, key: str, ta: str, tb: str, lo: int, hi:
     return left.join(right, on).drop("__bucket", "__bucket_b", "__key_b")
 
 
+def inside(spans: DataFrame, points: DataFrame, key: str, start: str, stop: str, t: str, size: int | None = None, how: str = "left") -> DataFrame:
+    """Spans (half-open, whole numbers) with the points in them (no common names but key): each span names the buckets
+    that it covers, so a point meets the spans of its own bucket only. Spans without points stay, with nulls.
+
+    size: length of a bucket; by default about that of the longest span, which one aggregate finds.
+    """
+    if size is None:
+        size = max(1, spans.agg(F.max(F.col(stop) - F.col(start))).first()[0] or 1)
+    last = F.floor((F.greatest(F.col(stop), F.col(start) + 1) - 1) / size)
+    left = spans.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(start) / size), last)))
+    right = bucketed(points, t, size, "__bucket_p").withColumnRenamed(key, "__key_p")
+    on = (
+        (F.col(key) == F.col("__key_p")) & (F.col("__bucket") == F.col("__bucket_p"))
+        & (F.col(t) >= F.col(start)) & (F.col(t) < F.col(stop))
+    )
+    return left.join(right, on, how).drop("__bucket", "__bucket_p", "__key_p")
+
+
 def paired_change(samples: DataFrame, marks: DataFrame, span: int) -> DataFrame:
     """Per channel: event-locked change from the span before markers to the equally long one from them on.
 
@@ -133,6 +151,17 @@ def as_of(a: DataFrame, b: DataFrame, key: str, ta: str, tb: str) -> DataFrame:
     return found.select(*a.columns, F.col("__found.b_id").alias("b_id"), F.col("__found.b_t").alias("b_t"))
 
 
+def containing_span(a: DataFrame, spans: DataFrame, key: str, ta: str, slack: int) -> DataFrame:
+    """Rows of a with b_id and b_start of the latest-starting span (key, b_id, b_start, b_end) that holds ta, up to `slack`
+    outside of it at either end; null without one; of equal starts the smaller b_id."""
+    wide = spans.select(key, "b_id", "b_start", (F.col("b_start") - slack).alias("__lo"), (F.col("b_end") + slack + 1).alias("__hi"))
+    points = a.select(key, F.col(ta).alias("__at")).distinct()
+    met = inside(wide, points, key, "__lo", "__hi", "__at", how="inner")
+    best = met.groupBy(F.col(key).alias("__k"), "__at").agg(F.min_by(F.struct("b_id", "b_start"), F.struct(-F.col("b_start"), "b_id")).alias("b"))
+    joined = a.join(best, (F.col(key) == F.col("__k")) & (F.col(ta) == F.col("__at")), "left")
+    return joined.select(*a.columns, F.col("b.b_id").alias("b_id"), F.col("b.b_start").alias("b_start"))
+
+
 def nearest(teeth: DataFrame, samples: DataFrame, key: str, reach: int) -> DataFrame:
     """For each tooth (key, tooth_id, tooth_t) the highest sample (sample_id, sample_t, height) within reach."""
     near = within(teeth, samples, key, "tooth_t", "sample_t", -reach, reach + 1)
@@ -146,10 +175,14 @@ def pair_counts(a: DataFrame, b: DataFrame, key: str, ta: str, tb: str, reach: i
     return near.groupBy(F.floor((F.col(tb) - F.col(ta)) / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def theil_sen(points: DataFrame, keys: list[str], x: str, y: str, tie: str) -> DataFrame:
-    """Median of the slopes of all pairs of points with different x; a group's points are pre-aggregated by x."""
-    a = points.select(*keys, F.col(x).alias("x1"), F.col(y).alias("y1"), F.col(tie).alias("i"))
-    b = points.select(*keys, F.col(x).alias("x2"), F.col(y).alias("y2"), F.col(tie).alias("j"))
-    pairs = a.join(b, keys).where((F.col("i") < F.col("j")) & (F.col("x1") != F.col("x2")))
-    slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
-    return pairs.groupBy(*keys).agg(F.percentile(slope, 0.5).alias("slope"), F.count("*").alias("n_pairs"))
+def theil_sen(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Median of the slopes of all pairs of points with different x, and the number of such pairs.
+
+    Equal points are counted first, and pairs of distinct ones weigh as many pairs as they stand for, so a group grows
+    with the square of its distinct points only.
+    """
+    counted = points.groupBy(*keys, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    a, b = (counted.select(*keys, *[F.col(c).alias(f"{c}{k}") for c in ("x", "y", "n")]) for k in (1, 2))
+    pairs = a.join(b, keys).where(F.col("x1") < F.col("x2"))
+    slope, weight = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")), F.col("n1") * F.col("n2")
+    return pairs.groupBy(*keys).agg(F.percentile(slope, 0.5, weight).alias("slope"), F.sum(weight).alias("n_pairs"))

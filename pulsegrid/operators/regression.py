@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import dsp
 from .pairing import theil_sen
 
 
@@ -76,69 +82,163 @@ def additive(df: DataFrame, keys: list[str], run: str, tau: str, y: str) -> Data
     )
 
 
-def decade_mislabels(points: DataFrame, keys: list[str], label: str, x: str, y: str, tie: str) -> DataFrame:
+def decade_mislabels(points: DataFrame, keys: list[str], label: str, x: str, y: str) -> DataFrame:
     """Points whose response says that their amplitude is off by a power of ten.
 
-    A robust log-log line (median of pair slopes, median intercept) is laid through each group of four points or more; a point is
-    flagged when its residual is over max(0.3, 0.5 |slope|) and lies within 0.15 decades of a whole shift. Flags never
-    change the data.
+    A robust log-log line of |x| (median of pair slopes, median intercept) is laid through each group of at least four
+    usable points at three levels. A point is suspect when its residual is over max(0.3, 0.5 |slope|) and a shift by one
+    decade, up (1) or down (-1), brings it within 0.15 of the line. Other points have shift 0, unusable ones no residual.
+    Flags never change the data.
+    """
+    usable = (F.abs(x) > 0) & (F.col(y) > 0)
+    logs = points.withColumn("__lx", F.when(usable, F.log10(F.abs(x)))).withColumn("__ly", F.when(usable, F.log10(y)))
+    good = logs.where("__lx IS NOT NULL")
+    enough = good.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(F.round("__lx", 6)).alias("levels")).where("n >= 4 AND levels >= 3")
+    slopes = theil_sen(good, keys, "__lx", "__ly").drop("n_pairs").join(enough.select(*keys), keys)
+    level = good.join(slopes, keys).groupBy(*keys).agg(
+        F.percentile(F.col("__ly") - F.col("slope") * F.col("__lx"), 0.5).alias("level"), F.first("slope").alias("slope")
+    )
+    placed = logs.join(level, keys, "left").withColumn("residual", F.col("__ly") - F.col("slope") * F.col("__lx") - F.col("level"))
+    far = F.abs("residual") > F.greatest(F.lit(0.3), 0.5 * F.abs("slope"))
+    up, down = F.abs(F.col("residual") - F.col("slope")), F.abs(F.col("residual") + F.col("slope"))
+    shift = F.when(far & (F.least(up, down) < 0.15), F.when(up < down, 1).otherwise(-1)).otherwise(0)
+    return placed.select(*keys, label, "residual", shift.alias("shift"), (shift != 0).alias("suspect"))
+
+
+def decade_votes(flags: DataFrame, run: str, channel: str) -> DataFrame:
+    """Per run: whether at least half of its tested channels agree on the same shift, and which (0: none).
+
+    flags: run, channel, residual, shift as from `decade_mislabels`; a channel is tested when it has a residual anywhere.
     """
-    logs = points.where((F.col(x) > 0) & (F.col(y) > 0)).select(*keys, tie, label, F.log10(x).alias("lx"), F.log10(y).alias("ly"))
-    slopes = theil_sen(logs, keys, "lx", "ly", tie).drop("n_pairs")
-    offset = logs.join(slopes, keys)
-    level = offset.groupBy(*keys).agg(F.percentile(F.col("ly") - F.col("slope") * F.col("lx"), 0.5).alias("level"), F.count("*").alias("n"))
-    placed = offset.join(level, keys).where("n >= 4")
-    residual = F.col("ly") - F.col("slope") * F.col("lx") - F.col("level")
-    shift = F.when(F.abs("slope") > 0, F.col("residual") / F.col("slope"))
-    flagged = placed.withColumn("residual", residual).withColumn("shift", shift)
-    whole = F.bround("shift")
-    return flagged.select(
-        *keys, label, "residual",
-        F.coalesce(
-            (F.abs("residual") > F.greatest(F.lit(0.3), 0.5 * F.abs("slope"))) & (whole != 0) & (F.abs(F.col("shift") - whole) <= 0.15), F.lit(False)
-        ).alias("mislabelled"),
+    tested = flags.withColumn("__on", F.max(F.col("residual").isNotNull()).over(Window.partitionBy(channel)))
+    tally = flags.where("shift <> 0").groupBy(run, "shift").agg(F.count_distinct(channel).alias("n"))
+    best = tally.groupBy(run).agg(F.max_by("shift", F.struct("n", "shift")).alias("shift"), F.max("n").alias("n_agree"))
+    per = tested.groupBy(run).agg(F.count_distinct(F.when(F.col("__on"), F.col(channel))).alias("n_tested")).join(best, run, "left")
+    passed = F.coalesce((F.col("n_agree") > 0) & (2 * F.col("n_agree") >= F.col("n_tested")), F.lit(False))
+    return per.select(
+        run, F.coalesce("n_agree", F.lit(0)).alias("n_agree"), "n_tested", passed.alias("suspect"),
+        F.when(passed, F.col("shift")).otherwise(0).alias("shift"),
     )
 
 
 def sweep_evidence(df: DataFrame, keys: list[str], current: str, response: str) -> DataFrame:
-    """A response that grows with |current| through the origin, and its asymmetry between the polarities."""
-    x = F.abs(current)
-    per = df.groupBy(*keys).agg(
-        F.regr_slope(F.col(response), x).alias("slope"), F.regr_intercept(F.col(response), x).alias("intercept"), F.regr_r2(F.col(response), x).alias("r2"),
+    """A response that grows with |current| through the origin, and its asymmetry between the polarities; groups with
+    under three points are left out."""
+    x, known = F.abs(current), F.col(current).isNotNull() & F.col(response).isNotNull()
+    per = df.where(known).groupBy(*keys).agg(
+        F.count("*").alias("n_points"), F.regr_slope(F.col(response), x).alias("slope"),
+        F.regr_intercept(F.col(response), x).alias("intercept"), F.regr_r2(F.col(response), x).alias("r2"),
         (F.max(response) - F.min(response)).alias("span"), F.avg(F.when(F.col(current) > 0, F.col(response))).alias("plus"),
         F.avg(F.when(F.col(current) < 0, F.col(response))).alias("minus"),
     )
-    straight = (F.col("r2") > 0.95) & (F.abs("intercept") < 0.15 * F.col("span"))
-    return per.select(
-        *keys, "slope", "r2", F.coalesce(straight, F.lit(False)).alias("proportional"),
-        F.when(F.col("plus") + F.col("minus") != 0, F.abs(F.col("plus") - F.col("minus")) / (F.abs("plus") + F.abs("minus"))).alias("asymmetry"),
+    straight = (F.col("r2") > 0.95) & (F.col("span") > 0) & (F.abs("intercept") < 0.15 * F.col("span"))
+    mean = 0.5 * (F.col("plus") + F.col("minus"))
+    return per.where("n_points >= 3").select(
+        *keys, "n_points", "slope", "intercept", "r2", F.coalesce(straight, F.lit(False)).alias("through_origin"),
+        F.when(mean > 0, F.abs(F.col("plus") - F.col("minus")) / mean).alias("asymmetry"),
     )
 
 
-def run_evidence(df: DataFrame, latency: str, tail: str, corr: str) -> DataFrame:
-    """Suspicion: the share of artifact signs (early peak, short tail, high likeness between channels) that hold."""
-    signs = [F.col(latency) <= 1.5, F.col(tail) <= 0.30, F.col(corr) >= 0.9]
-    known = [F.when(s.isNotNull(), 1).otherwise(0) for s in signs]
-    true = [F.when(s, 1).otherwise(0) for s in signs]
-    total = known[0] + known[1] + known[2]
-    return df.withColumn("suspicion", F.when(total > 0, (true[0] + true[1] + true[2]) / total))
+def run_evidence(
+    df: DataFrame, latency: str, tail: str, post_latency: str, during: str, post: str, n_peaks: str, width_ms: float = 5.0
+) -> DataFrame:
+    """Signs of an artifact in a run: a peak within 1.5 ms of the onset, at most 30 % of the energy behind the pulse (both:
+    suspicion 1, one: 0.5), a later peak within 1.5 ms of the pulse's end, and how much larger the response is during the
+    pulse. Unknown values are no signs."""
+    def sign(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False))
+
+    fast, stops = sign(F.col(latency) <= 1.5), sign(F.col(tail) <= 0.30)
+    return (
+        df.withColumn("fast_latency", fast)
+        .withColumn("stops_with_pulse", stops)
+        .withColumn("suspicion", (fast.cast("int") + stops.cast("int")) / 2)
+        .withColumn("fast_latency_post", sign(F.col(post_latency) - width_ms <= 1.5))
+        .withColumn("coupling_ratio", F.when(F.col(post) > 0, F.col(during) / F.col(post)))
+        .withColumn("post_response", sign(F.col(n_peaks) > 0))
+    )
+
 
+def slope_verdict(df: DataFrame, low: str, high: str, band: float = 0.25, widest: float = 1.0) -> DataFrame:
+    """What the confidence interval of a log-log slope says: proportional (~1), flat, or neither.
 
-def slope_verdict(df: DataFrame, low: str, high: str) -> DataFrame:
-    """What the confidence interval of a log-log slope says about the filter's part in the recovery."""
+    ~1: the interval lies within 1 +- band, or holds 1 and not 0 and is narrower than `widest`; flat: it lies within
+    +- band, or holds 0 and not 1.
+    """
+    lo, hi = F.col(low), F.col(high)
+    one, zero = (lo <= 1) & (hi >= 1), (lo <= 0) & (hi >= 0)
+    near_one, near_zero = (lo >= 1 - band) & (hi <= 1 + band), (lo >= -band) & (hi <= band)
     verdict = (
-        F.when(F.col(low).isNull() | F.col(high).isNull(), "insufficient")
-        .when((F.col(low) <= 1) & (F.col(high) >= 1), "filter_limited")
-        .when(F.col(high) < 0.2, "independent")
-        .otherwise("mixed")
+        F.when(lo.isNull() | hi.isNull(), "insufficient")
+        .when(near_one | (one & ~zero & (hi - lo < widest)), "~1")
+        .when(near_zero | (zero & ~one), "flat")
+        .otherwise("intermediate")
     )
     return df.withColumn("verdict", verdict)
 
 
+def usable_runs(
+    trials: DataFrame, keys: list[str], y: str, floor: Column, drift: Column, censor: float = 850.0, margin: float = 1.0,
+    most_drift: float = 25.0, most_share: float = 0.5, least: int = 3,
+) -> DataFrame:
+    """Per run (the keys) its median and why its trials are left out of slope fits ('': they are not)."""
+    per = trials.groupBy(*keys).agg(
+        F.percentile(y, 0.5).alias("median"), F.max(floor).alias("floor"), F.count("*").alias("n"),
+        F.avg((F.abs(drift) > most_drift).cast("int")).alias("drifting"),
+    )
+    reason = (
+        F.when(F.col("median") >= censor, "censored").when(F.col("median") <= F.col("floor") + margin, "hardware_floor")
+        .when(F.col("drifting") > most_share, "drifting").when(F.col("n") < least, "few_trials").otherwise("")
+    )
+    return per.select(*keys, "median", "n", reason.alias("excluded"))
+
+
+def floor_clause(runs: DataFrame, keys: list[str], tau: str, recovery: str, tie: str) -> DataFrame:
+    """The two runs of shortest time constant of each group: how recovery and time constant grow between them, and whether
+    recovery rests on a floor (time constant at least twice, recovery under 1.3 times)."""
+    w = Window.partitionBy(*keys).orderBy(tau, tie)
+    first = runs.where(F.col(recovery).isNotNull()).withColumn("rn", F.row_number().over(w)).where("rn <= 2")
+    at = lambda c, k: F.max(F.when(F.col("rn") == k, F.col(c)))
+    per = first.groupBy(*keys).agg(F.count("*").alias("n"), *[at(c, k).alias(f"{n}{k}") for c, n in ((tau, "tau"), (recovery, "recovery")) for k in (1, 2)])
+    per = per.where("n = 2").withColumn("recovery_ratio", F.when(F.col("recovery1") > 0, F.col("recovery2") / F.col("recovery1")))
+    per = per.withColumn("tau_ratio", F.when(F.col("tau1") > 0, F.col("tau2") / F.col("tau1")))
+    rests = F.coalesce((F.col("tau_ratio") >= 2) & (F.col("recovery_ratio") < 1.3), F.lit(False))
+    return per.select(*keys, F.col("recovery1").alias("shortest_recovery"), "recovery_ratio", "tau_ratio", rests.alias("floor"))
+
+
+def zero_rail_reach(runs: DataFrame, keys: list[str], upper: str, share: str, least: float = 0.95) -> DataFrame:
+    """Per channel the widest upper cutoff at which enough trials are free of rails (null: none), and whether it is already
+    the widest ones of all (`always`: 7000 Hz or more), a narrower one (`reaches`) or `never`."""
+    per = runs.groupBy(*keys).agg(F.max(F.when(F.col(share) >= least, F.col(upper))).alias("reach_hz"))
+    kind = F.when(F.col("reach_hz").isNull(), "never").when(F.col("reach_hz") >= 7000, "always").otherwise("reaches")
+    return per.withColumn("reach", kind)
+
+
+def recommendation(
+    runs: DataFrame, keys: list[str], run: str, recovery: str, noise: str, upper: str, censored: str, reference: Column,
+    factor: float = 2.0, least_upper: float = 300.0,
+) -> DataFrame:
+    """Settings ranked by recovery, then noise, with place 1 for the one to recommend; null for those not eligible.
+
+    Eligible: noise up to `factor` times that of the reference setting (the first such run; without one the group's
+    median), upper cutoff wide enough, under half of the trials censored. Runs without a recovery are left out.
+    """
+    known = runs.where(F.col(recovery).isNotNull())
+    at = known.withColumn("__ref", F.coalesce(reference, F.lit(False)))
+    limit = at.groupBy(*keys).agg(
+        F.min_by(F.col(noise), F.struct(~F.col("__ref"), F.col(run))).alias("ref"), F.bool_or("__ref").alias("any"),
+        F.percentile(noise, 0.5).alias("median"),
+    )
+    limit = limit.select(*keys, F.when(F.col("any"), F.col("ref")).otherwise(F.col("median")).alias("reference_noise"))
+    ok = (F.col(noise) <= factor * F.col("reference_noise")) & (F.col(upper) >= least_upper) & (F.col(censored) < 0.5)
+    ranked = at.join(limit, keys).withColumn("eligible", F.coalesce(ok, F.lit(False)))
+    w = Window.partitionBy(*keys, "eligible").orderBy(recovery, noise, run)
+    place = F.when(F.col("eligible"), F.row_number().over(w))
+    return ranked.withColumn("place", place).withColumnRenamed("__ref", "is_reference")
+
+
 def pareto(df: DataFrame, keys: list[str], cost: str, gain: str, tie: str) -> DataFrame:
     """Rows that no other row of the group beats: none costs less and gains at least as much."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(*keys).orderBy(cost, F.desc(gain), tie)
     best = F.max(gain).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("__best", best).where(F.col("__best").isNull() | (F.col(gain) > F.col("__best"))).drop("__best")
@@ -152,8 +252,90 @@ def residual_covariates(df: DataFrame, keys: list[str], covariate: str, residual
 
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Skewness of values and of their logarithms, and which is closer to symmetric; under three values insufficient."""
-    logs = df.withColumn("__log", F.when(F.col(value) > 0, F.ln(value)))
-    per = logs.groupBy(*keys).agg(F.count(value).alias("n"), F.skewness(value).alias("skew"), F.skewness("__log").alias("log_skew"))
-    better = F.when(F.col("n") < 3, "insufficient").when(F.abs("log_skew") < F.abs("skew"), "log").otherwise("raw")
+    """Skewness of values and of their logarithms, counts, and which scale is nearer to symmetric; with values that are not
+    positive only the raw one is meant, under three values neither. (No normality test: see the README.)"""
+    logs = df.withColumn("__log", F.when(F.col(value) > 0, F.log10(value)))
+    per = logs.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.count_if(F.col(value) <= 0).alias("n_nonpositive"), F.skewness(value).alias("skew"), F.skewness("__log").alias("log_skew")
+    )
+    better = (
+        F.when(F.col("n") < 3, "insufficient").when(F.col("n_nonpositive") > 0, "raw (non-positive values present)")
+        .when(F.abs("log_skew") < F.abs("skew"), "log").otherwise("raw")
+    )
     return per.withColumn("scale", better)
+
+
+def amplitude_response(df: DataFrame, keys: list[str], current: str, response: str) -> DataFrame:
+    """A line, a line through the origin and a bounded sigmoid fitted to each group's responses, with AIC, BIC, the
+    preferred one, and whether the origin's line is within 2 AIC of it (the sign of an artifact).
+
+    Groups are summed by current first, so the sigmoid is fitted to one row for each distinct current: squares within a
+    current do not depend on the curve. Fewer than four trials or three currents are insufficient.
+    """
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + (
+        ", n_trials long, n_currents long, linear_m double, linear_c double, linear_aic double, linear_bic double, origin_m double, "
+        "origin_aic double, origin_bic double, sigmoid_amax double, sigmoid_i50 double, sigmoid_k double, sigmoid_aic double, "
+        "sigmoid_bic double, preferred string, preferred_bic string, artifact boolean"
+    )
+    known = df.where(F.col(current).isNotNull() & F.col(response).isNotNull())
+    levels = known.groupBy(*keys, F.col(current).cast("double").alias("x")).agg(
+        F.count("*").cast("double").alias("n"), F.avg(response).alias("mean"), (F.var_pop(response) * F.count("*")).alias("within"),
+        F.max(response).cast("double").alias("top"),
+    )
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("x")
+        x, n, mean, within = (rows[c].to_numpy(float) for c in ("x", "n", "mean", "within"))
+        found = dsp.dose_models(x, n, mean, float(within.sum()), float(rows["top"].max()))
+        return pd.DataFrame([(*key, int(n.sum()), len(x), *found)], columns=[c.split()[0].strip("`") for c in schema.split(", ")])
+
+    return levels.groupBy(*keys).applyInPandas(fit, schema)
+
+
+def covariate_regression(df: DataFrame, keys: list[str], y: str, terms: list[str]) -> DataFrame:
+    """Least squares of y on several terms with heteroscedasticity-robust (HC1) standard errors, per group.
+
+    Two passes of sums: the normal equations, then the residual-weighted ones; tasks add products up, and only a matrix of
+    (terms + 1) squared numbers for each group is solved. keys, term, estimate, se, lo, hi, n; groups that cannot be
+    solved have no rows.
+    """
+    if not keys:
+        return covariate_regression(df.withColumn("__all", F.lit(0)), ["__all"], y, terms).drop("__all")
+    cols = ["__one", *terms]
+    rows = df.dropna(subset=[y, *terms]).select(*keys, F.col(y).cast("double").alias(y), *[F.col(c).cast("double").alias(c) for c in terms])
+    rows = rows.withColumn("__one", F.lit(1.0))
+    products = [F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *products, *[F.sum(F.col(a) * F.col(y)).alias(f"v{i}") for i, a in enumerate(cols)])
+    m = len(cols)
+    shape = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                g = np.array([[r[f"g{i}_{j}"] for j in range(m)] for i in range(m)], float)
+                if r["n"] <= m or np.linalg.matrix_rank(g) < m:
+                    continue
+                out.append((*[r[k] for k in keys], np.linalg.solve(g, [r[f"v{i}"] for i in range(m)]).tolist(), np.linalg.inv(g).ravel().tolist(), r["n"]))
+            yield pd.DataFrame(out, columns=[*keys, "beta", "inverse", "n_rows"])
+
+    solved = sums.mapInPandas(solve, shape + ", beta array<double>, inverse array<double>, n_rows long")
+    fitted = rows.join(solved, keys)
+    residual = F.col(y) - sum((F.col("beta")[i] * F.col(c) for i, c in enumerate(cols)), F.lit(0.0))
+    fitted = fitted.withColumn("__e2", residual * residual)
+    meat = [F.sum(F.col("__e2") * F.col(a) * F.col(b)).alias(f"m{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    both = fitted.groupBy(*keys).agg(F.first("beta").alias("beta"), F.first("inverse").alias("inverse"), F.first("n_rows").alias("n"), *meat)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                inv = np.array(r["inverse"], float).reshape(m, m)
+                mid = np.array([[r[f"m{i}_{j}"] for j in range(m)] for i in range(m)], float)
+                se = np.sqrt(np.diag(inv @ mid @ inv) * r["n"] / (r["n"] - m))
+                for i, name in enumerate(["intercept", *terms]):
+                    b = float(r["beta"][i])
+                    out.append((*[r[k] for k in keys], name, b, float(se[i]), b - 1.959964 * se[i], b + 1.959964 * se[i], int(r["n"])))
+            yield pd.DataFrame(out, columns=[*keys, "term", "estimate", "se", "lo", "hi", "n"])
+
+    return both.mapInPandas(spread, shape + ", term string, estimate double, se double, lo double, hi double, n long")

@@ -70,12 +70,13 @@ def merge_intervals(
     )
 
 
-def clean_intervals(df: DataFrame, keys: list[str], start: str, end: str, lo: str, hi: str, guard: int, least: int) -> DataFrame:
-    """The complement of guarded intervals within lo..hi of each channel, parts shorter than `least` left out."""
+def clean_intervals(df: DataFrame, keys: list[str], start: str, end: str, lo: str, hi: str, guard: int, least: int = 1) -> DataFrame:
+    """What is free of intervals within lo..hi of each channel, a guard away from them and from both ends of the channel;
+    parts shorter than `least` are left out."""
     w = along(keys, [start, end])
-    reach = F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)) + guard, F.col(lo))
-    opened = df.select(*keys, reach.alias("start"), (F.col(start) - guard).alias("end"))
-    tail = df.groupBy(*keys).agg((F.max(end) + guard).alias("start"), F.max(hi).alias("end"))
+    reach = F.greatest(F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col(lo)), F.col(lo))
+    opened = df.select(*keys, (reach + guard).alias("start"), (F.col(start) - guard).alias("end"))
+    tail = df.groupBy(*keys).agg((F.greatest(F.max(end), F.max(lo)) + guard).alias("start"), (F.max(hi) - guard).alias("end"))
     return opened.unionByName(tail).where(F.col("end") - F.col("start") >= least)
 
 
@@ -90,10 +91,13 @@ def first_constant_run(df: DataFrame, keys: list[str], order: list[str], sign: C
     )
 
 
-def trains(df: DataFrame, keys: list[str], t: str, order: list[str], factor: float = 5.0) -> DataFrame:
-    """Rows with train_index: a gap over `factor` times the channel's median gap begins another train."""
+def trains(df: DataFrame, keys: list[str], t: str, order: list[str], factor: float = 5.0, period: Column | None = None) -> DataFrame:
+    """Rows with train_index: a gap over `factor` times the commanded period begins another train; where that is unknown
+    (null or not positive) the channel's median gap stands for it."""
     gapped = df.withColumn("gap", F.col(t) - F.lag(t).over(along(keys, order)))
     usual = F.percentile("gap", 0.5).over(Window.partitionBy(*keys))
+    if period is not None:
+        usual = F.when(period > 0, period).otherwise(usual)
     cut = F.when(F.col("gap") > factor * F.col("usual_gap"), 1).otherwise(0)
     return (
         gapped.withColumn("usual_gap", usual)
@@ -126,8 +130,16 @@ def drop_close_pairs(df: DataFrame, keys: list[str], t: str, order: list[str], l
 def refractory(df: DataFrame, keys: list[str], t: str, tie: str, least: int) -> DataFrame:
     """keys, t, tie of the rows kept greedily: each at least `least` after the last kept one.
 
-    What is kept depends on all that was kept before, so a channel is walked through in one group.
+    A row that comes `least` or more behind the one before is always kept, so channels fall apart there: only rows that
+    follow one another more closely are walked through, each such stretch as a group of its own.
     """
+    names = [*keys, t, tie]
+    narrow = df.select(*names)
+    w = along(keys, [t, tie])
+    cut = narrow.withColumn("__far", F.coalesce(F.col(t) - F.lag(t).over(w) >= least, F.lit(True)))
+    cut = cut.withColumn("__part", F.sum(F.col("__far").cast("long")).over(so_far(keys, [t, tie])))
+    cut = cut.withColumn("__next_far", F.coalesce(F.lead("__far").over(w), F.lit(True)))
+    alone = cut.where(F.col("__far") & F.col("__next_far"))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([t, tie])
@@ -136,10 +148,11 @@ def refractory(df: DataFrame, keys: list[str], t: str, tie: str, least: int) ->
             ok = last is None or x - last >= least
             keep.append(ok)
             last = x if ok else last
-        return rows[keep]
+        return rows.loc[keep, names]
 
-    narrow = df.select(*keys, t, tie)
-    return narrow.groupBy(*keys).applyInPandas(walk, narrow.schema)
+    close = cut.where(~(F.col("__far") & F.col("__next_far"))).drop("__far", "__next_far")
+    walked = close.groupBy(*keys, "__part").applyInPandas(walk, narrow.schema)
+    return alone.select(*names).unionByName(walked)
 
 
 def percent_vs_first(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

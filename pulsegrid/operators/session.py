@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .pairing import inside
+
 
 def healthy_channels(df: DataFrame, ohms: str, limit: float = 1e6) -> DataFrame:
     """Rows of channels whose impedance is known and at most the limit."""
@@ -81,42 +87,82 @@ def fraction(df: DataFrame, keys: list[str], flag: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(flag).alias("n_true")).withColumn("fraction", F.col("n_true") / F.col("n"))
 
 
-def assign_arms(runs: DataFrame, arms: DataFrame, tolerance: float) -> DataFrame:
-    """run_id, arm of the arms (name, lower, upper; null: free) whose constants a run's settings meet within a factor.
+@dataclass(frozen=True)
+class Arm:
+    """One arm of a sweep: the setting that varies, and what the others must be (0: off)."""
 
-    Arms are a handful of rows, so they are broadcast; a run may be in several.
-    """
-    def near(a: str, b: str) -> Column:
-        return F.col(b).isNull() | (F.abs(F.ln(F.col(a) / F.col(b))) <= F.ln(F.lit(tolerance)))
+    name: str
+    knob: str
+    constant: dict[str, float]
 
-    side = F.broadcast(arms.select("arm", F.col("lower").alias("arm_lower"), F.col("upper").alias("arm_upper")))
-    return runs.join(side, near("lower", "arm_lower") & near("upper", "arm_upper")).select("run_id", "arm", "knob")
 
+#: The settings of a run, in Hz, and the arms of the bandwidth sweep (fixed values).
+KNOBS = ("lower", "dsp", "upper")
+ARMS = (
+    Arm("A", "lower", {"dsp": 0.0, "upper": 7500.0}),
+    Arm("B", "dsp", {"lower": 0.1, "upper": 7500.0}),
+    Arm("C", "upper", {"lower": 1.0, "dsp": 0.0}),
+)
+#: Settings are the same within a factor of 1.25, replicates within one of 1.02.
+SAME, REPLICATE = math.log(1.25), math.log(1.02)
 
-def replicates(rows: DataFrame, arm: str, knob: str, run: str) -> DataFrame:
-    """Rows with a letter for runs of an arm at the same knob (rounded to 1 %); a number beyond z; none where there is one."""
-    level = F.bround(F.ln(knob) / 0.01)
-    same = Window.partitionBy(arm, level)
-    place = F.row_number().over(same.orderBy(run))
-    letter = F.when(F.count("*").over(same) > 1, F.when(place <= 26, F.char(F.lit(96) + place)).otherwise(place.cast("string")))
-    return rows.withColumn("replicate", F.coalesce(letter, F.lit("")))
 
+def log_close(a: Column, b: Column, tolerance: float) -> Column:
+    """Whether two settings are the same within a factor exp(tolerance); off (not positive) is only like off."""
+    off = (a <= 0) & (b <= 0)
+    return F.when((a <= 0) | (b <= 0), off).otherwise(F.abs(F.ln(a / b)) <= tolerance)
 
-def duplicates(rows: DataFrame, keys: list[str], run: str, policy: str) -> DataFrame:
-    """All rows (both), or the first or last run of each key."""
-    if policy == "both":
-        return rows
-    order = F.col(run) if policy == "first" else F.desc(run)
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__rn = 1").drop("__rn")
+
+def assign_arms(runs: DataFrame, arms: tuple[Arm, ...] = ARMS, tolerance: float = SAME) -> DataFrame:
+    """Rows of runs once for each arm whose constants their settings meet: arm, knob (its name) and knob_value."""
+    def entry(arm: Arm) -> Column:
+        met = [log_close(F.col(k), F.lit(float(v)), tolerance) for k, v in arm.constant.items()]
+        row = F.struct(F.lit(arm.name).alias("arm"), F.lit(arm.knob).alias("knob"), F.col(arm.knob).cast("double").alias("knob_value"))
+        return F.when(reduce(lambda a, b: a & b, met, F.lit(True)), row)
+
+    return runs.withColumn("__a", F.explode(F.array_compact(F.array(*map(entry, arms))))).select(*runs.columns, "__a.*")
+
+
+def replicates(rows: DataFrame, run: str, tolerance: float = REPLICATE) -> DataFrame:
+    """Rows of `assign_arms` with a letter for the runs of an arm whose settings are the same ('' where there is one only).
+
+    Along the distinct values of an arm a group goes on as long as a value is like the group's first one.
+    """
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(log_close(F.element_at(acc, -1), x, tolerance), acc).otherwise(F.array_append(acc, x))
+
+    values = rows.groupBy("arm").agg(F.array_sort(F.collect_set("knob_value")).alias("v"))
+    heads = values.select("arm", F.aggregate(F.slice("v", 2, 1 << 30), F.slice("v", 1, 1), step).alias("heads"))
+    placed = rows.join(heads, "arm").withColumn("__head", F.array_max(F.filter("heads", lambda h: h <= F.col("knob_value"))))
+    same = Window.partitionBy("arm", "__head")
+    letter = F.when(F.count("*").over(same) > 1, F.char(F.lit(96) + F.row_number().over(same.orderBy("knob_value", run))))
+    return placed.withColumn("replicate", F.coalesce(letter, F.lit(""))).drop("heads", "__head")
 
 
-def one_knob(rows: DataFrame, arm: str, run: str, knob: str, others: list[str]) -> DataFrame:
-    """Per arm: settings that differ from the first run's though they should not, and whether the knob varies."""
-    w = Window.partitionBy(arm).orderBy(run).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = rows.select(arm, run, knob, *others, *[F.first(c).over(w).alias(f"__{c}") for c in others])
-    per = firsts.groupBy(arm).agg(
-        F.concat_ws("|", *[F.when(F.count_if(~F.col(c).eqNullSafe(F.col(f"__{c}"))) > 0, F.lit(c)) for c in others]).alias("violations"),
-        F.count_distinct(F.round(F.ln(knob), 3)).alias("n_levels"),
+def duplicates(rows: DataFrame, run: str, policy: str) -> DataFrame:
+    """All rows (both), or of each arm's replicates only the first or last run; other runs stay."""
+    if policy == "both":
+        return rows
+    pick = F.min if policy == "first" else F.max
+    kept = pick(F.when(F.col("replicate") != "", F.col(run))).over(Window.partitionBy("arm"))
+    return rows.withColumn("__kept", kept).where((F.col("replicate") == "") | (F.col(run) == F.col("__kept"))).drop("__kept")
+
+
+def one_knob(rows: DataFrame, run: str, exact: list[str], knobs: tuple[str, ...] = KNOBS, tolerance: float = SAME) -> DataFrame:
+    """Per arm: what differs from its first run though it should not (settings within a factor, others exactly; whether the
+    filter is on may differ where one run has it off), and whether the arm's own setting varies."""
+    w = Window.partitionBy("arm").orderBy(run).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    names = [*dict.fromkeys([*knobs, *exact])]
+    firsts = rows.select("*", *[F.first(c).over(w).alias(f"__{c}") for c in names])
+    differs = {k: (F.col("knob") != k) & ~log_close(F.col(k), F.col(f"__{k}"), tolerance) for k in knobs}
+    for c in exact:
+        other = ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+        differs[c] = other & (F.col("knob") == "dsp") & (F.least("dsp", "__dsp") > 0) if c == "dsp_enabled" else other
+    level = F.when(F.col("knob_value") > 0, F.round(F.ln("knob_value"), 3)).otherwise(-99.0)
+    per = firsts.groupBy("arm").agg(
+        F.count("*").alias("n_runs"),
+        F.concat_ws("|", *[F.when(F.count_if(F.coalesce(d, F.lit(True))) > 0, F.lit(c)) for c, d in differs.items()]).alias("violations"),
+        F.count_distinct(level).alias("n_levels"),
     )
     return per.withColumn("ok", (F.col("violations") == "") & (F.col("n_levels") > 1))
 
@@ -127,15 +173,44 @@ def single_valued(df: DataFrame, session: str, setting: str) -> DataFrame:
     return per.select(session, F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("distinct_values"), (F.size("v") == 1).alias("single"))
 
 
-def diagnosis(df: DataFrame, ratio: str, same_sign: str, dead_live: str) -> DataFrame:
-    """Label of a recovery's cause: what its time constant, its signs and its dead channels say."""
+def diagnosis(df: DataFrame) -> DataFrame:
+    """Label of what sets the recovery, from one row of evidence each.
+
+    tau_ratio: fitted over the filter's time constant; same_sign: share of tails on the rail's side; f1, f2: recovery after
+    the fitted tail is subtracted, after the filter is inverted, over the one before; amplitude_dev, impedance_dev,
+    other_dev: largest deviation of a group's median from the pooled one in percent (null: no groups); current_shift,
+    other_shift: percent over the observed range by regression; dead_shorter: whether recovery is shorter post mortem.
+    Groups decide on invariance where there are any, else the regression does.
+    """
+    def most(*names: str) -> Column:
+        return F.greatest(*[F.abs(n) for n in names])
+
+    groups, shifts = most("amplitude_dev", "impedance_dev", "other_dev"), most("current_shift", "other_shift")
+    invariant = F.when(groups.isNotNull(), groups <= 20).when(shifts.isNotNull(), shifts <= 20).otherwise(False)
+    match, opposite = F.coalesce(F.abs(F.col("tau_ratio") - 1) <= 0.2, F.lit(False)), F.col("same_sign") < 0.5
+    current = F.coalesce(F.abs("current_shift") > 20, F.lit(False)) | F.coalesce(F.col("amplitude_dev") > 20, F.lit(False))
+    impedance = F.coalesce(F.col("impedance_dev") > 20, F.lit(False))
+    quality = F.concat(
+        F.when(current, ", current-dependent").otherwise(""), F.when(impedance, ", impedance-dependent").otherwise(""),
+        F.when(F.coalesce(F.col("f2") > 1.1, F.lit(False)), ", DSP shortens rather than causes it").otherwise(""),
+    )
     label = (
-        F.when(F.col(ratio).isNull(), "insufficient")
-        .when((F.abs(F.col(ratio) - 1) <= 0.2) & (F.col(same_sign) < 0.5), "filter_dominated")
-        .when(F.col(dead_live) < 0.8, "tissue")
-        .otherwise("mixed")
+        F.when(match & invariant & opposite & F.coalesce(F.col("f1") <= 0.25, F.lit(False)), "FILTER-DOMINATED")
+        .when(opposite & match & ~invariant, "MIXED (DSP-shaped opposite-sign tail, but tau varies with condition)")
+        .when(~opposite & F.coalesce("dead_shorter", F.lit(False)), "MIXED (same-sign tail; post-mortem shorter -> a biological contribution exists)")
+        .when(~opposite, F.concat(F.lit("ELECTRODE / ANALOG FRONT-END-DOMINATED (same-sign tail"), quality, F.lit(")")))
+        .when(impedance & ~current, "ELECTRODE-DOMINATED")
+        .otherwise("MIXED")
     )
-    return df.withColumn("label", label)
+    return df.withColumn("invariant", invariant).withColumn("tail_fraction", 1 - F.col("f1")).withColumn("dsp_fraction", 1 - F.col("f2")).withColumn("label", label)
+
+
+def largest_deviation(df: DataFrame, keys: list[str], group: str, value: str, least: int = 10) -> DataFrame:
+    """Largest deviation in percent of a group's median from that of all rows of the keys; groups of at least `least`."""
+    pooled = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("all"))
+    per = df.groupBy(*keys, group).agg(F.percentile(value, 0.5).alias("m"), F.count("*").alias("n")).where(F.col("n") >= least)
+    both = per.join(pooled.where(F.col("all") > 0), keys)
+    return both.groupBy(*keys).agg((100 * F.max(F.abs(F.col("m") / F.col("all") - 1))).alias("deviation"))
 
 
 def exit_time(v: Column, threshold: float, exit_ms: Column, tau_ms: Column) -> Column:
@@ -151,14 +226,16 @@ def chunks(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataF
 
 def rename_plan(df: DataFrame, name: str, target: str, tie: str) -> DataFrame:
     """What would be renamed to what: status, and __2, __3 ... behind names that several would take."""
-    w = Window.partitionBy(target)
-    place = F.row_number().over(w.orderBy(tie))
-    status = F.when(F.col(target).isNull(), "skip").when(F.col(target) == F.col(name), "already_named").otherwise("rename")
+    none = df.where(F.col(target).isNull()).withColumn("status", F.lit("skip")).withColumn("new_name", F.lit(None).cast("string"))
+    place = F.row_number().over(Window.partitionBy(target).orderBy(tie))
+    status = F.when(F.col(target) == F.col(name), "already_named").otherwise("rename")
     new = F.when(F.col("place") > 1, F.concat(F.col(target), F.lit("__"), F.col("place").cast("string"))).otherwise(F.col(target))
-    return df.withColumn("place", place).withColumn("status", status).withColumn("new_name", new).drop("place")
+    some = df.where(F.col(target).isNotNull()).withColumn("place", place).withColumn("status", status).withColumn("new_name", new)
+    return some.drop("place").unionByName(none)
 
 
 def gap_free(epochs: DataFrame, gaps: DataFrame, key: str) -> DataFrame:
-    """Epochs (start, end) without a gap (gap_at) strictly inside."""
-    side = gaps.select(F.col(key).alias("__k"), "gap_at")
-    return epochs.join(side, (F.col(key) == F.col("__k")) & (F.col("gap_at") > F.col("start")) & (F.col("gap_at") < F.col("end")), "left_anti")
+    """Epochs (start, end; whole numbers) without a gap (gap_at) strictly inside."""
+    spans = epochs.select(key, "start", "end", (F.col("start") + 1).alias("__lo")).distinct()
+    holed = inside(spans, gaps.select(key, "gap_at").distinct(), key, "__lo", "end", "gap_at", how="left_semi")
+    return epochs.join(holed.select(key, "start", "end"), [key, "start", "end"], "left_anti").select(*epochs.columns)

@@ -164,24 +164,13 @@ def detect_spikes(arrays: DataFrame, rate_hz: float, before: int, after: int, cl
 
 
 def spectra(arrays: DataFrame, rate_hz: float, nperseg: int, bands: dict[str, tuple[float, float]], comb_hz: float | None = None) -> DataFrame:
-    """run_id, channel, segment, band, power_uv2 from Welch spectra, bins near a comb's harmonics left out."""
+    """run_id, channel, segment, band, power_uv2 from Welch spectra: a band's power, or with a comb the mean density of its
+    bins that are not near a harmonic."""
 
     def kernel(row: pd.Series) -> pd.DataFrame:
         f, p = dsp.welch(np.asarray(row["x"], float), rate_hz, nperseg)
-        out = [(row["run_id"], row["channel"], row["segment"], b, dsp.band_power(f, p, lo, hi, comb_hz) if len(f) else None) for b, (lo, hi) in bands.items()]
+        value = lambda lo, hi: dsp.band_mean(f, p, lo, hi, comb_hz) if comb_hz else dsp.band_power(f, p, lo, hi)
+        out = [(row["run_id"], row["channel"], row["segment"], b, value(lo, hi) if len(f) else None) for b, (lo, hi) in bands.items()]
         return pd.DataFrame(out, columns=["run_id", "channel", "segment", "band", "power_uv2"])
 
     return per_row(arrays, kernel, "run_id string, channel string, segment long, band string, power_uv2 double")
-
-
-def bootstrap_medians(df: DataFrame, keys: list[str], value: str, n: int = 1000) -> DataFrame:
-    """Median and its percentile interval per group; the seed of a group comes from its keys."""
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", median double, lo double, hi double"
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[value].dropna().to_numpy(float)
-        seed = int(pd.util.hash_array(np.array(["|".join(map(str, key))], dtype=object))[0] % (2**31))
-        lo, hi = dsp.bootstrap(x, np.median, n, seed=seed)
-        return pd.DataFrame([(*key, float(np.median(x)) if len(x) else None, lo, hi)], columns=[*keys, "median", "lo", "hi"])
-
-    return df.select(*keys, value).groupBy(*keys).applyInPandas(run, schema)

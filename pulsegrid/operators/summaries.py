@@ -13,42 +13,53 @@ def quantile_row(value: str) -> list[Column]:
 
 
 def tertile_limits(df: DataFrame, value: str) -> DataFrame:
-    """One row: the limits of low and mid, and whether there are three distinct values."""
+    """One row: the limits of low and mid (33.3 and 66.7 percent), and whether there are three distinct values."""
     return df.agg(
-        F.percentile(value, 1 / 3).alias("low"), F.percentile(value, 2 / 3).alias("mid"), (F.count_distinct(value) >= 3).alias("enough")
+        F.percentile(value, 0.333).alias("low"), F.percentile(value, 0.667).alias("mid"), (F.count_distinct(value) >= 3).alias("enough")
     )
 
 
 def tertiles(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with low, mid or high by the table's own limits; all where there are fewer than three distinct values."""
-    limits = F.broadcast(tertile_limits(df, value))  # a single row
+    limits = F.broadcast(tertile_limits(df, value).withColumn("__one", F.lit(1)))  # a single row
     band = F.when(~F.col("enough"), "all").when(F.col(value) <= F.col("low"), "low").when(F.col(value) <= F.col("mid"), "mid")
-    return df.join(limits).withColumn(name, band.otherwise("high")).drop("low", "mid", "enough")
+    return df.withColumn("__one", F.lit(1)).join(limits, "__one").withColumn(name, band.otherwise("high")).drop("low", "mid", "enough", "__one")
 
 
 def grouping_summary(df: DataFrame, sets: list[list[str]], value: str) -> DataFrame:
-    """Quantiles over several groupings in one pass over the data, as one long table; `level` names the grouping."""
+    """Quantiles over several groupings in one pass over the data, as one long table; `level` names the grouping.
+
+    Equal values are counted in each grouping first, before anything is shuffled; quantiles are of the counts, so a group
+    holds its distinct values, not its rows.
+    """
     names = sorted({c for s in sets for c in s})
     cols = [F.col(c) for c in names]
     level = F.concat_ws("+", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in names])
-    grouped = df.groupingSets([[F.col(c) for c in s] for s in sets], *cols)
-    return grouped.agg(*quantile_row(value), F.when(level == "", "pooled").otherwise(level).alias("level"))
+    counted = df.groupBy(*cols, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    grouped = counted.groupingSets([[*[F.col(c) for c in s], F.col("__v")] for s in sets], *cols, F.col("__v"))
+    counted = grouped.agg(F.sum("__n").alias("__n"), F.when(level == "", "pooled").otherwise(level).alias("level"))
+    quantiles = [F.percentile("__v", p, F.col("__n")).alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
+    total = F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))), F.lit(0)).alias("n")
+    return counted.groupBy(*cols, "level").agg(total, *quantiles)
 
 
 def first_vs_last(df: DataFrame, keys: list[str], order: list[str], value: str, n: int) -> DataFrame:
-    """Medians of the first and last n rows; groups under 2n rows are halved."""
+    """Medians of the first and last n rows; groups under 2n rows are parted in halves, of which the last gets the odd row."""
     w = Window.partitionBy(*keys)
     placed = df.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count("*").over(w))
-    k = F.least(F.lit(n), F.floor(F.col("total") / 2))
-    first, last = F.col("rn") <= k, F.col("rn") > F.col("total") - k
+    half = F.greatest(F.lit(1), F.floor(F.col("total") / 2))
+    few = F.col("total") < 2 * n
+    first = F.col("rn") <= F.when(few, half).otherwise(n)
+    last = F.col("rn") > F.when(few, half).otherwise(F.col("total") - n)
     return (
         placed.groupBy(*keys)
         .agg(
+            F.count_if(first).alias("n_first"), F.count_if(last).alias("n_last"),
             F.percentile(F.when(first, F.col(value)), 0.5).alias("first_median"),
             F.percentile(F.when(last, F.col(value)), 0.5).alias("last_median"),
         )
         .withColumn("change", F.col("last_median") - F.col("first_median"))
-    )
+    )
 
 
 def robust_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -121,14 +132,6 @@ def common_values(df: DataFrame, keys: list[str], value: str, width: float, leas
     )
 
 
-def majority(df: DataFrame, keys: list[str], channel: str, agrees: Column, tested: Column) -> DataFrame:
-    """Whether at least half of the tested channels agree."""
-    per = df.groupBy(*keys).agg(
-        F.count_distinct(F.when(agrees & tested, F.col(channel))).alias("n_agree"), F.count_distinct(F.when(tested, F.col(channel))).alias("n_tested")
-    )
-    return per.withColumn("passed", (F.col("n_tested") > 0) & (2 * F.col("n_agree") >= F.col("n_tested")))
-
-
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks for ties, and the number of points."""
     def ranks(c: str) -> Column:

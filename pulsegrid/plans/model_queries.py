@@ -61,13 +61,39 @@ def channel_texts(s, d):
 
 
 def labelled_amplitudes(s, d):
-    """Responses of about 2000 times the amplitude, ten times that for some runs."""
-    k = F.col("o_orderkey")
+    """Responses of three channels of about 2000 times the amplitude, ten times that or a tenth for some runs and channels."""
+    k, c = F.col("o_orderkey"), F.col("channel")
     amplitude = k % 6 + 1
-    response = amplitude * F.when(k % 23 == 0, 20000.0).otherwise(2000.0) + F.col("o_totalprice") / 1000
-    return load(s, d, "orders").select(
-        F.col("o_custkey").alias("wiring"), k.alias("i"), k.alias("run_id"), amplitude.cast("double").alias("x"), response.alias("y")
-    )
+    factor = F.when((k % 23 == 0) & (c <= 1 + k % 3), 20000.0).when((k % 29 == 0) & (c > 1), 200.0).otherwise(2000.0)
+    rows = load(s, d, "orders").withColumn("channel", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return rows.select(
+        F.col("o_custkey").alias("wiring"), "channel", k.alias("run_id"),
+        F.when(k % 17 != 0, amplitude.cast("double") * F.when(k % 2 == 0, -1).otherwise(1)).alias("x"),
+        (amplitude * factor + F.col("o_totalprice") / 1000).alias("y"),
+    )
+
+
+def flags(s, d):
+    return reg.decade_mislabels(labelled_amplitudes(s, d), ["wiring", "channel"], "run_id", "x", "y")
+
+
+FLAGS = """o AS (
+  SELECT o_custkey AS wiring, o_orderkey AS run_id, c.channel, log10(CAST(o_orderkey % 6 + 1 AS DOUBLE)) AS lx, o_orderkey % 17 <> 0 AS good,
+         log10((o_orderkey % 6 + 1) * CASE WHEN o_orderkey % 23 = 0 AND c.channel <= 1 + o_orderkey % 3 THEN 2e4 WHEN o_orderkey % 29 = 0 AND c.channel > 1 THEN 2e2 ELSE 2e3 END + o_totalprice / 1000) AS ly
+  FROM orders, range(1, 4) c(channel)
+), en AS (SELECT wiring, channel FROM o WHERE good GROUP BY ALL HAVING count(*) >= 4 AND count(DISTINCT round(lx, 6)) >= 3
+), ts AS (
+  SELECT a.wiring, a.channel, quantile_cont((b.ly - a.ly) / (b.lx - a.lx), 0.5) AS slope
+  FROM o a JOIN o b ON a.wiring = b.wiring AND a.channel = b.channel AND a.lx < b.lx AND a.good AND b.good GROUP BY ALL
+), lv AS (
+  SELECT o.wiring, o.channel, first(slope) AS slope, quantile_cont(ly - slope * lx, 0.5) AS level
+  FROM o JOIN ts ON ts.wiring = o.wiring AND ts.channel = o.channel JOIN en ON en.wiring = o.wiring AND en.channel = o.channel WHERE good GROUP BY ALL
+), rs AS (
+  SELECT o.wiring, o.channel, run_id, slope, CASE WHEN good THEN ly - slope * lx - level END AS res FROM o LEFT JOIN lv ON lv.wiring = o.wiring AND lv.channel = o.channel
+), fl AS (
+  SELECT wiring, channel, run_id, res, CASE WHEN abs(res) > greatest(0.3, 0.5 * abs(slope)) AND least(abs(res - slope), abs(res + slope)) < 0.15
+         THEN CASE WHEN abs(res - slope) < abs(res + slope) THEN 1 ELSE -1 END ELSE 0 END AS shift FROM rs
+)"""
 
 
 def spikes(s, d):
@@ -133,32 +159,33 @@ SELECT contact, round(first(a), 6) AS a, round(first(b), 6) AS b, count(*) AS n_
 FROM r JOIN f USING (contact) GROUP BY contact""",
     ),
     "decade_mislabel_flags": Query(
-        lambda s, d: six(reg.decade_mislabels(labelled_amplitudes(s, d), ["wiring"], "run_id", "x", "y", "i")),
-        """WITH o AS (
-  SELECT o_custkey AS wiring, o_orderkey AS run_id, log10(CAST(o_orderkey % 6 + 1 AS DOUBLE)) AS lx,
-         log10((o_orderkey % 6 + 1) * CASE WHEN o_orderkey % 23 = 0 THEN 20000.0 ELSE 2000.0 END + o_totalprice / 1000) AS ly FROM orders
-), ts AS (
-  SELECT a.wiring, quantile_cont((b.ly - a.ly) / (b.lx - a.lx), 0.5) AS slope FROM o a JOIN o b ON a.wiring = b.wiring AND a.run_id < b.run_id AND a.lx <> b.lx GROUP BY a.wiring
-), lv AS (SELECT wiring, quantile_cont(ly - slope * lx, 0.5) AS level, count(*) AS n FROM o JOIN ts USING (wiring) GROUP BY wiring
-), r AS (SELECT wiring, run_id, slope, ly - slope * lx - level AS res FROM o JOIN ts USING (wiring) JOIN lv USING (wiring) WHERE n >= 4
-), q AS (SELECT *, CASE WHEN abs(slope) > 0 THEN res / slope END AS shift FROM r)
-SELECT wiring, run_id, round(res, 6) + 0.0 AS residual,
-       coalesce(abs(res) > greatest(0.3, 0.5 * abs(slope)) AND round_even(shift, 0) <> 0 AND abs(shift - round_even(shift, 0)) <= 0.15, false) AS mislabelled FROM q""",
+        lambda s, d: six(flags(s, d)),
+        f"WITH {FLAGS} SELECT wiring, channel, run_id, round(res, 6) + 0.0 AS residual, shift, shift <> 0 AS suspect FROM fl",
+    ),
+    "decade_mislabel_votes": Query(
+        lambda s, d: reg.decade_votes(flags(s, d), "run_id", "channel"),
+        f"""WITH {FLAGS}, td AS (SELECT channel FROM fl GROUP BY channel HAVING count(res) > 0
+), tl AS (SELECT run_id, shift, count(DISTINCT channel) AS n FROM fl WHERE shift <> 0 GROUP BY ALL
+), bs AS (SELECT run_id, arg_max(shift, (n, shift)) AS shift, max(n) AS n FROM tl GROUP BY run_id
+), pr AS (SELECT run_id, count(DISTINCT channel) FILTER (WHERE channel IN (SELECT channel FROM td)) AS n_tested FROM fl GROUP BY run_id)
+SELECT run_id, coalesce(n, 0) AS n_agree, n_tested, coalesce(2 * n >= n_tested, false) AS suspect, CASE WHEN 2 * n >= n_tested THEN shift ELSE 0 END AS shift
+FROM pr LEFT JOIN bs USING (run_id)""",
     ),
     "sweep_evidence": Query(
         lambda s, d: six(reg.sweep_evidence(doses(s, d).withColumn("signed", F.when(F.col("band") == "O", F.col("current")).otherwise(-F.col("current"))), ["contact", "win"], "signed", "response")),
-        f"""WITH {DOSES}, e AS (SELECT contact, win, regr_slope(response, current) AS sl, regr_intercept(response, current) AS b, regr_r2(response, current) AS r2,
+        f"""WITH {DOSES}, e AS (SELECT contact, win, count(*) AS n, regr_slope(response, current) AS sl, regr_intercept(response, current) AS b, regr_r2(response, current) AS r2,
   max(response) - min(response) AS span, avg(response) FILTER (WHERE band = 'O') AS plus, avg(response) FILTER (WHERE band <> 'O') AS minus FROM ds GROUP BY contact, win)
-SELECT contact, win, round(sl, 6) AS slope, round(r2, 6) AS r2, coalesce(r2 > 0.95 AND abs(b) < 0.15 * span, false) AS proportional,
-       round(CASE WHEN plus + minus <> 0 THEN abs(plus - minus) / (abs(plus) + abs(minus)) END, 6) AS asymmetry FROM e""",
+SELECT contact, win, n AS n_points, round(sl, 6) AS slope, round(b, 6) AS intercept, round(r2, 6) AS r2, coalesce(r2 > 0.95 AND span > 0 AND abs(b) < 0.15 * span, false) AS through_origin,
+       round(CASE WHEN plus + minus > 0 THEN abs(plus - minus) / (0.5 * (plus + minus)) END, 6) AS asymmetry FROM e WHERE n >= 3""",
     ),
     "run_evidence": Query(
         lambda s, d: six(reg.run_evidence(trials(s, d).select(
-            "run_id", "event_number", "contact", "metric", (F.col("response") / 10).alias("latency"), F.when(F.col("discount") > 0, F.col("discount") * 5).alias("tail"), (F.col("tax") * 12).alias("likeness")),
-            "latency", "tail", "likeness").select("run_id", "event_number", "contact", "metric", "suspicion"), "suspicion"),
-        f"""WITH {TRIALS}, x AS (SELECT *, response / 10 AS la, CASE WHEN discount > 0 THEN discount * 5 END AS ta, tax * 12 AS li FROM tr)
-SELECT run_id, event_number, contact, metric, round((CASE WHEN la <= 1.5 THEN 1 ELSE 0 END + CASE WHEN ta <= 0.30 THEN 1 ELSE 0 END + CASE WHEN li >= 0.9 THEN 1 ELSE 0 END)
-  / (2 + CASE WHEN ta IS NOT NULL THEN 1 ELSE 0 END), 6) AS suspicion FROM x""",
+            "run_id", "event_number", "contact", "metric", (F.col("response") / 10).alias("latency"), F.when(F.col("discount") > 0, F.col("discount") * 5).alias("tail"),
+            (F.col("response") / 5).alias("later"), F.col("metric").alias("during"), (F.col("tax") * 100).alias("post"), (F.col("event_number") - 1).alias("peaks")),
+            "latency", "tail", "later", "during", "post", "peaks").drop("latency", "tail", "later", "during", "post", "peaks"), "suspicion", "coupling_ratio"),
+        f"""WITH {TRIALS}, x AS (SELECT *, response / 10 <= 1.5 AS fast, coalesce(CASE WHEN discount > 0 THEN discount * 5e0 END <= 3e-1, false) AS stops FROM tr)
+SELECT run_id, event_number, contact, metric, fast AS fast_latency, stops AS stops_with_pulse, (CAST(fast AS INT) + CAST(stops AS INT)) / 2 AS suspicion,
+       response / 5 - 5 <= 1.5 AS fast_latency_post, round(CASE WHEN tax > 0 THEN metric / (tax * 100) END, 6) AS coupling_ratio, event_number > 1 AS post_response FROM x""",
     ),
     "pareto_front": Query(
         lambda s, d: reg.pareto(doses(s, d).select("contact", "run_id", "event_number", "part", "current", "response"), ["contact"], "current", "response", "run_id").select("contact", "current", "response"),
@@ -263,9 +290,42 @@ FROM m a JOIN m b ON a.channel < b.channel AND abs(b.t - a.t) <= {HOUR} GROUP BY
         f"WITH {SIGNAL} SELECT channel, round(quantile_cont(abs(value), 0.5) / 0.6745, 6) AS sigma FROM s GROUP BY channel",
     ),
     "lognormal_checks": Query(
-        lambda s, d: reg.moments(trials(s, d), ["contact"], "metric").select("contact", "n", "scale"),
-        f"""WITH {TRIALS}, c AS (SELECT *, avg(metric) OVER w AS m, avg(ln(metric)) OVER w AS lm FROM tr WINDOW w AS (PARTITION BY contact)
-), q AS (SELECT contact, count(*) AS n, avg(pow(metric - m, 3)) / pow(var_pop(metric), 1.5) AS sk, avg(pow(ln(metric) - lm, 3)) / pow(var_pop(ln(metric)), 1.5) AS ls FROM c GROUP BY contact)
-SELECT contact, n, CASE WHEN n < 3 THEN 'insufficient' WHEN abs(ls) < abs(sk) THEN 'log' ELSE 'raw' END AS scale FROM q""",
+        lambda s, d: reg.moments(trials(s, d).withColumn("v", F.when(F.col("contact") % 10 == 0, F.col("metric") - 2000).otherwise(F.col("metric"))), ["contact"], "v").select("contact", "n", "n_nonpositive", "scale"),
+        f"""WITH {TRIALS}, t2 AS (SELECT contact, CASE WHEN contact % 10 = 0 THEN metric - 2000 ELSE metric END AS v FROM tr
+), c AS (SELECT *, CASE WHEN v > 0 THEN log10(v) END AS l, avg(v) OVER w AS m, avg(CASE WHEN v > 0 THEN log10(v) END) OVER w AS lm FROM t2 WINDOW w AS (PARTITION BY contact)
+), q AS (SELECT contact, count(*) AS n, count(*) FILTER (WHERE v <= 0) AS np, avg(pow(v - m, 3)) / pow(var_pop(v), 1.5) AS sk, avg(pow(l - lm, 3)) / pow(var_pop(l), 1.5) AS ls FROM c GROUP BY contact)
+SELECT contact, n, np AS n_nonpositive, CASE WHEN n < 3 THEN 'insufficient' WHEN np > 0 THEN 'raw (non-positive values present)' WHEN abs(ls) < abs(sk) THEN 'log' ELSE 'raw' END AS scale FROM q""",
+    ),
+    "amplitude_response": Query(lambda s, d: six(reg.amplitude_response(doses(s, d), ["contact", "band"], "current", "response"))),
+    "covariate_regression": Query(
+        lambda s, d: six(reg.covariate_regression(doses(s, d).where("response > 0").select("win", F.ln("response").alias("ly"), F.ln("current").alias("log_current"), (F.col("contact") / 10).alias("distance"), "discount"), ["win"], "ly", ["log_current", "distance", "discount"])),
+    ),
+    "usable_runs_for_slopes": Query(
+        lambda s, d: six(reg.usable_runs(trials(s, d).withColumn("y", F.col("response") * 20), ["contact", "win"], "y", F.col("contact") % 40 * F.lit(12.0), (F.col("discount") - 0.05) * 1000)),
+        f"""WITH {TRIALS}, q AS (SELECT contact, win, quantile_cont(response * 20, 0.5) AS median, contact % 40 * 12.0 AS fl, count(*) AS n, avg(CASE WHEN abs((discount - 5e-2) * 1000) > 25 THEN 1 ELSE 0 END) AS dr FROM tr GROUP BY contact, win)
+SELECT contact, win, round(median, 6) AS median, n, CASE WHEN median >= 850 THEN 'censored' WHEN median <= fl + 1 THEN 'hardware_floor' WHEN dr > 0.5 THEN 'drifting' WHEN n < 3 THEN 'few_trials' ELSE '' END AS excluded FROM q""",
+    ),
+    "floor_clauses": Query(
+        lambda s, d: six(reg.floor_clause(doses(s, d).groupBy("contact", "part").agg(F.max("current").alias("tau"), F.percentile("response", 0.5).alias("rec")), ["contact"], "tau", "rec", "part")),
+        f"""WITH {DOSES}, g AS (SELECT contact, part, max(current) AS tau, quantile_cont(response, 0.5) AS rec FROM ds GROUP BY contact, part
+), r AS (SELECT *, row_number() OVER (PARTITION BY contact ORDER BY tau, part) AS rn FROM g
+), p AS (SELECT contact, max(tau) FILTER (WHERE rn = 1) AS t1, max(tau) FILTER (WHERE rn = 2) AS t2, max(rec) FILTER (WHERE rn = 1) AS r1, max(rec) FILTER (WHERE rn = 2) AS r2 FROM r WHERE rn <= 2 GROUP BY contact HAVING count(*) = 2)
+SELECT contact, round(r1, 6) AS shortest_recovery, round(r2 / r1, 6) AS recovery_ratio, round(t2 / t1, 6) AS tau_ratio, t2 / t1 >= 2 AND r2 / r1 < 1.3 AS floor FROM p""",
+    ),
+    "zero_rail_reach": Query(
+        lambda s, d: six(reg.zero_rail_reach(trials(s, d).groupBy("contact", F.col("event_number")).agg((F.max("event_number") * 1200.0).alias("upper"), F.avg((F.col("tax") < 0.08).cast("int")).alias("share")), ["contact"], "upper", "share", 0.9), "reach_hz"),
+        f"""WITH {TRIALS}, g AS (SELECT contact, event_number, event_number * 1200.0 AS upper, avg(CASE WHEN tax < 8e-2 THEN 1 ELSE 0 END) AS share FROM tr GROUP BY contact, event_number
+), r AS (SELECT contact, max(upper) FILTER (WHERE share >= 0.9) AS reach_hz FROM g GROUP BY contact)
+SELECT contact, reach_hz, CASE WHEN reach_hz IS NULL THEN 'never' WHEN reach_hz >= 7000 THEN 'always' ELSE 'reaches' END AS reach FROM r""",
+    ),
+    "setting_recommendation": Query(
+        lambda s, d: six(reg.recommendation(
+            doses(s, d).groupBy("contact", "part").agg(F.percentile("response", 0.5).alias("rec"), F.round(F.avg("discount") * 100, 9).alias("noise"), (F.max("current") * 100).alias("upper"), F.avg((F.col("response") >= 40).cast("int")).alias("cens")),
+            ["contact"], "part", "rec", "noise", "upper", "cens", F.col("part") % 50 == 0)),
+        f"""WITH {DOSES}, g AS (SELECT contact, part, quantile_cont(response, 0.5) AS rec, round(avg(discount) * 100, 9) AS noise, max(current) * 100 AS upper, avg(CASE WHEN response >= 40 THEN 1 ELSE 0 END) AS cens FROM ds GROUP BY contact, part
+), l AS (SELECT contact, coalesce(arg_min(noise, part) FILTER (WHERE part % 50 = 0), quantile_cont(noise, 0.5)) AS ref FROM g GROUP BY contact
+), e AS (SELECT g.*, ref, noise <= 2 * ref AND upper >= 300 AND cens < 0.5 AS ok FROM g JOIN l USING (contact))
+SELECT contact, part, round(rec, 6) AS rec, round(noise, 6) AS noise, round(upper, 6) AS upper, round(cens, 6) AS cens, part % 50 = 0 AS is_reference, round(ref, 6) AS reference_noise, ok AS eligible,
+       CASE WHEN ok THEN CAST(row_number() OVER (PARTITION BY contact, ok ORDER BY rec, noise, part) AS INT) END AS place FROM e""",
     ),
 }

@@ -73,12 +73,12 @@ GROUP BY ALL""",
     ),
     "fake_epochs_without_overlap": Query(
         lambda s, d: pair.without_overlap(
-            quiet(s, d).where(F.col("event_id") % 3 == 0).select("channel", "event_id", (F.col("t") - HOUR).alias("start"), (F.col("t") + DAY).alias("end")),
+            quiet(s, d).select("channel", "event_id", (F.col("t") - HOUR).alias("start"), (F.col("t") + DAY).alias("end")),
             markers(s, d).select("channel", (F.col("t") - HOUR).alias("b_start"), (F.col("t") + 12 * HOUR).alias("b_end")),
             "channel", 2 * DAY,
         ),
         f"""WITH {MARKERS}, a AS (
-  SELECT channel, event_id, t - {HOUR} AS start, t + {DAY} AS stop FROM s WHERE kind <> 'error' AND event_id % 3 = 0
+  SELECT channel, event_id, t - {HOUR} AS start, t + {DAY} AS stop FROM s WHERE kind <> 'error'
 )
 SELECT channel, event_id, start AS "start", stop AS "end" FROM a
 WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.channel = a.channel AND a.start < m.t + {12 * HOUR} AND a.stop > m.t - {HOUR})""",
@@ -96,7 +96,7 @@ WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.channel = a.channel AND a.start < m.t
 )
 SELECT * FROM c WHERE blank_end > blank_start""",
     ),
-    "asof_capture_for_onset": Query(
+    "asof_latest": Query(
         lambda s, d: pair.as_of(
             marks(s, d), quiet(s, d).where("kind = 'view'").select("channel", F.col("event_id").alias("b_id"), F.col("t").alias("cap_t")),
             "channel", "mark_t", "cap_t",
@@ -104,6 +104,15 @@ SELECT * FROM c WHERE blank_end > blank_start""",
         f"""WITH {MARKERS}, v AS (SELECT channel, event_id, t FROM s WHERE kind = 'view')
 SELECT m.channel, m.event_id AS mark_id, arg_max(v.event_id, (v.t, v.event_id)) AS b_id, max(v.t) AS b_t
 FROM m LEFT JOIN v ON v.channel = m.channel AND v.t <= m.t GROUP BY ALL""",
+    ),
+    "asof_capture_for_onset": Query(
+        lambda s, d: pair.containing_span(
+            marks(s, d), quiet(s, d).where("kind = 'view'").select("channel", F.col("event_id").alias("b_id"), F.col("t").alias("b_start"), (F.col("t") + F.col("event_id") % 4 * DAY).alias("b_end")),
+            "channel", "mark_t", HOUR).select("channel", "mark_id", "b_id", "b_start"),
+        f"""WITH {MARKERS}, v AS (SELECT channel, event_id, t, t + event_id % 4 * {DAY} AS stop FROM s WHERE kind = 'view'
+), j AS (SELECT m.channel, m.event_id AS mark_id, arg_min(v.event_id, (-v.t, v.event_id)) AS b_id, max(v.t) AS b_start
+  FROM m JOIN v ON v.channel = m.channel AND m.t >= v.t - {HOUR} AND m.t <= v.stop + {HOUR} GROUP BY ALL)
+SELECT m.channel, m.event_id AS mark_id, b_id, b_start FROM m LEFT JOIN j ON j.channel = m.channel AND j.mark_id = m.event_id""",
     ),
     "comb_snap_nearest": Query(
         lambda s, d: pair.nearest(
@@ -128,9 +137,9 @@ FROM m JOIN s ON s.channel = m.channel AND s.kind <> 'error' AND abs(s.t - m.t)
     "theil_sen_slopes": Query(
         lambda s, d: rounded(
             pair.theil_sen(
-                load(s, d, "orders").select(F.col("o_custkey").alias("channel"), F.col("o_orderkey").alias("i"),
+                load(s, d, "orders").select(F.col("o_custkey").alias("channel"),
                                             F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double").alias("x"), (F.col("o_totalprice") * 86400).alias("y")),
-                ["channel"], "x", "y", "i",
+                ["channel"], "x", "y",
             ), "slope",
         ),
         """WITH o AS (SELECT o_custkey AS channel, o_orderkey AS i, CAST(epoch(o_orderdate) AS DOUBLE) AS x, o_totalprice * 86400 AS y FROM orders)
@@ -142,8 +151,8 @@ FROM o a JOIN o b ON a.channel = b.channel AND a.i < b.i AND a.x <> b.x GROUP BY
         f"WITH {TRIALS} SELECT contact, win FROM tr WHERE band = 'O' INTERSECT SELECT contact, win FROM tr WHERE band = 'F'",
     ),
     "missing_channels": Query(
-        lambda s, d: load(s, d, "customer").select(F.col("c_custkey").alias("channel")).join(
-            load(s, d, "orders").select(F.col("o_custkey").alias("channel")), "channel", "left_anti"),
-        "SELECT c_custkey AS channel FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        lambda s, d: load(s, d, "part").select(F.col("p_partkey").alias("channel")).join(
+            load(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("channel")), "channel", "left_anti"),
+        "SELECT p_partkey AS channel FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
     ),
 }

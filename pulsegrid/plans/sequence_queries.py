@@ -92,9 +92,9 @@ QUALIFY row_number() OVER (PARTITION BY channel ORDER BY length DESC, start_idx)
   SELECT channel, "start" AS a, "end" AS z, min("start") OVER (PARTITION BY channel) - {DAY} AS lo,
          max("end") OVER (PARTITION BY channel) + {DAY} AS hi FROM mm
 ), o AS (
-  SELECT channel, coalesce(max(z) OVER (PARTITION BY channel ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {HOUR}, lo) AS x,
+  SELECT channel, coalesce(max(z) OVER (PARTITION BY channel ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo) + {HOUR} AS x,
          a - {HOUR} AS y FROM b
-  UNION ALL SELECT channel, max(z) + {HOUR}, max(hi) FROM b GROUP BY channel
+  UNION ALL SELECT channel, max(z) + {HOUR}, max(hi) - {HOUR} FROM b GROUP BY channel
 )
 SELECT channel, x AS "start", y AS "end" FROM o WHERE y - x >= {2 * HOUR}""",
     ),

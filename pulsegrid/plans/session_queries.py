@@ -21,21 +21,55 @@ def trial_powers(s, d):
 
 
 def sweep(s, d):
-    """Parts as runs with settings: lower, upper, knob."""
-    k = F.col("p_partkey")
+    """Parts as runs of a sweep: three settings, the arms' own among them, and what must not differ."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    dsp = F.when(k % 3 == 1, size / 8).otherwise(0.0)
     return load(s, d, "part").select(
-        k.alias("run_id"), (F.col("p_size") / 10).alias("lower"), (F.when(k % 3 == 0, 7500.0).otherwise(3000.0)).alias("upper"), F.col("p_size").cast("double").alias("knob"), "p_brand")
-
-
-SWEEP = "sw AS (SELECT p_partkey AS run_id, p_size / 10 AS lower, CASE WHEN p_partkey % 3 = 0 THEN 7500.0 ELSE 3000.0 END AS upper, CAST(p_size AS DOUBLE) AS knob, p_brand FROM part)"
-
-
-def arms(s):
-    return s.createDataFrame([("A", 1.0, None), ("B", None, 7500.0), ("C", 2.0, 3000.0)], "arm string, lower double, upper double")
-
-
-ARMS = SWEEP + """, ar AS (SELECT * FROM (VALUES ('A', 1.0, NULL), ('B', NULL, 7500.0), ('C', 2.0, 3000.0)) t(arm, al, au))
-, aa AS (SELECT run_id, arm, knob FROM sw, ar WHERE (al IS NULL OR abs(ln(lower / al)) <= ln(1.25)) AND (au IS NULL OR abs(ln(upper / au)) <= ln(1.25)))"""
+        k.alias("run_id"), F.when(k % 3 == 1, 0.1 + k % 2 * F.lit(0.01)).when(k % 3 == 2, 1.0).otherwise(size * size / 10).alias("lower"), dsp.alias("dsp"),
+        F.when(k % 3 == 2, size * 150).otherwise(7500.0 + k % 4 * 100).alias("upper"), (dsp > 0).alias("dsp_enabled"),
+        (k % 400 == 399).alias("amp_settle"), F.lit(30000.0).alias("rate"),
+    )
+
+
+def evidence(s, d):
+    """Trials as evidence of what sets the recovery, one row for each contact and window."""
+    t, c = trials(s, d), F.col
+    groups = ses.largest_deviation(t, ["contact", "win"], "band", "response").withColumnRenamed("deviation", "amplitude_dev")
+    per = t.groupBy("contact", "win").agg(
+        (F.avg("response") / 25).alias("tau_ratio"), F.avg((c("band") == "O").cast("int")).alias("same_sign"), (F.avg("discount") * 5).alias("f1"),
+        (F.avg("tax") * 27).alias("f2"), F.when(c("contact") % 3 == 0, (F.avg("tax") * 1000 - 40) * 5).alias("impedance_dev"),
+    )
+    per = per.withColumn("current_shift", F.when(c("contact") % 5 == 0, 30.0)).withColumn("dead_shorter", c("contact") % 4 == 0)
+    return per.withColumn("other_dev", F.lit(None).cast("double")).withColumn("other_shift", F.lit(None).cast("double")).join(groups, ["contact", "win"], "left")
+
+
+def placed(s, d):
+    return ses.replicates(ses.assign_arms(sweep(s, d)), "run_id")
+
+
+def _close(a: str, b: str, t: str = "1.25") -> str:
+    return f"CASE WHEN {a} <= 0 OR {b} <= 0 THEN {a} <= 0 AND {b} <= 0 ELSE abs(ln({a} / {b})) <= ln({t}) END"
+
+
+SWEEP = f"""sw AS (
+  SELECT p_partkey AS run_id, CASE WHEN p_partkey % 3 = 1 THEN 1e-1 + p_partkey % 2 * 1e-2 WHEN p_partkey % 3 = 2 THEN 1e0 ELSE CAST(p_size AS DOUBLE) * p_size / 10 END AS lower,
+         CASE WHEN p_partkey % 3 = 1 THEN CAST(p_size AS DOUBLE) / 8 ELSE 0e0 END AS dsp,
+         CASE WHEN p_partkey % 3 = 2 THEN p_size * 15e1 ELSE 75e2 + p_partkey % 4 * 100 END AS upper, p_partkey % 3 = 1 AND p_size > 0 AS dsp_enabled,
+         p_partkey % 400 = 399 AS amp_settle, 3e4 AS rate FROM part
+), aa AS (
+  SELECT *, 'A' AS arm, 'lower' AS knob, lower AS knob_value FROM sw WHERE {_close("dsp", "0e0")} AND {_close("upper", "75e2")}
+  UNION ALL SELECT *, 'B', 'dsp', dsp FROM sw WHERE {_close("lower", "1e-1")} AND {_close("upper", "75e2")}
+  UNION ALL SELECT *, 'C', 'upper', upper FROM sw WHERE {_close("lower", "1e0")} AND {_close("dsp", "0e0")}
+)"""
+PLACED = SWEEP + f""", hd AS (
+  SELECT arm, min(knob_value) AS head FROM aa GROUP BY arm
+  UNION ALL
+  SELECT hd.arm, (SELECT min(knob_value) FROM aa WHERE aa.arm = hd.arm AND aa.knob_value > hd.head AND NOT {_close("hd.head", "aa.knob_value", "1.02")}) FROM hd WHERE hd.head IS NOT NULL
+), ph AS (
+  SELECT aa.*, (SELECT max(head) FROM hd WHERE hd.arm = aa.arm AND head <= knob_value) AS head FROM aa
+), pl AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY arm, head) > 1 THEN chr(CAST(96 + row_number() OVER (PARTITION BY arm, head ORDER BY knob_value, run_id) AS INT)) ELSE '' END AS replicate FROM ph
+)"""
 
 QUERIES = {
     "healthy_channels": Query(
@@ -94,19 +128,29 @@ SELECT contact, round(q25, 6) AS q25, round(m, 6) AS median, round(q75, 6) AS q7
         f"WITH {TRIALS} SELECT contact, win, count(*) AS n, count(*) FILTER (WHERE tax >= 0.06) AS n_true, round(count(*) FILTER (WHERE tax >= 0.06) / count(*), 6) AS fraction FROM tr GROUP BY contact, win",
     ),
     "arm_assignment": Query(
-        lambda s, d: ses.replicates(ses.assign_arms(sweep(s, d), arms(s), 1.25), "arm", "knob", "run_id"),
-        f"""WITH {ARMS}, r AS (SELECT *, count(*) OVER (PARTITION BY arm, round_even(ln(knob) / 0.01, 0)) AS n, row_number() OVER (PARTITION BY arm, round_even(ln(knob) / 0.01, 0) ORDER BY run_id) AS k FROM aa)
-SELECT run_id, arm, knob, CASE WHEN n > 1 AND k <= 26 THEN chr(CAST(96 + k AS INT)) WHEN n > 1 THEN CAST(k AS VARCHAR) ELSE '' END AS replicate FROM r""",
+        lambda s, d: ses.assign_arms(sweep(s, d)).select("run_id", "arm", "knob", "knob_value"),
+        f"WITH {SWEEP} SELECT run_id, arm, knob, knob_value FROM aa",
+    ),
+    "arm_replicates": Query(
+        lambda s, d: placed(s, d).select("run_id", "arm", "knob_value", F.ascii("replicate").alias("replicate")),
+        f"WITH RECURSIVE {PLACED} SELECT run_id, arm, knob_value, CAST(CASE WHEN replicate = '' THEN 0 ELSE ascii(replicate) END AS INT) AS replicate FROM pl",
     ),
     "duplicate_policy_last": Query(
-        lambda s, d: ses.duplicates(ses.assign_arms(sweep(s, d), arms(s), 1.25), ["arm", "knob"], "run_id", "last"),
-        f"WITH {ARMS} SELECT run_id, arm, knob FROM aa QUALIFY row_number() OVER (PARTITION BY arm, knob ORDER BY run_id DESC) = 1",
+        lambda s, d: ses.duplicates(placed(s, d), "run_id", "last").select("run_id", "arm", "knob_value"),
+        f"""WITH RECURSIVE {PLACED}, kp AS (SELECT *, max(run_id) FILTER (WHERE replicate <> '') OVER (PARTITION BY arm) AS kept FROM pl)
+SELECT run_id, arm, knob_value FROM kp WHERE replicate = '' OR run_id = kept""",
     ),
     "one_knob_check": Query(
-        lambda s, d: ses.one_knob(ses.assign_arms(sweep(s, d), arms(s), 1.25).join(sweep(s, d).select("run_id", "upper", "p_brand"), "run_id"), "arm", "run_id", "knob", ["upper", "p_brand"]),
-        f"""WITH {ARMS}, f AS (SELECT aa.*, upper, p_brand, first_value(upper) OVER w AS fu, first_value(p_brand) OVER w AS fb FROM aa JOIN sw USING (run_id) WINDOW w AS (PARTITION BY arm ORDER BY aa.run_id)
-), g AS (SELECT arm, concat_ws('|', CASE WHEN bool_or(upper <> fu) THEN 'upper' END, CASE WHEN bool_or(p_brand <> fb) THEN 'p_brand' END) AS violations, count(DISTINCT round(ln(knob), 3)) AS n_levels FROM f GROUP BY arm)
-SELECT arm, violations, n_levels, violations = '' AND n_levels > 1 AS ok FROM g""",
+        lambda s, d: ses.one_knob(ses.assign_arms(sweep(s, d)), "run_id", ["rate", "amp_settle", "dsp_enabled"]),
+        f"""WITH {SWEEP}, f AS (
+  SELECT *, first_value(lower) OVER w AS fl, first_value(dsp) OVER w AS fd, first_value(upper) OVER w AS fu, first_value(rate) OVER w AS fr, first_value(amp_settle) OVER w AS fa,
+         first_value(dsp_enabled) OVER w AS fe FROM aa WINDOW w AS (PARTITION BY arm ORDER BY run_id)
+), g AS (
+  SELECT arm, count(*) AS n_runs, concat_ws('|', CASE WHEN bool_or(knob <> 'lower' AND NOT ({_close("lower", "fl")})) THEN 'lower' END, CASE WHEN bool_or(knob <> 'dsp' AND NOT ({_close("dsp", "fd")})) THEN 'dsp' END,
+           CASE WHEN bool_or(knob <> 'upper' AND NOT ({_close("upper", "fu")})) THEN 'upper' END, CASE WHEN bool_or(rate <> fr) THEN 'rate' END,
+           CASE WHEN bool_or(amp_settle <> fa) THEN 'amp_settle' END, CASE WHEN bool_or(knob = 'dsp' AND dsp_enabled <> fe AND least(dsp, fd) > 0) THEN 'dsp_enabled' END) AS violations,
+         count(DISTINCT CASE WHEN knob_value > 0 THEN round(ln(knob_value), 3) ELSE -99 END) AS n_levels FROM f GROUP BY arm)
+SELECT arm, n_runs, violations, n_levels, violations = '' AND n_levels > 1 AS ok FROM g""",
     ),
     "session_settings": Query(
         lambda s, d: ses.single_valued(trials(s, d).withColumn("half", F.bround(F.col("response") / 25) * 0.5), "run_id", "half"),
@@ -114,18 +158,36 @@ SELECT arm, violations, n_levels, violations = '' AND n_levels > 1 AS ok FROM g"
 SELECT run_id, string_agg(CAST(h AS VARCHAR), ',' ORDER BY h) AS distinct_values, count(*) = 1 AS single FROM v GROUP BY run_id""",
     ),
     "diagnosis_labels": Query(
-        lambda s, d: ses.diagnosis(trials(s, d).groupBy("contact", "win").agg((F.avg("response") / 25).alias("ratio"), F.avg((F.col("band") == "O").cast("int")).alias("same"), (F.avg("tax") / F.avg("discount")).alias("dl")), "ratio", "same", "dl").select("contact", "win", "label"),
-        f"""WITH {TRIALS}, g AS (SELECT contact, win, avg(response) / 25 AS r, avg(CASE WHEN band = 'O' THEN 1 ELSE 0 END) AS s, avg(tax) / avg(discount) AS dl FROM tr GROUP BY contact, win)
-SELECT contact, win, CASE WHEN r IS NULL THEN 'insufficient' WHEN abs(r - 1) <= 0.2 AND s < 0.5 THEN 'filter_dominated' WHEN dl < 0.8 THEN 'tissue' ELSE 'mixed' END AS label FROM g""",
+        lambda s, d: six(ses.diagnosis(evidence(s, d)).select("contact", "win", "invariant", "tail_fraction", "dsp_fraction", "label")),
+        f"""WITH {TRIALS}, p AS (SELECT contact, win, quantile_cont(response, 0.5) AS al FROM tr GROUP BY contact, win
+), b AS (SELECT contact, win, band, quantile_cont(response, 0.5) AS m FROM tr GROUP BY ALL HAVING count(*) >= 10
+), dv AS (SELECT contact, win, 100 * max(abs(m / al - 1)) AS dev FROM b JOIN p USING (contact, win) GROUP BY ALL
+), g AS (
+  SELECT contact, win, avg(response) / 25 AS r, avg(CASE WHEN band = 'O' THEN 1 ELSE 0 END) AS s, avg(discount) * 5 AS f1, avg(tax) * 27 AS f2,
+         CASE WHEN contact % 3 = 0 THEN (avg(tax) * 1000 - 40) * 5 END AS idev, CASE WHEN contact % 5 = 0 THEN 30e0 END AS cs, contact % 4 = 0 AS ds FROM tr GROUP BY contact, win
+), e AS (SELECT g.*, dev FROM g LEFT JOIN dv USING (contact, win)
+), i AS (SELECT *, CASE WHEN greatest(abs(dev), abs(idev)) IS NOT NULL THEN greatest(abs(dev), abs(idev)) <= 20 WHEN cs IS NOT NULL THEN abs(cs) <= 20 ELSE false END AS inv,
+         abs(r - 1) <= 0.2 AS mt, s < 0.5 AS op, coalesce(abs(cs) > 20, false) OR coalesce(dev > 20, false) AS cu, coalesce(idev > 20, false) AS im FROM e)
+SELECT contact, win, inv AS invariant, round(1 - f1, 6) AS tail_fraction, round(1 - f2, 6) AS dsp_fraction,
+       CASE WHEN mt AND inv AND op AND f1 <= 0.25 THEN 'FILTER-DOMINATED'
+            WHEN op AND mt AND NOT inv THEN 'MIXED (DSP-shaped opposite-sign tail, but tau varies with condition)'
+            WHEN NOT op AND ds THEN 'MIXED (same-sign tail; post-mortem shorter -> a biological contribution exists)'
+            WHEN NOT op THEN 'ELECTRODE / ANALOG FRONT-END-DOMINATED (same-sign tail' || CASE WHEN cu THEN ', current-dependent' ELSE '' END ||
+                 CASE WHEN im THEN ', impedance-dependent' ELSE '' END || CASE WHEN f2 > 1.1 THEN ', DSP shortens rather than causes it' ELSE '' END || ')'
+            WHEN im AND NOT cu THEN 'ELECTRODE-DOMINATED' ELSE 'MIXED' END AS label FROM i""",
     ),
     "decomposition_prediction": Query(
         lambda s, d: six(trials(s, d).select("run_id", "event_number", "contact", "part", ses.exit_time(F.col("metric") / 10, 100.0, F.col("discount") * 100, F.col("response")).alias("predicted_ms")), "predicted_ms"),
         f"WITH {TRIALS} SELECT run_id, event_number, contact, part, round(CASE WHEN metric / 10 > 100 THEN discount * 100 + response * ln(metric / 10 / 100) END, 6) AS predicted_ms FROM tr",
     ),
     "slope_verdicts": Query(
-        lambda s, d: reg.slope_verdict(trials(s, d).groupBy("contact", "win").agg((F.avg("discount") * 18).alias("lo"), (F.avg("tax") * 30).alias("hi")), "lo", "hi").select("contact", "win", "verdict"),
-        f"""WITH {TRIALS}, g AS (SELECT contact, win, avg(discount) * 18 AS lo, avg(tax) * 30 AS hi FROM tr GROUP BY contact, win)
-SELECT contact, win, CASE WHEN lo IS NULL OR hi IS NULL THEN 'insufficient' WHEN lo <= 1 AND hi >= 1 THEN 'filter_limited' WHEN hi < 0.2 THEN 'independent' ELSE 'mixed' END AS verdict FROM g""",
+        lambda s, d: reg.slope_verdict(trials(s, d).groupBy("contact", "win").agg((F.avg("discount") * 40 - 1.5).alias("lo"), (F.avg("tax") * 40 - 0.4).alias("hi")).where("lo <= hi OR contact % 2 = 0")
+                                       .withColumn("lo", F.when(F.col("contact") % 9 != 0, F.least("lo", "hi"))), "lo", "hi").select("contact", "win", "verdict"),
+        f"""WITH {TRIALS}, g AS (SELECT contact, win, avg(discount) * 40 - 15e-1 AS l0, avg(tax) * 40 - 4e-1 AS hi FROM tr GROUP BY contact, win
+), h AS (SELECT contact, win, CASE WHEN contact % 9 <> 0 THEN least(l0, hi) END AS lo, hi FROM g WHERE l0 <= hi OR contact % 2 = 0)
+SELECT contact, win, CASE WHEN lo IS NULL OR hi IS NULL THEN 'insufficient'
+  WHEN lo >= 0.75 AND hi <= 1.25 OR lo <= 1 AND hi >= 1 AND NOT (lo <= 0 AND hi >= 0) AND hi - lo < 1 THEN '~1'
+  WHEN lo >= -0.25 AND hi <= 0.25 OR lo <= 0 AND hi >= 0 AND NOT (lo <= 1 AND hi >= 1) THEN 'flat' ELSE 'intermediate' END AS verdict FROM h""",
     ),
     "event_chunks": Query(
         lambda s, d: ses.chunks(markers(s, d), ["channel"], ["t", "event_id"], 5).groupBy("channel", "part").agg(F.count("*").alias("n"), F.min("t").alias("first_t")),

@@ -1,53 +1,140 @@
-"""Signal kernels on the driver's tables: each channel's values as an evenly sampled signal of small blocks."""
+"""Signal operators on the driver's tables: each channel is a run whose values are an evenly sampled signal of small
+blocks, and its markers are the pulses."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import evoked, resampling, tails
 from ..operators import signals as sig
-from .bindings import SIGNAL, signal
+from .bindings import HOUR, SIGNAL, signal, trials
 from .query import Query
 from .summary_queries import six
 
 BLOCK = 8
 RATE = 100.0
+BANDS = {"low": (2.0, 8.0), "high": (10.0, 30.0)}
+#: Windows in milliseconds that suit signals of some dozens of samples at 100 Hz.
+PROTOCOL = evoked.Protocol(period=150.0, pre=40.0, response=90.0, pulse=20.0, guard=10.0, gap_start=100.0, gap_end=140.0, peak_lowpass_hz=0.0, search=10.0)
 
 
 def numbered(s, d):
     w = Window.partitionBy("channel").orderBy("t", "event_id")
-    return signal(s, d).withColumn("idx", F.row_number().over(w) - 1)
+    return signal(s, d).withColumn("idx", F.row_number().over(w) - 1).withColumn("run_id", F.col("channel").cast("string"))
 
 
 def blocks(s, d):
-    """run_id, channel, block_no, samples of full blocks."""
-    n = numbered(s, d).withColumn("block_no", F.floor(F.col("idx") / BLOCK))
-    per = n.groupBy("channel", "block_no").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("v"))
-    return per.where(F.size("v") == BLOCK).select(
-        F.lit("events").alias("run_id"), F.col("channel").cast("string").alias("channel"), "block_no", F.transform("v", lambda r: r["value"]).alias("samples")
-    )
+    """run_id, channel, block_no, samples; a run's last block may be shorter."""
+    n = numbered(s, d).withColumn("block_no", F.floor(F.col("idx") / BLOCK).cast("long"))
+    per = n.groupBy("run_id", "block_no").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("v"))
+    return per.select("run_id", F.lit("value").alias("channel"), "block_no", F.transform("v", lambda r: r["value"]).alias("samples"))
 
 
 def onsets(s, d):
-    return s.range(6).select(F.lit("events").alias("run_id"), F.col("id").alias("event_number"), (F.col("id") * 11 + 5).alias("onset_sample"))
+    """The markers of each run as pulses."""
+    m = numbered(s, d).where("kind = 'error'")
+    return m.select("run_id", F.col("event_id").alias("event_number"), F.col("idx").cast("long").alias("onset_sample"))
+
+
+def spans(s, d):
+    """First and last marker of each run as its train."""
+    return onsets(s, d).groupBy("run_id").agg(F.min("onset_sample").alias("train_start"), (F.max("onset_sample") + 1).alias("train_stop"), F.lit(9.0).alias("rate_hz"))
+
+
+SAMPLES = SIGNAL + """, i AS (
+  SELECT CAST(channel AS VARCHAR) AS run_id, event_id, kind, value, row_number() OVER (PARTITION BY channel ORDER BY t, event_id) - 1 AS idx, count(*) OVER (PARTITION BY channel) AS total FROM s
+), o AS (SELECT run_id, event_id AS event_number, idx AS onset, total FROM i WHERE kind = 'error')"""
+# the responses of PROTOCOL: 4 samples before, 9 behind, a pulse of 2, the part behind it from the third on, the gap 10..13
+RESPONSES = SAMPLES + """, e AS (
+  SELECT o.run_id, event_number, idx - onset AS k, value, avg(value) FILTER (WHERE idx < onset) OVER (PARTITION BY o.run_id, event_number) AS base
+  FROM o JOIN i ON i.run_id = o.run_id AND idx >= onset - 4 AND idx < onset + 9 WHERE onset >= 4 AND onset + 9 <= o.total
+), r AS (SELECT *, value - base AS v FROM e
+), g AS (
+  SELECT o.run_id, event_number, max(value) - min(value) AS gap_uv FROM o JOIN i ON i.run_id = o.run_id AND idx >= onset + 10 AND idx < onset + 14
+  WHERE onset + 14 <= o.total GROUP BY o.run_id, event_number
+), pr AS (
+  SELECT run_id, event_number, max(v) FILTER (WHERE k >= 0) - min(v) FILTER (WHERE k >= 0) AS range_uv,
+         arg_max(k, (abs(v), -k)) FILTER (WHERE k >= 0) * 10.0 AS latency_ms, max(v) FILTER (WHERE k BETWEEN 0 AND 2) - min(v) FILTER (WHERE k BETWEEN 0 AND 2) AS during_uv,
+         max(v) FILTER (WHERE k >= 3) - min(v) FILTER (WHERE k >= 3) AS post_uv, arg_max(k, (abs(v), -k)) FILTER (WHERE k >= 3) * 10.0 AS post_latency_ms,
+         sum(v * v) FILTER (WHERE k >= 2) / sum(v * v) FILTER (WHERE k >= 0) AS tail, stddev_pop(value) FILTER (WHERE k < 0) AS baseline_sd FROM r GROUP BY run_id, event_number
+), pg AS (SELECT pr.*, gap_uv FROM pr LEFT JOIN g USING (run_id, event_number))"""
+
+
+def responses(s, d):
+    return evoked.pulse_responses(blocks(s, d), onsets(s, d), RATE, PROTOCOL, BLOCK)
+
+
+def found_peaks(s, d):
+    w = evoked.mean_waveforms(blocks(s, d), onsets(s, d), RATE, PROTOCOL, BLOCK)
+    return evoked.peaks(w.join(evoked.evoked_summary(responses(s, d)).select("run_id", "channel", "baseline_sd"), ["run_id", "channel"]), RATE, PROTOCOL)
 
 
 QUERIES = {
     "epoch_extraction": Query(
         lambda s, d: six(sig.epochs(blocks(s, d), onsets(s, d), -4, 9, 0, BLOCK).select(
-            "channel", "event_number", "zero", F.size("x").alias("n"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("total"))),
-        f"""WITH {SIGNAL}, i AS (SELECT CAST(channel AS VARCHAR) AS channel, value, row_number() OVER (PARTITION BY channel ORDER BY t, event_id) - 1 AS idx FROM s
-), n AS (SELECT channel, count(*) // {BLOCK} * {BLOCK} AS n FROM i GROUP BY channel
-), o AS (SELECT k AS event_number, k * 11 + 5 AS onset FROM range(6) r(k))
-SELECT i.channel, event_number, 4 AS zero, CAST(count(*) AS INT) AS n, round(sum(value), 6) AS total
-FROM i JOIN n USING (channel) JOIN o ON idx >= onset - 4 AND idx < onset + 9 AND onset + 9 <= n AND onset >= 4
-GROUP BY i.channel, event_number""",
+            "run_id", "event_number", "zero", F.size("x").alias("n"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("total"))),
+        f"""WITH {SAMPLES}
+SELECT o.run_id, event_number, 4 AS zero, CAST(count(*) AS INT) AS n, round(sum(value), 6) AS total
+FROM o JOIN i ON i.run_id = o.run_id AND idx >= onset - 4 AND idx < onset + 9 WHERE onset >= 4 AND onset + 9 <= o.total GROUP BY o.run_id, event_number""",
+    ),
+    "pulse_responses": Query(
+        lambda s, d: six(responses(s, d).drop("channel")),
+        f"""WITH {RESPONSES} SELECT run_id, event_number, round(range_uv, 6) AS range_uv, latency_ms, round(during_uv, 6) AS during_uv, round(post_uv, 6) AS post_uv, post_latency_ms,
+       round(tail, 6) AS tail, round(baseline_sd, 6) AS baseline_sd, round(gap_uv, 6) AS gap_uv FROM pg""",
+    ),
+    "evoked_summary": Query(
+        lambda s, d: six(evoked.evoked_summary(responses(s, d)).select("run_id", "n_pulses", "range_uv", "range_iqr", "latency_ms", "post_iqr", "tail", "gap_uv", "snr")),
+        f"""WITH {RESPONSES}, q AS (SELECT run_id, count(*) AS n_pulses, quantile_cont(range_uv, 0.5) AS ra, quantile_cont(range_uv, 0.75) - quantile_cont(range_uv, 0.25) AS ri,
+  quantile_cont(latency_ms, 0.5) AS la, quantile_cont(post_uv, 0.75) - quantile_cont(post_uv, 0.25) AS pi, quantile_cont(tail, 0.5) AS ta, quantile_cont(gap_uv, 0.5) AS ga FROM pg GROUP BY run_id)
+SELECT run_id, n_pulses, round(ra, 6) AS range_uv, round(ri, 6) AS range_iqr, round(la, 6) AS latency_ms, round(pi, 6) AS post_iqr, round(ta, 6) AS tail, round(ga, 6) AS gap_uv,
+       round(CASE WHEN ga <> 0 THEN ra / ga END, 6) AS snr FROM q""",
+    ),
+    "mean_waveforms": Query(
+        lambda s, d: six(evoked.mean_waveforms(blocks(s, d), onsets(s, d), RATE, PROTOCOL, BLOCK).select("run_id", "n_pulses", F.posexplode("waveform").alias("k", "mean"))),
+        f"""WITH {RESPONSES} SELECT run_id, count(*) AS n_pulses, CAST(k + 4 AS INT) AS k, round(avg(v), 6) + 0.0 AS mean FROM r GROUP BY run_id, k""",
+    ),
+    "evoked_peaks": Query(lambda s, d: six(found_peaks(s, d))),
+    "evoked_peak_summary": Query(lambda s, d: six(evoked.peak_summary(
+        evoked.peak_trials(blocks(s, d), onsets(s, d), found_peaks(s, d), RATE, PROTOCOL, BLOCK), evoked.evoked_summary(responses(s, d)), PROTOCOL))),
+    "local_centre_and_drift": Query(
+        lambda s, d: six(evoked.local_centre(blocks(s, d), onsets(s, d), -6, -1, BLOCK).drop("channel")),
+        f"""WITH {SAMPLES} SELECT o.run_id, event_number, round(avg(value), 6) AS centre, round(regr_slope(value, idx) * 4, 6) + 0.0 AS drift
+FROM o JOIN i ON i.run_id = o.run_id AND idx >= onset - 6 AND idx < onset - 1 WHERE onset >= 6 GROUP BY o.run_id, event_number""",
+    ),
+    "clean_span_deviation": Query(
+        lambda s, d: six(evoked.span_deviation(blocks(s, d), evoked.clean_spans(
+            spans(s, d).join(numbered(s, d).groupBy("run_id").agg(F.count("*").alias("n_samples")), "run_id").select("run_id", F.col("train_start").alias("first_onset"), (F.col("train_stop") - 1).alias("last_onset"), "n_samples"),
+            RATE, 0.01, 0.02, 0.03, 0.02), BLOCK).drop("channel")),
+        f"""WITH {SAMPLES}, tr AS (SELECT run_id, min(onset) AS a, max(onset) AS z, any_value(total) AS n FROM o GROUP BY run_id
+), sp AS (SELECT run_id, CASE WHEN a - 2 - CASE WHEN a - 2 - 1 >= 3 THEN 1 ELSE greatest(0, a - 5) END >= 3 THEN 'pre-train' ELSE 'post-train' END AS source,
+                 CASE WHEN a - 2 - 1 >= 3 THEN 1 ELSE greatest(0, a - 5) END AS b, a - 2 AS e, z + 2 AS c, n FROM tr
+), sq AS (SELECT run_id, source, CASE WHEN source = 'pre-train' THEN b ELSE c END AS "start", CASE WHEN source = 'pre-train' THEN e ELSE n END AS stop FROM sp)
+SELECT sq.run_id, source, "start", stop, count(*) AS n, round(stddev_samp(value), 6) AS sd FROM sq JOIN i ON i.run_id = sq.run_id AND idx >= "start" AND idx < stop
+WHERE stop - "start" >= 3 GROUP BY sq.run_id, source, "start", stop""",
+    ),
+    "train_band_change": Query(lambda s, d: six(evoked.train_band_change(blocks(s, d), spans(s, d).withColumn("train_start", F.col("train_start") + 100), RATE, BANDS, 0.32, BLOCK))),
+    "gap_band_change": Query(lambda s, d: six(evoked.gap_band_change(blocks(s, d), onsets(s, d), RATE, evoked.Protocol(period=425.0), {"high": (10.0, 30.0)}, BLOCK))),
+    "post_train_change": Query(lambda s, d: six(evoked.post_train_change(blocks(s, d), onsets(s, d).select(
+        "run_id", F.col("onset_sample").alias("train_start"), (F.col("onset_sample") + 1).alias("train_stop")).groupBy("run_id").agg(F.percentile_approx("train_start", 0.5).alias("train_start"),
+        (F.percentile_approx("train_start", 0.5) + 1).alias("train_stop")), RATE, 0.02, 0.33, BLOCK))),
+    "pulse_train_recovery": Query(lambda s, d: six(evoked.recover_trains(blocks(s, d), RATE, evoked.Comb(5, 20.0, 0.1, 10.0, 0.05, 0.3), BLOCK).drop("onsets_s"))),
+    "tail_fits": Query(lambda s, d: six(tails.tail_fits(blocks(s, d), onsets(s, d), RATE, 95.0, (-50.0, 0.0), 400.0, 10.0, 30.0, block_size=BLOCK))),
+    "highpass_removed": Query(
+        lambda s, d: six(tails.without_highpass(blocks(s, d), 4, 95.0).select("run_id", "block_no", F.posexplode("samples").alias("k", "x"))),
+        f"""WITH {SAMPLES}, c AS (SELECT run_id, idx, value / (1 - 625e-4) AS y, coalesce(sum(CASE WHEN abs(value) >= 95 THEN 0e0 ELSE value END)
+  OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS b FROM i)
+SELECT run_id, idx // {BLOCK} AS block_no, CAST(idx % {BLOCK} AS INT) AS k, round(y + 625e-4 / (1 - 625e-4) * b, 6) AS x FROM c""",
     ),
     "event_band_power": Query(
-        lambda s, d: six(sig.event_power(blocks(s, d), onsets(s, d), RATE, {"low": (2.0, 8.0), "high": (10.0, 30.0)}, {"base": (-50.0, 0.0), "post": (0.0, 50.0)}, (-10.0, 10.0), 80.0, 2, BLOCK)),
+        lambda s, d: six(sig.event_power(blocks(s, d), onsets(s, d), RATE, BANDS, {"base": (-50.0, 0.0), "post": (0.0, 50.0)}, (-10.0, 10.0), 80.0, 2, BLOCK)),
     ),
     "event_recovery_kernel": Query(lambda s, d: six(sig.event_recovery(blocks(s, d), onsets(s, d), RATE, (-50.0, 0.0), 100.0, 30.0, 2.0, 1.0, BLOCK))),
-    "welch_band_power": Query(lambda s, d: six(sig.spectra(sig.channel_arrays(blocks(s, d)), RATE, 32, {"low": (2.0, 8.0), "high": (10.0, 30.0)}, 5.0))),
+    "welch_band_power": Query(lambda s, d: six(sig.spectra(sig.channel_arrays(blocks(s, d)), RATE, 32, BANDS, 5.0))),
     "spike_detection": Query(lambda s, d: sig.detect_spikes(sig.channel_arrays(blocks(s, d)), 1000.0, 2, 3, 1, 2.0).drop("waveform")),
-    "bootstrap_medians": Query(lambda s, d: six(sig.bootstrap_medians(signal(s, d), ["channel", "kind"], "value", 200))),
+    "bootstrap_medians": Query(lambda s, d: six(resampling.median_intervals(signal(s, d), ["channel", "kind"], "value", 200))),
+    "paired_db_intervals": Query(lambda s, d: six(resampling.paired_db_intervals(
+        trials(s, d).select("contact", "run_id", "event_number", "part", (F.col("discount") + 0.01).alias("base"), (F.col("tax") + 0.01).alias("post")), ["contact"], "base", "post", ["run_id", "event_number", "part"], 200))),
+    "fake_onsets": Query(lambda s, d: resampling.fake_onsets(
+        signal(s, d).groupBy("channel").agg((F.min("t") + HOUR).alias("start"), (F.max("t") - HOUR).alias("end")), ["channel"], 20, 6 * HOUR)),
 }

@@ -16,27 +16,36 @@ def six(df, *cols):
     return df.select(*[F.round(c, 6).alias(c) if c in picked else F.col(f"`{c}`") for c in df.columns])
 
 
-# trials as recoveries: milliseconds 0..500 by quantity, censored at the top, contaminated by discount
+# trials as recoveries: milliseconds 10..500 by quantity, censored at the top, contaminated by discount
+GATES = gate.Gates(quantile=0.8, margin=5.0, epoch_end=480.0, post_length=200.0, post_start_max=420.0, early=250.0, late_start=410.0, min_trials=20)
+
 RECOVERY = TRIALS + """, rc AS (
-  SELECT *, response * 10 AS recovery, response >= 49 AS censored, discount >= 0.09 AS dirty FROM tr
-), cw AS (
-  SELECT contact, band, count(*) AS n_trials, count(*) FILTER (WHERE censored) AS n_censored,
-         count(*) FILTER (WHERE dirty) AS n_contaminated,
-         quantile_cont(recovery, 0.25) FILTER (WHERE NOT censored AND NOT dirty) AS p25,
-         quantile_cont(recovery, 0.5) FILTER (WHERE NOT censored AND NOT dirty) AS p50,
-         quantile_cont(recovery, 0.75) FILTER (WHERE NOT censored AND NOT dirty) AS p75,
-         quantile_cont(recovery, 0.9) FILTER (WHERE NOT censored AND NOT dirty) AS p90,
-         quantile_cont(recovery, 0.8) FILTER (WHERE NOT censored AND NOT dirty) AS recovery_q,
-         max(recovery) FILTER (WHERE NOT censored AND NOT dirty) AS recovery_max,
-         count(*) FILTER (WHERE NOT censored AND NOT dirty AND recovery < 400) AS n_late
+  SELECT *, response * 10 AS recovery, response >= 49 AS censored, discount >= 0.09 AS dirty, contact % 3 * 150.0 + 1 AS fl FROM tr
+), qu AS (
+  SELECT contact, band, count(*) AS n_trials, count(*) FILTER (WHERE censored) AS n_censored, count(*) FILTER (WHERE dirty) AS n_contaminated,
+         quantile_cont(recovery, 0.25) AS p25, quantile_cont(recovery, 0.5) AS p50, quantile_cont(recovery, 0.75) AS p75,
+         quantile_cont(recovery, 0.9) AS p90, quantile_cont(recovery, 0.8) AS recovery_q, max(recovery) AS recovery_max, max(fl) AS floor
   FROM rc GROUP BY contact, band
+), ps AS (SELECT *, least(greatest(recovery_q + 5, floor), 480) AS post_start FROM qu
+), pe AS (SELECT *, least(post_start + 200, 480) AS post_end FROM ps
+), rt AS (
+  SELECT rc.*, NOT censored AND NOT dirty AND recovery + 5 <= post_start AS retained_early,
+         NOT censored AND NOT dirty AND recovery + 5 < 410 AS retained_late FROM rc JOIN pe USING (contact, band)
+), kp AS (
+  SELECT contact, band, count(*) FILTER (WHERE retained_early) AS n_retained_early, count(*) FILTER (WHERE retained_late) AS n_retained_late
+  FROM rt GROUP BY contact, band
 ), cv AS (
-  SELECT *, recovery_q + 5 AS post_start,
-         CASE WHEN p50 <= 250 THEN 'early_ok' WHEN recovery_q + 5 < 400 AND n_late >= 20 THEN 'late_only' ELSE 'unusable' END AS verdict
-  FROM cw
+  SELECT pe.*, n_retained_early, n_retained_late,
+         CASE WHEN post_start <= 420 AND post_end > post_start AND n_retained_early >= 20 AND p50 <= 250 THEN 'early_ok'
+              WHEN recovery_q + 5 < 410 AND n_retained_late >= 20 THEN 'late_only' ELSE 'unusable' END AS verdict
+  FROM pe JOIN kp USING (contact, band)
 )"""
 
 
+def usable():
+    return F.col("censored"), F.col("dirty")
+
+
 def recoveries(s, d):
     return trials(s, d).select(
         "run_id", "event_number", "contact", "band", "part", (F.col("response") * 10).alias("recovery"),
@@ -45,32 +54,88 @@ def recoveries(s, d):
 
 
 def windows(s, d):
-    return gate.condition_windows(
-        recoveries(s, d), ["contact", "band"], "recovery", F.col("censored"), F.col("dirty"), 0.8, 250.0, 400.0, 5.0, 20
-    )
+    return gate.condition_windows(recoveries(s, d), ["contact", "band"], "recovery", *usable(), F.col("contact") % 3 * 150.0 + 1, GATES)
 
 
 def runs(s, d):
-    """Orders as runs: session, phase, amplitude, pairing and a manifest for some."""
-    o = load(s, d, "orders")
-    k = F.col("o_orderkey")
-    return o.select(
-        F.col("o_custkey").alias("session"),
-        k.alias("run_id"),
-        F.when(k % 11 != 0, 100.0 + 100 * (k % 3 == 0).cast("int")).alias("phase"),
-        (F.floor(F.col("o_totalprice") / 50000) * 10).cast("double").alias("amplitude"),
-        (k % 13 == 0).alias("paired"),
-        F.when(k % 17 == 0, "manual").alias("manifest_block"),
-        F.col("o_orderpriority").alias("label"),
-    )
+    """Orders as runs: what was found, what settings, folder and manifest say."""
+    k, c = F.col("o_orderkey"), F.col
+    found = F.when(k % 11 == 0, 0).otherwise(20 - F.when(k % 7 == 0, 4).otherwise(0) + F.when(k % 19 == 0, 1).otherwise(0))
+    amplitude = F.floor(c("o_totalprice") / 50000).cast("double") * 10 + k % 4 * F.lit(0.4)
+    phase = 200.0 + F.when(k % 3 == 0, 100.0).otherwise(0.0) + k % 6 * F.lit(1.5)
+    base = load(s, d, "orders").select(
+        c("o_custkey").alias("session"), k.alias("run_id"), c("o_orderpriority").alias("label"), found.alias("n_detected"),
+        amplitude.alias("amplitude"), phase.alias("phase"),
+    )
+    k = c("run_id")
+    return base.select(
+        "*", F.when(k % 37 == 0, "unreadable").alias("error"), (k % 5 != 0).alias("has_settings"), F.lit(30000.0).alias("rate"),
+        F.when(k % 41 == 0, 30001.0).otherwise(30000.0).alias("settings_rate"), F.when(k % 13 == 0, 10).otherwise(1).alias("n_trains"),
+        F.when(k % 5 != 0, F.when(k % 13 == 0, 2).otherwise(20)).alias("pulses_per_trigger"), F.when(k % 10 == 0, 20).alias("folder_pulses"),
+        F.when(k % 13 == 0, 0.1).otherwise(1.0).alias("ipi_s"), F.when(k % 26 == 0, 150.0).otherwise(1000.0).alias("train_period_ms"),
+        (k % 31 == 0).alias("compliance_bit"), F.when(k % 43 == 0, 2).otherwise(0).alias("gaps"), F.when(k % 3 == 0, 1).otherwise(-1).alias("first_sign"),
+        F.when(k % 2 == 0, "NegativeFirst").when(k % 7 == 1, "").otherwise("PositiveFirst").alias("polarity_settings"),
+        F.when(k % 6 != 0, 2.0).alias("step"), (c("amplitude") + k % 9 * F.lit(0.5)).alias("amplitude_settings"),
+        (c("amplitude") - k % 8 * F.lit(0.4)).alias("amplitude_folder"), (c("phase") + k % 12 * F.lit(5.0)).alias("phase_settings"),
+        F.when(k % 4 != 0, c("phase") - k % 13 * F.lit(5.0)).alias("phase_folder"), (k % 29 == 0).alias("impedance_missing"),
+        F.when(k % 17 == 0, "Block2").when(k % 51 == 1, " ").alias("manifest_block"), F.when(k % 34 == 0, "no").when(k % 23 == 0, "Yes").alias("manifest_include"),
+    )
 
 
-RUNS = """ru AS (
-  SELECT o_custkey AS session, o_orderkey AS run_id,
-         CASE WHEN o_orderkey % 11 <> 0 THEN 100.0 + 100 * CAST(o_orderkey % 3 = 0 AS INT) END AS phase,
-         floor(o_totalprice / 50000) * 10 AS amplitude, o_orderkey % 13 = 0 AS paired,
-         CASE WHEN o_orderkey % 17 = 0 THEN 'manual' END AS manifest_block, o_orderpriority AS label
+RUNS = """r0 AS (
+  SELECT o_custkey AS session, o_orderkey AS run_id, o_orderkey AS k, o_orderpriority AS label,
+         CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 20 - CASE WHEN o_orderkey % 7 = 0 THEN 4 ELSE 0 END + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END END AS n_detected,
+         floor(o_totalprice / 50000) * 10 + o_orderkey % 4 * 4e-1 AS amplitude,
+         2e2 + CASE WHEN o_orderkey % 3 = 0 THEN 1e2 ELSE 0e0 END + o_orderkey % 6 * 15e-1 AS phase
   FROM orders
+), ru AS (
+  SELECT *, CASE WHEN k % 37 = 0 THEN 'unreadable' END AS error, k % 5 <> 0 AS has_settings, 3e4 AS rate,
+         CASE WHEN k % 41 = 0 THEN 30001e0 ELSE 3e4 END AS settings_rate, CASE WHEN k % 13 = 0 THEN 10 ELSE 1 END AS n_trains,
+         CASE WHEN k % 5 = 0 THEN NULL WHEN k % 13 = 0 THEN 2 ELSE 20 END AS pulses_per_trigger, CASE WHEN k % 10 = 0 THEN 20 END AS folder_pulses,
+         CASE WHEN k % 13 = 0 THEN 1e-1 ELSE 1e0 END AS ipi_s, CASE WHEN k % 26 = 0 THEN 150e0 ELSE 1e3 END AS train_period_ms,
+         k % 31 = 0 AS compliance_bit, CASE WHEN k % 43 = 0 THEN 2 ELSE 0 END AS gaps, CASE WHEN k % 3 = 0 THEN 1 ELSE -1 END AS first_sign,
+         CASE WHEN k % 2 = 0 THEN -1 WHEN k % 7 <> 1 THEN 1 END AS expected, CASE WHEN k % 6 <> 0 THEN 2e0 END AS step,
+         amplitude + k % 9 * 5e-1 AS amplitude_settings, amplitude - k % 8 * 4e-1 AS amplitude_folder, phase + k % 12 * 5e0 AS phase_settings,
+         CASE WHEN k % 4 <> 0 THEN phase - k % 13 * 5e0 END AS phase_folder, k % 29 = 0 AS impedance_missing,
+         CASE WHEN k % 17 = 0 THEN 'block2' ELSE '' END AS named, CASE WHEN k % 34 = 0 THEN 'no' WHEN k % 23 = 0 THEN 'yes' ELSE '' END AS include
+  FROM r0
+), v0 AS (
+  SELECT *, CASE WHEN error IS NOT NULL THEN 'error' WHEN n_detected > 0 THEN 'ok' ELSE 'no_stim' END AS status, error IS NULL AND n_detected > 0 AS ok,
+         has_settings AND coalesce(pulses_per_trigger, 0) > 0 AS by_settings FROM ru
+), v1 AS (
+  SELECT *, CAST(CASE WHEN ok AND by_settings THEN pulses_per_trigger * greatest(n_trains, 1) WHEN ok THEN folder_pulses END AS DOUBLE) AS n_commanded FROM v0
+), va AS (
+  SELECT *, n_commanded = n_detected AS count_match, ok AND (compliance_bit OR coalesce(n_detected < n_commanded, false)) AS compliance,
+         CASE WHEN ok THEN amplitude * phase * 1e-3 END AS charge_nc,
+         concat_ws('|', CASE WHEN error IS NULL AND NOT has_settings THEN 'no_settings' END,
+           CASE WHEN error IS NULL AND has_settings AND abs(settings_rate - rate) > 0.5 THEN 'rate_differs' END,
+           CASE WHEN ok AND NOT by_settings AND folder_pulses IS NOT NULL THEN 'count_from_folder' END,
+           CASE WHEN ok AND n_detected < n_commanded THEN 'fewer_than_commanded' END, CASE WHEN ok AND n_detected > n_commanded THEN 'more_than_commanded' END,
+           CASE WHEN ok AND abs(amplitude_settings - amplitude) > coalesce(step, 2e0) THEN 'amplitude_settings' END,
+           CASE WHEN ok AND abs(amplitude_folder - amplitude) > coalesce(step, 2e0) THEN 'amplitude_folder' END,
+           CASE WHEN ok AND abs(phase_settings - phase) > 15e5 / rate THEN 'phase_settings' END,
+           CASE WHEN ok AND abs(phase_folder - phase) > 15e5 / rate THEN 'phase_folder' END,
+           CASE WHEN ok AND expected <> first_sign THEN 'polarity' END, CASE WHEN error IS NULL AND gaps > 0 THEN 'gaps' END,
+           CASE WHEN error IS NULL AND impedance_missing THEN 'no_impedance' END) AS warnings
+  FROM v1
+)"""
+BLOCKS = RUNS + """, b0 AS (
+  SELECT *, n_detected >= 2 AND (coalesce(pulses_per_trigger <= 2 AND train_period_ms <= 200, false) OR ipi_s < 0.2) AS pair FROM va
+), b1 AS (SELECT *, status = 'ok' AND NOT pair AS single FROM b0
+), pc AS (SELECT session, round_even(phase / 10, 0) * 10 AS p, count(*) AS n, min(run_id) AS seen FROM b1 WHERE single GROUP BY ALL
+), pm AS (SELECT session, arg_max(p, (n, -seen)) AS usual FROM pc GROUP BY session
+), b2 AS (SELECT b1.*, single AND abs(phase - usual) <= 10 AS ladder FROM b1 LEFT JOIN pm USING (session)
+), ac AS (SELECT session, round_even(amplitude, 0) AS a, count(*) AS n, min(run_id) AS seen FROM b2 WHERE single AND NOT ladder GROUP BY ALL
+), am AS (SELECT session, arg_max(a, (n, -seen)) AS sweep FROM ac GROUP BY session
+), b3 AS (
+  SELECT b2.*, coalesce(ladder AND abs(round_even(amplitude, 0) - sweep) <= 2, false) AS also,
+         CASE WHEN named <> '' THEN named WHEN status = 'error' THEN 'error' WHEN status = 'no_stim' THEN 'baseline' WHEN pair THEN 'block3'
+              WHEN ladder THEN 'block1' WHEN single THEN 'block2' ELSE 'other' END AS block
+  FROM b2 LEFT JOIN am USING (session)
+), b4 AS (
+  SELECT *, CASE WHEN include = 'yes' THEN '' ELSE concat_ws('|', CASE WHEN status = 'error' THEN 'error' END, CASE WHEN block = 'block3' THEN 'block3' END,
+         CASE WHEN compliance THEN 'compliance' WHEN status = 'ok' AND NOT count_match THEN 'count_mismatch' END, CASE WHEN include = 'no' THEN 'manifest' END) END AS exclusion_reason
+  FROM b3
 )"""
 
 
@@ -82,7 +147,7 @@ def tau(s, d):
 
 
 TAU = TRIALS + """, jn AS (SELECT tr.*, s_acctbal, s_nationkey FROM tr JOIN supplier ON s_suppkey = contact
-), lim AS (SELECT quantile_cont(s_acctbal, 1.0 / 3) AS low, quantile_cont(s_acctbal, 2.0 / 3) AS mid FROM jn
+), lim AS (SELECT quantile_cont(s_acctbal, 0.333) AS low, quantile_cont(s_acctbal, 0.667) AS mid FROM jn
 ), ta AS (SELECT jn.*, CASE WHEN s_acctbal <= low THEN 'low' WHEN s_acctbal <= mid THEN 'mid' ELSE 'high' END AS tertile FROM jn, lim)"""
 
 ENVELOPE = SIGNAL + """, pl AS (
@@ -105,27 +170,29 @@ SELECT contact, arg_max(response, (n, -seen, response)) AS mode, max(n) AS n_mod
         lambda s, d: six(windows(s, d)),
         f"""WITH {RECOVERY}
 SELECT contact, band, n_trials, n_censored, n_contaminated, round(p25, 6) AS p25, round(p50, 6) AS p50, round(p75, 6) AS p75,
-       round(p90, 6) AS p90, round(recovery_q, 6) AS recovery_q, round(recovery_max, 6) AS recovery_max, n_late,
-       round(post_start, 6) AS post_start, verdict FROM cv""",
+       round(p90, 6) AS p90, round(recovery_q, 6) AS recovery_q, round(recovery_max, 6) AS recovery_max, round(floor, 6) AS floor,
+       round(post_start, 6) AS post_start, round(post_end, 6) AS post_end, n_retained_early, n_retained_late, verdict FROM cv""",
     ),
     "retained_trials": Query(
-        lambda s, d: gate.retained(recoveries(s, d), windows(s, d), ["contact", "band"], "recovery", F.col("censored"), F.col("dirty"), 400.0),
+        lambda s, d: gate.retained(recoveries(s, d), windows(s, d), ["contact", "band"], "recovery", *usable(), GATES),
         f"""WITH {RECOVERY}
-SELECT run_id, event_number, rc.contact, rc.band, part, recovery, censored, dirty,
-       NOT censored AND NOT dirty AND recovery <= post_start AS retained_early,
-       NOT censored AND NOT dirty AND recovery < 400 AS retained_late,
-       CASE WHEN censored THEN 'censored' WHEN dirty THEN 'contaminated' WHEN recovery > post_start THEN 'recovery_after_post_start' ELSE '' END AS reject_reason
-FROM rc LEFT JOIN cv ON cv.contact = rc.contact AND cv.band = rc.band""",
+SELECT run_id, event_number, contact, band, part, recovery, censored, dirty, retained_early, retained_late,
+       CASE WHEN censored THEN 'censored' WHEN dirty THEN 'baseline_contaminated' WHEN retained_early THEN '' ELSE 'recovery_after_post_start' END AS reject_reason
+FROM rt""",
     ),
     "event_detection_summary": Query(
         lambda s, d: gate.event_summary(
-            signal(s, d).select("channel", "t", (F.col("value") - 50).alias("amplitude"), (F.col("kind") == "purchase").alias("flag")),
-            markers(s, d).select("channel", F.col("t").alias("start"), (F.col("t") + 12 * HOUR).alias("end")), "channel", DAY,
-        ),
-        f"""WITH {MARKERS}
-SELECT m.channel, m.t AS "start", m.t + {12 * HOUR} AS "end", count(s.t) AS n_samples, max(abs(s.value - 50)) AS max_amplitude,
-       arg_min(sign(s.value - 50), s.t) AS first_sign, coalesce(bool_or(s.kind = 'purchase'), false) AS flagged
-FROM m LEFT JOIN s ON s.channel = m.channel AND s.t >= m.t AND s.t <= m.t + {12 * HOUR + DAY} GROUP BY m.channel, m.t""",
+            signal(s, d).select("channel", "t", (F.col("value") - 50).alias("amplitude"), (F.col("kind") == "purchase").alias("compliance"), (F.col("kind") == "click").alias("settle")),
+            markers(s, d).select("channel", F.col("t").alias("start"), (F.col("t") + 12 * HOUR).alias("end")), "channel", DAY, 2 * DAY),
+        f"""WITH {MARKERS}, f AS (
+  SELECT m.channel, m.t AS a, m.t + {12 * HOUR} AS z, s.t, s.value - 50 AS v, s.kind FROM m JOIN s ON s.channel = m.channel AND s.t >= m.t AND s.t < m.t + {2 * DAY}
+), g AS (
+  SELECT channel, a, z, count(*) FILTER (WHERE t < z) AS n_samples, max(abs(v)) FILTER (WHERE t < z) AS max_amplitude, arg_min(sign(v), t) FILTER (WHERE t < z) AS fs,
+         min(t) FILTER (WHERE t < z AND v > 0) AS up, min(t) FILTER (WHERE t < z AND v < 0) AS down, min(t) FILTER (WHERE t < z AND v = 0) AS rest,
+         coalesce(bool_or(kind = 'purchase' AND t < z + {DAY}), false) AS compliance, max(t) FILTER (WHERE kind = 'click') AS settled FROM f GROUP BY channel, a, z
+)
+SELECT channel, a AS "start", z AS "end", n_samples, max_amplitude, CAST(fs AS INT) AS first_sign,
+       CAST(CASE WHEN fs = 0 THEN 0 ELSE least(CASE WHEN fs > 0 THEN down ELSE up END, rest, z) - a END AS DOUBLE) AS first_phase, compliance, coalesce(settled + 1, -1) AS settle_end FROM g""",
     ),
     "hardware_floor": Query(
         lambda s, d: six(gate.hardware_floor(
@@ -135,36 +202,36 @@ SELECT contact, band, win, round(greatest(1.0, quantile_cont(discount, 0.5),
   coalesce(quantile_cont(CASE WHEN tax > 0.02 THEN tax * 100 END, 0.5), 4.5)), 6) AS floor FROM tr GROUP BY contact, band, win""",
     ),
     "run_validation": Query(
-        lambda s, d: gate.validation(
-            trials(s, d).groupBy("run_id").agg(
-                F.count("*").alias("found"), F.max("event_number").alias("commanded"), F.bool_or(F.col("tax") >= 0.08).alias("compliance"),
-                F.max("response").alias("setting"), F.percentile("response", 0.5).alias("measured"), F.lit(12.0).alias("step"))
-        ).select("run_id", "count_match", "reasons", "included"),
-        f"""WITH {TRIALS}, r AS (
-  SELECT run_id, count(*) AS found, max(event_number) AS commanded, bool_or(tax >= 0.08) AS compliance,
-         max(response) AS setting, quantile_cont(response, 0.5) AS measured FROM tr GROUP BY run_id
-)
-SELECT run_id, found = commanded AS count_match,
-       concat_ws('|', CASE WHEN found <> commanded THEN 'count_mismatch' END, CASE WHEN compliance THEN 'compliance' END,
-                 CASE WHEN abs(setting - measured) > 12 THEN 'setting_differs' END) AS reasons,
-       found = commanded AND NOT compliance AND abs(setting - measured) <= 12 AS included FROM r""",
+        lambda s, d: six(gate.validation(runs(s, d)).select("run_id", "status", "n_commanded", "count_match", "compliance", "charge_nc", "warnings"), "charge_nc"),
+        f"WITH {RUNS} SELECT run_id, status, n_commanded, count_match, compliance, round(charge_nc, 6) AS charge_nc, warnings FROM va",
     ),
     "block_assignment": Query(
-        lambda s, d: gate.blocks(runs(s, d), "session", 10.0, 2.0),
-        f"""WITH {RUNS}, pc AS (SELECT session, phase, count(*) AS n FROM ru WHERE NOT paired AND phase IS NOT NULL GROUP BY ALL
-), pm AS (SELECT session, arg_max(phase, (n, -phase)) AS modal_phase FROM pc GROUP BY session
-), b1 AS (
-  SELECT ru.*, CASE WHEN phase IS NULL THEN 'baseline' WHEN paired THEN 'block3' WHEN abs(phase - modal_phase) <= 10 THEN 'block1' ELSE 'block2' END AS block
-  FROM ru LEFT JOIN pm USING (session)
-), ac AS (SELECT session, amplitude, count(*) AS n FROM b1 WHERE block = 'block2' GROUP BY ALL
-), am AS (SELECT session, arg_max(amplitude, (n, -amplitude)) AS sweep FROM ac GROUP BY session)
-SELECT session, run_id, coalesce(manifest_block, CASE WHEN block = 'block1' AND abs(amplitude - sweep) <= 2 THEN 'block1|block2' ELSE block END) AS block
-FROM b1 LEFT JOIN am USING (session)""",
+        lambda s, d: gate.blocks(gate.validation(runs(s, d)), "session").select("session", "run_id", "block", "in_block1", "in_block2", "in_block3", "exclusion_reason", "included"),
+        f"""WITH {BLOCKS}
+SELECT session, run_id, block, contains(block, 'block1') AS in_block1, contains(block, 'block2') OR (named = '' AND also) AS in_block2, block = 'block3' AS in_block3,
+       exclusion_reason, exclusion_reason = '' AND status IN ('ok', 'no_stim') AS included FROM b4""",
+    ),
+    "stim_channel_resolution": Query(
+        lambda s, d: gate.stim_channel(
+            trials(s, d).groupBy("run_id", F.col("contact").alias("channel")).agg(F.count_if(F.col("response") > 20).alias("n_nonzero")),
+            load(s, d, "orders").select(
+                F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey") % 100 + 1).alias("configured"),
+                F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 50 + 1).alias("settings_channel"), (F.col("o_orderkey") % 2 + 1).alias("settings_channels"),
+                F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderkey") % 90 + 1).alias("folder_channel")), "run_id"),
+        f"""WITH {TRIALS}, c AS (SELECT run_id, contact AS channel, count(*) FILTER (WHERE response > 20) AS n FROM tr GROUP BY ALL
+), m AS (SELECT run_id, arg_min(channel, (-n, channel)) AS detected FROM c WHERE n > 0 GROUP BY run_id
+), r AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 100 + 1 END AS configured, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 50 + 1 END AS sc,
+                o_orderkey % 2 + 1 AS sn, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 90 + 1 END AS fc FROM orders
+), x AS (SELECT r.*, detected, EXISTS (SELECT 1 FROM c WHERE c.run_id = r.run_id AND c.channel = r.configured) AS recorded FROM r LEFT JOIN m USING (run_id)
+), y AS (SELECT *, CASE WHEN recorded THEN configured ELSE detected END AS choice FROM x)
+SELECT run_id, detected, choice, concat_ws('|', CASE WHEN configured IS NOT NULL AND NOT recorded THEN 'configured_not_recorded' END,
+  CASE WHEN recorded AND detected <> configured THEN 'configured_differs' END, CASE WHEN sc <> choice THEN 'settings_differ' END,
+  CASE WHEN sn > 1 THEN 'several_in_settings' END, CASE WHEN fc <> choice THEN 'folder_differs' END) AS warnings FROM y""",
     ),
     "baseline_run_choice": Query(
-        lambda s, d: gate.baseline_choice(runs(s, d), "session", F.col("run_id") % 97 == 0, F.col("label") == "1-URGENT", F.col("phase").isNull() | F.col("paired")),
+        lambda s, d: gate.baseline_choice(runs(s, d), "session", F.col("run_id") % 97 == 0, F.col("label") == "1-URGENT", (F.col("n_detected") == 0) | (F.col("n_trains") > 1)),
         f"""WITH {RUNS}, k AS (
-  SELECT *, CASE WHEN run_id % 97 = 0 THEN 0 WHEN (phase IS NULL OR paired) AND label = '1-URGENT' THEN 1 WHEN phase IS NULL OR paired THEN 2 END AS r FROM ru
+  SELECT *, CASE WHEN run_id % 97 = 0 THEN 0 WHEN (n_detected = 0 OR n_trains > 1) AND label = '1-URGENT' THEN 1 WHEN n_detected = 0 OR n_trains > 1 THEN 2 END AS r FROM ru
 )
 SELECT session, arg_min(run_id, (r, run_id)) AS baseline_run FROM k WHERE r IS NOT NULL GROUP BY session""",
     ),
@@ -174,12 +241,19 @@ SELECT session, arg_min(run_id, (r, run_id)) AS baseline_run FROM k WHERE r IS N
         "SELECT d.doc_id, coalesce(l.quality, 1) AS quality, lang FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     ),
     "rail_episodes": Query(
-        lambda s, d: six(gate.rail_runs(signal(s, d), ["channel"], ["t", "event_id"], "value", 60.0, 2)),
-        f"""WITH {SIGNAL}, i AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY t, event_id) AS idx FROM s
-), g AS (SELECT *, idx - row_number() OVER (PARTITION BY channel ORDER BY t, event_id) AS island FROM i WHERE abs(value) >= 60
-), e AS (SELECT channel, count(*) AS n_episodes FROM (SELECT channel, island FROM g GROUP BY ALL HAVING count(*) >= 2) GROUP BY channel
-), c AS (SELECT channel, count(*) AS n, count(*) FILTER (WHERE abs(value) >= 60) AS n_railed FROM s GROUP BY channel)
-SELECT channel, n_railed, round(100 * n_railed / n, 6) AS percent, coalesce(n_episodes, 0) AS n_episodes FROM c LEFT JOIN e USING (channel)""",
+        lambda s, d: six(gate.rails(signal(s, d), ["channel"], ["t", "event_id"], "value", 12.0, 2, 99.0)),
+        f"""WITH {SIGNAL}, w AS (
+  SELECT channel, value, row_number() OVER (PARTITION BY channel ORDER BY t, event_id) AS idx, max(value) OVER (PARTITION BY channel) AS top, min(value) OVER (PARTITION BY channel) AS low FROM s
+), u AS (SELECT channel, idx, 'p' AS side FROM w WHERE value >= top - 12 UNION ALL SELECT channel, idx, 'n' FROM w WHERE value <= low + 12
+), g AS (SELECT channel, side, idx - row_number() OVER (PARTITION BY channel, side ORDER BY idx) AS island FROM u
+), r AS (SELECT channel, side, island, count(*) AS len FROM g GROUP BY ALL
+), a AS (
+  SELECT channel, max(len) FILTER (WHERE side = 'p') AS pl, max(len) FILTER (WHERE side = 'n') AS nl, count(*) FILTER (WHERE side = 'p' AND len >= 2) AS pn,
+         count(*) FILTER (WHERE side = 'n' AND len >= 2) AS nn, coalesce(sum(len) FILTER (WHERE len >= 2), 0) AS railed FROM r GROUP BY channel
+), t AS (SELECT channel, count(*) AS n, max(value) AS top, min(value) AS low FROM s GROUP BY channel)
+SELECT channel, round(CASE WHEN pn > 0 THEN top END, 6) AS pos_level, round(CASE WHEN nn > 0 THEN low END, 6) AS neg_level, CAST(pl AS DOUBLE) AS pos_longest,
+       CAST(nl AS DOUBLE) AS neg_longest, pn + nn AS n_episodes, round(100.0 * railed / n, 6) AS percent, (pn > 0 OR nn > 0) AND top <> low AS railed, top = low AS flat,
+       (pn > 0 AND top >= 0.98 * 99) OR (nn > 0 AND -low >= 0.98 * 99) AS at_full_scale FROM t JOIN a USING (channel)""",
     ),
     "grouping_set_summary": Query(
         lambda s, d: six(summ.grouping_summary(tau(s, d), [[], ["win"], ["win", "band"], ["contact"], ["tertile"], ["s_nationkey"]], "response")),
@@ -196,9 +270,10 @@ FROM ta GROUP BY GROUPING SETS ((), (win), (win, band), (contact), (tertile), (s
         lambda s, d: six(summ.first_vs_last(signal(s, d), ["channel"], ["t", "event_id"], "value", 10)),
         f"""WITH {SIGNAL}, p AS (
   SELECT channel, value, row_number() OVER (PARTITION BY channel ORDER BY t, event_id) AS rn, count(*) OVER (PARTITION BY channel) AS total FROM s
-), q AS (SELECT channel, quantile_cont(value, 0.5) FILTER (WHERE rn <= least(10, total // 2)) AS a,
-                quantile_cont(value, 0.5) FILTER (WHERE rn > total - least(10, total // 2)) AS b FROM p GROUP BY channel)
-SELECT channel, round(a, 6) AS first_median, round(b, 6) AS last_median, round(b - a, 6) AS change FROM q""",
+), f AS (SELECT channel, value, rn <= CASE WHEN total < 20 THEN greatest(1, total // 2) ELSE 10 END AS head, rn > CASE WHEN total < 20 THEN greatest(1, total // 2) ELSE total - 10 END AS tail FROM p
+), q AS (SELECT channel, count(*) FILTER (WHERE head) AS n_first, count(*) FILTER (WHERE tail) AS n_last, quantile_cont(value, 0.5) FILTER (WHERE head) AS a,
+                quantile_cont(value, 0.5) FILTER (WHERE tail) AS b FROM f GROUP BY channel)
+SELECT channel, n_first, n_last, round(a, 6) AS first_median, round(b, 6) AS last_median, round(b - a, 6) AS change FROM q""",
     ),
     "robust_z": Query(
         lambda s, d: six(summ.robust_z(signal(s, d), ["channel"], "value").select("channel", "event_id", "z"), "z"),
@@ -244,12 +319,6 @@ FROM q WHERE a IS NOT NULL AND b IS NOT NULL""",
         lambda s, d: six(summ.common_values(trials(s, d), ["win"], "metric", 2000.0, 2)),
         f"""WITH {TRIALS} SELECT win, CAST(round_even(metric / 2000.0, 0) AS BIGINT) AS cluster, count(*) AS n, round(quantile_cont(metric, 0.5), 6) AS median
 FROM tr GROUP BY win, cluster HAVING count(*) >= 2""",
-    ),
-    "channel_majority_vote": Query(
-        lambda s, d: summ.majority(trials(s, d), ["part"], "contact", F.col("response") > 25, F.col("discount") > 0.02),
-        f"""WITH {TRIALS}, v AS (SELECT part, count(DISTINCT contact) FILTER (WHERE response > 25 AND discount > 0.02) AS n_agree,
-  count(DISTINCT contact) FILTER (WHERE discount > 0.02) AS n_tested FROM tr GROUP BY part)
-SELECT part, n_agree, n_tested, n_tested > 0 AND 2 * n_agree >= n_tested AS passed FROM v""",
     ),
     "spearman": Query(
         lambda s, d: six(summ.spearman(trials(s, d), ["contact"], "response", "metric")),

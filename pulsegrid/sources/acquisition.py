@@ -117,7 +117,7 @@ def parse_header(data: bytes) -> Header:
     for _ in range(w.take("h")):
         w.text(), w.text()
         enabled, n, _ = w.take("hhh")
-        for _ in range(n if n > 0 else 0):
+        for _ in range(n if n > 0 and enabled > 0 else 0):  # a disabled group has no records of channels
             native, _ = w.text(), w.text()
             order, _, kind, on, _ = w.take("hhhhh")
             w.take("hh" if stim else "h")
@@ -125,7 +125,7 @@ def parse_header(data: bytes) -> Header:
             impedance, phase = w.take("ff")
             if kind not in range(7 if stim else 6) or stim and kind in (1, 2):
                 raise ValueError(f"channel {native} has the unknown type {kind}")
-            if enabled and on:
+            if on:
                 channels.append(Channel(native, order, kind, impedance, phase))
     n = 128 if stim or version[0] >= 2 else 60
     h = Header(stim, version, rate, f, channels, w.at, n, dc, n_temp, mode)
@@ -185,9 +185,17 @@ def stream_values(h: Header, blocks: np.ndarray, stream: str) -> np.ndarray:
     return ((blocks[stream] >> bits[None, :, None]) & 1).astype(np.float32)
 
 
-def run_name(path: str) -> str:
-    """The folder that holds a file."""
-    return path.rstrip("/").split("/")[-2]
+def folder_of(path: str) -> str:
+    """The folder that holds a file: its files are one run."""
+    return path.rstrip("/").rpartition("/")[0]
+
+
+def run_name(path: str, root: str) -> str:
+    """A file's folder as seen from root, so that folders of one name under different parents stay apart; the last part of
+    it for a file in root itself, or where root is the file."""
+    folder, top = (x.partition("://")[2] if "://" in x else x.removeprefix("file:") for x in (folder_of(path), root.rstrip("/")))
+    below = folder[len(top) :].strip("/") if folder.startswith(top) else ""
+    return below or folder.rpartition("/")[2]
 
 
 @dataclass
@@ -230,8 +238,8 @@ def find_files(path: str, pattern: str = r"\.(rhs|rhd)$") -> list[str]:
     scheme = path[: path.index(name)] if name in path else "file://"
     found = store.get_file_info(fs.FileSelector(name, recursive=True))
     files = sorted(scheme + f.path for f in found if f.type == fs.FileType.File and re.search(pattern, f.path))
-    stim = {run_name(f) for f in files if f.endswith(".rhs")}
-    return [f for f in files if f.endswith(".rhs") or run_name(f) not in stim]
+    stim = {folder_of(f) for f in files if f.endswith(".rhs")}
+    return [f for f in files if f.endswith(".rhs") or folder_of(f) not in stim]
 
 
 class RecordingReader(DataSourceReader):
@@ -246,7 +254,7 @@ class RecordingReader(DataSourceReader):
         for path in find_files(self.path):
             h, size = header_of(path)
             names = stream_names(h, self.stream)
-            run = runs.setdefault(run_name(path), {"names": names, "rate": round(h.rate_hz, 9), "blocks": 0, "files": 0})
+            run = runs.setdefault(folder_of(path), {"names": names, "rate": round(h.rate_hz, 9), "blocks": 0, "files": 0})
             if (names, round(h.rate_hz, 9)) != (run["names"], run["rate"]):
                 raise ValueError(f"{path}: channels or rate differ from the run's other files")
             missing = [c for c in self.wanted if c not in names]
@@ -282,7 +290,7 @@ class RecordingReader(DataSourceReader):
                 none = pa.nulls(rows, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([run_name(part.path)] * rows),
+                        pa.array([run_name(part.path, self.path)] * rows),
                         pa.array([names[i] for i in picked] * n),
                         pa.array(np.repeat(part.first_block + np.arange(lo, lo + n), len(picked))),
                         pa.array(np.full(rows, part.file_no, np.int32)),
@@ -325,7 +333,7 @@ class HeaderReader(DataSourceReader):
         amp = h.of(AMPLIFIER)
         f = h.fields
         yield (
-            run_name(part.path), part.path, "rhs" if h.stim else "rhd", float(h.rate_hz), n_blocks(h, size) * h.per_block,
+            run_name(part.path, self.path), part.path, "rhs" if h.stim else "rhd", float(h.rate_hz), n_blocks(h, size) * h.per_block,
             [c.name for c in amp], {c.name: float(c.impedance) for c in amp}, bool(f["dsp_enabled"]), float(f["dsp_cutoff_hz"]),
             float(f["lower_hz"]), float(f["upper_hz"]), float(f.get("stim_step_a", 0.0)) * 1e6,
         )

@@ -4,18 +4,31 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_tables(spark: SparkSession, tables: dict[str, DataFrame], path: str, form: str = "parquet", by: dict[str, str] | None = None) -> None:
     """Writes each table to a staging folder beside path, then moves them in; a failure leaves path as it was.
 
-    by: column that a table is partitioned by. Files are moved with the store that Spark writes to.
+    Tables that are there already are moved aside first and deleted once all new ones are in; if a move fails, new tables
+    go and the old ones are moved back. by: column that a table is partitioned by. Files are moved with the store that
+    Spark writes to.
     """
-    stage = f"{path.rstrip('/')}/_stage-{uuid.uuid4().hex}"
+    root = path.rstrip("/")
+    stage, aside = (f"{root}/_{kind}-{uuid.uuid4().hex}" for kind in ("stage", "aside"))
     jvm = spark._jvm
     to_path = jvm.org.apache.hadoop.fs.Path
     store = to_path(stage).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def move(a: str, b: str) -> None:
+        store.mkdirs(to_path(b).getParent())
+        if not store.rename(to_path(a), to_path(b)):
+            raise OSError(f"{a} could not be moved to {b}")
+
+    moved: list[str] = []
+    kept: list[str] = []
     try:
         for name, df in tables.items():
             writer = df.write.format(form)
@@ -25,9 +38,33 @@ def write_tables(spark: SparkSession, tables: dict[str, DataFrame], path: str, f
                 writer = writer.partitionBy(by[name])
             writer.save(f"{stage}/{name}")
         for name in tables:
-            target = to_path(f"{path.rstrip('/')}/{name}")
-            store.delete(target, True)
-            if not store.rename(to_path(f"{stage}/{name}"), target):
-                raise OSError(f"{name} could not be moved to {path}")
+            if store.exists(to_path(f"{root}/{name}")):
+                move(f"{root}/{name}", f"{aside}/{name}")
+                kept.append(name)
+            move(f"{stage}/{name}", f"{root}/{name}")
+            moved.append(name)
+    except BaseException:
+        for name in moved:
+            store.delete(to_path(f"{root}/{name}"), True)
+        for name in kept:
+            move(f"{aside}/{name}", f"{root}/{name}")
+        raise
     finally:
         store.delete(to_path(stage), True)
+        store.delete(to_path(aside), True)
+
+
+def without_non_finite(df: DataFrame) -> DataFrame:
+    """df with nulls for NaN and infinite numbers, as text formats have no words for them."""
+    def clean(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c).alias(name)
+
+    return df.select(*[clean(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def batch_summary(runs: DataFrame, results: DataFrame, run: str, found: str) -> DataFrame:
+    """runs with status (ok, empty, error) and what was found: results has run, found (a count) and error (text or null)."""
+    joined = runs.join(results.select(run, found, "error"), run, "left")
+    status = F.when(F.col("error").isNotNull(), "error").when(F.coalesce(found, F.lit(0)) > 0, "ok").otherwise("empty")
+    return joined.withColumn("status", status)

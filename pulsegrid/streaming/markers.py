@@ -24,24 +24,33 @@ PULSE = "channel string, start_sample long, end_sample long, max_ua double"
 STATE = "next_sample long, start long, max_ua double"
 
 
-def pulses(samples: DataFrame, gap: int) -> DataFrame:
+def pulses(samples: DataFrame, gap: int, idle_ms: int | None = None) -> DataFrame:
     """Pulses of stim samples (channel, sample, ua), nonzero runs joined across micro-batches.
 
     The state of a channel is its open pulse; samples arrive in order within a channel. A pulse is given out when a
-    sample follows more than `gap` later, or a zero sample closes it.
+    sample follows more than `gap` later, or a zero sample closes it; with idle_ms also when nothing has come from its
+    channel for so long, and the channel's state goes with it.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         after, start, top = state.get if state.exists else (-1, -1, 0.0)
         out = []
-        for frame in frames:
-            for sample, ua in frame.sort_values("sample")[["sample", "ua"]].itertuples(index=False):
-                if start >= 0 and (ua == 0 or sample - after > gap):
-                    out.append((key[0], start, after, top))
-                    start, top = -1, 0.0
-                if ua != 0:
-                    start, top, after = (sample if start < 0 else start), max(top, abs(ua)), sample + 1
-        state.update((int(after), int(start), float(top)))
+        if state.hasTimedOut:
+            if start >= 0:
+                out.append((key[0], start, after, top))
+            state.remove()
+        else:
+            for frame in frames:
+                for sample, ua in frame.sort_values("sample")[["sample", "ua"]].itertuples(index=False):
+                    if start >= 0 and (ua == 0 or sample - after > gap):
+                        out.append((key[0], start, after, top))
+                        start, top = -1, 0.0
+                    if ua != 0:
+                        start, top, after = (sample if start < 0 else start), max(top, abs(ua)), sample + 1
+            state.update((int(after), int(start), float(top)))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["channel", "start_sample", "end_sample", "max_ua"])
 
-    return samples.groupBy("channel").applyInPandasWithState(step, PULSE, STATE, "append", GroupStateTimeout.NoTimeout)
+    wait = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return samples.groupBy("channel").applyInPandasWithState(step, PULSE, STATE, "append", wait)

@@ -68,12 +68,6 @@ def test_spikes_are_found(spark):
     assert max(near) <= 3 and len(got) == len(at) and len(got.waveform[0]) == 61
 
 
-def test_bootstrap_is_reproducible(spark):
-    df = spark.createDataFrame([(k % 3, float(k * k % 17)) for k in range(300)], "g long, v double")
-    a, b = (sorted(map(tuple, sig.bootstrap_medians(df, ["g"], "v", 300).collect())) for _ in range(2))
-    assert a == b and all(lo <= m <= hi for _, m, lo, hi in a)
-
-
 def test_from_file_to_band_power(spark, tmp_path):
     n = 128 * 200
     t = np.arange(n) / 2000.0
