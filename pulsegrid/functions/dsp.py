@@ -422,6 +422,37 @@ def exponential_tail(t_ms: np.ndarray, y: np.ndarray, decimate: int = 10) -> dic
     return {"amplitude": float(scale * p[0]), "tau_ms": float(np.exp(p[1])), "offset": float(scale * p[2]), "r2": float(r2)}
 
 
+def _sigmoid(x: np.ndarray, y: np.ndarray, root: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, float]:
+    """The best of several starts (rows of p: amax, i50, k) after bounded Levenberg-Marquardt steps of all of them at once;
+    residuals are weighed by root."""
+
+    def at(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        amax, i50, k = (c[:, None] for c in p.T)
+        z = (x - i50) / k
+        s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        bend = amax * s * (1 - s) / k
+        return root * (amax * s - y), root[:, None] * np.stack([s, -bend, -bend * z], 2), p
+
+    r, jac, p = at(p)
+    cost, lam = (r * r).sum(1), np.full(len(p), 1e-2)
+    for _ in range(rounds):
+        a, g = np.einsum("smi,smj->sij", jac, jac), np.einsum("smi,sm->si", jac, r)
+        damp = lam[:, None] * np.maximum(np.einsum("sii->si", a), 1e-12)
+        step = np.linalg.solve(a + damp[:, :, None] * np.eye(3), g[:, :, None])[:, :, 0]
+        r2, jac2, q = at(np.clip(p - step, lo, hi))
+        new = (r2 * r2).sum(1)
+        better = new < cost
+        gain = np.where(better, cost - new, 0)
+        r, jac, p = np.where(better[:, None], r2, r), np.where(better[:, None, None], jac2, jac), np.where(better[:, None], q, p)
+        lam = np.clip(np.where(better, lam / 4, lam * 4), 1e-9, 1e9)
+        done = (gain <= 1e-12 * cost) & ((lam > 1e7) | better)
+        cost = np.where(better, new, cost)
+        if done.all():
+            break
+    k = int(cost.argmin())
+    return p[k], float(cost[k])
+
+
 def dose_models(x: np.ndarray, n: np.ndarray, mean: np.ndarray, within: float, top: float) -> tuple:
     """Line, line through the origin and sigmoid amax / (1 + exp(-(x - i50) / k)) by least squares over levels x with n
     responses of a mean each; within: squares within levels, top: the largest response.
@@ -448,14 +479,10 @@ def dose_models(x: np.ndarray, n: np.ndarray, mean: np.ndarray, within: float, t
     top = top if top > 0 else 1.0
     low, high = (float(x[x > 0].min()) if (x > 0).any() else 1.0), float(x.max())
     lo, hi = np.array([0.0, low / 2, 1.0]), np.array([10 * top, 2 * high, 500.0])
-    root, best = np.sqrt(n) / top, None
+    best = None
     if (hi > lo).all():
-        curve = lambda p: p[0] / (1 + np.exp(np.clip(-(x - p[1]) / p[2], -500, 500)))
-        for i50 in np.geomspace(low, max(high, low), 6):
-            for k in (max(1.0, (high - low) / 10), max(1.0, (high - low) / 3)):
-                got = least_squares(lambda p: root * (curve(p) - mean), np.clip([top, i50, k], lo, hi), lo, hi)
-                if best is None or got[1] < best[1]:
-                    best = got
+        starts = [(top, i50, k) for i50 in np.geomspace(low, max(high, low), 6) for k in (max(1.0, (high - low) / 10), max(1.0, (high - low) / 3))]
+        best = _sigmoid(x, mean, np.sqrt(n) / top, np.clip(starts, lo, hi), lo, hi)
     bent = (nan,) * 5
     if best is not None:
         bent = (*map(float, best[0]), *criteria(within + best[1] * top * top, 3))

@@ -124,7 +124,8 @@ def assign_arms(runs: DataFrame, arms: tuple[Arm, ...] = ARMS, tolerance: float
 
 
 def replicates(rows: DataFrame, run: str, tolerance: float = REPLICATE) -> DataFrame:
-    """Rows of `assign_arms` with a letter for the runs of an arm whose settings are the same ('' where there is one only).
+    """Rows of `assign_arms` with a letter for the runs of an arm whose settings are the same ('' where there is one only; a
+    number beyond z).
 
     Along the distinct values of an arm a group goes on as long as a value is like the group's first one.
     """
@@ -135,7 +136,8 @@ def replicates(rows: DataFrame, run: str, tolerance: float = REPLICATE) -> DataF
     heads = values.select("arm", F.aggregate(F.slice("v", 2, 1 << 30), F.slice("v", 1, 1), step).alias("heads"))
     placed = rows.join(heads, "arm").withColumn("__head", F.array_max(F.filter("heads", lambda h: h <= F.col("knob_value"))))
     same = Window.partitionBy("arm", "__head")
-    letter = F.when(F.count("*").over(same) > 1, F.char(F.lit(96) + F.row_number().over(same.orderBy("knob_value", run))))
+    place = F.row_number().over(same.orderBy("knob_value", run))
+    letter = F.when(F.count("*").over(same) > 1, F.when(place <= 26, F.char(F.lit(96) + place)).otherwise(place.cast("string")))
     return placed.withColumn("replicate", F.coalesce(letter, F.lit(""))).drop("heads", "__head")
 
 

@@ -68,7 +68,8 @@ PLACED = SWEEP + f""", hd AS (
 ), ph AS (
   SELECT aa.*, (SELECT max(head) FROM hd WHERE hd.arm = aa.arm AND head <= knob_value) AS head FROM aa
 ), pl AS (
-  SELECT *, CASE WHEN count(*) OVER (PARTITION BY arm, head) > 1 THEN chr(CAST(96 + row_number() OVER (PARTITION BY arm, head ORDER BY knob_value, run_id) AS INT)) ELSE '' END AS replicate FROM ph
+  SELECT *, CASE WHEN count(*) OVER w = 1 THEN '' WHEN row_number() OVER v <= 26 THEN chr(CAST(96 + row_number() OVER v AS INT)) ELSE CAST(row_number() OVER v AS VARCHAR) END AS replicate FROM ph
+  WINDOW w AS (PARTITION BY arm, head), v AS (PARTITION BY arm, head ORDER BY knob_value, run_id)
 )"""
 
 QUERIES = {
@@ -132,8 +133,8 @@ SELECT contact, round(q25, 6) AS q25, round(m, 6) AS median, round(q75, 6) AS q7
         f"WITH {SWEEP} SELECT run_id, arm, knob, knob_value FROM aa",
     ),
     "arm_replicates": Query(
-        lambda s, d: placed(s, d).select("run_id", "arm", "knob_value", F.ascii("replicate").alias("replicate")),
-        f"WITH RECURSIVE {PLACED} SELECT run_id, arm, knob_value, CAST(CASE WHEN replicate = '' THEN 0 ELSE ascii(replicate) END AS INT) AS replicate FROM pl",
+        lambda s, d: placed(s, d).select("run_id", "arm", "knob_value", "replicate"),
+        f"WITH RECURSIVE {PLACED} SELECT run_id, arm, knob_value, replicate FROM pl",
     ),
     "duplicate_policy_last": Query(
         lambda s, d: ses.duplicates(placed(s, d), "run_id", "last").select("run_id", "arm", "knob_value"),

@@ -91,8 +91,9 @@ SELECT run_id, n_pulses, round(ra, 6) AS range_uv, round(ri, 6) AS range_iqr, ro
        round(CASE WHEN ga <> 0 THEN ra / ga END, 6) AS snr FROM q""",
     ),
     "mean_waveforms": Query(
-        lambda s, d: six(evoked.mean_waveforms(blocks(s, d), onsets(s, d), RATE, PROTOCOL, BLOCK).select("run_id", "n_pulses", F.posexplode("waveform").alias("k", "mean"))),
-        f"""WITH {RESPONSES} SELECT run_id, count(*) AS n_pulses, CAST(k + 4 AS INT) AS k, round(avg(v), 6) + 0.0 AS mean FROM r GROUP BY run_id, k""",
+        lambda s, d: six(evoked.mean_waveforms(blocks(s, d), onsets(s, d), RATE, PROTOCOL, BLOCK).select("run_id", "n_pulses", F.posexplode("waveform").alias("k", "mean"))
+                         .select("run_id", "n_pulses", "k", (F.col("mean") * F.col("n_pulses")).alias("total"))),
+        f"""WITH {RESPONSES} SELECT run_id, count(*) AS n_pulses, CAST(k + 4 AS INT) AS k, round(sum(v), 6) + 0.0 AS total FROM r GROUP BY run_id, k""",
     ),
     "evoked_peaks": Query(lambda s, d: six(found_peaks(s, d))),
     "evoked_peak_summary": Query(lambda s, d: six(evoked.peak_summary(
@@ -113,7 +114,9 @@ FROM o JOIN i ON i.run_id = o.run_id AND idx >= onset - 6 AND idx < onset - 1 WH
 SELECT sq.run_id, source, "start", stop, count(*) AS n, round(stddev_samp(value), 6) AS sd FROM sq JOIN i ON i.run_id = sq.run_id AND idx >= "start" AND idx < stop
 WHERE stop - "start" >= 3 GROUP BY sq.run_id, source, "start", stop""",
     ),
-    "train_band_change": Query(lambda s, d: six(evoked.train_band_change(blocks(s, d), spans(s, d).withColumn("train_start", F.col("train_start") + 100), RATE, BANDS, 0.32, BLOCK))),
+    "train_band_change": Query(lambda s, d: six(evoked.train_band_change(
+        blocks(s, d), numbered(s, d).groupBy("run_id").agg(F.floor(F.count("*") / 2).alias("train_start"), F.count("*").alias("train_stop"), F.lit(1.7).alias("rate_hz")), 8.0,
+        {"slow": (0.5, 1.5), "fast": (2.0, 3.9)}, 4.0, BLOCK))),
     "gap_band_change": Query(lambda s, d: six(evoked.gap_band_change(blocks(s, d), onsets(s, d), RATE, evoked.Protocol(period=425.0), {"high": (10.0, 30.0)}, BLOCK))),
     "post_train_change": Query(lambda s, d: six(evoked.post_train_change(blocks(s, d), onsets(s, d).select(
         "run_id", F.col("onset_sample").alias("train_start"), (F.col("onset_sample") + 1).alias("train_stop")).groupBy("run_id").agg(F.percentile_approx("train_start", 0.5).alias("train_start"),
