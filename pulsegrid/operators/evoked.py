@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dsp
+from .resampling import independent_db_intervals
 from .signals import epochs, per_row
 
 
@@ -310,6 +311,42 @@ def post_train_change(blocks: DataFrame, trains: DataFrame, rate_hz: float, gap_
     )
 
 
+def prepost_power(
+    blocks: DataFrame, runs: DataFrame, rate_hz: float, bands: dict[str, tuple[float, float]], window_s: float = 10.0, step_s: float = 5.0,
+    guard_s: float = 1.0, pad_s: float = 1.0, order: int = 4, n: int = 1000, block_size: int = 128,
+) -> DataFrame:
+    """Band power of sliding windows before all stimulation of a run against those behind it (runs: run_id, first_stim,
+    last_stim, n_samples), a guard apart: means, change in dB and percent, and the bootstrap interval of the dB.
+
+    Each window is an epoch that is filtered with a padding of its own, so a recording's length does not matter. Runs
+    without room for a window on either side are left out.
+    """
+    at = lambda s: dsp.half_even(s * rate_hz)
+    window, guard = at(window_s), at(guard_s)
+    pre = runs.select("run_id", F.lit("pre").alias("name"), F.lit(0).cast("long").alias("start"), (F.col("first_stim") - guard).alias("stop"))
+    post = runs.select("run_id", F.lit("post").alias("name"), (F.col("last_stim") + 1 + guard).alias("start"), F.col("n_samples").alias("stop"))
+    placed = segments(pre.unionByName(post), window, at(step_s))
+    shape = "run_id string, channel string, name string, window long, band string, power double"
+    names, pad = [c.split()[0] for c in shape.split(", ")], at(pad_s)
+
+    def kernel(row: pd.Series) -> pd.DataFrame:
+        x, zero = np.asarray(row["x"], float), int(row["zero"])
+        x = np.pad(x, (pad - zero, pad + window - (len(x) - zero)), mode="reflect")
+        out = []
+        for band, (lo, hi) in bands.items():
+            y = dsp.sosfiltfilt(dsp.butter_sos(order, lo, hi, rate_hz), x)[pad : pad + window]
+            out.append((row["run_id"], row["channel"], row["name"], row["event_number"], band, float((y * y).mean())))
+        return pd.DataFrame(out, columns=names)
+
+    e = epochs(blocks, placed.drop("name"), 0, window, pad, block_size).join(placed.drop("onset_sample"), ["run_id", "event_number"])
+    power, keys = per_row(e, kernel, shape), ["run_id", "channel", "band"]
+    side = lambda name: F.avg(F.when(F.col("name") == name, F.col("power")))
+    n_of = lambda name: F.count_if(F.col("name") == name)
+    per = power.groupBy(*keys).agg(side("pre").alias("pre"), side("post").alias("post"), n_of("pre").alias("n_pre"), n_of("post").alias("n_post"))
+    per = per.where("n_pre > 0 AND n_post > 0").withColumn("percent", F.when(F.col("pre") != 0, 100 * (F.col("post") / F.col("pre") - 1)))
+    return per.join(independent_db_intervals(power, keys, "power", F.col("name") == "pre", ["name", "window"], n), keys, "left")
+
+
 def local_centre(blocks: DataFrame, events: DataFrame, lo: int, hi: int, block_size: int = 128) -> DataFrame:
     """Per pulse: mean of samples lo..hi around it (before the pulse), and how far a line through them rises from the first
     to the last."""

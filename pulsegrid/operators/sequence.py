@@ -213,3 +213,16 @@ def recovery(df: DataFrame, keys: list[str], order: list[str], above: Column, qu
         F.coalesce(F.col("calm_idx") - 1, F.col("last_idx")).alias("recovery_idx"),
         F.col("calm_idx").isNull().alias("censored"),
     )
+
+
+def run_scan(blocks: DataFrame, per_block: int) -> DataFrame:
+    """Per run (blocks of one or more channels: run_id, block_no, file_no, t0): files, samples, where each file begins, and
+    how often a block's time does not follow the one before, within files and at their joins."""
+    one = blocks.select("run_id", "block_no", "file_no", "t0").distinct()
+    w = Window.partitionBy("run_id").orderBy("block_no")
+    placed = one.withColumn("gap", F.col("t0") - F.lag("t0").over(w) != per_block).withColumn("join", F.col("file_no") != F.lag("file_no").over(w))
+    begins = F.collect_list(F.when(F.coalesce("join", F.lit(True)), F.col("block_no") * per_block))
+    return placed.groupBy("run_id").agg(
+        F.count_distinct("file_no").alias("n_files"), (F.count("*") * per_block).alias("n_samples"), F.array_sort(begins).alias("file_boundaries"),
+        F.count_if("gap").alias("n_gaps"), F.count_if(F.col("gap") & F.col("join")).alias("n_gaps_at_joins"),
+    )

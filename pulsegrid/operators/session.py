@@ -241,3 +241,57 @@ def gap_free(epochs: DataFrame, gaps: DataFrame, key: str) -> DataFrame:
     spans = epochs.select(key, "start", "end", (F.col("start") + 1).alias("__lo")).distinct()
     holed = inside(spans, gaps.select(key, "gap_at").distinct(), key, "__lo", "end", "gap_at", how="left_semi")
     return epochs.join(holed.select(key, "start", "end"), [key, "start", "end"], "left_anti").select(*epochs.columns)
+
+
+def diagnosis_runs(blocked: DataFrame) -> DataFrame:
+    """Runs with blocks (see gating.blocks) and whether they serve a diagnosis: included ones of single pulses at least 0.3 s
+    apart, without compliance faults; `left_out` says why not."""
+    c = F.col
+    single = (c("status") == "ok") & (c("n_detected") > 0) & c("block").isin("block1", "block2") & F.coalesce(c("ipi_s") >= 0.3, F.lit(True))
+    keep = c("included") & ~c("compliance") & single
+    why = (
+        F.when(keep, "").when(c("exclusion_reason") != "", c("exclusion_reason")).when(c("n_detected") == 0, "no_stim")
+        .when(~single, "paired_or_train").otherwise("excluded")
+    )
+    return blocked.withColumn("keep", keep).withColumn("left_out", why)
+
+
+def polarity_override(df: DataFrame, amplitude: str, lead_sign: str, flags: str) -> DataFrame:
+    """df with the amplitude's sign taken from the measured leading phase where that is known (not 0) and another one; flags
+    tell of it."""
+    other = F.coalesce((F.col(lead_sign) != 0) & (F.signum(amplitude) != F.col(lead_sign)), F.lit(False))
+    told = F.concat_ws("|", F.when(F.col(flags) != "", F.col(flags)), F.lit("polarity_from_scope"))
+    return df.withColumn(flags, F.when(other, told).otherwise(F.col(flags))).withColumn(
+        amplitude, F.when(other, F.col(lead_sign) * F.abs(amplitude)).otherwise(F.col(amplitude))
+    )
+
+
+def recovery_table(df: DataFrame, keys: list[str], recovery: str, rail: str, censored: Column, drift: str) -> DataFrame:
+    """Per condition (keys; a contact group or a synthetic family may be one): recovery's quartiles, median rail time, and the
+    shares of censored, rail-free and drifting trials."""
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n"), *[F.percentile(recovery, p).alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))],
+        F.percentile(rail, 0.5).alias("median_rail"), F.count_if(censored).alias("n_censored"), share(censored).alias("censored"),
+        share(F.col(rail) <= 0).alias("zero_rail"), share(F.abs(drift) > 25).alias("drifting"), F.percentile(F.abs(drift), 0.5).alias("median_drift"),
+    )
+
+
+def annotate_retained(frame: DataFrame, trials: DataFrame, keys: list[str], window: str) -> DataFrame:
+    """frame with retained: in the early and late windows what the trials (unique by keys) say, false where there is no
+    trial; true in all others."""
+    known = trials.select(*keys, "retained_early", "retained_late")
+    value = F.when(F.col(window) == "early", F.col("retained_early")).when(F.col(window) == "late", F.col("retained_late")).otherwise(True)
+    return frame.join(known, keys, "left").withColumn("retained", F.coalesce(value, F.lit(False))).drop("retained_early", "retained_late")
+
+
+def slice_bounds(runs: DataFrame, start_s: float, end_s: float) -> DataFrame:
+    """runs (n_samples, rate_hz) with the half-open sample range of a time window, clamped to the recording; runs that end
+    before it starts have none, and `error` says so."""
+    late = F.lit(start_s) >= F.col("n_samples") / F.col("rate_hz")
+    lo = F.greatest(F.lit(0), F.floor(start_s * F.col("rate_hz"))).cast("long")
+    hi = F.least(F.col("n_samples"), F.ceil(end_s * F.col("rate_hz"))).cast("long")
+    return runs.select(
+        *runs.columns, F.when(~late, lo).alias("lo"), F.when(~late, hi).alias("hi"),
+        F.when(late, "starts after the recording ends").otherwise("").alias("error"),
+    )

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import gating as gate
 from ..operators import regression as reg
 from ..operators import sequence as seq
 from ..operators import session as ses
 from .bindings import DAY, HOUR, MARKERS, SIGNAL, TRIALS, load, markers, signal, trials
 from .query import Query
-from .summary_queries import six
+from .summary_queries import BLOCKS, runs, six
 
 
 def suppliers(s, d):
@@ -210,4 +211,47 @@ SELECT p_partkey, CASE WHEN target IS NULL THEN 'skip' WHEN target = p_name THEN
 SELECT channel, event_id, t - {DAY} AS "start", t + {DAY} AS "end" FROM m
 WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.channel = m.channel AND j > {18 * HOUR} AND gap_at > m.t - {DAY} AND gap_at < m.t + {DAY})""",
     ),
+    "diagnosis_run_selection": Query(
+        lambda s, d: ses.diagnosis_runs(gate.blocks(gate.validation(runs(s, d)), "session")).select("session", "run_id", "keep", "left_out"),
+        f"""WITH {BLOCKS}, f AS (SELECT *, exclusion_reason = '' AND status IN ('ok', 'no_stim') AS included,
+  status = 'ok' AND n_detected > 0 AND block IN ('block1', 'block2') AND ipi_s >= 0.3 AS single FROM b4
+), k AS (SELECT *, included AND NOT compliance AND single AS keep FROM f)
+SELECT session, run_id, keep, CASE WHEN keep THEN '' WHEN exclusion_reason <> '' THEN exclusion_reason WHEN n_detected = 0 THEN 'no_stim' WHEN NOT single THEN 'paired_or_train' ELSE 'excluded' END AS left_out FROM k""",
+    ),
+    "polarity_override": Query(
+        lambda s, d: ses.polarity_override(load(s, d, "part").select("p_partkey", (F.col("p_size") - 25).cast("double").alias("amplitude"), F.when(F.col("p_partkey") % 5 != 4, (F.col("p_partkey") % 3 - 1).cast("int")).alias("lead"),
+                                                                     F.when(F.col("p_partkey") % 2 == 0, "unsure").otherwise("").alias("flags")), "amplitude", "lead", "flags"),
+        """WITH x AS (SELECT p_partkey, CAST(p_size - 25 AS DOUBLE) AS amplitude, CASE WHEN p_partkey % 5 <> 4 THEN CAST(p_partkey % 3 - 1 AS INT) END AS lead, CASE WHEN p_partkey % 2 = 0 THEN 'unsure' ELSE '' END AS flags FROM part
+), y AS (SELECT *, coalesce(lead <> 0 AND sign(amplitude) <> lead, false) AS other FROM x)
+SELECT p_partkey, CASE WHEN other THEN lead * abs(amplitude) ELSE amplitude END AS amplitude, lead,
+       CASE WHEN NOT other THEN flags WHEN flags <> '' THEN flags || '|polarity_from_scope' ELSE 'polarity_from_scope' END AS flags FROM y""",
+    ),
+    "recovery_by_contact_group": Query(
+        lambda s, d: six(ses.recovery_table(
+            trials(s, d).select("win", F.when(F.col("contact") % 10 == 0, "stim").otherwise("recording").alias("contacts"), F.col("response"), (F.col("discount") * 100 - 2).alias("rail"), (F.col("metric") / 1000 - 40).alias("drift")),
+            ["win", "contacts"], "response", "rail", F.col("response") >= 49, "drift")),
+        f"""WITH {TRIALS}, x AS (SELECT win, CASE WHEN contact % 10 = 0 THEN 'stim' ELSE 'recording' END AS contacts, response, discount * 100 - 2 AS rail, metric / 1000 - 40 AS drift FROM tr)
+SELECT win, contacts, count(*) AS n, round(quantile_cont(response, 0.25), 6) AS q25, round(quantile_cont(response, 0.5), 6) AS median, round(quantile_cont(response, 0.75), 6) AS q75,
+       round(quantile_cont(rail, 0.5), 6) AS median_rail, count(*) FILTER (WHERE response >= 49) AS n_censored, round(count(*) FILTER (WHERE response >= 49) / count(*), 6) AS censored,
+       round(count(*) FILTER (WHERE rail <= 0) / count(*), 6) AS zero_rail, round(count(*) FILTER (WHERE abs(drift) > 25) / count(*), 6) AS drifting, round(quantile_cont(abs(drift), 0.5), 6) AS median_drift
+FROM x GROUP BY win, contacts""",
+    ),
+    "retained_annotation": Query(
+        lambda s, d: ses.annotate_retained(
+            trials(s, d).select("run_id", "event_number", "part", F.when(F.col("win") == "A", "early").when(F.col("win") == "R", "late").otherwise("baseline").alias("window")),
+            trials(s, d).where("tax > 0.01").groupBy("run_id", "event_number").agg((F.max("response") > 20).alias("retained_early"), (F.min("discount") < 0.05).alias("retained_late")), ["run_id", "event_number"], "window"),
+        f"""WITH {TRIALS}, k AS (SELECT run_id, event_number, max(response) > 20 AS e, min(discount) < 0.05 AS l FROM tr WHERE tax > 0.01 GROUP BY ALL)
+SELECT tr.run_id, tr.event_number, part, CASE WHEN win = 'A' THEN 'early' WHEN win = 'R' THEN 'late' ELSE 'baseline' END AS "window",
+       CASE WHEN win = 'A' THEN coalesce(e, false) WHEN win = 'R' THEN coalesce(l, false) ELSE true END AS retained FROM tr LEFT JOIN k ON k.run_id = tr.run_id AND k.event_number = tr.event_number""",
+    ),
+    "time_slice_bounds": Query(
+        lambda s, d: ses.slice_bounds(load(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderkey") % 5000).alias("n_samples"), F.lit(100.0).alias("rate_hz")), 12.345, 33.333),
+        """WITH r AS (SELECT o_orderkey AS run_id, o_orderkey % 5000 AS n_samples, 1e2 AS rate_hz FROM orders)
+SELECT *, CASE WHEN 12.345 < n_samples / rate_hz THEN 1234 END AS lo, CASE WHEN 12.345 < n_samples / rate_hz THEN least(n_samples, 3334) END AS hi,
+       CASE WHEN 12.345 < n_samples / rate_hz THEN '' ELSE 'starts after the recording ends' END AS error FROM r""",
+    ),
+    "half_even_samples": Query(
+        lambda s, d: trials(s, d).select("run_id", "event_number", "part", F.bround(F.col("response") * 30.0 * F.col("discount")).cast("long").alias("sample")).distinct(),
+        f"WITH {TRIALS} SELECT DISTINCT run_id, event_number, part, CAST(round_even(response * 3e1 * discount, 0) AS BIGINT) AS sample FROM tr",
+    ),
 }

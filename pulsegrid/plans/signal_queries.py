@@ -140,4 +140,11 @@ SELECT run_id, idx // {BLOCK} AS block_no, CAST(idx % {BLOCK} AS INT) AS k, roun
         trials(s, d).select("contact", "run_id", "event_number", "part", (F.col("discount") + 0.01).alias("base"), (F.col("tax") + 0.01).alias("post")), ["contact"], "base", "post", ["run_id", "event_number", "part"], 200))),
     "fake_onsets": Query(lambda s, d: resampling.fake_onsets(
         signal(s, d).groupBy("channel").agg((F.min("t") + HOUR).alias("start"), (F.max("t") - HOUR).alias("end")), ["channel"], 20, 6 * HOUR)),
+    "prepost_power": Query(lambda s, d: six(evoked.prepost_power(
+        blocks(s, d), numbered(s, d).groupBy("run_id").agg(F.floor(F.count("*") * 0.45).alias("first_stim"), F.floor(F.count("*") * 0.5).alias("last_stim"), F.count("*").alias("n_samples")),
+        RATE, BANDS, 0.1, 0.05, 0.02, 0.3, 2, 100, BLOCK))),
+    "shuffle_summary": Query(lambda s, d: six(resampling.paired_db_intervals(
+        sig.event_power(blocks(s, d), resampling.fake_onsets(numbered(s, d).groupBy("run_id").agg(F.lit(8).cast("long").alias("start"), (F.count("*") - 8).alias("end")), ["run_id"], 10, 5)
+                        .select("run_id", F.col("onset").alias("event_number"), F.col("onset").alias("onset_sample")), RATE, {"high": (10.0, 30.0)}, {"base": (-50.0, 0.0), "post": (0.0, 50.0)}, (-10.0, 10.0), 80.0, 2, BLOCK)
+        .groupBy("run_id", "band", "event_number").pivot("win", ["base", "post"]).agg(F.first("power_uv2")), ["run_id", "band"], "base", "post", ["event_number"], 200))),
 }

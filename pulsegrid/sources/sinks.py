@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def open_store(spark: SparkSession, path: str):
+    """The file system that Spark writes a path to."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def write_tables(spark: SparkSession, tables: dict[str, DataFrame], path: str, form: str = "parquet", by: dict[str, str] | None = None) -> None:
     """Writes each table to a staging folder beside path, then moves them in; a failure leaves path as it was.
 
@@ -18,9 +23,7 @@ def write_tables(spark: SparkSession, tables: dict[str, DataFrame], path: str, f
     """
     root = path.rstrip("/")
     stage, aside = (f"{root}/_{kind}-{uuid.uuid4().hex}" for kind in ("stage", "aside"))
-    jvm = spark._jvm
-    to_path = jvm.org.apache.hadoop.fs.Path
-    store = to_path(stage).getFileSystem(spark._jsc.hadoopConfiguration())
+    to_path, store = spark._jvm.org.apache.hadoop.fs.Path, open_store(spark, stage)
 
     def move(a: str, b: str) -> None:
         store.mkdirs(to_path(b).getParent())

@@ -20,8 +20,11 @@ def _channel(name: str, order: int, kind: int, stim: bool, on: bool = True, impe
     return out + struct.pack("<hhhhff", 0, 0, 0, 0, impedance, phase)
 
 
-def _groups(channels: list[bytes]) -> bytes:
-    return struct.pack("<h", 1) + _text("Port A") + _text("A") + struct.pack("<hhh", 1, len(channels), len(channels)) + b"".join(channels)
+def _groups(channels: list[bytes], disabled: int = 0) -> bytes:
+    """One group of channels; before it an empty one that is disabled though it tells of `disabled` channels."""
+    off = _text("Port Z") + _text("Z") + struct.pack("<hhh", 0, disabled, disabled) if disabled else b""
+    own = _text("Port A") + _text("A") + struct.pack("<hhh", 1, len(channels), len(channels)) + b"".join(channels)
+    return struct.pack("<h", 1 + bool(disabled)) + off + own
 
 
 def _assemble(header: bytes, n: int, streams: dict[str, np.ndarray], t0: int) -> bytes:
@@ -39,13 +42,13 @@ def _assemble(header: bytes, n: int, streams: dict[str, np.ndarray], t0: int) ->
 
 
 def stim_file(codes: np.ndarray, words: np.ndarray, names: list[str], rate: float = 30000.0, step_a: float = 1e-6, t0: int = 0,
-              impedances: list[float] | None = None, dsp: tuple[bool, float] = (True, 1.0), lower: float = 7.5, upper: float = 7500.0) -> bytes:
+              impedances: list[float] | None = None, dsp: tuple[bool, float] = (True, 1.0), lower: float = 7.5, upper: float = 7500.0, disabled: int = 0) -> bytes:
     """A stim/record file of amplifier codes and stim words, both (channels, samples) of whole 128-sample blocks."""
     head = struct.pack("<Ihhf", MAGIC_STIM, 3, 0, rate) + struct.pack("<hffff", dsp[0], dsp[1], lower, 1000.0, upper)
     head += struct.pack("<ffff", dsp[1], lower, 1000.0, upper) + struct.pack("<hff", 0, 1000.0, 1000.0)
     head += struct.pack("<hhfff", 0, 0, step_a, 1e-9, 0.0) + _text("") * 3 + struct.pack("<hh", 0, 0) + _text("")
     z = impedances or [1e5] * len(names)
-    head += _groups([_channel(c, i, 0, True, True, z[i]) for i, c in enumerate(names)])
+    head += _groups([_channel(c, i, 0, True, True, z[i]) for i, c in enumerate(names)], disabled)
     return _assemble(head, codes.shape[1], {"amp": codes, "stim": words}, t0)
 
 

@@ -94,6 +94,15 @@ def test_text_sources(spark, tmp_path):
     )
     r = text.settings(spark, str(run / "settings.xml")).first()
     assert (r.run_id, r.stim_channel, r.amplitude_ua, r.phase_us, r.n_pulses, r.step_ua) == ("run7", "A-2", 50.0, 200.0, 3, 0.5)
+    assert r.n_stim_channels == 1 and r.sample_rate_hz is None
+    (run / "settings.xml").write_text(
+        '<IntanRHX SampleRateHertz="30000" StimStepSizeMicroAmps="2"><GeneralConfig StimStepSizeMicroAmps="5"/><SignalGroup><StimChannel NativeChannelName="A-3" StimEnabled="1" Polarity="NegativeFirst" '
+        'EnableAmpSettle="True" PostStimAmpSettleMicroseconds="1000"/><StimChannel NativeChannelName="A-4" StimEnabled="True"/></SignalGroup></IntanRHX>'
+    )
+    r = text.settings(spark, str(run / "settings.xml")).first()
+    assert (r.stim_channel, r.n_stim_channels, r.step_ua, r.sample_rate_hz, r.polarity, r.amp_settle, r.post_settle_us, r.charge_recovery) == ("A-3", 2, 5.0, 30000.0, "NegativeFirst", True, 1000.0, None)
+    (run / "spikes.txt").write_text("1.5\n 2 \nx\n\n3e-1\n")
+    assert sorted(x.t for x in text.spike_times(spark, str(run / "spikes.txt")).collect()) == [0.3, 1.5, 2.0]
     (tmp_path / "z.csv").write_text("Channel Number,Impedance Magnitude at 1000 Hz (ohms),Impedance Phase at 1000 Hz (degrees)\nA-1,1e5,-60\n")
     assert text.impedances(spark, str(tmp_path / "z.csv")).first() == ("A-1", 1e5, -60.0)
     (tmp_path / "m.csv").write_text("run_id,block\nrun1,block2\n")
@@ -114,3 +123,69 @@ def test_sink_is_all_or_nothing(spark, tmp_path):
         sinks.write_tables(spark, {"a": spark.range(1), "b": bad}, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "a")).count() == 5
     assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_stage")]
+
+
+def test_sink_puts_old_tables_back(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    sinks.write_tables(spark, {"a": spark.range(5), "b": spark.range(5)}, out)
+    (tmp_path / "out" / "c").write_text("of someone else")
+    class Store:
+        def __init__(self, store):
+            self.store, self.n = store, 0
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+        def rename(self, a, b):
+            self.n += 1
+            return False if self.n == 4 else self.store.rename(a, b)
+
+    stores = []
+    plain = sinks.open_store
+    monkeypatch.setattr(sinks, "open_store", lambda spark, path: stores.append(Store(plain(spark, path))) or stores[-1])
+    with pytest.raises(OSError):
+        sinks.write_tables(spark, {"a": spark.range(1), "b": spark.range(1)}, out)
+    assert spark.read.parquet(out + "/a").count() == 5 and spark.read.parquet(out + "/b").count() == 5
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["a", "b", "c"]
+
+
+def test_tables_for_text_formats(spark):
+    df = spark.createDataFrame([(1, float("nan"), "x"), (2, float("inf"), None), (3, 1.5, "y")], "k long, v double, s string")
+    assert [r.v for r in sinks.without_non_finite(df).orderBy("k").collect()] == [None, None, 1.5]
+    runs = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "run string")
+    done = spark.createDataFrame([("a", 3, None), ("b", 0, None), ("c", None, "broken")], "run string, n long, error string")
+    assert {r.run: r.status for r in sinks.batch_summary(runs, done, "run", "n").collect()} == {"a": "ok", "b": "empty", "c": "error", "d": "empty"}
+
+
+def test_disabled_groups_have_no_channels():
+    codes = np.arange(512, dtype=np.uint16).reshape(2, 256)
+    data = writers.stim_file(codes, np.zeros_like(codes), ["A-1", "A-2"], disabled=3)
+    h = acq.parse_header(data)
+    assert [c.name for c in h.channels] == ["A-1", "A-2"] and acq.n_blocks(h, len(data)) == 2
+
+
+def test_runs_of_one_name_stay_apart(spark, tmp_path):
+    from pulsegrid.operators.sequence import run_scan
+
+    stim_run(tmp_path / "s" / "x" / "run1", t0s=(0, 1768))
+    stim_run(tmp_path / "s" / "y" / "run1", t0s=(0, 768))
+    spark.dataSource.register(acq.RecordingSource)
+    df = spark.read.format("recording").option("path", str(tmp_path / "s")).load()
+    got = {r.run_id: r for r in run_scan(df, 128).collect()}
+    assert set(got) == {"x/run1", "y/run1"} and acq.run_name("/a/b/c.rhs", "/a/b") == "b" and acq.run_name("file:///a/b/r/c.rhs", "/a/b/") == "r"
+    x, y = got["x/run1"], got["y/run1"]
+    assert (x.n_files, x.n_samples, x.file_boundaries, x.n_gaps, x.n_gaps_at_joins) == (2, 1536, [0, 768], 1, 1)
+    assert (y.n_gaps, y.file_boundaries) == (0, [0, 768])
+
+
+def test_bands_and_windows_from_text(spark):
+    from pyspark.sql import functions as F
+
+    from pulsegrid.functions import parsing
+
+    df = spark.createDataFrame([("theta 4-8; 8\u201313 Hz\n\nhigh gamma: 80 to 150hz;nothing;5-5",)], "t string")
+    got = [tuple(b) for b in df.select(parsing.power_bands(F.col("t"))).first()[0]]
+    assert got == [("theta", 4.0, 8.0), ("band2_8-13Hz", 8.0, 13.0), ("high_gamma", 80.0, 150.0)]
+    texts = spark.createDataFrame([("-500 to -50",), ("20-300 ms",), ("-1.5 - 2",), ("300 to 20",), ("none",)], "t string")
+    got = [r[0] and tuple(r[0]) for r in texts.select(parsing.window_ms(F.col("t"))).collect()]
+    assert got == [(-500.0, -50.0), (20.0, 300.0), (-1.5, 2.0), None, None]

@@ -32,3 +32,20 @@ def test_open_pulses_survive_micro_batches(spark, tmp_path):
     stream = spark.readStream.schema("channel string, sample long, ua double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted(map(tuple, drain(markers.pulses(stream, 1), "pulses").collect()))
     assert got == [("a", 10, 25, 5.0), ("a", 40, 42, 5.0), ("b", 7, 8, 3.0)]
+
+
+def test_idle_channels_give_out_their_open_pulse(spark, tmp_path):
+    import time
+
+    rows = [("a", k, 5.0 if k >= 12 else 0.0) for k in range(15)]
+    spark.createDataFrame(rows, "channel string, sample long, ua double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("channel string, sample long, ua double").parquet(str(tmp_path / "in"))
+    q = markers.pulses(stream, 1, idle_ms=500).writeStream.format("memory").queryName("idle").trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if spark.table("idle").count():
+                break
+        assert [tuple(r) for r in spark.table("idle").collect()] == [("a", 12, 15, 5.0)]
+    finally:
+        q.stop()
