@@ -51,11 +51,13 @@ RULES = (
     Rule("exclaims", lambda t, n: 10 * _count(t, "!") > 2 * n, "10 * n_exclaims > 2 * n_words"),
     # capitals A-Z per word over 2
     Rule("capitals", lambda t, n: _count(t, "[A-Z]") > 2 * n, "n_capitals > 2 * n_words"),
-    # under one distinct word in 50: a tiny vocabulary over many words
+    # distinct words under half the root of all: a tiny vocabulary for the length (that of prose grows like the root or faster)
     Rule(
         "vocabulary",
-        lambda t, n: 50 * F.size(F.array_distinct(words_expr(t))) < n,
-        "50 * n_distinct < n_words",
+        lambda t, n: let(
+            F.size(F.array_distinct(words_expr(t))).cast("long"), lambda d: 4 * d * d < n
+        ),
+        "4 * CAST(n_distinct AS BIGINT) * n_distinct < n_words",
     ),
 )
 

@@ -45,17 +45,31 @@ def test_quality_rules_counts(table, awkward):
     assert got == sorted((i, *rule_counts(t)) for i, t in rows)
 
 
+def vocabulary_of(n, length):
+    """A text of n distinct words in which hardly any three follow one another twice."""
+    rng = random.Random(3)
+    seen, out = set(), ["v0", "v1"]
+    while len(out) < length:
+        fresh = [w for w in (f"v{k}" for k in range(n)) if (*out[-2:], w) not in seen]
+        out.append(rng.choice(fresh or ["v0"]))
+        seen.add(tuple(out[-3:]))
+    return " ".join(out)
+
+
 def test_quality_rules_verdict(table):
     words = [f"word{k}" for k in range(80)]
     rows = [
         (1, " ".join(words)), (2, " | ".join(words)), (3, " ".join(w.upper() + "ABC" for w in words)), (4, "!! ".join(words)),
-        (5, " ".join(["same"] * 400)), (6, "few words"),
+        (5, " ".join(["same"] * 400)), (6, "few words"), (7, " ".join(random.Random(1).choice(words) for _ in range(30_000))), (8, vocabulary_of(8, 600)),
     ]
     kept = {r.doc_id: r.kept for r in quality_rules.score_documents(table(rows)).collect()}
-    assert kept == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
+    assert kept == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, 7: False, 8: False}
     docs = table(rows)
     left = quality_rules.filter_documents(docs)
     assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [1]
+    # many words over a vocabulary of thousands are prose, however long
+    long = " ".join(f"w{random.Random(k).randrange(3000)}" for k in range(60_000))
+    assert [r.kept for r in quality_rules.score_documents(table([(1, long)])).collect()] == [True]
     assert quality_rules.filter_documents(table([])).count() == 0
     names = [r.name for r in quality_rules.plan_cascade(docs)]
     assert sorted(names) == sorted(r.name for r in quality_rules.RULES)
