@@ -96,8 +96,8 @@ def test_text_sources(spark, tmp_path):
     assert (r.run_id, r.stim_channel, r.amplitude_ua, r.phase_us, r.n_pulses, r.step_ua) == ("run7", "A-2", 50.0, 200.0, 3, 0.5)
     assert r.n_stim_channels == 1 and r.sample_rate_hz is None
     (run / "settings.xml").write_text(
-        '<IntanRHX SampleRateHertz="30000" StimStepSizeMicroAmps="2"><GeneralConfig StimStepSizeMicroAmps="5"/><SignalGroup><StimChannel NativeChannelName="A-3" StimEnabled="1" Polarity="NegativeFirst" '
-        'EnableAmpSettle="True" PostStimAmpSettleMicroseconds="1000"/><StimChannel NativeChannelName="A-4" StimEnabled="True"/></SignalGroup></IntanRHX>'
+        '<Settings SampleRateHertz="30000" StimStepSizeMicroAmps="2"><GeneralConfig StimStepSizeMicroAmps="5"/><SignalGroup><StimChannel NativeChannelName="A-3" StimEnabled="1" Polarity="NegativeFirst" '
+        'EnableAmpSettle="True" PostStimAmpSettleMicroseconds="1000"/><StimChannel NativeChannelName="A-4" StimEnabled="True"/></SignalGroup></Settings>'
     )
     r = text.settings(spark, str(run / "settings.xml")).first()
     assert (r.stim_channel, r.n_stim_channels, r.step_ua, r.sample_rate_hz, r.polarity, r.amp_settle, r.post_settle_us, r.charge_recovery) == ("A-3", 2, 5.0, 30000.0, "NegativeFirst", True, 1000.0, None)
