@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_dedup, neighbours, ngram_join, packing, quality_crf, quality_rules, secrets, sentencepiece, warc
+from . import licenses, line_dedup, neighbours, ngram_join, packing, periodic, quality_crf, quality_rules, secrets, sentencepiece, warc
 from .common import documents, table
 
 
@@ -48,6 +48,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digests(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_crf": op2_quality_crf,
@@ -59,6 +63,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL = {
