@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_dedup, neighbours, ngram_join, packing, periodic, quality_crf, quality_rules, secrets, sentencepiece, warc
+from . import lexical, licenses, line_dedup, neighbours, ngram_join, packing, periodic, quality_crf, quality_rules, secrets, sentencepiece, warc
 from .common import documents, table
 
 
@@ -52,6 +52,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(documents(spark, sf_dir))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_crf": op2_quality_crf,
@@ -64,9 +68,11 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLE_SQL = {
     "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
+    "op12_lexical_search": lexical.ORACLE_SQL,
 }

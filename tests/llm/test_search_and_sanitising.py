@@ -1,6 +1,8 @@
 """Periodic runs, lexical search and sanitising beside brute force."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -8,7 +10,7 @@ import zlib
 
 import numpy as np
 
-from pulsegrid.llm import periodic
+from pulsegrid.llm import lexical, periodic
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -100,3 +102,110 @@ def test_long_texts_of_few_words_take_little_time(table):
     for r in got[2]["runs"]:
         s, length, q = r
         assert words[s : s + length - q] == words[s + q : s + length]
+
+
+# ------------------------------------------------------------------------------------------------- lexical search
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_search(docs, items, top=10):
+    docs = [(i, collections.Counter(TERM.findall(t.translate(AZ)))) for i, t in docs if i is not None and t]
+    docs = [(i, c, sum(c.values())) for i, c in docs if c]
+    n_docs, n_terms = len(docs), sum(n for _, _, n in docs)
+    held = collections.Counter(t for _, c, _ in docs for t in c)
+    first = {}
+    for i, text in sorted((i, t) for i, t in items if i is not None and t is not None):
+        first.setdefault(i, text)
+    out = []
+    for item, text in first.items():
+        scores = []
+        for i, c, n in docs:
+            m = 10 + 90 * n * n_docs // n_terms
+            score = 0
+            for t in set(TERM.findall(text.translate(AZ))) & set(c):
+                w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * held[t] + 1)))
+                score += w * (1000000000 * c[t] // (1000 * c[t] + 8 * m))
+            if score > 0:
+                scores.append((-score, i))
+        out += [(item, k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:top])]
+    return sorted(out)
+
+
+def test_search_beside_brute_force(table, awkward, spark):
+    rng = random.Random(4)
+    vocabulary = [f"T{k}é" if k % 7 == 0 else f"t{k}" for k in range(300)]
+
+    def text(most):
+        return " ,".join(vocabulary[min(299, int(rng.paretovariate(0.6)) - 1)] for _ in range(rng.randint(0, most)))
+
+    rows = awkward + [(None, "t1 t2")] + [(1000 - k, text(120)) for k in range(900)]
+    rows += [(k, rows[-1 - k % 50][1]) for k in range(2000, 2300)]  # ties of equal texts, in any order of ids
+    items = [(k, text(30)) for k in range(60)] + [(60, None), (61, ""), (62, "nothing here"), (None, "t1"), (5, "zz"), (63, "one ONE Two")]
+    asked = table(items).withColumnRenamed("doc_id", "item_id")
+    want = brute_search(rows, items)
+    for docs in (table(rows), table(rows).repartition(7)):
+        assert sorted(map(tuple, lexical.search(docs, asked).collect())) == want
+        assert sorted(map(tuple, lexical.search(docs, asked, shard_postings=700).collect())) == want
+    assert lexical.search(table([]), asked).collect() == []
+    assert lexical.search(table(rows), asked.limit(0)).collect() == []
+
+
+def test_items_in_groups_and_sql(table, tmp_path):
+    import duckdb
+
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(90)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for k in range(200)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(6))) for k in range(30)]
+    asked = table(items).withColumnRenamed("doc_id", "item_id")
+    groups = list(lexical.item_groups(asked, "item_id", 500))
+    assert len(groups) > 3 and sorted(i for g in groups for i in g.ids) == list(range(30))
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    got = sorted(tuple(r) for r in lexical.search(table(rows), asked).collect())
+    assert got == sorted(con.execute(lexical.ORACLE_SQL).fetchall()) == brute_search(rows, items)
+
+
+def least_error(impacts, price, most):
+    best = [0.0]
+    for i in range(1, len(impacts) + 1):
+        best.append(min(best[j] + price + (i - j) * max(impacts[j:i]) for j in range(max(0, i - most), i)))
+    return best[-1]
+
+
+def test_block_borders_have_the_least_error():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 5, 40, 200, 200])
+    impacts = rng.integers(0, 50, (5, 200))
+    ends = lexical.block_ends(impacts * (np.arange(200) < sizes[:, None]), np.full(5, 90.0), sizes)
+    for row, cut, n in zip(impacts, ends, sizes):
+        at = np.flatnonzero(cut) + 1
+        assert at[-1] == n and not cut[n:].any()
+        error = sum(90.0 + (b - a) * row[a:b].max() for a, b in zip([0, *at[:-1]], at))
+        assert error == least_error(row[:n].tolist(), 90.0, lexical.MOST_BLOCK)
+
+
+def test_skipping_reads_few_postings():
+    rng = np.random.default_rng(1)
+    n = 20_000
+    doc = np.concatenate([np.arange(n), rng.choice(n, 200, False)])
+    term = np.repeat([0, 1], [n, 200])
+    impact = np.concatenate([rng.integers(1, 100, n), rng.integers(5000, 9000, 200)])
+    shard = lexical.Shard(np.arange(n), doc, term, impact)
+    seen = []
+    plain = shard.may_be_pivots
+
+    def counted(*args):
+        seen.append(len((found := plain(*args))[0]))
+        return found
+
+    shard.may_be_pivots = counted
+    score = np.bincount(doc, impact, n).astype(int)
+    want = sorted((-s, i) for i, s in enumerate(score.tolist()))[:10]
+    assert shard.search(np.array([0, 1]), [], 10) == want
+    assert sum(seen) < n / 10
