@@ -46,7 +46,7 @@ GROUP_BYTES, SHARD_POSTINGS = 4 << 20, 2 << 20
 #: Postings of a block at most, of a piece that is cut at once, and the price of a block in postings of full error.
 MOST_BLOCK, PIECE, BLOCK_PRICE = 64, 512, 6
 #: Stretches that are read first, and at once after them.
-FIRST_STRETCHES, NEXT_STRETCHES = 32, 1024
+FIRST_STRETCHES, NEXT_STRETCHES = 16, 1024
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
