@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical, licenses, line_dedup, neighbours, ngram_join, packing, periodic, quality_crf, quality_rules, secrets, sentencepiece, warc
+from . import lexical, licenses, line_dedup, neighbours, ngram_join, packing, periodic, pii, quality_crf, quality_rules, secrets, sentencepiece, warc
 from .common import documents, table
 
 
@@ -56,6 +56,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_crf": op2_quality_crf,
@@ -69,6 +73,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_lexical_search": op12_lexical_search,
+    "op13_pii": op13_pii,
 }
 
 ORACLE_SQL = {

@@ -10,7 +10,7 @@ import zlib
 
 import numpy as np
 
-from pulsegrid.llm import lexical, periodic
+from pulsegrid.llm import lexical, periodic, pii
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -209,3 +209,138 @@ def test_skipping_reads_few_postings():
     want = sorted((-s, i) for i, s in enumerate(score.tolist()))[:10]
     assert shard.search(np.array([0, 1]), [], 10) == want
     assert sum(seen) < n / 10
+
+
+# --------------------------------------------------------------------------------------------------- personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def brute_base(text):
+    out = []
+    for kind, pattern in enumerate((EMAIL, IP, CARD, PHONE)):
+        for m in pattern.finditer(text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            right = (True, all(int(x) <= 255 for x in m[0].split(".")) if kind == 1 else True, 13 <= len(digits) <= 19 and luhn(digits), 9 <= len(digits) <= 15)
+            if right[kind]:
+                out.append((kind, *m.span()))
+    return out
+
+
+def brute_spans(rows):
+    """(doc_id, [(kind, start, end, instead)]) by the formulas, over all documents at once."""
+    texts = [t or "" for _, t in rows]
+    base = [brute_base(t) for t in texts]
+    near = []
+    for text, found in zip(texts, base):
+        free = [m for m in TERM.finditer(text) if not any(m.start() < b and a < m.end() for _, a, b in found)]
+        own = set()
+        for kind, a, b in found:
+            value = text[a:b].translate(AZ) if kind < 2 else re.sub("[^0-9]", "", text[a:b])
+            before, behind = [m for m in free if m.start() < a][-pii.REACH :], [m for m in free if m.start() >= b][: pii.REACH]
+            own |= {((kind, value), m[0].translate(AZ), *m.span()) for m in before + behind}
+        near.append(own)
+    held, both, named = collections.Counter(), collections.Counter(), collections.Counter()
+    for text, own in zip(texts, near):
+        words = {w.translate(AZ) for w in TERM.findall(text)}
+        held.update(words | {w[: pii.PREFIX] + "*" for w in words})
+        both.update({(c, x) for c, t, _, _ in own for x in (t, t[: pii.PREFIX] + "*")})
+        named.update({c for c, _, _, _ in own})
+    n = len(rows)
+
+    def tells(c, x):
+        if both[c, x] < pii.SUPPORT:
+            return False
+        bits = math.log2(n / named[c])
+        return bits >= pii.LEAST_BITS and math.log2(n * both[c, x] / (named[c] * held[x])) >= pii.DISCLOSURE * bits
+
+    out = []
+    for (i, _), found, own in zip(rows, base, near):
+        terms = {}
+        for c, t, a, b in own:
+            if tells(c, t):
+                removed = len(t) <= pii.PREFIX or tells(c, t[: pii.PREFIX] + "*")
+                terms[a, b] = "" if removed or terms.get((a, b)) == "" else t[: pii.PREFIX] + "*"
+        spans = [(k, a, b, f"[{pii.KINDS[k]}]") for k, a, b in found] + [(4, a, b, x) for (a, b), x in terms.items()]
+        out.append((i, sorted(spans)))
+    return out
+
+
+def personal_texts(seed, count):
+    rng = random.Random(seed)
+    letters = "ab.@+-_% 0123456789()1.2.@é\n"
+    for _ in range(count):
+        yield "".join(rng.choice(letters) for _ in range(rng.randint(0, 80)))
+    for _ in range(count):
+        digits = "".join(rng.choice("0123456789") for _ in range(rng.randint(11, 19)))
+        last = next(c for c in "0123456789" if luhn(digits + c))
+        yield f"x {' '.join(digits)}{last} y {digits}-{last} +{digits[:3]} ({digits[3:6]}) {digits[6:11]}. 1.2.3.{digits[:3]} 0001.2.3.4.5.6.7.8"
+
+
+def test_base_findings_beside_plain_patterns():
+    for text in personal_texts(3, 3000):
+        assert pii.base_spans(text) == brute_base(text), text
+
+
+def surrounded(rng):
+    """Documents of common words; some name entities beside words that hardly stand elsewhere."""
+    common = [f"word{k}" for k in range(60)]
+    for k in range(400):
+        words = [rng.choice(common) for _ in range(30)]
+        if k % 10 == 0:
+            who = rng.randint(0, 4)
+            told = [f"alias{who}", f"Zürich{who}", f"word{who}", f"qx{who}"]
+            words[12:12] = [told[rng.randint(0, 3)], f"person{who}@mail.example.com", told[rng.randint(0, 3)]]
+        if k % 97 == 0:
+            words.append(f"alias{k % 5}")
+        if k % 3:
+            words.insert(rng.randint(0, 20), "everybody@example.org")
+        yield " ".join(words)
+
+
+def test_terms_beside_brute_force(table, awkward):
+    rows = awkward + [(None, "mail a.b@c.de now"), (20, "x" * 3000 + "@" + "y.z" * 50)]
+    rows += [(100 + k, t) for k, t in enumerate(surrounded(random.Random(1)))]
+    rows += [(700 + k, t) for k, t in enumerate(personal_texts(9, 40))]
+    want = brute_spans(rows)
+    assert any(s[0] == 4 and s[3] for _, own in want for s in own) and any(s[0] == 4 and not s[3] for _, own in want for s in own)
+    got = [(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in pii.scan(table(rows)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    texts = collections.Counter((r["doc_id"], r["text"]) for r in pii.sanitise(table(rows)).collect())
+    by_spans = collections.Counter()
+    for (i, text), (_, own) in zip(rows, want):
+        out, at = "", 0
+        for _, a, b, instead in sorted(own, key=lambda s: (s[1], -s[2])):
+            out += (text[at:a] + instead) if a >= at else ""
+            at = max(at, b)
+        by_spans[i, out + (text or "")[at:]] += 1
+    assert texts == by_spans
+    digest = {r["doc_id"]: r for r in pii.digests(table(rows)).collect() if r["doc_id"] is not None}
+    for i, own in want:
+        if i is not None and i != 10:
+            shown = [",".join(f"{(*pii.KINDS, 'term')[k]}:{a}:{b}" for k, a, b, _ in own if k < most) for most in (4, 5)]
+            assert [digest[i][f"n_{name}"] for name in pii.KINDS] == [sum(s[0] == k for s in own) for k in range(4)]
+            assert digest[i]["base_sha256"] == hashlib.sha256(shown[0].encode()).hexdigest() and digest[i]["spans"] == shown[1]
+    assert pii.scan(table([])).collect() == []
+
+
+def test_documents_without_personal_data_stay(table):
+    rows = [(k, f"alias{k % 3} writes a{k} to nobody") for k in range(50)]
+    rows += [(100 + k, f"alias1 is me{k % 3}@example.com today") for k in range(30)]
+    assert all(not r["spans"] for r in pii.scan(table(rows)).collect() if r["doc_id"] < 100)
+
+
+def test_long_lists_take_little_time(table):
+    many = " ".join(f"user{k}@mail{k % 7}.example.com tel +1 555 {k:07d}" for k in range(20_000))
+    odd = ["1" * 2_000_000, "a" * 2_000_000, "1." * 1_000_000, "+1 " * 700_000, "@" * 1_000_000, "a@" * 500_000, "+1" + " " * 2_000_000]
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.digests(table([(1, many), *((2 + k, t) for k, t in enumerate(odd))])).collect()}
+    assert got[1]["n_email"] == got[1]["n_phone"] == 20_000
+    assert time.time() - began < 90
