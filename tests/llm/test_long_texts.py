@@ -52,3 +52,41 @@ def test_operators_take_long_texts_whole(spark, table, long_text):
     assert sum(r.length for r in packed) == len(whole) and {r.length for r in packed if r.piece < len(packed) - 1} == {packing.CAPACITY}
     last = max(packed, key=lambda r: r.piece)
     assert last.ids_crc32 == zlib.crc32(np.array(whole[last.start :], "<u4").tobytes())
+
+
+def test_secrets_of_a_text_with_many_findings_take_little_time():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from pulsegrid.llm import secrets
+
+    def text(n):
+        return " ".join(f"mid{k} für {k * 7919 % 10**9:09d}{k:015x}" + " and" * (k % 3) for k in range(n))
+
+    took = []
+    for n in (2_000, 10_000):
+        began = time.process_time()
+        out = secrets.labelled(text(n), np.random.default_rng(1))
+        took.append(time.process_time() - began)
+        # every finding once in the text, twice elsewhere
+        assert sum(y for y, w in out if w is not None) >= 3 * n
+    assert took[1] < 12 * took[0]
+    data = text(10_000) + " token=Ab1" * 20_000
+    began = time.process_time()
+    (found,) = secrets.scan_texts(pa.array([data]), None)
+    assert len(found) == 10_000 and time.process_time() - began < 20
+
+
+def test_spans_that_touch():
+    import numpy as np
+
+    from pulsegrid.llm import secrets
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        others = np.sort(rng.integers(0, 60, (rng.integers(0, 8), 2)), 1)
+        starts, ends = np.sort(rng.integers(0, 60, (9, 2)), 1).T
+        want = [any(s < y and x < e for x, y in others) for s, e in zip(starts, ends)]
+        assert secrets.Touching(others).of(starts, ends).tolist() == want
