@@ -6,7 +6,10 @@ so a squared projected distance is the true one times a chi-square variable. The
 vectors to blocks, the lower part is one tree in each block; both are built once and written. A query visits the
 leaves of its nearest block by their projected distance, and verifies their points on the original vectors; the search
 stops once the chi-square test says that a point nearer than the current last neighbour would, with probability
-`confidence`, have been seen. The same test then tells which other blocks the query must visit.
+`confidence`, have been seen. The same test then tells which other blocks the query must visit. How many these are is up
+to the data: on tight groups few, on vectors without structure nearly all, and then queries times blocks are shuffled
+(the query's vector each time), which is the cost of an exact answer in blocks and bounds what the search can cost.
+Where rounding could decide which vector is the last to be kept, correctly rounded products do, and ids among equals.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null
 id; vectors of different lengths are searched apart; a query's own row never counts, other rows with the same vector do;
@@ -34,6 +37,8 @@ K, QUERY_EVERY = 20, 20
 DIMENSIONS, LEAF, CONFIDENCE = 8, 64, 0.8
 #: Vectors of a block, about; queries that meet a block in one task; projections that the planes are fitted on.
 BLOCK_VECTORS, BLOCK_QUERIES, SAMPLE = 8192, 2048, 1 << 18
+#: Distances of queries to boxes of blocks that a task holds at once.
+BOX_CELLS = 1 << 21
 SEED = 11
 
 
@@ -165,6 +170,7 @@ def search(
     visit = np.argsort(boxes, axis=1, kind="stable")
     n, dims = len(q), points.shape[1]
     base = (q**2).sum(1) + longest  # squared distance = base - 2 * inner product
+    slack = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((q**2).sum(1) * longest)  # bounds the rounding of two products
     width = k + 1  # one more for the query's own row
     kept_score = np.full((n, width), -np.inf)
     kept_row = np.full((n, width), -1)
@@ -188,6 +194,13 @@ def search(
             top = np.argpartition(-all_scores, width - 1, axis=1)[:, :width]
             kept_score[own] = np.take_along_axis(all_scores, top, 1)
             kept_row[own] = np.take_along_axis(all_rows, top, 1)
+            # where rounding may decide which one is last, exact scores and then ids do
+            near = all_scores >= kept_score[own].min(1, keepdims=True) - slack[own][:, None]
+            for j in np.flatnonzero((near & (all_rows >= 0)).sum(1) > width).tolist():
+                rows_j = all_rows[j, near[j] & (all_rows[j] >= 0)]
+                exact = exact_scores(q[own[j]], distinct[rows_j])
+                order = sorted(range(len(rows_j)), key=lambda r: (-exact[r], copies[rows_j[r]][0]))[:width]
+                kept_row[own[j]], kept_score[own[j]] = rows_j[order], np.array(exact)[order]
     out_q, out_v, out_s = [], [], []
     for i in range(n):
         rows = kept_row[i][kept_row[i] >= 0]
@@ -208,10 +221,13 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _by_dim(batch: pa.RecordBatch, most: int = 1 << 30) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a batch by the number of components, at most `most` at once."""
     dims = batch.column("dim").to_numpy()
     for dim in np.unique(dims).tolist():
-        yield dim, batch.take(pa.array(np.flatnonzero(dims == dim)))
+        rows = np.flatnonzero(dims == dim)
+        for lo in range(0, len(rows), most):
+            yield dim, batch.take(pa.array(rows[lo : lo + most]))
 
 
 @dataclass
@@ -237,20 +253,30 @@ def build_index(vectors: DataFrame, k: int, block_vectors: int = BLOCK_VECTORS,
     squares = F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)
     shape = {r.dim: r for r in kept.groupBy("dim").agg(F.count("*").alias("n"), F.max(squares).alias("longest")).collect()}
     longest = {d: r.longest for d, r in shape.items()}
+
+    def lists(p: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, own in _by_dim(batch):
+                p = projected(_matrix(own.column("v")), longest[dim])
+                yield pa.RecordBatch.from_arrays([own.column("dim"), own.column("vec_id"), lists(p)], ["dim", "vec_id", "p"])
+
     # the projections of the smallest id hashes, as many for each block
     share = {d: -(-r.n // block_vectors) for d, r in shape.items()}
-    some = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(sample, 64 * sum(share.values()))))
-    drawn = {d: _matrix(b.column("v")) for d, b in _by_dim(some.select("dim", "v").toArrow().combine_chunks().to_batches()[0])} if shape else {}
-    splits = {d: Splits(projected(drawn[d], longest[d]) if d in drawn else np.zeros((0, DIMENSIONS)), n) for d, n in share.items()}
+    some = kept.select("dim", "vec_id", "v").mapInArrow(project, "dim int, vec_id long, p array<double>")
+    some = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(sample, 64 * sum(share.values()))))
+    drawn = {d: _matrix(b.column("p")) for d, b in _by_dim(some.select("dim", "p").toArrow().combine_chunks().to_batches()[0])} if shape else {}
+    splits = {d: Splits(drawn.get(d, np.zeros((0, DIMENSIONS))), n) for d, n in share.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, own in _by_dim(batch):
                 p = projected(_matrix(own.column("v")), longest[dim])
                 block = pa.array(splits[dim].of(p), pa.int32())
-                p = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
                 cols = [own.column(c) for c in ("dim", "vec_id", "v")]
-                yield pa.RecordBatch.from_arrays([*cols, block, p], ["dim", "vec_id", "v", "block", "p"])
+                yield pa.RecordBatch.from_arrays([*cols, block, lists(p)], ["dim", "vec_id", "v", "block", "p"])
 
     def grow(table: pa.Table) -> pa.Table:
         leaf = pa.array(leaves_of(_matrix(table.column("p"))), pa.int32())
@@ -315,10 +341,11 @@ def nearest(
     """
     index = build_index(vectors, k, block_vectors)
     boxes, longest = index.boxes, index.longest
+    at_once = max(1, BOX_CELLS // max(1, *(len(b) for b, _, _ in boxes.values()), 1))  # queries that meet all boxes
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, own in _by_dim(batch):
+            for dim, own in _by_dim(batch, at_once):
                 if dim not in boxes:
                     continue
                 block, low, high = boxes[dim]
@@ -337,7 +364,7 @@ def nearest(
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, own in _by_dim(batch):
+            for dim, own in _by_dim(batch, at_once):
                 block, low, high = boxes[dim]
                 q = _matrix(own.column("q"))
                 away = box_distances(q @ projection(dim)[:-1], low, high)

@@ -329,3 +329,27 @@ def test_pipeline_stages(spark, table, tmp_path):
     texts = {1: words("a") + "", 3: words("b") + "\n" + line, 5: words("c") + " [secret]"}
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
     assert rules and {r.doc_id: r.length for r in now.collect()} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+
+
+def test_neighbours_ties_of_distinct_vectors(spark):
+    """Of distinct vectors with equal scores those with the smallest ids, whatever rounding says."""
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(k == j) for j in range(300)]) for k in range(300)]
+    assert sorted(tuple(r) for r in neighbours.search_table(vectors(spark, rows)).collect()) == nearest_by_hand(rows, 20, 20)
+    # the same products added up in another order
+    base = rng.normal(size=12)
+    rows = [(k, rng.permutation(base).tolist()) for k in range(400)] + [(400, [1.0] * 12)]
+    vs = neighbours.usable(vectors(spark, rows), "vec_id", "embedding")
+    asked = neighbours.usable(vectors(spark, rows[-1:]), "vec_id", "embedding")
+    got = sorted(tuple(r) for r in neighbours.nearest(vs, asked, confidence=1.0, block_vectors=64).collect())
+    assert [g[2] for g in got] == list(range(20)) and len({g[3] for g in got}) == 1
+
+
+def test_the_closest_is_kept_where_products_round(monkeypatch):
+    """Every row within rounding of the last score is compared exactly."""
+    q = np.array([1.0, 1e-9, -1.0])
+    x = np.array([[1.0, 1e-8 * k, 1.0] for k in range(200)])
+    leaf = neighbours.leaves_of(neighbours.projected(x, 4.0))
+    _, v, s, _ = neighbours.search(np.arange(200), x, leaf, np.array([-1]), q[None], np.array([-np.inf]), 4.0, 20, 1.0)
+    want = sorted((-math.fsum((q * r).tolist()), i) for i, r in enumerate(x))[:20]
+    assert v.tolist() == [i for _, i in want] and s.tolist() == [-a for a, _ in want]
