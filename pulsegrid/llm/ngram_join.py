@@ -32,6 +32,7 @@ empty result; only id and text are read, so other columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -75,12 +76,32 @@ def gram_sets(col, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def set_key(grams: np.ndarray, seed: int = 7) -> int:
+#: Seeds of the two fingerprints of a set.
+KEY, CHECK = 7, 8
+
+
+def set_key(grams: np.ndarray, seed: int = KEY) -> int:
     """A 64-bit fingerprint of a set, as a signed number; the set's size is part of it."""
     total = np.add.reduce(mix(grams + np.uint64(seed)), dtype=np.uint64, keepdims=True)
     return int(mix(total + np.uint64(len(grams))).view(np.int64)[0])
 
 
+@dataclass(frozen=True)
+class Keys:
+    """Names of classes: the first fingerprint of a set, cut to so many bits, or the whole second one where different
+    sets share the first."""
+
+    bits: int = 64
+    clashing: frozenset[int] = frozenset()
+
+    def first(self, grams: np.ndarray) -> int:
+        return set_key(grams) >> (64 - self.bits)
+
+    def of(self, grams: np.ndarray) -> int:
+        key = self.first(grams)
+        return set_key(grams, CHECK) if key in self.clashing else key
+
+
 def sketch(grams: np.ndarray) -> bytes:
     """Parities of the members of a set that fall on each of a power of two of bits."""
     bits = min(max(LEAST_BITS, 1 << (len(grams) - 1).bit_length()), MOST_BITS) if len(grams) else LEAST_BITS
@@ -92,7 +113,7 @@ def _batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
 
-def profile(docs: DataFrame, n: int, seed: int = 7) -> DataFrame:
+def profile(docs: DataFrame, n: int, keys_of: Keys) -> DataFrame:
     """doc_id, member (hash of the text), key, check, size and sketch of every row; sets is null.
 
     Also rows with sets: key is an n-gram that so many sets in part of a task have.
@@ -111,9 +132,9 @@ def profile(docs: DataFrame, n: int, seed: int = 7) -> DataFrame:
         for batch in batches:
             keys, checks, sizes, sketches = [], [], [], []
             for grams in gram_sets(batch.column("text"), n):
-                key = set_key(grams, seed)
+                key = keys_of.first(grams)
                 keys.append(key)
-                checks.append(set_key(grams, seed + 1))
+                checks.append(set_key(grams, CHECK))
                 sizes.append(len(grams))
                 sketches.append(sketch(grams))
                 if key not in seen and len(grams):
@@ -156,7 +177,9 @@ def prefix_length(size: int, percent: int) -> int:
 LISTED = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
+def prefixes(
+    docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray], keys_of: Keys
+) -> DataFrame:
     """gram, key, size, place, known: prefix members of each class, their places in the global order, and whether they
     are known to be common."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
@@ -171,7 +194,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.
             keys, sizes, lengths = [], [], []
             for grams in gram_sets(batch.column("text"), n):
                 size = len(grams)
-                key = set_key(grams, seed)
+                key = keys_of.of(grams)
                 if not size or key in seen:
                     continue
                 seen.add(key)
@@ -318,7 +341,7 @@ def sides(left: str, right: str) -> list:
     ]
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, seed: int) -> DataFrame:
+def sets_of(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, keys_of: Keys) -> DataFrame:
     """key, grams of the classes (key, hash of the text of one member) that keys names."""
     schema = pa.schema([("key", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
@@ -326,7 +349,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, seed:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 sets = list(gram_sets(batch.column("text").slice(lo, 500), n))
-                yield _batch(schema, [set_key(x, seed) for x in sets], [x.view(np.int64) for x in sets])
+                yield _batch(schema, [keys_of.of(x) for x in sets], [x.view(np.int64) for x in sets])
 
     wanted = classes.join(keys.distinct(), "key", "left_semi").select("member").distinct()
     return docs.join(wanted, "member", "left_semi").mapInArrow(look, "key long, grams array<long>").dropDuplicates(["key"])
@@ -368,17 +391,10 @@ def _halves(mine: Column, own: Column) -> Column:
     )
 
 
-def list_cells(mixed: DataFrame, cell_rows: int) -> DataFrame:
-    """Rows of mixed once for each cell that they are in: (gram, i, j) and the part of it.
-
-    A list of up to cell_rows rows is one cell. Of a longer one the rows outside the largest component meet each other
-    and the rest in chunks; rows of the largest component need not meet each other.
-    """
-    other = F.col("component") != F.col("main")
-    half = max(1, cell_rows // 2)
-    n_other = F.ceil((F.col("total") - F.col("n_main")) / half).cast("long")
-    n_main = F.ceil(F.col("n_main") / half).cast("long")
-    mine = F.pmod(F.xxhash64("key"), F.when(other, n_other).otherwise(n_main))
+def main_and_others(n_other: Column, n_main: Column) -> Column:
+    """Structs (i, j, part) of the cells of a row, which is outside the largest component if `other`, with so many chunks
+    of either kind: other rows meet each other and the rest; rows of the largest component need not meet each other."""
+    mine = F.pmod(F.xxhash64("key"), F.when(F.col("other"), n_other).otherwise(n_main))
     to_main = F.transform(
         F.sequence(F.lit(0).cast("long"), n_main - 1),
         lambda k: F.struct(mine.alias("i"), (-1 - k).alias("j"), F.lit(0).alias("part")),
@@ -387,9 +403,19 @@ def list_cells(mixed: DataFrame, cell_rows: int) -> DataFrame:
         F.sequence(F.lit(0).cast("long"), n_other - 1),
         lambda k: F.struct(k.alias("i"), (-1 - mine).alias("j"), F.lit(1).alias("part")),
     )
+    return F.when(F.col("other"), F.concat(_halves(mine, n_other), to_main)).otherwise(to_other)
+
+
+def list_cells(mixed: DataFrame, cell_rows: int) -> DataFrame:
+    """Rows of mixed once for each cell that they are in: (gram, i, j) and the part of it. A list of up to cell_rows rows
+    is one cell, a longer one is cut into chunks of half as many."""
+    half = max(1, cell_rows // 2)
+    n_other = F.ceil((F.col("total") - F.col("n_main")) / half).cast("long")
+    n_main = F.ceil(F.col("n_main") / half).cast("long")
     zero = F.lit(0).cast("long")
     one = F.array(F.struct(zero.alias("i"), zero.alias("j"), F.lit(0).alias("part")))
-    cells = F.when(F.col("total") <= cell_rows, one).when(other, F.concat(_halves(mine, n_other), to_main)).otherwise(to_other)
+    cells = F.when(F.col("total") <= cell_rows, one).otherwise(main_and_others(n_other, n_main))
+    mixed = mixed.withColumn("other", F.col("component") != F.col("main"))
     return mixed.select("gram", "key", "size", "place", "component", F.explode(cells).alias("c")).select(
         "gram", "c.i", "c.j", "c.part", "key", "size", "place", "component"
     )
@@ -570,37 +596,68 @@ def linked_components(table: pa.Table, percent: int) -> tuple[np.ndarray, np.nda
     return names[label[own]], names[own]
 
 
-def block_products(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of components that links join; groups has key, component and the candidate group of classes."""
+def multiplied(cells: DataFrame, percent: int) -> DataFrame:
+    """a, b of components that links join, from rows of candidate, i, j, part, component, grams."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def look(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_batch(schema, *linked_components(table, percent))])
 
-    full = groups.join(sets, "key")
-    sizes = groups.join(sets.select("key", F.size("grams").alias("n_grams")), "key").groupBy("candidate").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("long").alias("n")
-    )
-    mine = F.pmod(F.xxhash64("key"), F.col("n"))
-    cells = full.join(sizes, "candidate").select(
-        "candidate", "component", "grams", F.explode(_halves(mine, F.col("n"))).alias("c")
-    )
-    cells = cells.select("candidate", "c.i", "c.j", "c.part", "component", "grams")
     return cells.groupBy("candidate", "i", "j").applyInArrow(look, "a long, b long").distinct()
 
 
+def block_products(groups: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, block_classes: int = BLOCK_CLASSES) -> DataFrame:
+    """a, b of components that links join; groups has key, component and the candidate group of classes.
+
+    In the first wave each block of a group meets itself and the first one. What these links leave apart is cut anew in
+    the second: classes outside the group's largest component meet each other and the rest, which need not meet itself,
+    so that groups held together by links are copied a few times, not once for each block.
+    """
+    grams = sets.select("key", F.size("grams").alias("n_grams"))
+
+    def blocks_for(rows: Column | str, n_grams: Column | str) -> Column:
+        return F.greatest(F.ceil(rows / block_classes), F.ceil(n_grams / BLOCK_GRAMS)).cast("long")
+
+    sized = scratch.table(groups.join(grams, "key"), "sized-groups")
+    n = sized.groupBy("candidate").agg(blocks_for(F.count("*"), F.sum("n_grams")).alias("n"))
+    mine = F.pmod(F.xxhash64("key"), F.col("n"))
+    few = F.filter(_halves(mine, F.col("n")), lambda c: (c["i"] == c["j"]) | (c["i"] == 0))
+    cells = sized.join(n, "candidate").select("candidate", "component", "key", F.explode(few).alias("c"))
+    cells = cells.join(sets, "key").select("candidate", "c.i", "c.j", "c.part", "component", "grams")
+    first = scratch.table(multiplied(cells, percent), "first-wave")
+    # only groups of three blocks or more have pairs of blocks left
+    large = sized.join(n.where("n > 2").select("candidate"), "candidate", "left_semi")
+    if large.isEmpty():
+        return first
+    above = connected_components(first, scratch).select(F.col("node").alias("component"), F.col("component").alias("above"))
+    apart = large.join(above, "component", "left").withColumn("component", F.coalesce("above", "component")).drop("above")
+    tally = apart.groupBy("candidate", "component").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g"))
+    total = tally.groupBy("candidate").agg(
+        F.max(F.struct("n", "component", "g")).alias("m"), F.sum("n").alias("rows"), F.sum("g").alias("grams"),
+        F.count("*").alias("parts"),
+    )
+    total = total.where("parts > 1").select(
+        "candidate", F.col("m.component").alias("main"), blocks_for(F.col("m.n"), F.col("m.g")).alias("n_main"),
+        blocks_for(F.col("rows") - F.col("m.n"), F.col("grams") - F.col("m.g")).alias("n_other"),
+    )
+    rows = apart.join(total, "candidate").withColumn("other", F.col("component") != F.col("main"))
+    rows = rows.select("candidate", "component", "key", F.explode(main_and_others(F.col("n_other"), F.col("n_main"))).alias("c"))
+    rows = rows.join(sets, "key").select("candidate", "c.i", "c.j", "c.part", "component", "grams")
+    return first.unionByName(multiplied(rows, percent))
+
+
 # --------------------------------------------------------------------------------------------------- components
 
 
 def class_components(
-    docs: DataFrame, profiled: DataFrame, n: int, percent: int, seed: int, scratch: Scratch
+    docs: DataFrame, profiled: DataFrame, n: int, percent: int, keys_of: Keys, scratch: Scratch
 ) -> tuple[DataFrame, DataFrame | None]:
     """node, component of the classes that link with their pivot; node, component of those components that link."""
     heavy = heavy_grams(profiled)
     classes = profiled.where("sets IS NULL AND size > 0").groupBy("key").agg(
         F.min("member").alias("member"), F.first("sketch").alias("sketch")
     )
-    lists = scratch.table(postings(prefixes(docs, n, percent, heavy, seed)), "postings")
+    lists = scratch.table(postings(prefixes(docs, n, percent, heavy, keys_of)), "postings")
     files = files_for(lists.count())
     # every class of a list with the list's pivot
     row = F.struct("place", "key", "size")
@@ -617,7 +674,7 @@ def class_components(
     star = bounded_pairs(star, percent).groupBy("key").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p"))
     tried = scratch.table(star.select("p.a", "p.b").distinct(), "pairs", files)
     keys = tried.select(F.col("a").alias("key")).unionByName(tried.select(F.col("b").alias("key")))
-    sets = scratch.table(sets_of(docs, classes, keys, n, seed), "gram-sets")
+    sets = scratch.table(sets_of(docs, classes, keys, n, keys_of), "gram-sets")
     found = connected_components(verified(tried, sets, percent), scratch)
     # classes of different components that share a list
     mixed = placed_lists(lists, found, scratch, files)
@@ -627,27 +684,34 @@ def class_components(
     groups = connected_components(near, scratch).select(F.col("node").alias("key"), F.col("component").alias("candidate"))
     groups = groups.join(found.withColumnRenamed("node", "key"), "key", "left")
     groups = scratch.table(groups.withColumn("component", F.coalesce("component", "key")), "groups", files)
-    sets = scratch.table(sets_of(docs, classes, groups.select("key"), n, seed), "gram-sets")
-    return found, connected_components(block_products(groups, sets, percent), scratch)
-
+    sets = scratch.table(sets_of(docs, classes, groups.select("key"), n, keys_of), "gram-sets")
+    return found, connected_components(block_products(groups, sets, percent, scratch), scratch)
 
-def distinct_profile(rows: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """The profile of rows and the seed of its keys: one under which no two different sets have the same key."""
-    seed = 7
-    while True:
-        profiled = scratch.table(profile(rows, n, seed), "profile")
-        clash = profiled.where("sets IS NULL").groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b"))
-        if clash.where("a <> b").isEmpty():
-            return profiled, seed
-        seed += 2
 
+def distinct_profile(rows: DataFrame, n: int, keys_of: Keys, scratch: Scratch) -> tuple[DataFrame, Keys]:
+    """The profile of rows, and how its keys are made: no two different sets have the same.
 
-def link_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    Sets are told apart by both fingerprints, 128 bits. Where the first one clashes, the second one becomes the key, and
+    the text is not read again. Of s sets about s * s / 2**65 pairs clash, three of 10**10 sets and 27,000 of 10**12: so
+    many keys the driver holds.
+    """
+    profiled = scratch.table(profile(rows, n, keys_of), "profile")
+    named = profiled.where("sets IS NULL").groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b"))
+    clashing = named.where("a <> b").select("key").toArrow().column("key").to_pylist()
+    if clashing:
+        shared = profiled.sparkSession.createDataFrame([(k, True) for k in clashing], "key long, both boolean")
+        key = F.when(F.col("sets").isNull() & F.col("both"), F.col("check")).otherwise(F.col("key"))
+        renamed = profiled.join(F.broadcast(shared), "key", "left").withColumn("key", key).select(*profiled.columns)
+        profiled = scratch.table(renamed, "profile")
+    return profiled, replace(keys_of, clashing=frozenset(clashing))
+
+
+def link_documents(docs: DataFrame, n: int = N, percent: int = PERCENT, keys_of: Keys = Keys()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every row."""
     scratch = Scratch(docs.sparkSession)
     rows = id_text(docs).withColumn("member", F.xxhash64("text"))
-    profiled, seed = distinct_profile(rows, n, scratch)
-    found, joined = class_components(rows, profiled, n, percent, seed, scratch)
+    profiled, keys_of = distinct_profile(rows, n, keys_of, scratch)
+    found, joined = class_components(rows, profiled, n, percent, keys_of, scratch)
     members = profiled.where("sets IS NULL").select("doc_id", "key", "size")
     members = members.join(found.withColumnRenamed("node", "key"), "key", "left")
     # classes that link with nothing still join their own copies; empty sets join nothing

@@ -229,10 +229,42 @@ def test_ngram_join_without_ids(table):
     assert sorted((r.doc_id or 0) for r in left) == [0, 0, 0, 2, 4, 2**62 + 1]
 
 
-def test_ngram_join_of_keys_that_clash(table, monkeypatch):
-    monkeypatch.setattr(ngram_join, "set_key", lambda grams, seed=7, real=ngram_join.set_key: real(grams, seed) if seed != 7 else 1)
-    rows = [(k, " ".join(f"w{k}{j}" for j in range(9))) for k in range(4)]
-    assert rows_of(ngram_join.link_documents(table(rows))) == [(k, 5, k) for k in range(4)]
+def test_ngram_join_of_keys_that_clash(table, awkward):
+    """Fingerprints of three bits: nearly all sets clash, and are told apart by the other fingerprint."""
+    rng = random.Random(5)
+    rows = list(awkward)
+    for k in range(40):
+        words = [f"w{rng.randint(0, 900)}" for _ in range(30)]
+        rows += [(100 + 3 * k + j, " ".join(words + ["x"] * j)) for j in range(3)]
+    narrow = ngram_join.Keys(bits=3)
+    assert rows_of(ngram_join.link_documents(table(rows), keys_of=narrow)) == rows_of(ngram_join.link_documents(table(rows)))
+    assert rows_of(ngram_join.link_documents(table(rows), keys_of=narrow)) == sorted(components_by_hand(rows))
+
+
+def test_blocks_of_a_group_in_waves(spark):
+    """A group of many blocks: links inside the largest component, beyond it, and between small ones."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**62, 100)
+    keys, sets = [], []
+    for k in range(60):
+        kind = k % 3 if k > 30 else 0
+        own = base.copy()
+        own[: 15 * kind] = rng.integers(0, 2**62, 15 * kind) if kind < 2 else 1000 + np.arange(30) + k // 6
+        own[50 + k % 40] = k
+        keys.append(k)
+        sets.append(np.unique(own).tolist())
+    sets_df = spark.createDataFrame(list(zip(keys, sets)), "key long, grams array<long>")
+    groups = spark.createDataFrame([(k, k, 0) for k in keys], "key long, component long, candidate long")
+    want = set()
+    for a in keys:
+        for b in keys[:a]:
+            shared = len(set(sets[a]) & set(sets[b]))
+            if 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+                want.add((b, a))
+    scratch = ngram_join.Scratch(spark)
+    got = {tuple(sorted(r)) for r in ngram_join.block_products(groups, sets_df, 80, scratch, 5).collect()}
+    parts = {n for _, n in least_reachable(want).items()}
+    assert len(parts) > 1 and least_reachable(got) == least_reachable(want)
 
 
 def test_sketches_never_differ_by_more_than_their_sets():
