@@ -175,36 +175,41 @@ def single_valued(df: DataFrame, session: str, setting: str) -> DataFrame:
     return per.select(session, F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("distinct_values"), (F.size("v") == 1).alias("single"))
 
 
-def diagnosis(df: DataFrame) -> DataFrame:
-    """Label of what sets the recovery, from one row of evidence each.
+def diagnosis(df: DataFrame, near: float = 0.2, spread: float = 20.0, collapse: float = 0.25, longer: float = 1.1) -> DataFrame:
+    """What sets the recovery, from one row of evidence each: origin, and qualifiers joined by |.
 
     tau_ratio: fitted over the filter's time constant; same_sign: share of tails on the rail's side; f1, f2: recovery after
     the fitted tail is subtracted, after the filter is inverted, over the one before; amplitude_dev, impedance_dev,
     other_dev: largest deviation of a group's median from the pooled one in percent (null: no groups); current_shift,
     other_shift: percent over the observed range by regression; dead_shorter: whether recovery is shorter post mortem.
     Groups decide on invariance where there are any, else the regression does.
+
+    Origins: filter (opposite sign, the filter's own tau whatever the condition, gone with the tail), mixed_condition (the
+    same, but tau depends on the condition), mixed_biological (same sign, shorter post mortem), front_end (same sign
+    otherwise), electrode (only impedance matters), mixed (the rest).
     """
     def most(*names: str) -> Column:
         return F.greatest(*[F.abs(n) for n in names])
 
-    groups, shifts = most("amplitude_dev", "impedance_dev", "other_dev"), most("current_shift", "other_shift")
-    invariant = F.when(groups.isNotNull(), groups <= 20).when(shifts.isNotNull(), shifts <= 20).otherwise(False)
-    match, opposite = F.coalesce(F.abs(F.col("tau_ratio") - 1) <= 0.2, F.lit(False)), F.col("same_sign") < 0.5
-    current = F.coalesce(F.abs("current_shift") > 20, F.lit(False)) | F.coalesce(F.col("amplitude_dev") > 20, F.lit(False))
-    impedance = F.coalesce(F.col("impedance_dev") > 20, F.lit(False))
-    quality = F.concat(
-        F.when(current, ", current-dependent").otherwise(""), F.when(impedance, ", impedance-dependent").otherwise(""),
-        F.when(F.coalesce(F.col("f2") > 1.1, F.lit(False)), ", DSP shortens rather than causes it").otherwise(""),
-    )
-    label = (
-        F.when(match & invariant & opposite & F.coalesce(F.col("f1") <= 0.25, F.lit(False)), "FILTER-DOMINATED")
-        .when(opposite & match & ~invariant, "MIXED (DSP-shaped opposite-sign tail, but tau varies with condition)")
-        .when(~opposite & F.coalesce("dead_shorter", F.lit(False)), "MIXED (same-sign tail; post-mortem shorter -> a biological contribution exists)")
-        .when(~opposite, F.concat(F.lit("ELECTRODE / ANALOG FRONT-END-DOMINATED (same-sign tail"), quality, F.lit(")")))
-        .when(impedance & ~current, "ELECTRODE-DOMINATED")
-        .otherwise("MIXED")
-    )
-    return df.withColumn("invariant", invariant).withColumn("tail_fraction", 1 - F.col("f1")).withColumn("dsp_fraction", 1 - F.col("f2")).withColumn("label", label)
+    def sure(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False))
+
+    invariant = sure(F.coalesce(most("amplitude_dev", "impedance_dev", "other_dev"), most("current_shift", "other_shift")) <= spread)
+    of_filter, opposite = sure(F.abs(F.col("tau_ratio") - 1) <= near), F.col("same_sign") < 0.5
+    depends = {
+        "current": sure(F.abs("current_shift") > spread) | sure(F.col("amplitude_dev") > spread),
+        "impedance": sure(F.col("impedance_dev") > spread),
+        "filter_shortens": sure(F.col("f2") > longer),
+    }
+    same = F.when(sure(F.col("dead_shorter")), "mixed_biological").otherwise("front_end")
+    by_tau = F.when(~invariant, "mixed_condition").when(sure(F.col("f1") <= collapse), "filter")
+    rest = F.when(depends["impedance"] & ~depends["current"], "electrode").otherwise("mixed")
+    origin = F.when(~opposite, same).otherwise(F.coalesce(F.when(of_filter, by_tau), rest))
+    told = F.concat_ws("|", *[F.when(c, F.lit(k)) for k, c in depends.items()])
+    return df.withColumns({
+        "invariant": invariant, "tail_fraction": 1 - F.col("f1"), "dsp_fraction": 1 - F.col("f2"), "origin": origin,
+        "qualifiers": F.when(origin == "front_end", told).otherwise(F.lit("")),
+    })
 
 
 def largest_deviation(df: DataFrame, keys: list[str], group: str, value: str, least: int = 10) -> DataFrame:

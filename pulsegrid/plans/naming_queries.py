@@ -84,14 +84,18 @@ SELECT id, {_value("n_digits", "n_sign")} AS value, n_digits IS NOT NULL AND n_s
   SELECT *, coalesce(told, own, up) AS amplitude_ma, NOT named AND own IS NULL AND up IS NOT NULL AS from_parent,
          NOT named AND CASE WHEN own IS NOT NULL THEN n_sign = '' ELSE up IS NOT NULL AND p_sign = '' END AS assumed FROM va
 ), re AS (
-  SELECT *, regexp_replace(CASE WHEN amplitude_ma IS NOT NULL THEN regexp_replace(text, '^[+-]?\d+(?:_\d+)?', '') ELSE text END, '(?i)\b(unsure|com port|interval|start at)\b.*', '') AS rest FROM ca
+  SELECT *, list_filter(string_split_regex(string_split_regex(
+           CASE WHEN amplitude_ma IS NULL THEN text ELSE regexp_replace(text, '^[+-]?\d+(?:_\d+)?', '') END,
+           '(?i)\b(?:unsure|start at|interval|com port)\b')[1], '\s+'), lambda t: regexp_matches(t, '(?i)^\d+($|mA)'))[1] AS lone FROM ca
 )
-SELECT id, amplitude_ma, CASE WHEN NOT named THEN CAST({_hit("rest", r"(?i)(?:^|\s)(\d+)(?:\s|$|mA)")} AS INT) END AS replicate,
-       concat_ws('|', CASE WHEN contains(lower(text), 'unsure') THEN 'unsure' END, CASE WHEN contains(lower(text), 'start at') THEN 'late_start' END,
-         CASE WHEN contains(lower(text), 'interval') THEN 'interval_noted' END, CASE WHEN contains(lower(text), 'com port') THEN 'com_port_noted' END,
-         CASE WHEN assumed THEN 'sign_assumed' END, CASE WHEN from_parent THEN 'amplitude_from_parent' END, CASE WHEN amplitude_ma IS NULL THEN 'amplitude_unknown' END,
-         CASE WHEN named THEN 'protocol_named' END, CASE WHEN artifact THEN 'user_marked_artifact' END, CASE WHEN common_ground THEN 'common_ground' END,
-         CASE WHEN after_iso THEN 'after_isoflurane' END,
-         CASE WHEN contains(lower(text), 'baseline') OR (config = '(session root)' AND NOT named AND NOT has_onset) THEN 'baseline_recording' END) AS flags FROM re""",
+SELECT id, amplitude_ma, CASE WHEN NOT named THEN CAST(nullif(regexp_extract(lone, '\d+'), '') AS INT) END AS replicate,
+       array_to_string(list_filter([CASE WHEN f.hit THEN f.flag END FOR f IN [
+         {{'flag': 'unsure', 'hit': contains(lower(text), 'unsure')}}, {{'flag': 'late_start', 'hit': contains(lower(text), 'start at')}},
+         {{'flag': 'interval_noted', 'hit': contains(lower(text), 'interval')}}, {{'flag': 'com_port_noted', 'hit': contains(lower(text), 'com port')}},
+         {{'flag': 'sign_assumed', 'hit': assumed}}, {{'flag': 'amplitude_from_parent', 'hit': from_parent}},
+         {{'flag': 'amplitude_unknown', 'hit': amplitude_ma IS NULL}}, {{'flag': 'protocol_named', 'hit': named}},
+         {{'flag': 'user_marked_artifact', 'hit': artifact}}, {{'flag': 'common_ground', 'hit': common_ground}}, {{'flag': 'after_isoflurane', 'hit': after_iso}},
+         {{'flag': 'baseline_recording', 'hit': contains(lower(text), 'baseline') OR (config = '(session root)' AND NOT named AND NOT has_onset)}}]],
+         lambda x: x IS NOT NULL), '|') AS flags FROM re""",
     ),
 }

@@ -160,7 +160,7 @@ SELECT arm, n_runs, violations, n_levels, violations = '' AND n_levels > 1 AS ok
 SELECT run_id, string_agg(CAST(h AS VARCHAR), ',' ORDER BY h) AS distinct_values, count(*) = 1 AS single FROM v GROUP BY run_id""",
     ),
     "diagnosis_labels": Query(
-        lambda s, d: six(ses.diagnosis(evidence(s, d)).select("contact", "win", "invariant", "tail_fraction", "dsp_fraction", "label")),
+        lambda s, d: six(ses.diagnosis(evidence(s, d)).select("contact", "win", "invariant", "tail_fraction", "dsp_fraction", "origin", "qualifiers")),
         f"""WITH {TRIALS}, p AS (SELECT contact, win, quantile_cont(response, 0.5) AS al FROM tr GROUP BY contact, win
 ), b AS (SELECT contact, win, band, quantile_cont(response, 0.5) AS m FROM tr GROUP BY ALL HAVING count(*) >= 10
 ), dv AS (SELECT contact, win, 100 * max(abs(m / al - 1)) AS dev FROM b JOIN p USING (contact, win) GROUP BY ALL
@@ -171,12 +171,10 @@ SELECT run_id, string_agg(CAST(h AS VARCHAR), ',' ORDER BY h) AS distinct_values
 ), i AS (SELECT *, CASE WHEN greatest(abs(dev), abs(idev)) IS NOT NULL THEN greatest(abs(dev), abs(idev)) <= 20 WHEN cs IS NOT NULL THEN abs(cs) <= 20 ELSE false END AS inv,
          abs(r - 1) <= 0.2 AS mt, s < 0.5 AS op, coalesce(abs(cs) > 20, false) OR coalesce(dev > 20, false) AS cu, coalesce(idev > 20, false) AS im FROM e)
 SELECT contact, win, inv AS invariant, round(1 - f1, 6) AS tail_fraction, round(1 - f2, 6) AS dsp_fraction,
-       CASE WHEN mt AND inv AND op AND f1 <= 0.25 THEN 'FILTER-DOMINATED'
-            WHEN op AND mt AND NOT inv THEN 'MIXED (DSP-shaped opposite-sign tail, but tau varies with condition)'
-            WHEN NOT op AND ds THEN 'MIXED (same-sign tail; post-mortem shorter -> a biological contribution exists)'
-            WHEN NOT op THEN 'ELECTRODE / ANALOG FRONT-END-DOMINATED (same-sign tail' || CASE WHEN cu THEN ', current-dependent' ELSE '' END ||
-                 CASE WHEN im THEN ', impedance-dependent' ELSE '' END || CASE WHEN f2 > 1.1 THEN ', DSP shortens rather than causes it' ELSE '' END || ')'
-            WHEN im AND NOT cu THEN 'ELECTRODE-DOMINATED' ELSE 'MIXED' END AS label FROM i""",
+       CASE WHEN NOT op AND ds THEN 'mixed_biological' WHEN NOT op THEN 'front_end' WHEN mt AND NOT inv THEN 'mixed_condition'
+            WHEN mt AND f1 <= 0.25 THEN 'filter' WHEN im AND NOT cu THEN 'electrode' ELSE 'mixed' END AS origin,
+       CASE WHEN NOT op AND NOT ds THEN concat_ws('|', CASE WHEN cu THEN 'current' END, CASE WHEN im THEN 'impedance' END,
+            CASE WHEN f2 > 1.1 THEN 'filter_shortens' END) ELSE '' END AS qualifiers FROM i""",
     ),
     "decomposition_prediction": Query(
         lambda s, d: six(trials(s, d).select("run_id", "event_number", "contact", "part", ses.exit_time(F.col("metric") / 10, 100.0, F.col("discount") * 100, F.col("response")).alias("predicted_ms")), "predicted_ms"),
