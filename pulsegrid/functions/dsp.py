@@ -422,48 +422,111 @@ def exponential_tail(t_ms: np.ndarray, y: np.ndarray, decimate: int = 10) -> dic
     return {"amplitude": float(scale * p[0]), "tau_ms": float(np.exp(p[1])), "offset": float(scale * p[2]), "r2": float(r2)}
 
 
-def _sigmoid(x: np.ndarray, y: np.ndarray, root: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, float]:
-    """The best of several starts (rows of p: amax, i50, k) after bounded Levenberg-Marquardt steps of all of them at once;
-    residuals are weighed by root."""
-
-    def at(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        amax, i50, k = (c[:, None] for c in p.T)
-        z = (x - i50) / k
+def fit_sigmoids(
+    x: np.ndarray, y: np.ndarray, root: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 120
+) -> tuple[np.ndarray, np.ndarray]:
+    """Many fits at once, a row each: points x, y, whose residuals are weighed by root (0: no point), the start p (amax,
+    i50, k) and its bounds. Bounded Levenberg-Marquardt steps; parameters and costs. Rows that are done are left alone."""
+
+    def at(k: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        amax, i50, wide = (c[:, None] for c in p.T)
+        z = (x[k] - i50) / wide
         s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        bend = amax * s * (1 - s) / k
-        return root * (amax * s - y), root[:, None] * np.stack([s, -bend, -bend * z], 2), p
+        bend = amax * s * (1 - s) / wide
+        return root[k] * (amax * s - y[k]), root[k][:, :, None] * np.stack([s, -bend, -bend * z], 2)
 
-    r, jac, p = at(p)
-    cost, lam = (r * r).sum(1), np.full(len(p), 1e-2)
+    live = np.arange(len(p))
+    p, lam = np.clip(p, lo, hi), np.full(len(p), 1e-2)
+    r, jac = at(live, p)
+    cost = (r * r).sum(1)
     for _ in range(rounds):
-        a, g = np.einsum("smi,smj->sij", jac, jac), np.einsum("smi,sm->si", jac, r)
-        damp = lam[:, None] * np.maximum(np.einsum("sii->si", a), 1e-12)
+        a, g = np.einsum("smi,smj->sij", jac[live], jac[live]), np.einsum("smi,sm->si", jac[live], r[live])
+        damp = lam[live][:, None] * np.maximum(np.einsum("sii->si", a), 1e-12)
         step = np.linalg.solve(a + damp[:, :, None] * np.eye(3), g[:, :, None])[:, :, 0]
-        r2, jac2, q = at(np.clip(p - step, lo, hi))
+        q = np.clip(p[live] - step, lo[live], hi[live])
+        r2, jac2 = at(live, q)
         new = (r2 * r2).sum(1)
-        better = new < cost
-        gain = np.where(better, cost - new, 0)
-        r, jac, p = np.where(better[:, None], r2, r), np.where(better[:, None, None], jac2, jac), np.where(better[:, None], q, p)
-        lam = np.clip(np.where(better, lam / 4, lam * 4), 1e-9, 1e9)
-        done = (gain <= 1e-12 * cost) & ((lam > 1e7) | better)
-        cost = np.where(better, new, cost)
-        if done.all():
+        better = new < cost[live]
+        gain = np.where(better, cost[live] - new, 0)
+        won = live[better]
+        r[won], jac[won], p[won] = r2[better], jac2[better], q[better]
+        lam[live] = np.clip(np.where(better, lam[live] / 4, lam[live] * 4), 1e-9, 1e9)
+        done = (gain <= 1e-12 * cost[live]) & ((lam[live] > 1e7) | better)
+        cost[won] = new[better]
+        live = live[~done]
+        if not len(live):
             break
-    k = int(cost.argmin())
-    return p[k], float(cost[k])
+    return p, cost
+
+
+#: Points of fits that are held at once.
+FIT_POINTS = 1 << 19
 
 
 def dose_models(x: np.ndarray, n: np.ndarray, mean: np.ndarray, within: float, top: float) -> tuple:
-    """Line, line through the origin and sigmoid amax / (1 + exp(-(x - i50) / k)) by least squares over levels x with n
-    responses of a mean each; within: squares within levels, top: the largest response.
+    return dose_models_of([(x, n, mean, within, top)])[0]
+
+
+def sigmoid_bounds(x: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Lowest and highest parameters over levels x, the lowest positive level and the highest one. The bounds are fixed:
+    amax 0 to 10 top, i50 from half the lowest positive level to twice the highest, k 1 to 500."""
+    low, high = (float(x[x > 0].min()) if (x > 0).any() else 1.0), float(x.max())
+    return np.array([0.0, low / 2, 1.0]), np.array([10 * top, 2 * high, 500.0]), low, high
+
+
+def padded(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(rows), max(map(len, rows), default=0)))
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
+def best_sigmoids(groups: list[tuple]) -> dict[int, tuple[np.ndarray, float]]:
+    """Parameters and weighed squares of the best of twelve starts of each group (x, n, mean, within, top) whose bounds are
+    not empty; groups are fitted together."""
+    tasks = []
+    for g, (x, n, mean, _, top) in enumerate(groups):
+        lo, hi, low, high = sigmoid_bounds(x, top)
+        if (hi > lo).all():
+            starts = [(top, i50, k) for i50 in np.geomspace(low, max(high, low), 6) for k in (max(1.0, (high - low) / 10), max(1.0, (high - low) / 3))]
+            tasks.append((g, x, mean, np.sqrt(n) / top, np.clip(starts, lo, hi), lo, hi))
+    out: dict[int, tuple[np.ndarray, float]] = {}
+    tasks.sort(key=lambda t: len(t[1]))
+    lo = 0
+    while lo < len(tasks):
+        hi = lo + max(1, FIT_POINTS // (12 * max(1, len(tasks[min(len(tasks) - 1, lo + 500)][1]))))
+        part = tasks[lo:hi]
+        many = [len(t[4]) for t in part]
+        x, y, root = (np.repeat(padded([t[k] for t in part]), many, 0) for k in (1, 2, 3))
+        bounds = [np.repeat(np.array([t[k] for t in part]), many, 0) for k in (5, 6)]
+        p, cost = fit_sigmoids(x, y, root, np.concatenate([t[4] for t in part]), *bounds)
+        at = 0
+        for t, m in zip(part, many):
+            k = at + int(cost[at : at + m].argmin())
+            out[t[0]] = p[k], float(cost[k])
+            at += m
+        lo = hi
+    return out
+
+
+def dose_models_of(groups: list[tuple]) -> list[tuple]:
+    """Line, line through the origin and sigmoid amax / (1 + exp(-(x - i50) / k)) by least squares, for each group (x, n,
+    mean, within, top): levels x with n responses of a mean each, squares within levels, the largest response.
 
     (m, c, aic, bic of the line; m, aic, bic of the origin's; amax, i50, k, aic, bic of the sigmoid; preferred by AIC, by
-    BIC, whether the origin's line is within 2 AIC of the best). The sigmoid's bounds are fixed: amax 0 to 10 top, i50 from
-    half the lowest positive level to twice the highest, k 1 to 500.
+    BIC, whether the origin's line is within 2 AIC of the best).
     """
+    enough = [g for g, (x, n, *_) in enumerate(groups) if n.sum() >= 4 and len(x) >= 3]
+    groups = [(x, n, mean, within, top if top > 0 else 1.0) for x, n, mean, within, top in groups]
+    bent = best_sigmoids([groups[g] for g in enough])
+    out = [(*[float("nan")] * 12, "insufficient", "", False)] * len(groups)
+    for i, g in enumerate(enough):
+        out[g] = compared_models(*groups[g], bent.get(i))
+    return out
+
+
+def compared_models(x: np.ndarray, n: np.ndarray, mean: np.ndarray, within: float, top: float, best: tuple[np.ndarray, float] | None) -> tuple:
     nan, total = float("nan"), float(n.sum())
-    if total < 4 or len(x) < 3:
-        return (*[nan] * 12, "insufficient", "", False)
 
     def criteria(rss: float, k: int) -> tuple[float, float]:
         return (total * np.log(rss / total) + 2 * k, total * np.log(rss / total) + k * np.log(total)) if rss > 0 else (nan, nan)
@@ -476,13 +539,6 @@ def dose_models(x: np.ndarray, n: np.ndarray, mean: np.ndarray, within: float, t
     line = (m, float(cy - m * cx), *criteria(rss(m * x + cy - m * cx), 2))
     o = float((n * x * mean).sum() / (n * x * x).sum())
     origin = (o, *criteria(rss(o * x), 1))
-    top = top if top > 0 else 1.0
-    low, high = (float(x[x > 0].min()) if (x > 0).any() else 1.0), float(x.max())
-    lo, hi = np.array([0.0, low / 2, 1.0]), np.array([10 * top, 2 * high, 500.0])
-    best = None
-    if (hi > lo).all():
-        starts = [(top, i50, k) for i50 in np.geomspace(low, max(high, low), 6) for k in (max(1.0, (high - low) / 10), max(1.0, (high - low) / 3))]
-        best = _sigmoid(x, mean, np.sqrt(n) / top, np.clip(starts, lo, hi), lo, hi)
     bent = (nan,) * 5
     if best is not None:
         bent = (*map(float, best[0]), *criteria(within + best[1] * top * top, 3))

@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dsp
+from .carry import sorted_groups
 from .pairing import theil_sen
+from .resampling import sum_draws
 
 
 def ols(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3) -> DataFrame:
@@ -252,44 +255,99 @@ def residual_covariates(df: DataFrame, keys: list[str], covariate: str, residual
 
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Skewness of values and of their logarithms, counts, and which scale is nearer to symmetric; with values that are not
-    positive only the raw one is meant, under three values neither. (No normality test: see the README.)"""
+    """Counts, and the skewness of values and of the logarithms of positive ones."""
     logs = df.withColumn("__log", F.when(F.col(value) > 0, F.log10(value)))
-    per = logs.groupBy(*keys).agg(
+    return logs.groupBy(*keys).agg(
         F.count(value).alias("n"), F.count_if(F.col(value) <= 0).alias("n_nonpositive"), F.skewness(value).alias("skew"), F.skewness("__log").alias("log_skew")
     )
-    better = (
-        F.when(F.col("n") < 3, "insufficient").when(F.col("n_nonpositive") > 0, "raw (non-positive values present)")
-        .when(F.abs("log_skew") < F.abs("skew"), "log").otherwise("raw")
+
+
+def dose_levels(df: DataFrame, keys: list[str], current: str, response: str) -> DataFrame:
+    """keys, x, n, mean, within, top: the trials of each distinct current; squares within a current do not depend on the
+    curve that is fitted."""
+    known = df.where(F.col(current).isNotNull() & F.col(response).isNotNull())
+    return known.groupBy(*keys, F.col(current).cast("double").alias("x")).agg(
+        F.count("*").cast("double").alias("n"), F.avg(response).alias("mean"), (F.var_pop(response) * F.count("*")).alias("within"),
+        F.max(response).cast("double").alias("top"),
     )
-    return per.withColumn("scale", better)
+
+
+DOSE_FIELDS = (
+    "n_trials long, n_currents long, linear_m double, linear_c double, linear_aic double, linear_bic double, origin_m double, "
+    "origin_aic double, origin_bic double, sigmoid_amax double, sigmoid_i50 double, sigmoid_k double, sigmoid_aic double, "
+    "sigmoid_bic double, preferred string, preferred_bic string, artifact boolean"
+)
 
 
 def amplitude_response(df: DataFrame, keys: list[str], current: str, response: str) -> DataFrame:
     """A line, a line through the origin and a bounded sigmoid fitted to each group's responses, with AIC, BIC, the
     preferred one, and whether the origin's line is within 2 AIC of it (the sign of an artifact).
 
-    Groups are summed by current first, so the sigmoid is fitted to one row for each distinct current: squares within a
-    current do not depend on the curve. Fewer than four trials or three currents are insufficient.
+    Groups are summed by current first, so the sigmoid is fitted to one row for each distinct current, and all groups of a
+    batch are fitted at once. Fewer than four trials or three currents are insufficient.
     """
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + (
-        ", n_trials long, n_currents long, linear_m double, linear_c double, linear_aic double, linear_bic double, origin_m double, "
-        "origin_aic double, origin_bic double, sigmoid_amax double, sigmoid_i50 double, sigmoid_k double, sigmoid_aic double, "
-        "sigmoid_bic double, preferred string, preferred_bic string, artifact boolean"
-    )
-    known = df.where(F.col(current).isNotNull() & F.col(response).isNotNull())
-    levels = known.groupBy(*keys, F.col(current).cast("double").alias("x")).agg(
-        F.count("*").cast("double").alias("n"), F.avg(response).alias("mean"), (F.var_pop(response) * F.count("*")).alias("within"),
-        F.max(response).cast("double").alias("top"),
-    )
+    levels = dose_levels(df, keys, current, response)
+    lead = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    names = [c.split()[0] for c in DOSE_FIELDS.split(", ")]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in sorted_groups(batches, keys):
+            x, n, mean, within, top = (table.column(c).to_numpy() for c in ("x", "n", "mean", "within", "top"))
+            groups = [(x[a:b], n[a:b], mean[a:b], float(within[a:b].sum()), float(top[a:b].max())) for a, b in zip(cuts, cuts[1:])]
+            rows = [(int(g[1].sum()), len(g[0]), *found) for g, found in zip(groups, dsp.dose_models_of(groups))]
+            out = table.select(keys).take(pa.array(cuts[:-1]))
+            for name, values in zip(names, zip(*rows)):
+                out = out.append_column(name, pa.array(values))
+            yield from out.combine_chunks().to_batches()
 
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("x")
-        x, n, mean, within = (rows[c].to_numpy(float) for c in ("x", "n", "mean", "within"))
-        found = dsp.dose_models(x, n, mean, float(within.sum()), float(rows["top"].max()))
-        return pd.DataFrame([(*key, int(n.sum()), len(x), *found)], columns=[c.split()[0].strip("`") for c in schema.split(", ")])
+    return levels.repartition(*keys).sortWithinPartitions(*keys, "x").mapInArrow(fit, f"{lead}, {DOSE_FIELDS}")
 
-    return levels.groupBy(*keys).applyInPandas(fit, schema)
+
+def i50_intervals(
+    df: DataFrame, keys: list[str], current: str, response: str, row_id: list[str], n: int = 1000, seed: int = 0
+) -> DataFrame:
+    """keys, i50, lo, hi, converged: the sigmoid's half-way current and the interval of it over resamples within each
+    current, with the share of resamples whose fit ended; groups without a sigmoid have no rows.
+
+    A resample is the mean of each current's weighed trials; its fit begins at the one of all trials, and all resamples of
+    a group are fitted at once.
+    """
+    levels = dose_levels(df, keys, current, response)
+    known = df.where(F.col(current).isNotNull() & F.col(response).isNotNull()).withColumn("x", F.col(current).cast("double"))
+    drawn = sum_draws(known, [*keys, "x"], {"s": F.col(response)}, row_id, n, seed).where("w > 0")
+    drawn = drawn.groupBy(*keys, "x").agg(F.collect_list(F.struct("draw", (F.col("s") / F.col("w")).alias("m"))).alias("draws"))
+    both = levels.join(drawn, [*keys, "x"])
+    lead = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in sorted_groups(batches, keys):
+            cols = [table.column(c).to_numpy() for c in ("x", "n", "mean", "within", "top")]
+            groups = [(*(c[a:b] for c in cols[:3]), 0.0, float(cols[4][a:b].max()) if cols[4][a:b].max() > 0 else 1.0) for a, b in zip(cuts, cuts[1:])]
+            enough = [g for g, own in enumerate(groups) if len(own[0]) >= 3 and own[1].sum() >= 4]
+            best = dsp.best_sigmoids([groups[g] for g in enough])
+            draws = table.column("draws").combine_chunks()
+            draws = draws.chunk(0) if isinstance(draws, pa.ChunkedArray) else draws
+            offsets, drawn = draws.offsets.to_numpy(), draws.values
+            rows = []
+            for i, (p, _) in sorted(best.items()):
+                x, count, mean, _, top = groups[enough[i]]
+                lo, hi, *_ = dsp.sigmoid_bounds(x, top)
+                means = np.repeat(mean[None], n, 0)  # a current that drew nothing keeps its trials as they are
+                at = cuts[enough[i]]
+                flat = drawn.slice(offsets[at], offsets[at + len(x)] - offsets[at]).flatten()
+                level = np.repeat(np.arange(len(x)), np.diff(offsets[at : at + len(x) + 1]))
+                means[flat[0].to_numpy(), level] = flat[1].to_numpy()
+                many = [np.repeat(a[None], n, 0) for a in (x, np.sqrt(count) / top, p, lo, hi)]
+                got, cost = dsp.fit_sigmoids(many[0], means, *many[1:], rounds=40)
+                ended = np.isfinite(cost)
+                rows.append((cuts[enough[i]], float(p[1]), *np.percentile(got[ended, 1], [2.5, 97.5]).tolist(), float(ended.mean())))
+            out = table.select(keys).take(pa.array([r[0] for r in rows], pa.int64()))
+            for k, name in enumerate(("i50", "lo", "hi", "converged")):
+                out = out.append_column(name, pa.array([r[k + 1] for r in rows], pa.float64()))
+            yield from out.combine_chunks().to_batches()
+
+    dealt = both.repartition(*keys).sortWithinPartitions(*keys, "x")
+    return dealt.mapInArrow(fit, f"{lead}, i50 double, lo double, hi double, converged double")
 
 
 def covariate_regression(df: DataFrame, keys: list[str], y: str, terms: list[str]) -> DataFrame:

@@ -1,16 +1,23 @@
-"""Bootstrap intervals without a group in one place: ranks are drawn, not values, and means are sums over weighted rows."""
+"""Bootstrap intervals: ranks are drawn, not values, and means, slopes and rank correlations are sums over weighted rows.
+
+What a task holds of a group is bounded by the number of draws. Ranks themselves come from windows over a group.
+"""
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .carry import sorted_groups
+
 
 def _fields(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -31,26 +38,37 @@ def median_intervals(df: DataFrame, keys: list[str], value: str, n: int = 1000,
     ranked = known.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("__v")))
     sizes = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("__v", 0.5).alias("median"))
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    lead = _fields(df, keys)
+
+    def ranks(key: tuple, m: int) -> np.ndarray:
+        """(2, n): the two middle ranks of each resample, equal for odd m."""
+        rng = np.random.default_rng(_seed(key, seed))
+        low = (m + 1) // 2
+        u = rng.beta(low, m - low + 1, n)
+        # the next order statistic, given this one
+        after = u + (1 - u) * rng.beta(1, m - low, n) if m % 2 == 0 else u
+        return np.clip(np.ceil(m * np.stack([u, after])), 1, m).astype(int)
+
+    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch[[*keys, "n"]].itertuples(index=False):
-                *key, m = row
-                rng = np.random.default_rng(_seed(tuple(key), seed))
-                low = (m + 1) // 2
-                u = rng.beta(low, m - low + 1, n)
-                ranks = [np.ceil(m * u)]
-                if m % 2 == 0:  # the next order statistic, given this one
-                    ranks.append(np.ceil(m * (u + (1 - u) * rng.beta(1, m - low, n))))
-                for r in ranks:
-                    out = pd.DataFrame({"__d": np.arange(n), "__r": np.clip(r, 1, m).astype(int)})
-                    for k, v in zip(keys, key):
-                        out[k] = v
-                    yield out[[*keys, "__d", "__r"]]
-
-    drawn = sizes.select(*keys, "n").mapInPandas(draw, _fields(df, keys) + ", __d long, __r int")
-    medians = drawn.join(ranked, [*keys, "__r"]).groupBy(*keys, "__d").agg(F.avg("__v").alias("m"))
-    ends = medians.groupBy(*keys).agg(F.percentile("m", alpha / 2).alias("lo"), F.percentile("m", 1 - alpha / 2).alias("hi"))
-    return sizes.join(ends, keys)
+            rows = batch[[*keys, "n"]].itertuples(index=False)
+            yield batch[keys].assign(__r=[np.unique(ranks(tuple(key), m)) for *key, m in rows])
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ends = []
+            for (*key, m), held in zip(batch[[*keys, "n"]].itertuples(index=False), batch["__held"]):
+                at, values = (np.array([h[c] for h in held]) for c in ("__r", "__v"))
+                order = np.argsort(at)
+                medians = values[order][np.searchsorted(at[order], ranks(tuple(key), m))].mean(0)
+                ends.append(np.percentile(medians, [50 * alpha, 100 - 50 * alpha]))
+            lo, hi = np.array(ends).T if ends else ([], [])
+            yield batch[[*keys, "n", "median"]].assign(lo=lo, hi=hi)
+
+    asked = sizes.select(*keys, "n").mapInPandas(wanted, lead + ", __r array<int>").select(*keys, F.explode("__r").alias("__r"))
+    # as many values a group as there are distinct ranks, at most 2 n
+    held = asked.join(ranked, [*keys, "__r"]).groupBy(*keys).agg(F.collect_list(F.struct("__r", "__v")).alias("__held"))
+    return sizes.join(held, keys).mapInPandas(look_up, lead + ", n long, median double, lo double, hi double")
 
 
 def _poisson(rows: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -64,33 +82,62 @@ def _poisson(rows: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return np.searchsorted(cdf, (h >> np.uint64(11)) / float(1 << 53)).astype(float)
 
 
-def mean_draws(df: DataFrame, keys: list[str], value: str, row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
-    """keys, draw, mean: means of `n` resamples of each group, every row weighed by an own Poisson(1) count in each.
+#: Rows whose weights a task holds at once.
+ROWS_AT_ONCE = 8192
+
+
+def sum_draws(df: DataFrame, keys: list[str], terms: dict[str, Column], row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
+    """keys, draw, w and the weighted sum of each term, of `n` resamples: every row weighs an own Poisson(1) count in each.
 
     Tasks add their rows up and hand on n sums for each group, however many rows it has. row_id: columns that tell rows of
-    a group apart; draws depend on them and the seed only. Nulls do not count.
+    a group apart; draws depend on them and the seed only. Rows with a null in any term do not count.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), F.xxhash64(F.lit(seed), *row_id).alias("__h"))
-    names = [*keys, "__d", "__w", "__s"]
+    summed = list(terms)
+    held = [c.cast("double").alias(f"__{name}") for name, c in terms.items()]
+    rows = df.select(*keys, *held, F.xxhash64(F.lit(seed), *row_id).alias("__h")).dropna(subset=[f"__{x}" for x in summed])
+    names = [*keys, "draw", "w", *summed]
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            groups = batch.groupby(keys, dropna=False, sort=False) if keys else [((), batch)]
-            for key, own in groups:
-                w, s, draws = np.zeros(n), np.zeros(n), np.arange(n)
-                for lo in range(0, len(own), 2000):
-                    part = own.iloc[lo : lo + 2000]
-                    weights = _poisson(part["__h"].to_numpy(), draws)
-                    w += weights.sum(0)
-                    s += part["__v"].to_numpy() @ weights
-                out = pd.DataFrame({"__d": draws, "__w": w, "__s": s})
-                for k, v in zip(keys, key):
-                    out[k] = v
-                yield out[names]
+            code = batch.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(batch), int)
+            order = np.argsort(code, kind="stable")
+            for lo in range(0, len(order), ROWS_AT_ONCE):
+                part = order[lo : lo + ROWS_AT_ONCE]
+                first = np.flatnonzero(np.diff(code[part], prepend=-1))
+                own = batch.iloc[part]
+                weights = _poisson(own["__h"].to_numpy(), np.arange(n))
+                sums = [np.add.reduceat(weights, first)]
+                sums += [np.add.reduceat(own[f"__{x}"].to_numpy()[:, None] * weights, first) for x in summed]
+                out = {k: np.repeat(own[k].to_numpy()[first], n) for k in keys}
+                out |= {"draw": np.tile(np.arange(n), len(first))} | {x: v.ravel() for x, v in zip(["w", *summed], sums)}
+                yield pd.DataFrame(out)[names]
 
     lead = _fields(df, keys) + ", " if keys else ""
-    sums = rows.mapInPandas(add, lead + "__d long, __w double, __s double").groupBy(*keys, "__d").agg(F.sum("__w").alias("w"), F.sum("__s").alias("s"))
-    return sums.where("w > 0").select(*keys, F.col("__d").alias("draw"), (F.col("s") / F.col("w")).alias("mean"))
+    schema = lead + "draw long, w double, " + ", ".join(f"`{x}` double" for x in terms)
+    return rows.mapInPandas(add, schema).groupBy(*keys, "draw").agg(*[F.sum(x).alias(x) for x in ("w", *terms)])
+
+
+def stratified_draws(
+    df: DataFrame, keys: list[str], stratum: list[str], terms: dict[str, Column], row_id: list[str], n: int = 1000, seed: int = 0
+) -> DataFrame:
+    """keys, draw, w and the sums of each term over resamples that keep every stratum's number of rows.
+
+    A stratum's sums are scaled by its number of rows over the weight that it drew; one that drew nothing counts with
+    its rows as they are, so no resample loses a stratum.
+    """
+    good = F.lit(True)
+    for c in terms.values():
+        good &= c.isNotNull()
+    plain = df.where(good).groupBy(*keys, *stratum).agg(F.count("*").alias("__n"), *[F.sum(c.cast("double")).alias(f"__{x}") for x, c in terms.items()])
+    drawn = sum_draws(df, [*keys, *stratum], terms, row_id, n, seed).join(plain, [*keys, *stratum])
+    scaled = [F.sum(F.when(F.col("w") > 0, F.col(x) * F.col("__n") / F.col("w")).otherwise(F.col(f"__{x}"))).alias(x) for x in terms]
+    return drawn.groupBy(*keys, "draw").agg(F.sum("__n").alias("w"), *scaled)
+
+
+def mean_draws(df: DataFrame, keys: list[str], value: str, row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
+    """keys, draw, mean: means of `n` resamples of each group; nulls do not count."""
+    sums = sum_draws(df, keys, {"s": F.col(value)}, row_id, n, seed)
+    return sums.where("w > 0").select(*keys, "draw", (F.col("s") / F.col("w")).alias("mean"))
 
 
 def interval(draws: DataFrame, keys: list[str], value: Column, alpha: float = 0.05) -> DataFrame:
@@ -119,24 +166,119 @@ def independent_db_intervals(df: DataFrame, keys: list[str], value: str, first:
     return point.join(found, keys)
 
 
-def fake_onsets(intervals: DataFrame, keys: list[str], n: int, apart: int, seed: int = 0) -> DataFrame:
+def fraction_intervals(df: DataFrame, keys: list[str], flag: Column, row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
+    """keys, n, fraction, lo, hi: share of flagged rows and its bootstrap interval; null flags do not count."""
+    rows = df.withColumn("__f", flag.cast("double"))
+    per = rows.groupBy(*keys).agg(F.count("__f").alias("n"), F.avg("__f").alias("fraction"))
+    return per.where("n > 0").join(interval(mean_draws(rows, keys, "__f", row_id, n, seed), keys, F.col("mean")), keys, "left")
+
+
+def difference_intervals(df: DataFrame, keys: list[str], value: str, first: Column, row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
+    """keys, difference, lo, hi: mean of the other rows less that of the first ones, either side resampled by itself; groups
+    without both sides have no rows."""
+    sides = [df.where(first), df.where(~first)]
+    means = [x.groupBy(*keys).agg(F.avg(value).alias(f"m{k}")).dropna(subset=[f"m{k}"]) for k, x in enumerate(sides)]
+    draws = [mean_draws(x, keys, value, row_id, n, seed + k).withColumnRenamed("mean", f"d{k}") for k, x in enumerate(sides)]
+    found = interval(draws[0].join(draws[1], [*keys, "draw"]), keys, F.col("d1") - F.col("d0"))
+    return means[0].join(means[1], keys).select(*keys, (F.col("m1") - F.col("m0")).alias("difference")).join(found, keys)
+
+
+def slope_intervals(
+    df: DataFrame, keys: list[str], x: str, y: str, stratum: list[str], row_id: list[str], n: int = 1000, seed: int = 0
+) -> DataFrame:
+    """keys, n, slope, intercept, lo, hi: least squares of y on x and the interval of the slope over resamples of the rows
+    within each stratum (a run); groups with one x have no rows."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    centre = rows.groupBy(*keys).agg(
+        F.avg(x).alias("__x"), F.avg(y).alias("__y"), F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")
+    ).where(F.col("slope").isNotNull())
+    near = rows.join(centre.select(*keys, "__x", "__y"), keys)
+    dx, dy = F.col(x) - F.col("__x"), F.col(y) - F.col("__y")
+    sums = stratified_draws(near, keys, stratum, {"x": dx, "y": dy, "xx": dx * dx, "xy": dx * dy}, row_id, n, seed)
+    spread = F.col("w") * F.col("xx") - F.col("x") * F.col("x")
+    slope = F.when(spread > 0, (F.col("w") * F.col("xy") - F.col("x") * F.col("y")) / spread)
+    return centre.drop("__x", "__y").join(interval(sums, keys, slope), keys, "left")
+
+
+def spearman_intervals(df: DataFrame, keys: list[str], x: str, y: str, row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
+    """keys, n, rho, lo, hi: rank correlation and the interval of it over resamples of pairs; under three pairs no rows.
+
+    Resampling moves the ranks too. To first order a row adds 12 ((u - 1/2)(v - 1/2) + A + B) to it, with u and v its
+    middle ranks over n, A the mean over all rows of v - 1/2 where x is larger (ties half), and B the same the other way;
+    so resamples are means of these numbers, as for any mean, and no resample is ranked.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    group, whole = Window.partitionBy(*keys), (Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def middle(c: str) -> Column:
+        w = group.orderBy(c)
+        return (F.rank().over(w) + (F.count("*").over(group.partitionBy(*keys, c)) - 1) / 2 - F.lit(0.5)) / F.col("__n")
+
+    def above(c: str, other: str) -> Column:
+        """Sum of other over the rows with larger c, and half of those with equal c."""
+        same = F.sum(other).over(Window.partitionBy(*keys, c))
+        larger = F.sum(other).over(group.orderBy(F.desc(c)).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - same
+        return (larger + same / 2) / F.col("__n")
+
+    ranked = rows.withColumn("__n", F.count("*").over(group.rowsBetween(*whole))).where("__n >= 3")
+    ranked = ranked.withColumns({"__u": middle(x) - 0.5, "__v": middle(y) - 0.5})
+    effect = 12 * (F.col("__u") * F.col("__v") + above(x, "__v") + above(y, "__u"))
+    ranked = ranked.withColumn("__e", effect)
+    per = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__u", "__v").alias("rho"), F.avg("__e").alias("__m"))
+    draws = mean_draws(ranked, keys, "__e", row_id, n, seed).join(per, keys)
+    # ties take from the ranks' spread; the effect is on the scale of untied ranks
+    found = interval(draws, keys, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho") + F.col("mean") - F.col("__m"))))
+    return per.drop("__m").join(found, keys, "left")
+
+
+def fake_onsets(intervals: DataFrame, keys: list[str], n: int, apart: int, seed: int = 0, attempts: int = 50) -> DataFrame:
     """keys, onset: up to n places drawn evenly from the union of each channel's intervals (start, end), at least `apart`
     from each other.
 
-    Draws are hashes of keys, seed and number, laid along the intervals' summed length; of draws that come too close to
-    the one kept before them the later in time goes, and the first n by number are kept.
+    Draws follow one another as they are made: one that comes too close to any that is kept is rejected, and up to
+    `attempts` times n are made. Draws are hashes of keys, seed and number, laid along the intervals' summed length. A
+    channel's kept places, n at most, are all that a task holds of it.
     """
-    from .sequence import refractory
-
     w = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     length = F.col("end") - F.col("start")
     laid = intervals.where(length > 0).withColumn("__from", F.coalesce(F.sum(length).over(w), F.lit(0)))
     total = laid.groupBy(*keys).agg(F.sum(length).alias("__total"))
-    draws = total.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(4 * n - 1))))
+    draws = total.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(attempts * n - 1))))
     at = F.pmod(F.xxhash64(F.lit(seed), *keys, "__k"), F.col("__total"))
     draws = draws.select(*keys, "__k", at.alias("__at"))
     pieces = laid.select(*[F.col(k).alias(f"__{k}") for k in keys], "start", "__from", (F.col("__from") + length).alias("__to"))
     on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("__at") >= F.col("__from"), F.col("__at") < F.col("__to")]
     placed = draws.join(pieces, on).select(*keys, (F.col("start") + F.col("__at") - F.col("__from")).alias("onset"), "__k")
-    kept = refractory(placed, keys, "onset", "__k", apart)
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__k"))).where(F.col("__n") <= n).select(*keys, "onset")
+
+    def reject(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by channel, in the order of the draws."""
+        for table, cuts in sorted_groups(batches, keys):
+            onsets, kept = table.column("onset").to_pylist(), []
+            for a, b in zip(cuts, cuts[1:]):
+                held: list[int] = []
+                for i in range(a, b):
+                    if len(held) == n:
+                        break
+                    k = bisect_left(held, onsets[i])
+                    if (k == 0 or onsets[i] - held[k - 1] >= apart) and (k == len(held) or held[k] - onsets[i] >= apart):
+                        held.insert(k, onsets[i])
+                        kept.append(i)
+            yield from table.select([*keys, "onset"]).take(pa.array(kept, pa.int64())).to_batches()
+
+    dealt = placed.repartition(*keys).sortWithinPartitions(*keys, "__k")
+    return dealt.mapInArrow(reject, placed.select(*keys, "onset").schema)
+
+
+def pseudo_onsets(
+    runs: DataFrame, keys: list[str], before: int, behind: int, step: int, jitter: int = 0, most: int | None = None, seed: int = 0
+) -> DataFrame:
+    """keys, event_number, onset: places of runs without pulses (keys, n_samples) that keep `before` samples in front and
+    `behind` samples from there on inside the recording, `step` apart, each moved by up to `jitter` samples; the first
+    `most` of them."""
+    last = F.col("n_samples") - behind  # excluded
+    places = F.sequence(F.lit(before).cast("long"), last - 1, F.lit(step).cast("long"))
+    placed = runs.where(last > before).select(*keys, last.alias("__last"), F.posexplode(places).alias("event_number", "onset"))
+    if most is not None:
+        placed = placed.where(F.col("event_number") < most)
+    moved = F.col("onset") + (F.pmod(F.xxhash64(F.lit(seed), *keys, "event_number"), F.lit(jitter + 1)) if jitter else F.lit(0))
+    return placed.select(*keys, F.col("event_number").cast("long").alias("event_number"), F.least(moved, F.col("__last") - 1).alias("onset"))

@@ -6,7 +6,6 @@ all windows over the same keys and order.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -127,34 +126,6 @@ def drop_close_pairs(df: DataFrame, keys: list[str], t: str, order: list[str], l
     return df.withColumn("ahead", ahead).where(F.col("ahead").isNull() | (F.col("ahead") >= least)).drop("ahead")
 
 
-def refractory(df: DataFrame, keys: list[str], t: str, tie: str, least: int) -> DataFrame:
-    """keys, t, tie of the rows kept greedily: each at least `least` after the last kept one.
-
-    A row that comes `least` or more behind the one before is always kept, so channels fall apart there: only rows that
-    follow one another more closely are walked through, each such stretch as a group of its own.
-    """
-    names = [*keys, t, tie]
-    narrow = df.select(*names)
-    w = along(keys, [t, tie])
-    cut = narrow.withColumn("__far", F.coalesce(F.col(t) - F.lag(t).over(w) >= least, F.lit(True)))
-    cut = cut.withColumn("__part", F.sum(F.col("__far").cast("long")).over(so_far(keys, [t, tie])))
-    cut = cut.withColumn("__next_far", F.coalesce(F.lead("__far").over(w), F.lit(True)))
-    alone = cut.where(F.col("__far") & F.col("__next_far"))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([t, tie])
-        keep, last = [], None
-        for x in rows[t]:
-            ok = last is None or x - last >= least
-            keep.append(ok)
-            last = x if ok else last
-        return rows.loc[keep, names]
-
-    close = cut.where(~(F.col("__far") & F.col("__next_far"))).drop("__far", "__next_far")
-    walked = close.groupBy(*keys, "__part").applyInPandas(walk, narrow.schema)
-    return alone.select(*names).unionByName(walked)
-
-
 def percent_vs_first(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Rows with first_value, the channel's first non-null value, and percent change against it."""
     first = F.first(value, ignorenulls=True).over(along(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

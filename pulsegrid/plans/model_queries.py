@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parsing, words
+from ..operators import models, resampling
 from ..operators import regression as reg
 from ..operators import waveforms as wave
 from .bindings import HOUR, SIGNAL, TRIALS, load, markers, signal, trials
@@ -21,6 +22,24 @@ def doses(s, d):
 DOSES = TRIALS + ", ds AS (SELECT tr.*, CAST(p_size AS DOUBLE) AS current FROM tr JOIN part ON p_partkey = part)"
 
 
+#: What tells trials apart.
+TRIAL_ID = ["run_id", "event_number", "part"]
+
+
+def shifted(s, d):
+    """Trials whose metric, v, is not positive everywhere."""
+    return trials(s, d).withColumn("v", F.when(F.col("contact") % 10 == 0, F.col("metric") - 2000).otherwise(F.col("metric")))
+
+
+SHIFTED = TRIALS + """, t2 AS (SELECT contact, CASE WHEN contact % 10 = 0 THEN metric - 2000 ELSE metric END AS v FROM tr
+), c AS (SELECT *, CASE WHEN v > 0 THEN log10(v) END AS l, avg(v) OVER w AS m, avg(CASE WHEN v > 0 THEN log10(v) END) OVER w AS lm FROM t2 WINDOW w AS (PARTITION BY contact)"""
+
+
+def logged(s, d):
+    """Doses and responses as logarithms."""
+    return doses(s, d).where("response > 0").withColumn("ly", F.ln("response")).withColumn("log_current", F.ln("current"))
+
+
 def folders(s, d):
     """Run folder names made from parts."""
     k = F.col("p_partkey")
@@ -290,12 +309,51 @@ FROM m a JOIN m b ON a.channel < b.channel AND abs(b.t - a.t) <= {HOUR} GROUP BY
         f"WITH {SIGNAL} SELECT channel, round(quantile_cont(abs(value), 0.5) / 0.6745, 6) AS sigma FROM s GROUP BY channel",
     ),
     "lognormal_checks": Query(
-        lambda s, d: reg.moments(trials(s, d).withColumn("v", F.when(F.col("contact") % 10 == 0, F.col("metric") - 2000).otherwise(F.col("metric"))), ["contact"], "v").select("contact", "n", "n_nonpositive", "scale"),
-        f"""WITH {TRIALS}, t2 AS (SELECT contact, CASE WHEN contact % 10 = 0 THEN metric - 2000 ELSE metric END AS v FROM tr
-), c AS (SELECT *, CASE WHEN v > 0 THEN log10(v) END AS l, avg(v) OVER w AS m, avg(CASE WHEN v > 0 THEN log10(v) END) OVER w AS lm FROM t2 WINDOW w AS (PARTITION BY contact)
+        lambda s, d: six(reg.moments(shifted(s, d), ["contact"], "v")),
+        f"""WITH {SHIFTED}
 ), q AS (SELECT contact, count(*) AS n, count(*) FILTER (WHERE v <= 0) AS np, avg(pow(v - m, 3)) / pow(var_pop(v), 1.5) AS sk, avg(pow(l - lm, 3)) / pow(var_pop(l), 1.5) AS ls FROM c GROUP BY contact)
-SELECT contact, n, np AS n_nonpositive, CASE WHEN n < 3 THEN 'insufficient' WHEN np > 0 THEN 'raw (non-positive values present)' WHEN abs(ls) < abs(sk) THEN 'log' ELSE 'raw' END AS scale FROM q""",
-    ),
+SELECT contact, n, np AS n_nonpositive, round(sk, 6) + 0.0 AS skew, round(ls, 6) + 0.0 AS log_skew FROM q""",
+    ),
+    "normality_checks": Query(lambda s, d: six(models.normality_checks(shifted(s, d), ["contact"], "v", TRIAL_ID))),
+    "normal_quantile_points": Query(
+        lambda s, d: models.quantile_points(trials(s, d), ["contact"], "metric").groupBy("contact").agg(
+            F.count("*").alias("n"), F.max("place").alias("last_place"), (F.abs(F.sum("theoretical")) < 1e-6).alias("balanced"), (F.corr("theoretical", "ordered") > 0.8).alias("straight")),
+        f"""WITH {TRIALS} SELECT contact, count(*) AS n, CAST(count(*) AS INT) AS last_place, true AS balanced, true AS straight FROM tr GROUP BY contact HAVING count(*) >= 3""",
+    ),
+    "random_intercept_model": Query(lambda s, d: six(models.random_intercept(logged(s, d), ["win"], "ly", ["log_current", "discount"], "contact"))),
+    "fixed_groups_model": Query(
+        lambda s, d: six(models.fixed_groups(logged(s, d), ["win"], "ly", ["log_current"], "contact", TRIAL_ID, 0).select("win", "term", "estimate", "n_obs", "n_groups")),
+        f"""WITH {DOSES}, l AS (SELECT win, contact, ln(response) AS y, ln(current) AS x FROM ds WHERE response > 0
+), g AS (SELECT win, contact, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx FROM l GROUP BY win, contact
+), b AS (SELECT win, sum(sxy) / sum(sxx) AS slope, sum(n) AS n_obs, count(*) AS n_groups, arg_min(my, contact) AS my, arg_min(mx, contact) AS mx FROM g GROUP BY win)
+SELECT win, t.term, round(CASE WHEN t.term = 'intercept' THEN my - slope * mx ELSE slope END, 6) AS estimate, CAST(n_obs AS BIGINT) AS n_obs, n_groups
+FROM b, (VALUES ('intercept'), ('log_current')) AS t(term)""",
+    ),
+    "fixed_groups_intervals": Query(lambda s, d: six(models.fixed_groups(logged(s, d), ["win"], "ly", ["log_current"], "contact", TRIAL_ID, 100))),
+    "slope_intervals": Query(
+        lambda s, d: six(resampling.slope_intervals(logged(s, d), ["contact"], "log_current", "ly", ["win"], TRIAL_ID, 100)
+                         .select("contact", "n", "slope", "intercept", F.expr("lo <= slope AND slope <= hi").alias("around"))),
+        f"""WITH {DOSES}, l AS (SELECT contact, ln(response) AS y, ln(current) AS x FROM ds WHERE response > 0)
+SELECT contact, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, true AS around FROM l GROUP BY contact""",
+    ),
+    "bootstrap_slope_verdicts": Query(lambda s, d: reg.slope_verdict(
+        resampling.slope_intervals(logged(s, d), ["contact", "win"], "log_current", "ly", ["band"], TRIAL_ID, 100), "lo", "hi").select("contact", "win", "verdict")),
+    "fraction_intervals": Query(
+        lambda s, d: six(resampling.fraction_intervals(trials(s, d), ["contact"], F.col("response") >= 40, TRIAL_ID, 100).select("contact", "n", "fraction", F.expr("lo <= fraction AND fraction <= hi").alias("around"))),
+        f"WITH {TRIALS} SELECT contact, count(*) AS n, round(avg(CASE WHEN response >= 40 THEN 1 ELSE 0 END), 6) AS fraction, true AS around FROM tr GROUP BY contact",
+    ),
+    "difference_intervals": Query(
+        lambda s, d: six(resampling.difference_intervals(trials(s, d), ["contact"], "metric", F.col("band") == "F", TRIAL_ID, 100).select("contact", "difference", F.expr("lo <= difference AND difference <= hi").alias("around"))),
+        f"""WITH {TRIALS}, g AS (SELECT contact, avg(metric) FILTER (WHERE band = 'F') AS f, avg(metric) FILTER (WHERE band <> 'F') AS o FROM tr GROUP BY contact)
+SELECT contact, round(o - f, 6) AS difference, true AS around FROM g WHERE f IS NOT NULL AND o IS NOT NULL""",
+    ),
+    "spearman_intervals": Query(
+        lambda s, d: six(resampling.spearman_intervals(trials(s, d), ["contact"], "response", "metric", TRIAL_ID, 100).select("contact", "n", "rho", F.expr("lo <= rho AND rho <= hi").alias("around"))),
+        f"""WITH {TRIALS}, r AS (SELECT contact, rank() OVER (PARTITION BY contact ORDER BY response) + (count(*) OVER (PARTITION BY contact, response) - 1) / 2.0 AS a,
+       rank() OVER (PARTITION BY contact ORDER BY metric) + (count(*) OVER (PARTITION BY contact, metric) - 1) / 2.0 AS b FROM tr)
+SELECT contact, count(*) AS n, round(corr(a, b), 6) AS rho, true AS around FROM r GROUP BY contact HAVING count(*) >= 3""",
+    ),
+    "i50_intervals": Query(lambda s, d: six(reg.i50_intervals(doses(s, d), ["contact"], "current", "response", TRIAL_ID, 50))),
     "amplitude_response": Query(lambda s, d: six(reg.amplitude_response(doses(s, d), ["contact", "band"], "current", "response"))),
     "covariate_regression": Query(
         lambda s, d: six(reg.covariate_regression(doses(s, d).where("response > 0").select("win", F.ln("response").alias("ly"), F.ln("current").alias("log_current"), (F.col("contact") / 10).alias("distance"), "discount"), ["win"], "ly", ["log_current", "distance", "discount"])),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import carry
 from ..operators import sequence as seq
 from .bindings import DAY, HOUR, MARKERS, SIGNAL, markers, signal
 from .query import Query
@@ -145,7 +146,7 @@ SELECT channel, event_id, t, coalesce(lead(t) OVER (PARTITION BY channel ORDER B
 SELECT channel, event_id, t FROM a WHERE ahead IS NULL OR ahead >= {6 * HOUR}""",
     ),
     "refractory_greedy": Query(
-        lambda s, d: seq.refractory(signal(s, d), KEYS, "t", "event_id", DAY),
+        lambda s, d: carry.refractory(signal(s, d), KEYS, "t", "event_id", DAY),
         f"""WITH RECURSIVE {SIGNAL}, o AS (
   SELECT channel, t, event_id, row_number() OVER (PARTITION BY channel ORDER BY t, event_id) AS k FROM s
 ), w AS (

@@ -73,6 +73,15 @@ PLACED = SWEEP + f""", hd AS (
   WINDOW w AS (PARTITION BY arm, head), v AS (PARTITION BY arm, head ORDER BY knob_value, run_id)
 )"""
 
+def log_slopes(s, d):
+    """Log-log slopes of a trial's metric on its response, with the limits of least squares."""
+    y, x = F.ln("metric"), F.ln("response")
+    per = trials(s, d).where("metric > 0 AND response > 0").groupBy("contact", "win").agg(
+        F.count("*").alias("n"), F.regr_slope(y, x).alias("b"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"))
+    error = F.when(F.col("n") > 2, F.sqrt(F.greatest(F.lit(0.0), F.col("syy") / F.col("sxx") - F.col("b") * F.col("b")) / (F.col("n") - 2)))
+    return per.withColumn("lo", F.col("b") - 1.96 * error).withColumn("hi", F.col("b") + 1.96 * error)
+
+
 QUERIES = {
     "healthy_channels": Query(
         lambda s, d: ses.healthy_channels(suppliers(s, d), "ohms").select("contact", "ohms"),
@@ -181,13 +190,13 @@ SELECT contact, win, inv AS invariant, round(1 - f1, 6) AS tail_fraction, round(
         f"WITH {TRIALS} SELECT run_id, event_number, contact, part, round(CASE WHEN metric / 10 > 100 THEN discount * 100 + response * ln(metric / 10 / 100) END, 6) AS predicted_ms FROM tr",
     ),
     "slope_verdicts": Query(
-        lambda s, d: reg.slope_verdict(trials(s, d).groupBy("contact", "win").agg((F.avg("discount") * 40 - 1.5).alias("lo"), (F.avg("tax") * 40 - 0.4).alias("hi")).where("lo <= hi OR contact % 2 = 0")
-                                       .withColumn("lo", F.when(F.col("contact") % 9 != 0, F.least("lo", "hi"))), "lo", "hi").select("contact", "win", "verdict"),
-        f"""WITH {TRIALS}, g AS (SELECT contact, win, avg(discount) * 40 - 15e-1 AS l0, avg(tax) * 40 - 4e-1 AS hi FROM tr GROUP BY contact, win
-), h AS (SELECT contact, win, CASE WHEN contact % 9 <> 0 THEN least(l0, hi) END AS lo, hi FROM g WHERE l0 <= hi OR contact % 2 = 0)
-SELECT contact, win, CASE WHEN lo IS NULL OR hi IS NULL THEN 'insufficient'
+        lambda s, d: six(reg.slope_verdict(log_slopes(s, d), "lo", "hi").select("contact", "win", "lo", "hi", "verdict")),
+        f"""WITH {TRIALS}, l AS (SELECT contact, win, ln(metric) AS y, ln(response) AS x FROM tr WHERE metric > 0 AND response > 0
+), r AS (SELECT contact, win, count(*) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy FROM l GROUP BY contact, win
+), i AS (SELECT contact, win, b - 196e-2 * e AS lo, b + 196e-2 * e AS hi FROM (SELECT *, CASE WHEN n > 2 THEN sqrt(greatest(0, syy / sxx - b * b) / (n - 2)) END AS e FROM r))
+SELECT contact, win, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo IS NULL OR hi IS NULL THEN 'insufficient'
   WHEN lo >= 0.75 AND hi <= 1.25 OR lo <= 1 AND hi >= 1 AND NOT (lo <= 0 AND hi >= 0) AND hi - lo < 1 THEN '~1'
-  WHEN lo >= -0.25 AND hi <= 0.25 OR lo <= 0 AND hi >= 0 AND NOT (lo <= 1 AND hi >= 1) THEN 'flat' ELSE 'intermediate' END AS verdict FROM h""",
+  WHEN lo >= -0.25 AND hi <= 0.25 OR lo <= 0 AND hi >= 0 AND NOT (lo <= 1 AND hi >= 1) THEN 'flat' ELSE 'intermediate' END AS verdict FROM i""",
     ),
     "event_chunks": Query(
         lambda s, d: ses.chunks(markers(s, d), ["channel"], ["t", "event_id"], 5).groupBy("channel", "part").agg(F.count("*").alias("n"), F.min("t").alias("first_t")),
@@ -237,8 +246,8 @@ FROM x GROUP BY win, contacts""",
     "retained_annotation": Query(
         lambda s, d: ses.annotate_retained(
             trials(s, d).select("run_id", "event_number", "part", F.when(F.col("win") == "A", "early").when(F.col("win") == "R", "late").otherwise("baseline").alias("window")),
-            trials(s, d).where("tax > 0.01").groupBy("run_id", "event_number").agg((F.max("response") > 20).alias("retained_early"), (F.min("discount") < 0.05).alias("retained_late")), ["run_id", "event_number"], "window"),
-        f"""WITH {TRIALS}, k AS (SELECT run_id, event_number, max(response) > 20 AS e, min(discount) < 0.05 AS l FROM tr WHERE tax > 0.01 GROUP BY ALL)
+            trials(s, d).groupBy("run_id", "event_number").agg((F.max("response") > 20).alias("retained_early"), (F.min("discount") < 0.05).alias("retained_late")), ["run_id", "event_number"], "window"),
+        f"""WITH {TRIALS}, k AS (SELECT run_id, event_number, max(response) > 20 AS e, min(discount) < 0.05 AS l FROM tr GROUP BY ALL)
 SELECT tr.run_id, tr.event_number, part, CASE WHEN win = 'A' THEN 'early' WHEN win = 'R' THEN 'late' ELSE 'baseline' END AS "window",
        CASE WHEN win = 'A' THEN coalesce(e, false) WHEN win = 'R' THEN coalesce(l, false) ELSE true END AS retained FROM tr LEFT JOIN k ON k.run_id = tr.run_id AND k.event_number = tr.event_number""",
     ),

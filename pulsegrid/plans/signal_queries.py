@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import evoked, resampling, tails
 from ..operators import signals as sig
-from .bindings import HOUR, SIGNAL, signal, trials
+from .bindings import DAY, HOUR, SIGNAL, TRIALS, signal, trials
 from .query import Query
 from .summary_queries import six
 
@@ -70,6 +70,14 @@ def found_peaks(s, d):
     return evoked.peaks(w.join(evoked.evoked_summary(responses(s, d)).select("run_id", "channel", "baseline_sd"), ["run_id", "channel"]), RATE, PROTOCOL)
 
 
+def fake_places(s, d):
+    """Fake onsets with the distance to the one before and whether they lie inside their channel's span."""
+    ends = signal(s, d).groupBy("channel").agg((F.min("t") + HOUR).alias("start"), (F.max("t") - HOUR).alias("end"))
+    placed = resampling.fake_onsets(ends, ["channel"], 20, 6 * HOUR).join(ends, "channel")
+    before = F.lag("onset").over(Window.partitionBy("channel").orderBy("onset"))
+    return placed.withColumn("apart", F.col("onset") - before).withColumn("inside", (F.col("onset") >= F.col("start")) & (F.col("onset") < F.col("end")))
+
+
 QUERIES = {
     "epoch_extraction": Query(
         lambda s, d: six(sig.epochs(blocks(s, d), onsets(s, d), -4, 9, 0, BLOCK).select(
@@ -135,11 +143,26 @@ SELECT run_id, idx // {BLOCK} AS block_no, CAST(idx % {BLOCK} AS INT) AS k, roun
     "event_recovery_kernel": Query(lambda s, d: six(sig.event_recovery(blocks(s, d), onsets(s, d), RATE, (-50.0, 0.0), 100.0, 30.0, 2.0, 1.0, BLOCK))),
     "welch_band_power": Query(lambda s, d: six(sig.spectra(sig.channel_arrays(blocks(s, d)), RATE, 32, BANDS, 5.0))),
     "spike_detection": Query(lambda s, d: sig.detect_spikes(sig.channel_arrays(blocks(s, d)), 1000.0, 2, 3, 1, 2.0).drop("waveform")),
-    "bootstrap_medians": Query(lambda s, d: six(resampling.median_intervals(signal(s, d), ["channel", "kind"], "value", 200))),
-    "paired_db_intervals": Query(lambda s, d: six(resampling.paired_db_intervals(
-        trials(s, d).select("contact", "run_id", "event_number", "part", (F.col("discount") + 0.01).alias("base"), (F.col("tax") + 0.01).alias("post")), ["contact"], "base", "post", ["run_id", "event_number", "part"], 200))),
-    "fake_onsets": Query(lambda s, d: resampling.fake_onsets(
-        signal(s, d).groupBy("channel").agg((F.min("t") + HOUR).alias("start"), (F.max("t") - HOUR).alias("end")), ["channel"], 20, 6 * HOUR)),
+    "bootstrap_medians": Query(
+        lambda s, d: six(resampling.median_intervals(signal(s, d), ["channel", "kind"], "value", 200).select("channel", "kind", "n", "median", F.expr("lo <= median AND median <= hi").alias("around"))),
+        f"WITH {SIGNAL} SELECT channel, kind, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, true AS around FROM s GROUP BY channel, kind HAVING count(value) > 0",
+    ),
+    "paired_db_intervals": Query(
+        lambda s, d: six(resampling.paired_db_intervals(
+            trials(s, d).select("contact", "run_id", "event_number", "part", (F.col("discount") + 0.01).alias("base"), (F.col("tax") + 0.01).alias("post")), ["contact"], "base", "post", ["run_id", "event_number", "part"], 200)
+            .select("contact", "n_pairs", "median_db", "mean_db", F.expr("lo <= mean_db AND mean_db <= hi").alias("around"))),
+        f"""WITH {TRIALS}, c AS (SELECT contact, 10 * log10((tax + 1e-2) / (discount + 1e-2)) AS db FROM tr)
+SELECT contact, count(*) AS n_pairs, round(quantile_cont(db, 0.5), 6) AS median_db, round(avg(db), 6) AS mean_db, true AS around FROM c GROUP BY contact""",
+    ),
+    "fake_onsets": Query(
+        lambda s, d: fake_places(s, d).groupBy("channel").agg((F.count("*") <= 20).alias("few_enough"), (F.coalesce(F.min("apart"), F.lit(DAY)) >= 6 * HOUR).alias("apart"), F.bool_and("inside").alias("inside")),
+        f"""WITH {SIGNAL}, g AS (SELECT channel FROM s GROUP BY channel HAVING max(t) - min(t) > {2 * HOUR}) SELECT channel, true AS few_enough, true AS apart, true AS inside FROM g""",
+    ),
+    "pseudo_onsets": Query(
+        lambda s, d: resampling.pseudo_onsets(numbered(s, d).groupBy("run_id").agg(F.count("*").alias("n_samples")), ["run_id"], 4, 9, 6, most=8),
+        f"""WITH {SAMPLES}, n AS (SELECT DISTINCT run_id, total FROM i)
+SELECT run_id, k AS event_number, 4 + 6 * k AS onset FROM n, range(0, 8) AS r(k) WHERE 4 + 6 * k < total - 9""",
+    ),
     "prepost_power": Query(lambda s, d: six(evoked.prepost_power(
         blocks(s, d), numbered(s, d).groupBy("run_id").agg(F.floor(F.count("*") * 0.45).alias("first_stim"), F.floor(F.count("*") * 0.5).alias("last_stim"), F.count("*").alias("n_samples")),
         RATE, BANDS, 0.1, 0.05, 0.02, 0.3, 2, 100, BLOCK))),
