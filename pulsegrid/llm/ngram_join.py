@@ -391,10 +391,17 @@ def _halves(mine: Column, own: Column) -> Column:
     )
 
 
-def main_and_others(n_other: Column, n_main: Column) -> Column:
-    """Structs (i, j, part) of the cells of a row, which is outside the largest component if `other`, with so many chunks
-    of either kind: other rows meet each other and the rest; rows of the largest component need not meet each other."""
-    mine = F.pmod(F.xxhash64("key"), F.when(F.col("other"), n_other).otherwise(n_main))
+def list_cells(mixed: DataFrame, cell_rows: int) -> DataFrame:
+    """Rows of mixed once for each cell that they are in: (gram, i, j) and the part of it.
+
+    A list of up to cell_rows rows is one cell. Of a longer one the rows outside the largest component meet each other
+    and the rest in chunks; rows of the largest component need not meet each other.
+    """
+    other = F.col("component") != F.col("main")
+    half = max(1, cell_rows // 2)
+    n_other = F.ceil((F.col("total") - F.col("n_main")) / half).cast("long")
+    n_main = F.ceil(F.col("n_main") / half).cast("long")
+    mine = F.pmod(F.xxhash64("key"), F.when(other, n_other).otherwise(n_main))
     to_main = F.transform(
         F.sequence(F.lit(0).cast("long"), n_main - 1),
         lambda k: F.struct(mine.alias("i"), (-1 - k).alias("j"), F.lit(0).alias("part")),
@@ -403,19 +410,9 @@ def main_and_others(n_other: Column, n_main: Column) -> Column:
         F.sequence(F.lit(0).cast("long"), n_other - 1),
         lambda k: F.struct(k.alias("i"), (-1 - mine).alias("j"), F.lit(1).alias("part")),
     )
-    return F.when(F.col("other"), F.concat(_halves(mine, n_other), to_main)).otherwise(to_other)
-
-
-def list_cells(mixed: DataFrame, cell_rows: int) -> DataFrame:
-    """Rows of mixed once for each cell that they are in: (gram, i, j) and the part of it. A list of up to cell_rows rows
-    is one cell, a longer one is cut into chunks of half as many."""
-    half = max(1, cell_rows // 2)
-    n_other = F.ceil((F.col("total") - F.col("n_main")) / half).cast("long")
-    n_main = F.ceil(F.col("n_main") / half).cast("long")
     zero = F.lit(0).cast("long")
     one = F.array(F.struct(zero.alias("i"), zero.alias("j"), F.lit(0).alias("part")))
-    cells = F.when(F.col("total") <= cell_rows, one).otherwise(main_and_others(n_other, n_main))
-    mixed = mixed.withColumn("other", F.col("component") != F.col("main"))
+    cells = F.when(F.col("total") <= cell_rows, one).when(other, F.concat(_halves(mine, n_other), to_main)).otherwise(to_other)
     return mixed.select("gram", "key", "size", "place", "component", F.explode(cells).alias("c")).select(
         "gram", "c.i", "c.j", "c.part", "key", "size", "place", "component"
     )
@@ -609,41 +606,40 @@ def multiplied(cells: DataFrame, percent: int) -> DataFrame:
 def block_products(groups: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, block_classes: int = BLOCK_CLASSES) -> DataFrame:
     """a, b of components that links join; groups has key, component and the candidate group of classes.
 
-    In the first wave each block of a group meets itself and the first one. What these links leave apart is cut anew in
-    the second: classes outside the group's largest component meet each other and the rest, which need not meet itself,
-    so that groups held together by links are copied a few times, not once for each block.
+    In the first wave each block of a group meets itself and the first one. In the second a class only goes to blocks that
+    hold a component other than its own after these links, so groups that links hold together are not copied once for each
+    of their blocks.
     """
-    grams = sets.select("key", F.size("grams").alias("n_grams"))
-
-    def blocks_for(rows: Column | str, n_grams: Column | str) -> Column:
-        return F.greatest(F.ceil(rows / block_classes), F.ceil(n_grams / BLOCK_GRAMS)).cast("long")
-
-    sized = scratch.table(groups.join(grams, "key"), "sized-groups")
-    n = sized.groupBy("candidate").agg(blocks_for(F.count("*"), F.sum("n_grams")).alias("n"))
+    sized = groups.join(sets.select("key", F.size("grams").alias("n_grams")), "key")
+    n = F.greatest(F.ceil(F.count("*") / block_classes), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("long")
+    blocks_of = sized.groupBy("candidate").agg(n.alias("n"))
     mine = F.pmod(F.xxhash64("key"), F.col("n"))
-    few = F.filter(_halves(mine, F.col("n")), lambda c: (c["i"] == c["j"]) | (c["i"] == 0))
-    cells = sized.join(n, "candidate").select("candidate", "component", "key", F.explode(few).alias("c"))
-    cells = cells.join(sets, "key").select("candidate", "c.i", "c.j", "c.part", "component", "grams")
-    first = scratch.table(multiplied(cells, percent), "first-wave")
+    dealt = scratch.table(sized.join(blocks_of, "candidate").select("candidate", "component", "key", "n", mine.alias("mine")), "dealt")
+
+    def cells(rows: DataFrame, others: Column) -> DataFrame:
+        """a, b of links in the cells of each row's block with the blocks that it names."""
+        near = rows.select("candidate", "component", "key", "mine", F.explode(others).alias("k")).select(
+            "candidate", "component", "key", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"),
+            F.when(F.col("mine") > F.col("k"), 1).otherwise(0).alias("part"),
+        )
+        return multiplied(near.join(sets, "key").drop("key"), percent)
+
+    every = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    first = scratch.table(cells(dealt, F.filter(every, lambda k: (k == 0) | (k == F.col("mine")) | (F.col("mine") == 0))), "first-wave")
     # only groups of three blocks or more have pairs of blocks left
-    large = sized.join(n.where("n > 2").select("candidate"), "candidate", "left_semi")
-    if large.isEmpty():
+    left = dealt.where("n > 2 AND mine > 0")
+    if left.isEmpty():
         return first
     above = connected_components(first, scratch).select(F.col("node").alias("component"), F.col("component").alias("above"))
-    apart = large.join(above, "component", "left").withColumn("component", F.coalesce("above", "component")).drop("above")
-    tally = apart.groupBy("candidate", "component").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g"))
-    total = tally.groupBy("candidate").agg(
-        F.max(F.struct("n", "component", "g")).alias("m"), F.sum("n").alias("rows"), F.sum("g").alias("grams"),
-        F.count("*").alias("parts"),
-    )
-    total = total.where("parts > 1").select(
-        "candidate", F.col("m.component").alias("main"), blocks_for(F.col("m.n"), F.col("m.g")).alias("n_main"),
-        blocks_for(F.col("rows") - F.col("m.n"), F.col("grams") - F.col("m.g")).alias("n_other"),
-    )
-    rows = apart.join(total, "candidate").withColumn("other", F.col("component") != F.col("main"))
-    rows = rows.select("candidate", "component", "key", F.explode(main_and_others(F.col("n_other"), F.col("n_main"))).alias("c"))
-    rows = rows.join(sets, "key").select("candidate", "c.i", "c.j", "c.part", "component", "grams")
-    return first.unionByName(multiplied(rows, percent))
+    left = left.join(above, "component", "left").withColumn("component", F.coalesce("above", "component")).drop("above")
+    held = left.groupBy("candidate", F.col("mine").alias("k")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    held = held.groupBy("candidate").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("held"))
+
+    def apart(b: Column) -> Column:
+        return (b["k"] != F.col("mine")) & ((b["lo"] != F.col("component")) | (b["hi"] != F.col("component")))
+
+    rest = left.join(held, "candidate")
+    return first.unionByName(cells(rest, F.transform(F.filter("held", apart), lambda b: b["k"])))
 
 
 # --------------------------------------------------------------------------------------------------- components
