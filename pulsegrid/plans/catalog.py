@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import model_queries, naming_queries, pairing_queries, sequence_queries, session_queries, signal_queries, summary_queries
+from . import model_queries, naming_queries, pairing_queries, scope_queries, sequence_queries, session_queries, signal_queries, summary_queries
 from .query import Query
 
 QUERIES: dict[str, Query] = {
@@ -13,4 +13,5 @@ QUERIES: dict[str, Query] = {
     **signal_queries.QUERIES,
     **session_queries.QUERIES,
     **naming_queries.QUERIES,
+    **scope_queries.QUERIES,
 }

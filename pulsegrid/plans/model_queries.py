@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parsing, words
-from ..operators import models, resampling
+from ..operators import models, resampling, sorting
 from ..operators import regression as reg
 from ..operators import waveforms as wave
 from .bindings import HOUR, SIGNAL, TRIALS, load, markers, signal, trials
@@ -124,23 +124,59 @@ POINTS = SPIKES + """, pt AS (SELECT vec_id, class, k - 1 AS place, w[k] AS y FR
 , tm AS (SELECT class, place, avg(y) AS m, var_pop(y) AS v FROM pt GROUP BY class, place)
 , tp AS (SELECT class, list(m ORDER BY place) AS centre, sqrt(sum(v)) AS radius FROM tm GROUP BY class)"""
 
-# wavelet coefficients over pairs and fours: approximation, coarse details, fine details
-HAAR = SPIKES + """, a1 AS (
-  SELECT vec_id, (k - 1) AS i, (w[2 * k - 1] + w[2 * k]) * 0.7071067811865476 AS a, (w[2 * k - 1] - w[2 * k]) * 0.7071067811865476 AS d, len(w) // 2 AS n
-  FROM (SELECT vec_id, w, unnest(range(1, len(w) // 2 + 1)) AS k FROM sp)
-), a2 AS (
+def folded(s, d):
+    """Waveforms of four points, the sums of every fourth one."""
+    sums = [sum(F.element_at("w", 4 * j + k + 1) for j in range(16)) for k in range(4)]
+    return spikes(s, d).select("vec_id", "class", F.array(*sums).alias("w"))
+
+
+FOLDED = SPIKES + ", fd AS (SELECT vec_id, class, [" + ", ".join("+".join(f"w[{4 * j + k + 1}]" for j in range(16)) for k in range(4)) + "] AS f FROM sp)"
+
+
+def temperature_tree(s, d):
+    """Trials as spikes whose cluster depends on the step, and the sizes of these clusters."""
+    t = trials(s, d).select(F.concat_ws("-", "run_id", "event_number", "part").alias("id"), "response", "contact", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("step"))
+    members = t.withColumn("cluster", F.when(F.col("response") > 8 * F.col("step"), 1).otherwise(2 + F.col("contact") % F.greatest("step", F.lit(1))).cast("int"))
+    tree = members.groupBy("step", "cluster").agg(F.count("*").alias("size"))
+    every = tree.select("step").distinct().crossJoin(F.broadcast(tree.select("cluster").distinct()))  # steps times clusters
+    return every.join(tree, ["step", "cluster"], "left").withColumn("size", F.coalesce("size", F.lit(0))), members.select("step", "cluster", "id")
+
+
+#: Levels of the wavelet transform.
+LEVELS = 4
+
+
+def _haar() -> str:
+    """Wavelet coefficients: the last approximation, then details from coarse to fine."""
+    out = SPIKES + ", a0 AS (SELECT vec_id, k - 1 AS i, w[k] AS a, len(w) AS n FROM (SELECT vec_id, w, unnest(range(1, len(w) + 1)) AS k FROM sp))"
+    for lev in range(LEVELS):
+        out += f""", a{lev + 1} AS (
   SELECT x.vec_id, x.i // 2 AS i, (x.a + y.a) * 0.7071067811865476 AS a, (x.a - y.a) * 0.7071067811865476 AS d, x.n // 2 AS n
-  FROM a1 x JOIN a1 y ON y.vec_id = x.vec_id AND y.i = x.i + 1 WHERE x.i % 2 = 0
-), co AS (
-  SELECT vec_id, i AS place, a AS y FROM a2 UNION ALL SELECT vec_id, n + i, d FROM a2 UNION ALL SELECT vec_id, n + i, d FROM a1
-)"""
-SCORES = HAAR + """, k1 AS (SELECT *, avg(y) OVER (PARTITION BY place) AS m, stddev_samp(y) OVER (PARTITION BY place) AS s FROM co
+  FROM a{lev} x JOIN a{lev} y ON y.vec_id = x.vec_id AND y.i = x.i + 1 WHERE x.i % 2 = 0)"""
+    details = "".join(f" UNION ALL SELECT vec_id, n + i, d FROM a{lev}" for lev in range(LEVELS, 0, -1))
+    return out + f", co AS (SELECT vec_id, i AS place, a AS y FROM a{LEVELS}{details})"
+
+
+def _normal(z: str) -> str:
+    acc = "1"
+    for k in range(wave.NORMAL_TERMS, 0, -1):
+        acc = f"(1 + {z} * {z} / {2 * k + 1}.0 * {acc})"
+    return f"(0.5 + {z} * {acc} * exp(-{z} * {z} / 2) / sqrt(2 * pi()))"
+
+
+HAAR = _haar()
+SCORES = HAAR + f""", k1 AS (SELECT *, avg(y) OVER (PARTITION BY place) AS m, stddev_samp(y) OVER (PARTITION BY place) AS s FROM co
 ), k2 AS (SELECT vec_id, place, y, avg(y) OVER (PARTITION BY place) AS m, stddev_samp(y) OVER (PARTITION BY place) AS s FROM k1 WHERE abs(y - m) < 3 * s
 ), k3 AS (
   SELECT place, (y - m) / s AS z, cume_dist() OVER (PARTITION BY place ORDER BY y) AS up,
          (rank() OVER (PARTITION BY place ORDER BY y) - 1) / count(*) OVER (PARTITION BY place) AS lo FROM k2 WHERE s > 0
-), k4 AS (SELECT *, 1 / (1 + exp(-(1.5976 * z + 0.07056 * z * z * z))) AS nd FROM k3
-), ks AS (SELECT place, max(greatest(abs(up - nd), abs(lo - nd))) AS score, count(*) AS n FROM k4 GROUP BY place)"""
+), k4 AS (SELECT *, {_normal("z")} AS nd FROM k3)
+, ks AS (SELECT place, CASE WHEN count(*) > 10 THEN max(greatest(abs(up - nd), abs(lo - nd))) ELSE 0 END AS score, count(*) AS n FROM k4 GROUP BY place)"""
+
+
+def scores(s, d):
+    return wave.spread_score(wave.haar_features(spikes(s, d), "vec_id", "w", LEVELS), "place", "y", 3.0)
+
 
 QUERIES = {
     "ols_fits": Query(
@@ -274,17 +310,44 @@ SELECT i, ua AS current_ua, w & 8192 <> 0 AS settle, w & 16384 <> 0 AS recovery,
 SELECT vec_id, round(dist, 6) AS distance, CASE WHEN dist <= radius THEN class ELSE 0 END AS class FROM b""",
     ),
     "haar_coefficients": Query(
-        lambda s, d: six(wave.haar_features(spikes(s, d), "vec_id", "w", 2)),
-        f"WITH {HAAR} SELECT vec_id, CAST(place AS INT) AS place, round(y, 6) AS y FROM co",
+        lambda s, d: six(wave.haar_features(spikes(s, d), "vec_id", "w", LEVELS)),
+        f"WITH {HAAR} SELECT vec_id, CAST(place AS INT) AS place, round(y, 6) + 0.0 AS y FROM co",
     ),
     "feature_scores": Query(
-        lambda s, d: six(wave.spread_score(wave.haar_features(spikes(s, d), "vec_id", "w", 2), "place", "y", 3.0)),
+        lambda s, d: six(scores(s, d)),
         f"WITH {SCORES} SELECT CAST(place AS INT) AS place, round(score, 6) AS score, n FROM ks",
     ),
     "top_features": Query(
-        lambda s, d: six(wave.top_features(wave.spread_score(wave.haar_features(spikes(s, d), "vec_id", "w", 2), "place", "y", 3.0), "place", 10)),
+        lambda s, d: six(wave.top_features(scores(s, d), "place", 10)),
         f"WITH {SCORES} SELECT CAST(place AS INT) AS place, round(score, 6) AS score, n FROM ks ORDER BY ks.score DESC, place LIMIT 10",
     ),
+    "knee_features": Query(
+        lambda s, d: six(wave.knee_features(scores(s, d), "place", 48, 5)),
+        f"""WITH {SCORES}, tp AS (SELECT *, row_number() OVER (ORDER BY score DESC, place DESC) AS from_top FROM ks QUALIFY from_top <= 48
+), rs AS (SELECT *, row_number() OVER w AS i, count(*) OVER () AS nn, max(score) OVER () AS mx, lead(score, 9) OVER w AS ahead FROM tp WINDOW w AS (ORDER BY score, place)
+), st AS (SELECT i, lead(i, 1) OVER w AS i1, lead(i, 2) OVER w AS i2, lead(i, 3) OVER w AS i3 FROM rs WHERE (ahead - score) / mx * nn / 10.0 >= 1 WINDOW w AS (ORDER BY i)
+), kn AS (SELECT min(i) AS knee FROM st WHERE i3 - i = 3 OR (i3 IS NULL AND i2 - i1 = 1)
+), nf AS (SELECT greatest(5, least(48, coalesce(48 - (knee + 5) + 1, 5))) AS n_features FROM kn)
+SELECT CAST(place AS INT) AS place, round(score, 6) AS score, CAST(from_top AS INT) AS from_top, n_features FROM tp, nf WHERE from_top <= n_features""",
+    ),
+    "principal_components": Query(
+        lambda s, d: sorting.principal_components(spikes(s, d), "w", "vec_id", 3).agg(
+            F.count("*").alias("n"), *[(F.abs(F.avg(F.col("scores")[k])) < 1e-6).alias(f"centred_{k}") for k in range(3)],
+            (F.abs(F.corr(F.col("scores")[0], F.col("scores")[1])) < 1e-6).alias("uncorrelated"),
+            (F.var_pop(F.col("scores")[0]) >= F.var_pop(F.col("scores")[1])).alias("falling")),
+        "SELECT count(*) AS n, true AS centred_0, true AS centred_1, true AS centred_2, true AS uncorrelated, true AS falling FROM embeddings WHERE embedding IS NOT NULL",
+    ),
+    "force_by_likelihood": Query(lambda s, d: six(sorting.force_by_shape(folded(s, d), folded(s, d), "class", "w", "vec_id", "likelihood"))),
+    "force_by_mahalanobis": Query(lambda s, d: six(sorting.force_by_shape(folded(s, d), folded(s, d), "class", "w", "vec_id", "mahalanobis", 1.0))),
+    "force_by_neighbours": Query(
+        lambda s, d: sorting.force_by_neighbours(folded(s, d), folded(s, d), "class", "w", "vec_id", 5, 3, 1.0),
+        f"""WITH {FOLDED}, mo AS (SELECT sqrt(sum(v)) AS reach FROM (SELECT var_pop(f[k]) AS v FROM fd, range(1, 5) AS r(k) GROUP BY k)
+), dd AS (SELECT a.vec_id, b.class, sqrt(list_sum(list_transform(list_zip(a.f, b.f), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS dist FROM fd a, fd b
+), nn AS (SELECT * FROM dd, mo WHERE dist < reach QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, class) <= 5
+), vo AS (SELECT vec_id, class, count(*) AS n FROM nn GROUP BY vec_id, class), be AS (SELECT vec_id, max(n) AS n, arg_max(class, (n, -class)) AS c FROM vo GROUP BY vec_id)
+SELECT fd.vec_id, coalesce(n, 0) AS votes, CASE WHEN coalesce(n, 0) >= 3 THEN c ELSE 0 END AS class FROM fd LEFT JOIN be USING (vec_id)""",
+    ),
+    "chosen_clusters": Query(lambda s, d: wave.chosen_clusters(*temperature_tree(s, d), 30, 0.7, 0.2)),
     "temperature_pick": Query(
         lambda s, d: wave.pick_temperature(
             trials(s, d).groupBy((F.col("contact") % 12).alias("cluster"), F.col("event_number").alias("step")).agg(F.count("*").alias("size")), "step", 20),

@@ -66,15 +66,6 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.trim("run_id").alias("run_id"), F.trim("block").alias("block"), F.coalesce(include, F.lit(True)).alias("include"))
 
 
-def scope_capture(spark: SparkSession, path: str, lo: float, hi: float) -> DataFrame:
-    """file, epoch_s, lead, ch2, ch3 of ASCII captures within lo <= epoch_s < hi; lines that are not four numbers go."""
-    parts = F.split(F.trim("value"), r"[\s,]+")
-    raw = spark.read.text(path).select(F.input_file_name().alias("file"), parts.alias("p")).where(F.size("p") == 4)
-    cast = [F.expr(f"try_cast(p[{i}] as double)") for i in range(4)]
-    out = raw.select("file", *[c.alias(n) for c, n in zip(cast, ("epoch_s", "lead", "ch2", "ch3"))])
-    return out.where((F.col("epoch_s") >= lo) & (F.col("epoch_s") < hi) & F.col("lead").isNotNull())
-
-
 def onset(spark: SparkSession, path: str) -> DataFrame:
     """file, onset_s: the first pulse_onset_epoch_s= of key=value files."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")

@@ -108,8 +108,8 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "m.csv").write_text("run_id,block\nrun1,block2\n")
     assert text.manifest(spark, str(tmp_path / "m.csv")).first() == ("run1", "block2", True)
     (tmp_path / "cap.txt").write_text("epoch a b c\n10.0 1 2 3\n11.0 4 5 6\n12.0 7 8 9\nbad line\n")
-    got = text.scope_capture(spark, str(tmp_path / "cap.txt"), 10.5, 12.0).collect()
-    assert [(g.epoch_s, g.lead) for g in got] == [(11.0, 4.0)]
+    got = captures.scope_capture(spark, str(tmp_path / "cap.txt"), 10.5, 12.0).collect()
+    assert [(g.epoch_s, g.lead) for g in got] == [(11.0, 6.0)]
     (tmp_path / "onset.txt").write_text("a=1\npulse_onset_epoch_s=123.5\npulse_onset_epoch_s=9\n")
     assert text.onset(spark, str(tmp_path / "onset.txt")).first().onset_s == 123.5
 
