@@ -341,8 +341,16 @@ def sides(left: str, right: str) -> list:
     ]
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, keys_of: Keys) -> DataFrame:
-    """key, grams of the classes (key, hash of the text of one member) that keys names."""
+#: Values of the table that tells which texts may be wanted; its rows are what is broadcast at most.
+MEMBER_BITS = 1 << 20
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, keys_of: Keys, scratch: Scratch) -> DataFrame:
+    """key, grams of the classes (key, hash of the text of one member) that keys names.
+
+    Texts whose hash, cut to MEMBER_BITS values, is none of the wanted ones' are not shuffled. The table of these values is
+    broadcast; it has MEMBER_BITS rows at most, however many texts there are.
+    """
     schema = pa.schema([("key", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +359,10 @@ def sets_of(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, keys_o
                 sets = list(gram_sets(batch.column("text").slice(lo, 500), n))
                 yield _batch(schema, [keys_of.of(x) for x in sets], [x.view(np.int64) for x in sets])
 
-    wanted = classes.join(keys.distinct(), "key", "left_semi").select("member").distinct()
-    return docs.join(wanted, "member", "left_semi").mapInArrow(look, "key long, grams array<long>").dropDuplicates(["key"])
+    wanted = scratch.table(classes.join(keys.distinct(), "key", "left_semi").select("member").distinct(), "wanted")
+    bit = F.pmod("member", F.lit(MEMBER_BITS)).alias("bit")
+    may_be = docs.select("*", bit).join(F.broadcast(wanted.select(bit).distinct()), "bit", "left_semi").drop("bit")
+    return may_be.join(wanted, "member", "left_semi").mapInArrow(look, "key long, grams array<long>").dropDuplicates(["key"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -670,7 +680,7 @@ def class_components(
     star = bounded_pairs(star, percent).groupBy("key").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p"))
     tried = scratch.table(star.select("p.a", "p.b").distinct(), "pairs", files)
     keys = tried.select(F.col("a").alias("key")).unionByName(tried.select(F.col("b").alias("key")))
-    sets = scratch.table(sets_of(docs, classes, keys, n, keys_of), "gram-sets")
+    sets = scratch.table(sets_of(docs, classes, keys, n, keys_of, scratch), "gram-sets")
     found = connected_components(verified(tried, sets, percent), scratch)
     # classes of different components that share a list
     mixed = placed_lists(lists, found, scratch, files)
@@ -680,7 +690,7 @@ def class_components(
     groups = connected_components(near, scratch).select(F.col("node").alias("key"), F.col("component").alias("candidate"))
     groups = groups.join(found.withColumnRenamed("node", "key"), "key", "left")
     groups = scratch.table(groups.withColumn("component", F.coalesce("component", "key")), "groups", files)
-    sets = scratch.table(sets_of(docs, classes, groups.select("key"), n, keys_of), "gram-sets")
+    sets = scratch.table(sets_of(docs, classes, groups.select("key"), n, keys_of, scratch), "gram-sets")
     return found, connected_components(block_products(groups, sets, percent, scratch), scratch)
 
 
