@@ -399,8 +399,8 @@ def least_squares(residual, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, s
     return p, cost
 
 
-def exponential_tail(t_ms: np.ndarray, y: np.ndarray, decimate: int = 10) -> dict | None:
-    """A exp(-t / tau) + c over a decay, fitted softly; None with fewer than 30 points."""
+def exponential_tail(t_ms: np.ndarray, y: np.ndarray, decimate: int = 10, taus: tuple[float, float] = (2.0, 5000.0)) -> dict | None:
+    """A exp(-t / tau) + c over a decay, fitted softly with tau within limits; None with fewer than 30 points."""
     t, y = np.asarray(t_ms, float)[::decimate], np.asarray(y, float)[::decimate]
     if len(t) < 30:
         return None
@@ -412,7 +412,7 @@ def exponential_tail(t_ms: np.ndarray, y: np.ndarray, decimate: int = 10) -> dic
 
     best = None
     for tau in (span / 20, span / 5, span):
-        lo, hi = np.array([-20, np.log(span / 1000), -20.0]), np.array([20, np.log(20 * span), 20.0])
+        lo, hi = np.array([-20, np.log(taus[0]), -20.0]), np.array([20, np.log(taus[1]), 20.0])
         got = least_squares(lambda p: 20 * (model(p) - y) / scale, np.array([(y[0] - y[-1]) / scale, np.log(tau), y[-1] / scale]), lo, hi, soft=True)
         if best is None or got[1] < best[1]:
             best = got

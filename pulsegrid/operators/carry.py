@@ -50,36 +50,41 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
         yield held.combine_chunks(), [0, held.num_rows]
 
 
-def following(times: np.ndarray, least: float) -> np.ndarray:
-    """For each row the first one that comes at least `least` later; the number of rows where there is none."""
-    return np.searchsorted(times, times + least, "left")
+def following(times: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """For each row the first one at or behind the end of its dead time; the number of rows where there is none."""
+    return np.maximum(np.searchsorted(times, until, "left"), np.arange(len(times)) + 1)
 
 
-def ways_through(times: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def ways_through(times: np.ndarray, until: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
     """How dead time leaves a segment: (t, out) such that with dead time until b the first t at or behind b tells its out;
-    where there is none, b itself leaves. An earlier row's dead time ends at most `least` behind the first row."""
+    where there is none, b itself leaves. An earlier row's dead time ends at most `most` behind the first row."""
     n = len(times)
-    end = np.where((hop := following(times, least)) < n, hop, np.arange(n))
+    end = np.where((hop := following(times, until)) < n, hop, np.arange(n))
     while not np.array_equal(further := end[end], end):
         end = further
-    some = min(n, int(np.searchsorted(times, times[0] + least, "left")) + 1)
-    out = times[end[:some]] + least
+    some = min(n, int(np.searchsorted(times, times[0] + most, "left")) + 1)
+    out = until[end[:some]]
     last = np.append(np.flatnonzero(out[1:] != out[:-1]), some - 1)
     return times[last], out[last]
 
 
 def refractory(
-    df: DataFrame, keys: list[str], t: str, tie: str, least: int | float, segment: int | float | None = None
+    df: DataFrame, keys: list[str], t: str, tie: str, least: int | float, segment: int | float | None = None, until: str | None = None
 ) -> DataFrame:
-    """keys, t, tie of the rows kept greedily: each at least `least` after the last kept one of its channel.
+    """keys, t, tie (and until) of the rows kept greedily: each at least `least` after the last kept one of its channel.
 
+    until: a column with the end of a row's own dead time instead, not before its time and at most `least` behind it.
     segment: the time that a segment spans, at least `least`. Rows without a time are left out; equal times go by tie;
     null keys are a channel of their own.
     """
     span = segment or SEGMENT_DEAD_TIMES * least
     if span < least:
         raise ValueError("a segment spans at least one dead time")
-    names, part = [*keys, t, tie], [*keys, "__part"]
+    names, part = [*keys, t, tie, *([until] if until else [])], [*keys, "__part"]
+
+    def ends(table: pa.Table) -> np.ndarray:
+        return table.column(until).to_numpy() if until else table.column(t).to_numpy() + least
+
     kind = df.schema[t].dataType.simpleString()
     rows = df.select(*names).where(F.col(t).isNotNull()).withColumn("__part", F.floor(F.col(t) / F.lit(span)).cast("long"))
     placed = rows.repartition(*part)
@@ -87,8 +92,8 @@ def refractory(
 
     def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in sorted_groups(batches, part):
-            times = table.column(t).to_numpy()
-            found = [ways_through(times[a:b], least) for a, b in zip(cuts, cuts[1:])]
+            times, dead = table.column(t).to_numpy(), ends(table)
+            found = [ways_through(times[a:b], dead[a:b], least) for a, b in zip(cuts, cuts[1:])]
             first = table.select(part).take(pa.array(cuts[:-1])).combine_chunks()
             for i, name in enumerate(("__t", "__out")):
                 first = first.append_column(name, pa.array([f[i].tolist() for f in found], pa.list_(table.schema.field(t).type)))
@@ -109,11 +114,11 @@ def refractory(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in sorted_groups(batches, part):
-            times, dead = table.column(t).to_numpy(), table.column("__dead").to_pylist()
+            times, dead, own_end = table.column(t).to_numpy(), table.column("__dead").to_pylist(), ends(table)
             kept = []
             for a, b in zip(cuts, cuts[1:]):
                 own = times[a:b]
-                hop = following(own, least).tolist()
+                hop = following(own, own_end[a:b]).tolist()
                 i = 0 if dead[a] is None else int(np.searchsorted(own, dead[a], "left"))
                 while i < b - a:
                     kept.append(a + i)

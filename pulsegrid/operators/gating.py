@@ -173,6 +173,19 @@ def validation(runs: DataFrame) -> DataFrame:
     )
 
 
+def with_rails(checked: DataFrame, rails: DataFrame) -> DataFrame:
+    """checked (as from `validation`) with rail_percent (the largest of the run's channels, 0 without any), n_railed, and
+    flat:NAME for every constant channel in warnings. rails: run_id, channel, percent, railed, flat, as from `rails`."""
+    per = rails.groupBy("run_id").agg(
+        F.max("percent").alias("rail_percent"), F.count_if("railed").alias("n_railed"),
+        F.array_sort(F.collect_list(F.when(F.col("flat"), F.concat(F.lit("flat:"), F.col("channel").cast("string"))))).alias("__flat"),
+    )
+    told = F.concat_ws("|", F.when(F.col("warnings") != "", F.col("warnings")), F.array_join("__flat", "|"))
+    told = F.when(F.size("__flat") > 0, told).otherwise(F.col("warnings"))
+    joined = checked.join(per, "run_id", "left").withColumn("warnings", told).drop("__flat")
+    return joined.fillna({"rail_percent": 0.0, "n_railed": 0})
+
+
 def paired_pulses() -> Column:
     """Runs of pulse pairs: commanded as such within 200 ms, or found less than 200 ms apart."""
     told = F.coalesce((F.col("pulses_per_trigger") <= 2) & (F.col("train_period_ms") <= 200), F.lit(False))

@@ -1,4 +1,4 @@
-"""Array work on epochs and channels: filtering, band power, recovery and spikes by grouped functions.
+"""Array work on epochs and channels: filtering, band power and recovery by grouped functions.
 
 Epochs are gathered from the blocks that they need. Whole-channel work goes by segments of a set number of blocks, so no
 group grows with the length of a recording. Each kernel is a small function of arrays, see functions.dsp.
@@ -132,37 +132,6 @@ def event_recovery(
     return per_row(epochs(blocks, events, at(baseline_ms[0]), at(span_ms), 0, block_size), kernel, RECOVERY)
 
 
-SPIKES = "run_id string, channel string, segment long, spike_no long, sample_index long, waveform array<double>"
-
-
-def detect_spikes(arrays: DataFrame, rate_hz: float, before: int, after: int, clear: int, factor: float = 4.0) -> DataFrame:
-    """Negative spikes below factor * median(|x|) / 0.6745 of the 250-6000 Hz band (up to 0.45 of the rate).
-
-    A crossing is moved down to its minimum; a spike counts when it comes at least after + clear samples behind the
-    last one kept and its waveform lies within the segment; sample_index counts from the segment's start.
-    """
-
-    def kernel(row: pd.Series) -> pd.DataFrame:
-        x = np.asarray(row["x"], float)
-        names = ["run_id", "channel", "segment", "spike_no", "sample_index", "waveform"]
-        try:
-            y = dsp.sosfiltfilt(dsp.butter_sos(1, 250.0, min(6000.0, 0.45 * rate_hz), rate_hz), x)
-        except ValueError:
-            return pd.DataFrame(columns=names)
-        limit = -factor * np.median(np.abs(y)) / 0.6745
-        out, last = [], -(10**9)
-        for i in np.flatnonzero((y[1:] < limit) & (y[:-1] >= limit)) + 1:
-            low = int(i)
-            while low + 1 < len(y) and y[low + 1] < y[low]:
-                low += 1
-            if low - last >= after + clear and low - before >= 0 and low + after < len(y):
-                out.append((row["run_id"], row["channel"], row["segment"], len(out), low, y[low - before : low + after + 1].tolist()))
-                last = low
-        return pd.DataFrame(out, columns=names)
-
-    return per_row(arrays, kernel, SPIKES)
-
-
 def spectra(arrays: DataFrame, rate_hz: float, nperseg: int, bands: dict[str, tuple[float, float]], comb_hz: float | None = None) -> DataFrame:
     """run_id, channel, segment, band, power_uv2 from Welch spectra: a band's power, or with a comb the mean density of its
     bins that are not near a harmonic."""

@@ -30,11 +30,14 @@ def settle_time(x: np.ndarray, limit: float, quiet: int, rate_hz: float) -> floa
 
 
 def tail_fits(
-    blocks: DataFrame, events: DataFrame, rate_hz: float, rail_uv: float, baseline_ms: tuple[float, float] = (-500.0, -50.0), end_ms: float = 800.0,
-    start_ms: float = 2.0, quiet_ms: float = 20.0, k: float = 3.0, floor_uv: float = 100.0, least_r2: float = 0.9, block_size: int = 128,
+    blocks: DataFrame, events: DataFrame, rate_hz: float, rails: DataFrame, baseline_ms: tuple[float, float] = (-500.0, -50.0), end_ms: float = 800.0,
+    start_ms: float = 2.0, quiet_ms: float = 20.0, k: float = 3.0, floor_uv: float = 100.0, least_r2: float = 0.9, tolerance_uv: float = 2.0,
+    block_size: int = 128,
 ) -> DataFrame:
-    """Per pulse: when the rail is left (the last sample at rail_uv; the largest one where there is none), the exponential
-    fitted from start_ms behind that, its sign against the excursion's, and recovery before and after it is subtracted.
+    """Per pulse: when the rail is left (the last sample at one of its channel's rails; the largest one where there is none),
+    the exponential fitted from start_ms behind that, its sign against the excursion's, and recovery before and after it is
+    subtracted. rails: run_id, channel, pos_level, neg_level, as from gating.rails; a side without a rail is null, and
+    samples within tolerance_uv of a level are on it.
     """
     at = lambda ms: dsp.half_even(ms * rate_hz / 1000)
     lo, names, quiet = at(baseline_ms[0]), [c.split()[0] for c in TAILS.split(", ")], max(1, at(quiet_ms))
@@ -43,7 +46,11 @@ def tail_fits(
         raw, zero = np.asarray(row["x"], float), int(row["zero"])
         base = raw[: zero + at(baseline_ms[1])]
         x, limit = raw[zero:] - base.mean(), max(k * float(base.std(ddof=1)), floor_uv)
-        at_rail = np.flatnonzero(np.abs(raw[zero + 1 :]) >= rail_uv) + 1
+        on = np.zeros(len(raw) - zero - 1, bool)
+        for level, sign in ((row["pos_level"], 1), (row["neg_level"], -1)):
+            if level is not None and level == level:
+                on |= sign * raw[zero + 1 :] >= sign * level - tolerance_uv
+        at_rail = np.flatnonzero(on) + 1
         leave = int(at_rail[-1]) if len(at_rail) else 1 + int(np.argmax(np.abs(x[1:])))
         first = leave + at(start_ms)
         t = np.arange(len(x)) / rate_hz * 1000
@@ -59,7 +66,8 @@ def tail_fits(
         sign = int(np.sign(fit["amplitude"]) * np.sign(x[leave]))
         return pd.DataFrame([(*out, fit["amplitude"], fit["tau_ms"], fit["offset"], fit["r2"], sign, ok, before, settle_time(y, limit, quiet, rate_hz))], columns=names)
 
-    return per_row(epochs(blocks, events, lo, at(end_ms), 0, block_size), kernel, TAILS)
+    cut = epochs(blocks, events, lo, at(end_ms), 0, block_size)
+    return per_row(cut.join(rails.select("run_id", "channel", "pos_level", "neg_level"), ["run_id", "channel"], "left"), kernel, TAILS)
 
 
 def without_highpass(blocks: DataFrame, k: int, full_scale_uv: float | None = None) -> DataFrame:

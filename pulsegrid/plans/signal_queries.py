@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import evoked, resampling, tails
+from ..operators import evoked, gating, resampling, spikes, tails
 from ..operators import signals as sig
 from .bindings import DAY, HOUR, SIGNAL, TRIALS, signal, trials
 from .query import Query
@@ -31,6 +31,17 @@ def blocks(s, d):
     return per.select("run_id", F.lit("value").alias("channel"), "block_no", F.transform("v", lambda r: r["value"]).alias("samples"))
 
 
+#: Spikes of channels of some dozens of samples.
+SPIKES = spikes.Detection(1000.0, (100.0, 400.0), (100.0, 400.0), 1, 2, 3, 4, 1.0, 50.0)
+
+
+def trodes(s, d):
+    """Channels as polytrodes of four: four neighbouring channels are a run."""
+    own = blocks(s, d).select("run_id", "block_no", "samples")
+    number = F.col("run_id").cast("long")
+    return own.select(F.floor(number / 4).cast("string").alias("run_id"), (number % 4).cast("string").alias("channel"), "block_no", "samples")
+
+
 def onsets(s, d):
     """The markers of each run as pulses."""
     m = numbered(s, d).where("kind = 'error'")
@@ -130,7 +141,9 @@ WHERE stop - "start" >= 3 GROUP BY sq.run_id, source, "start", stop""",
         "run_id", F.col("onset_sample").alias("train_start"), (F.col("onset_sample") + 1).alias("train_stop")).groupBy("run_id").agg(F.percentile_approx("train_start", 0.5).alias("train_start"),
         (F.percentile_approx("train_start", 0.5) + 1).alias("train_stop")), RATE, 0.02, 0.33, BLOCK))),
     "pulse_train_recovery": Query(lambda s, d: six(evoked.recover_trains(blocks(s, d), RATE, evoked.Comb(5, 20.0, 0.1, 10.0, 0.05, 0.3), BLOCK).drop("onsets_s"))),
-    "tail_fits": Query(lambda s, d: six(tails.tail_fits(blocks(s, d), onsets(s, d), RATE, 95.0, (-50.0, 0.0), 400.0, 10.0, 30.0, block_size=BLOCK))),
+    "tail_fits": Query(lambda s, d: six(tails.tail_fits(
+        blocks(s, d), onsets(s, d), RATE, gating.rails(numbered(s, d), ["run_id"], ["idx"], "value", 12.0, 2, 99.0).withColumn("channel", F.lit("value")),
+        (-50.0, 0.0), 400.0, 10.0, 30.0, block_size=BLOCK))),
     "highpass_removed": Query(
         lambda s, d: six(tails.without_highpass(blocks(s, d), 4, 95.0).select("run_id", "block_no", F.posexplode("samples").alias("k", "x"))),
         f"""WITH {SAMPLES}, c AS (SELECT run_id, idx, value / (1 - 625e-4) AS y, coalesce(sum(CASE WHEN abs(value) >= 95 THEN 0e0 ELSE value END)
@@ -142,7 +155,10 @@ SELECT run_id, idx // {BLOCK} AS block_no, CAST(idx % {BLOCK} AS INT) AS k, roun
     ),
     "event_recovery_kernel": Query(lambda s, d: six(sig.event_recovery(blocks(s, d), onsets(s, d), RATE, (-50.0, 0.0), 100.0, 30.0, 2.0, 1.0, BLOCK))),
     "welch_band_power": Query(lambda s, d: six(sig.spectra(sig.channel_arrays(blocks(s, d)), RATE, 32, BANDS, 5.0))),
-    "spike_detection": Query(lambda s, d: sig.detect_spikes(sig.channel_arrays(blocks(s, d)), 1000.0, 2, 3, 1, 2.0).drop("waveform")),
+    "spike_detection": Query(lambda s, d: spikes.amplitude_spikes(blocks(s, d), SPIKES, 4, BLOCK).drop("wave")),
+    "polytrode_spikes": Query(lambda s, d: spikes.polytrode_spikes(
+        trodes(s, d), trodes(s, d).select("run_id", "channel").distinct().withColumn("polytrode", F.lit(1)), SPIKES, 2, 4, BLOCK).drop("waves")),
+    "noise_levels": Query(lambda s, d: six(spikes.noise_levels(spikes.filtered_segments(blocks(s, d), SPIKES, 4, BLOCK), SPIKES))),
     "bootstrap_medians": Query(
         lambda s, d: six(resampling.median_intervals(signal(s, d), ["channel", "kind"], "value", 200).select("channel", "kind", "n", "median", F.expr("lo <= median AND median <= hi").alias("around"))),
         f"WITH {SIGNAL} SELECT channel, kind, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, true AS around FROM s GROUP BY channel, kind HAVING count(value) > 0",

@@ -205,6 +205,22 @@ SELECT contact, band, win, round(greatest(1.0, quantile_cont(discount, 0.5),
         lambda s, d: six(gate.validation(runs(s, d)).select("run_id", "status", "n_commanded", "count_match", "compliance", "charge_nc", "warnings"), "charge_nc"),
         f"WITH {RUNS} SELECT run_id, status, n_commanded, count_match, compliance, round(charge_nc, 6) AS charge_nc, warnings FROM va",
     ),
+    "run_validation_rails": Query(
+        lambda s, d: six(gate.with_rails(gate.validation(runs(s, d)), gate.rails(
+            trials(s, d).withColumn("channel", F.col("band")), ["run_id", "channel"], ["event_number", "part"], "response", 5.0, 2, 50.0))
+            .select("run_id", "status", "rail_percent", "n_railed", "warnings")),
+        f"""WITH {TRIALS}, {RUNS}, w AS (SELECT run_id, band, response AS v, row_number() OVER (PARTITION BY run_id, band ORDER BY event_number, part) AS idx,
+       max(response) OVER (PARTITION BY run_id, band) AS top, min(response) OVER (PARTITION BY run_id, band) AS low FROM tr
+), u AS (SELECT run_id, band, idx, 'p' AS side FROM w WHERE v >= top - 5 UNION ALL SELECT run_id, band, idx, 'n' FROM w WHERE v <= low + 5
+), gi AS (SELECT *, idx - row_number() OVER (PARTITION BY run_id, band, side ORDER BY idx) AS island FROM u
+), le AS (SELECT run_id, band, side, island, count(*) AS len FROM gi GROUP BY ALL
+), ra AS (SELECT run_id, band, coalesce(sum(len) FILTER (WHERE len >= 2), 0) AS railed FROM le GROUP BY run_id, band
+), pc AS (SELECT w.run_id, w.band, 100.0 * any_value(railed) / count(*) AS pct, any_value(railed) > 0 AND any_value(top) <> any_value(low) AS is_railed, any_value(top) = any_value(low) AS flat
+          FROM w JOIN ra ON ra.run_id = w.run_id AND ra.band = w.band GROUP BY w.run_id, w.band
+), pr AS (SELECT run_id, max(pct) AS pct, count(*) FILTER (WHERE is_railed) AS n_railed, string_agg('flat:' || band, '|' ORDER BY band) FILTER (WHERE flat) AS flats FROM pc GROUP BY run_id)
+SELECT va.run_id, status, round(coalesce(pct, 0), 6) AS rail_percent, coalesce(n_railed, 0) AS n_railed,
+       CASE WHEN flats IS NULL THEN warnings WHEN warnings = '' THEN flats ELSE warnings || '|' || flats END AS warnings FROM va LEFT JOIN pr USING (run_id)""",
+    ),
     "block_assignment": Query(
         lambda s, d: gate.blocks(gate.validation(runs(s, d)), "session").select("session", "run_id", "block", "in_block1", "in_block2", "in_block3", "exclusion_reason", "included"),
         f"""WITH {BLOCKS}

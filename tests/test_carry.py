@@ -40,3 +40,16 @@ def test_dead_times_of_nothing_and_short_segments(spark):
     assert carry.refractory(df, ["channel"], "t", "id", 10).collect() == []
     with pytest.raises(ValueError):
         carry.refractory(df, ["channel"], "t", "id", 10, 9)
+
+
+@pytest.mark.parametrize("segment", [30, 77, None])
+def test_dead_times_of_their_own(spark, segment):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), t, k, t + rng.randint(0, 30)) for k, t in enumerate(rng.choices(range(-200, 800), k=600))]
+    df = spark.createDataFrame(rows, "channel string, t long, id long, until long")
+    want, dead = [], {}
+    for c, t, k, u in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        if t >= dead.get(c, t):
+            want.append((c, t, k, u))
+            dead[c] = u
+    assert sorted(tuple(r) for r in carry.refractory(df, ["channel"], "t", "id", 30, segment, "until").collect()) == sorted(want)

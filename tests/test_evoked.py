@@ -123,7 +123,14 @@ def test_tails_are_fitted_and_subtracted(spark):
     for o in onsets:
         x[o + 1 : o + 1900] += -20000 * np.exp(-t[1:1900] / 5) + 3000 * np.exp(-t[1:1900] / 150)
     x = np.clip(x, -6389, 6389)
-    fits = tails.tail_fits(blocks(spark, {"A": x}), events(spark, onsets), RATE, 6388.9, start_ms=40.0)
+    from pyspark.sql import functions as F
+
+    from pulsegrid.operators import gating
+
+    df = blocks(spark, {"A": x})
+    samples = df.select("run_id", "channel", "block_no", F.posexplode("samples").alias("k", "v"))
+    rails = gating.rails(samples, ["run_id", "channel"], ["block_no", "k"], "v", 2.0, 5, 6389.0)
+    fits = tails.tail_fits(df, events(spark, onsets), RATE, rails, start_ms=40.0)
     got = fits.toPandas()
     assert got.railed.all() and got.fit_ok.all() and (got.tail_sign == -1).all()
     assert np.allclose(got.tau_ms, 150, rtol=0.05) and (got.after_ms < 60).all() and (got.before_ms > 300).all()

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from pulsegrid.operators import signals as sig
+from pulsegrid.operators import spikes
 from pulsegrid.sources import acquisition as acq
 from pulsegrid.sources import writers
 
@@ -63,9 +64,10 @@ def test_spikes_are_found(spark):
     shape = -120 * np.exp(-((np.arange(-20, 21) / 5.0) ** 2))
     for k in at:
         x[k - 20 : k + 21] += shape
-    got = sig.detect_spikes(sig.channel_arrays(blocks(spark, {"A": x})), rate, 20, 40, 20, 6.0).toPandas()
-    near = [np.abs(got.sample_index - k).min() for k in at]
-    assert max(near) <= 3 and len(got) == len(at) and len(got.waveform[0]) == 61
+    c = spikes.Detection(rate, dead=60, least=6.0, factor=1)
+    got = spikes.amplitude_spikes(blocks(spark, {"A": x}), c).toPandas()
+    near = [np.abs(got.peak - k).min() for k in at]
+    assert max(near) <= 3 and len(got) == len(at) and len(got.wave[0]) == c.before + c.behind
 
 
 def test_from_file_to_band_power(spark, tmp_path):
