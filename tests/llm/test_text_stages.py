@@ -241,7 +241,7 @@ def test_ngram_join_of_keys_that_clash(table, awkward):
     assert rows_of(ngram_join.link_documents(table(rows), keys_of=narrow)) == sorted(components_by_hand(rows))
 
 
-def test_blocks_of_a_group_in_waves(spark):
+def test_blocks_of_a_group(spark, monkeypatch):
     """A group of many blocks: links inside the largest component, beyond it, and between small ones."""
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**62, 100)
@@ -261,8 +261,8 @@ def test_blocks_of_a_group_in_waves(spark):
             shared = len(set(sets[a]) & set(sets[b]))
             if 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
                 want.add((b, a))
-    scratch = ngram_join.Scratch(spark)
-    got = {tuple(sorted(r)) for r in ngram_join.block_products(groups, sets_df, 80, scratch, 5).collect()}
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 5)
+    got = {tuple(sorted(r)) for r in ngram_join.block_products(groups, sets_df, 80).collect()}
     parts = {n for _, n in least_reachable(want).items()}
     assert len(parts) > 1 and least_reachable(got) == least_reachable(want)
 
