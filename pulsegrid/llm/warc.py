@@ -93,10 +93,15 @@ def gzip_member(data: bytes, level: int = 3) -> bytes:
 def parse(data: bytes) -> dict:
     """Headers of a record (names in lower case) and its block."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = {}
+    fields: dict[str, str] = {}
+    last = ""
     for line in head.split(b"\r\n")[1:]:
+        if line[:1] in (b" ", b"\t") and last:  # a header that goes on
+            fields[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
         k, _, v = line.partition(b":")
-        fields[k.decode("latin-1").lower()] = v.strip().decode("utf-8", "replace")
+        last = k.decode("latin-1").strip().lower()
+        fields[last] = v.strip().decode("utf-8", "replace")
     return {"fields": fields, "block": rest[: int(fields["content-length"])]}
 
 
@@ -243,51 +248,78 @@ def members(path: str, start: int, end: int, strict: bool = True) -> Iterator[tu
 
 RECORDS = (
     "path string, offset long, page_id long, record_type string, url string, refers_to long, payload_digest string, "
-    "payload_bytes long, payload binary"
+    "payload_bytes long, payload binary, record_id string, date string, content_type string, refers_to_id string, "
+    "headers map<string,string>, digest_ok boolean"
 )
+RECORD_SCHEMA = pa.schema(
+    [("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()),
+     ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()),
+     ("record_id", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("refers_to_id", pa.string()),
+     ("headers", pa.map_(pa.string(), pa.string())), ("digest_ok", pa.bool_())]
+)
+
+
+def whole_number(text: str | None) -> int | None:
+    text = (text or "").strip()
+    return int(text) if text.removeprefix("-").isdigit() else None
+
+
+def fields_of(path: str, offset: int, data: bytes, payloads: bool) -> tuple:
+    """A row of RECORDS of one record, whoever wrote it."""
+    rec = parse(data)
+    f, block = rec["fields"], rec["block"]
+    kind = f.get("warc-type", "").lower()
+    http = f.get("content-type", "").lower().startswith("application/http") or kind in ("response", "revisit")
+    head, _, body = block.partition(b"\r\n\r\n") if http and block[:5].upper() == b"HTTP/" or kind == "request" else (b"", b"", block)
+    digest = f.get("warc-payload-digest")
+    sha1 = digest.partition(":")[2] if digest and digest.lower().startswith("sha1:") else None
+    payload, length, right = (None, None, None) if kind == "revisit" else (body, len(body), None)
+    if kind == "revisit":
+        told = [x.partition(b":")[2] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        length = whole_number(told[0].decode("latin-1")) if told else None
+    elif sha1:
+        right = base32_sha1(body) == sha1.upper()
+        if not right and "x-page-id" in f:
+            raise ValueError(f"{path} at {offset}: payload and digest differ")
+    return (
+        path, offset, whole_number(f.get("x-page-id")), kind, f["warc-target-uri"].removeprefix("<").removesuffix(">") if "warc-target-uri" in f else None,
+        whole_number(f.get("x-refers-to-page-id")), sha1 or digest, length, payload if payloads else None, f.get("warc-record-id"), f.get("warc-date"),
+        f.get("content-type"), f.get("warc-refers-to"), list(f.items()), right,
+    )
 
 
 def read_archives(
     archives: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True, strict: bool = True
 ) -> DataFrame:
-    """The records of archives (path, bytes), whichever ranges they are cut into; digests of responses are verified."""
+    """The records of archives (path, bytes), whichever ranges they are cut into and whoever wrote them.
+
+    record_type: in lower case, of any kind (warcinfo, request, metadata, ...). page_id and refers_to are what this module's
+    archives tell in headers of their own, null in others'; refers_to_id is the standard header. payload: the body behind
+    the HTTP head of responses and requests, null for revisits, the whole block of others; payload_bytes its length, for
+    revisits the one that their HTTP head tells. payload_digest: bare for SHA-1, with its name otherwise, null where it is
+    not told; digest_ok whether a SHA-1 one is that of the payload (in this module's own archives a wrong one is an error).
+    headers: all of them, names in lower case.
+    """
     ranges = archives.select(
         "path",
         F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("bytes", F.lit(1)) - 1, F.lit(split_bytes).cast("long"))).alias("start"),
     )
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), RECORD_SCHEMA)], schema=RECORD_SCHEMA)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()),
-             ("url", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()),
-             ("payload_bytes", pa.int64()), ("payload", pa.binary())]
-        )
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows, held = [], 0
                 for offset, data in members(path, start, start + split_bytes, strict):
-                    rec = parse(data)
-                    f, http = rec["fields"], rec["block"].partition(b"\r\n\r\n")
-                    kind, digest, payload = f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:"), None
-                    if kind == "response":
-                        payload = http[2]
-                        if base32_sha1(payload) != digest:
-                            raise ValueError(f"{path} at {offset}: payload and digest differ")
-                        length = len(payload)
-                    else:
-                        low = http[0].lower()
-                        length = int(low.partition(b"content-length:")[2].split(b"\r\n")[0])
-                    refers = f.get("x-refers-to-page-id")
-                    rows.append(
-                        (path, offset, int(f["x-page-id"]) if f["x-page-id"] else None, kind, f["warc-target-uri"], int(refers) if refers else None,
-                         digest, length, payload if payloads else None)
-                    )
-                    held += len(payload or b"")
+                    rows.append(fields_of(path, offset, data, payloads))
+                    held += len(rows[-1][8] or b"")
                     if len(rows) >= 2000 or held > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                        yield batch_of(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                    yield batch_of(rows)
 
     # a range is much work but a short row: one task each, which partitions of a set number are
     spread = ranges.repartition(max(1, ranges.count()))

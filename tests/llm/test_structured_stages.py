@@ -353,3 +353,36 @@ def test_the_closest_is_kept_where_products_round(monkeypatch):
     _, v, s, _ = neighbours.search(np.arange(200), x, leaf, np.array([-1]), q[None], np.array([-np.inf]), 4.0, 20, 1.0)
     want = sorted((-math.fsum((q * r).tolist()), i) for i, r in enumerate(x))[:20]
     assert v.tolist() == [i for _, i in want] and s.tolist() == [-a for a, _ in want]
+
+
+def test_warc_records_of_others(spark, tmp_path):
+    """A crawler's archive: records of all kinds, without this module's headers, some without digests."""
+
+    def foreign(kind, block, **more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", "WARC-Date: 2024-05-01T10:00:00Z"]
+        head += [f"{k.replace('_', '-')}: {v}" for k, v in more.items()] + [f"Content-Length: {len(block)}"]
+        return warc.gzip_member("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    body = b"<html>\xff\r\n\r\ntwo</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: 99\r\n\r\n"
+    parts = [
+        foreign("warcinfo", b"software: crawler/1.0\r\n", Content_Type="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a.example\r\n\r\n", WARC_Target_URI="<http://a.example/>", Content_Type="application/http; msgtype=request"),
+        foreign("response", http + body, WARC_Target_URI="http://a.example/", Content_Type="application/http; msgtype=response", WARC_Payload_Digest=f"sha1:{warc.base32_sha1(body)}"),
+        foreign("response", http + body, WARC_Target_URI="http://b.example/", WARC_Payload_Digest="sha1:WRONG"),
+        foreign("revisit", http, WARC_Target_URI="http://c.example/", WARC_Refers_To="<urn:uuid:response>", WARC_Payload_Digest="md5:abc"),
+        foreign("metadata", b"fetchTimeMs: 3\r\n", WARC_Concurrent_To="<urn:uuid:response>,\r\n <urn:uuid:request>"),
+        foreign("resource", b"", Content_Type="text/plain"),
+    ]
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(b"".join(parts))
+    archives = spark.createDataFrame([(str(path), path.stat().st_size)], "path string, bytes long")
+    for split in (64, 500, 1 << 20):
+        got = warc.read_archives(archives, split).orderBy("offset").collect()
+        assert [r.record_type for r in got] == ["warcinfo", "request", "response", "response", "revisit", "metadata", "resource"]
+    assert all(r.page_id is None and r.refers_to is None and r.date == "2024-05-01T10:00:00Z" for r in got)
+    assert [r.payload_bytes for r in got] == [23, 0, len(body), len(body), 99, 16, 0]
+    assert [r.digest_ok for r in got] == [None, None, True, False, None, None, None]
+    assert got[1].url == "http://a.example/" and got[2].payload == body and got[4].payload is None and got[4].refers_to_id == "<urn:uuid:response>"
+    assert got[4].payload_digest == "md5:abc" and got[2].payload_digest == warc.base32_sha1(body)
+    assert got[5].headers["warc-concurrent-to"] == "<urn:uuid:response>, <urn:uuid:request>" and got[0].url is None
