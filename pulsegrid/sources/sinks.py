@@ -18,7 +18,7 @@ def write_tables(spark: SparkSession, tables: dict[str, DataFrame], path: str, f
     """Writes each table to a staging folder beside path, then moves them in; a failure leaves path as it was.
 
     Tables that are there already are moved aside first and deleted once all new ones are in; if a move fails, new tables
-    go and the old ones are moved back. by: column that a table is partitioned by. Files are moved with the store that
+    go and the old ones are moved back; one that cannot be moved back stays in the folder aside, which the error names. by: column that a table is partitioned by. Files are moved with the store that
     Spark writes to.
     """
     root = path.rstrip("/")
@@ -49,12 +49,19 @@ def write_tables(spark: SparkSession, tables: dict[str, DataFrame], path: str, f
     except BaseException:
         for name in moved:
             store.delete(to_path(f"{root}/{name}"), True)
+        lost = []
         for name in kept:
-            move(f"{aside}/{name}", f"{root}/{name}")
-        raise
-    finally:
+            try:
+                move(f"{aside}/{name}", f"{root}/{name}")
+            except Exception as e:  # the others are still moved back
+                lost.append(f"{name} ({e})")
         store.delete(to_path(stage), True)
+        if lost:
+            raise OSError(f"old tables are left in {aside}: {', '.join(lost)}") from None
         store.delete(to_path(aside), True)
+        raise
+    store.delete(to_path(stage), True)
+    store.delete(to_path(aside), True)
 
 
 def without_non_finite(df: DataFrame) -> DataFrame:

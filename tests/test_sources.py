@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from pulsegrid.sources import acquisition as acq
-from pulsegrid.sources import sinks, text, writers
+from pulsegrid.sources import captures, sinks, text, writers
 
 
 def stim_run(folder, n_blocks=6, t0s=(0, 768)):
@@ -189,3 +189,26 @@ def test_bands_and_windows_from_text(spark):
     texts = spark.createDataFrame([("-500 to -50",), ("20-300 ms",), ("-1.5 - 2",), ("300 to 20",), ("none",)], "t string")
     got = [r[0] and tuple(r[0]) for r in texts.select(parsing.window_ms(F.col("t"))).collect()]
     assert got == [(-500.0, -50.0), (20.0, 300.0), (-1.5, 2.0), None, None]
+
+
+def test_old_tables_that_cannot_be_moved_back_stay_aside(spark, tmp_path, monkeypatch):
+    target = tmp_path / "out"
+    sinks.write_tables(spark, {"a": spark.range(3), "b": spark.range(4)}, str(target))
+    real = sinks.open_store(spark, str(target))
+
+    class Failing:
+        """Moves of new table b fail, and then the one that brings a back."""
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def rename(self, a, b):
+            back = "_aside" in a.toString() and a.getName() == "a"
+            return False if back or ("_stage" in a.toString() and a.getName() == "b") else real.rename(a, b)
+
+    monkeypatch.setattr(sinks, "open_store", lambda *_: Failing())
+    with pytest.raises(OSError, match="old tables are left"):
+        sinks.write_tables(spark, {"a": spark.range(5), "b": spark.range(6)}, str(target))
+    (aside,) = [p for p in target.iterdir() if p.name.startswith("_aside")]
+    assert spark.read.parquet(str(aside / "a")).count() == 3 and spark.read.parquet(str(target / "b")).count() == 4
+    assert not [p for p in target.iterdir() if p.name.startswith("_stage")]
