@@ -266,12 +266,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Field | N
     x = found.column("x").combine_chunks().values.to_numpy().astype(float).reshape(len(y), N_FEATURES)
     order = np.lexsort((place, ids))
     ids, x, y, size = ids[order], x[order], y[order], size[order]
-    # apart by document; a sample too small to part serves for both
-    last = np.array([zlib.crc32(str(i).encode()) // FOLDS % CALIBRATE_EVERY == 0 for i in ids.tolist()])
-    if not last.any() or y[last].min() == y[last].max() or y[~last].min() == y[~last].max():
-        fitted, last = np.ones(len(y), bool), np.ones(len(y), bool)
-    else:
-        fitted = ~last
+    # every CALIBRATE_EVERY-th document of either label, in the order of id hashes, only calibrates
+    last = np.zeros(len(y), bool)
+    for label in (0.0, 1.0):
+        own = sorted(np.unique(ids[y == label]).tolist(), key=lambda i: (zlib.crc32(str(i).encode()), i))
+        if len(own) < 2:
+            return None
+        last |= np.isin(ids, own[::CALIBRATE_EVERY]) & (y == label)
+    fitted = ~last
     field = train(np.unique(ids[fitted], return_inverse=True)[1], x[fitted], y[fitted])
     _, first, doc = np.unique(ids[last], return_index=True, return_inverse=True)
     field.scale = calibrate(mean_log_odds(field, doc, x[last], size[last]), y[last][first])
