@@ -2,8 +2,9 @@
 
 All rolling k-word hashes of all documents are joined to the hashes' positions in license templates. A match votes for
 the diagonal document position - template position; votes are collected per diagonal, and diagonals of nearly the same
-offset (words put in or left out) are merged. Merged spans are verified: a window only counts when its words are those
-of the template one by one, and each place of the template once, however many diagonals saw it. A span is a finding
+offset (words put in or left out) are merged. Merged spans are verified: a window only counts when 128 bits of hashes, of
+its words and of them in reverse, are those of the template's, and each place of the template once, however many
+diagonals saw it. A span is a finding
 when enough of the template's windows are there in a stretch of about the template's length. Exact phrases need all
 their windows on one diagonal.
 
@@ -96,47 +97,46 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
+def window_hashes(words: list[Column]) -> Column:
+    """Two hashes of a window, the second of its words in reverse: 128 bits tell windows apart."""
+    return F.struct(F.xxhash64(*words).alias("h"), F.xxhash64(F.lit(len(words)), *reversed(words)).alias("check"))
+
+
 def template_rows(spark, templates, k: int) -> DataFrame:
-    """t, t_pos, h and the words of every window of every template; t = -1 for the row that each document has."""
+    """t, t_pos, h and t_check of every window of every template."""
     rows = [(t, p, words[p : p + k]) for t, x in enumerate(templates) for words in [template_words(x.text)]
             for p in range(len(words) - k + 1)]
-    schema = "t int, t_pos int, t_window array<string>"
-    hashed = F.xxhash64(*[F.col("t_window")[j] for j in range(k)])
-    df = spark.createDataFrame(rows, schema).withColumn("h", hashed)
-    df = df.unionByName(spark.createDataFrame([(-1, -1, None, -1)], schema + ", h long"))
+    df = spark.createDataFrame(rows, "t int, t_pos int, w array<string>")
+    df = df.withColumn("x", window_hashes([F.col("w")[j] for j in range(k)]))
+    df = df.select("t", "t_pos", "x.h", F.col("x.check").alias("t_check"))
     return F.broadcast(df) if len(rows) <= BROADCAST_WINDOWS else df
 
 
 def votes(docs: DataFrame, templates, k: int = K) -> DataFrame:
     """doc_id, row_id, n_words, t, diagonal, places (of the template), first, last (document words); t = -1 once for
-    every row."""
+    every row.
+
+    A window is sixteen bytes and a place; no words are moved.
+    """
 
     def windows(w: Column) -> Column:
         n = F.size(w)
-        none = F.array().cast("array<struct<h: bigint, window: array<string>>>")
-
-        def window(i: Column) -> Column:
-            words = [w[i + j] for j in range(k)]
-            return F.struct(F.xxhash64(*words).alias("h"), F.array(*words).alias("window"))
-
-        hashes = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), window)).otherwise(none)
-        # the first entry stands for the document itself
-        own = F.struct(F.lit(-1).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("window"))
+        none = F.array().cast("array<struct<h: bigint, check: bigint>>")
+        hashes = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: window_hashes([w[i + j] for j in range(k)]))).otherwise(none)
+        # the first entry stands for the document itself, under a hash of its own, so that none meet
+        own = F.struct(F.xxhash64(F.lit("row"), "row_id").alias("h"), F.lit(0).cast("long").alias("check"))
         return F.struct(n.alias("n_words"), F.array_prepend(hashes, own).alias("hashes"))
 
-    rows = id_text(docs).select(
-        "doc_id",
-        F.monotonically_increasing_id().alias("row_id"),
-        let(license_words(F.col("text")), windows).alias("x"),
-    )
+    rows = id_text(docs).withColumn("row_id", F.monotonically_increasing_id())
+    rows = rows.select("doc_id", "row_id", let(license_words(F.col("text")), windows).alias("x"))
     grams = rows.select("doc_id", "row_id", F.col("x.n_words").alias("n_words"), F.posexplode("x.hashes").alias("p", "g"))
-    grams = grams.select("doc_id", "row_id", "n_words", "p", F.col("g.h").alias("h"), F.col("g.window").alias("window"))
-    # equal hashes only count with equal words
-    found = grams.join(template_rows(docs.sparkSession, templates, k), "h").where(
-        ((F.col("p") == 0) & (F.col("t") == -1)) | ((F.col("p") > 0) & (F.col("window") == F.col("t_window")))
-    )
-    pos = F.col("p") - 1
-    return found.groupBy("doc_id", "row_id", "t", (pos - F.col("t_pos")).alias("diagonal")).agg(
+    grams = grams.select("doc_id", "row_id", "n_words", "p", F.col("g.h").alias("h"), F.col("g.check").alias("check"))
+    itself = F.col("p") == 0
+    # equal hashes only count where both are
+    found = grams.join(template_rows(docs.sparkSession, templates, k), "h", "left").where(itself | (F.col("check") == F.col("t_check")))
+    t, pos = F.when(itself, -1).otherwise(F.col("t")), F.col("p") - 1
+    diagonal = F.when(itself, 0).otherwise(pos - F.col("t_pos"))
+    return found.groupBy("doc_id", "row_id", t.alias("t"), diagonal.alias("diagonal")).agg(
         F.max("n_words").alias("n_words"),
         F.collect_set("t_pos").alias("places"),
         F.min(pos).alias("first"),

@@ -565,3 +565,12 @@ def test_oracles(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
     assert normal(queries.QUERIES[name](spark, sf).toPandas()) == normal(con.execute(queries.ORACLE_SQL[name]).df())
+
+
+def test_licenses_without_a_broadcast(table, awkward, monkeypatch):
+    """A template table that is too large to be sent to every task, and many rows without any window."""
+    rows = awkward + [(k, None) for k in range(200, 260)] + [(300 + k, "so " * k + "under the MIT License, cc by-nc") for k in range(9)]
+    want = rows_of(licenses.digests(table(rows)))
+    monkeypatch.setattr(licenses, "BROADCAST_WINDOWS", 0)
+    assert rows_of(licenses.digests(table(rows))) == want
+    assert sum(r[2] for r in want) == 18
