@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import model_queries, naming_queries, pairing_queries, scope_queries, sequence_queries, session_queries, signal_queries, summary_queries
+from . import comparison_queries, model_queries, naming_queries, pairing_queries, scope_queries, sequence_queries, session_queries, signal_queries, summary_queries
 from .query import Query
 
 QUERIES: dict[str, Query] = {
@@ -14,4 +14,5 @@ QUERIES: dict[str, Query] = {
     **session_queries.QUERIES,
     **naming_queries.QUERIES,
     **scope_queries.QUERIES,
+    **comparison_queries.QUERIES,
 }
