@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from pulsegrid.llm import neighbours, packing, quality_rules, warc
 from pulsegrid.llm import sentencepiece as pieces
-from pulsegrid.llm.common import shared_path
+from pulsegrid.llm.common import materialize, shared_path
 
 ODD = [
     "", "a", "  two  spaces ", " \n\n x", "▁x y", "日本語 テキスト 🎉 ok", "x" * 70, "\x00\x01", "é é É Ë ß ÿ ª µ", "é ö", "   " * 7,
@@ -386,3 +386,36 @@ def test_warc_records_of_others(spark, tmp_path):
     assert got[1].url == "http://a.example/" and got[2].payload == body and got[4].payload is None and got[4].refers_to_id == "<urn:uuid:response>"
     assert got[4].payload_digest == "md5:abc" and got[2].payload_digest == warc.base32_sha1(body)
     assert got[5].headers["warc-concurrent-to"] == "<urn:uuid:response>, <urn:uuid:request>" and got[0].url is None
+
+
+def test_pipeline_of_awkward_documents(spark, table, awkward, tmp_path):
+    """Columns with clashing names, null ids, empty and long texts, repeated rows; then an empty table."""
+    import corpus_pipeline as cp
+
+    long = " ".join(f"word{k}" for k in range(60_000))
+    prose = " ".join(f"p{k}" for k in range(80))
+    rows = awkward + [(None, prose), (None, None), (500, long), (501, prose + " token=abcdef012345"), (501, prose + " token=abcdef012345")]
+    for k, own in enumerate((rows, [])):
+        docs = table(own)
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        docs.write.parquet(str(folder / "documents.parquet"))
+        now = spark.read.parquet(str(folder / "documents.parquet"))
+        for n, (_, stage) in enumerate(cp.STAGES[:-1]):
+            now = stage(spark, now, str(folder))
+            assert now.columns == docs.columns
+            now = materialize(now, "test")
+        got = cp.run(spark, str(folder)).collect()
+        if not own:
+            assert got == [] and now.count() == 0
+            continue
+        texts = [r.text for r in now.collect()]
+        # the row without an id stays beside its near copy, of the others one is kept
+        assert long in texts and sorted(t for t in texts if t.startswith("p0 ")) == [prose, prose + " [secret]", prose + " [secret]"]
+        assert sum(r.length for r in got if r.doc_id == 500) > 60_000
+        held = {}
+        for r in got:
+            held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for own in held.values():
+            own.sort()
+            assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 4096
