@@ -3,14 +3,18 @@ recorder's own high-pass."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dsp
-from .signals import epochs, per_row
+from .carry import sorted_groups
+from .signals import epochs, event_recovery, per_row
 
 TAILS = (
     "run_id string, channel string, event_number long, railed boolean, exit_ms double, amplitude_uv double, tau_ms double, offset_uv double, "
@@ -94,6 +98,61 @@ def without_highpass(blocks: DataFrame, k: int, full_scale_uv: float | None = No
     return per_row(joined, kernel, schema)
 
 
+def gentle_highpass(blocks: DataFrame, corner_hz: float, rate_hz: float) -> DataFrame:
+    """Blocks behind a causal first-order Butterworth high-pass that has settled on each channel's first sample.
+
+    Each block is filtered as if the filter were at rest before it. What a block hands on fades by a known factor, so the
+    state before each block is a short chain over one number a block, added to the block as a fading tail.
+    """
+    tangent = float(np.tan(np.pi * corner_hz / rate_hz))
+    gain, fade = 1 / (1 + tangent), (1 - tangent) / (1 + tangent)
+    w = Window.partitionBy("run_id", "channel").orderBy("block_no")
+    ends = blocks.select("run_id", "channel", "block_no", F.element_at("samples", -1).cast("double").alias("last"))
+    ends = ends.select("run_id", "channel", "block_no", F.lag("last").over(w).alias("before"))
+    rows = blocks.select(F.col("run_id").cast("string").alias("run_id"), F.col("channel").cast("string").alias("channel"), "block_no", F.col("samples").cast("array<double>").alias("x"))
+    rows = rows.join(ends.select(F.col("run_id").cast("string").alias("run_id"), F.col("channel").cast("string").alias("channel"), "block_no", "before"), ["run_id", "channel", "block_no"])
+    names = ["run_id", "channel", "block_no"]
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column("x").offsets.to_numpy())
+            for n in np.unique(sizes[sizes > 0]).tolist():  # blocks of equal length together
+                own = batch.take(pa.array(np.flatnonzero(sizes == n)))
+                x = own.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                before = own.column("before").to_numpy(zero_copy_only=False)
+                steps = np.diff(x, axis=1, prepend=np.where(np.isnan(before), x[:, 0], before)[:, None])
+                powers = np.subtract.outer(np.arange(n), np.arange(n))
+                y = gain * steps @ np.where(powers >= 0, fade ** np.maximum(powers, 0), 0).T
+                cols = [own.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(y.tolist(), pa.list_(pa.float64())), pa.array(y[:, -1]), pa.array([n] * len(y), pa.int64())], [*names, "y", "out", "n"])
+
+    own = rows.mapInArrow(rest, "run_id string, channel string, block_no long, y array<double>, out double, n long")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in sorted_groups(batches, ["run_id", "channel"]):
+            out, n, state = table.column("out").to_pylist(), table.column("n").to_pylist(), []
+            for a, b in zip(cuts, cuts[1:]):
+                held = 0.0
+                for i in range(a, b):
+                    state.append(held)
+                    held = held * fade ** n[i] + out[i]
+            yield from table.select(names).append_column("held", pa.array(state, pa.float64())).to_batches()
+
+    short = own.select(*names, "out", "n").repartition("run_id", "channel").sortWithinPartitions(*names)
+    held = short.mapInArrow(chain, "run_id string, channel string, block_no long, held double")
+    whole = F.transform("y", lambda v, i: v + F.col("held") * F.pow(F.lit(fade), i + 1))
+    return own.join(held, names).select(*names, whole.alias("samples"))
+
+
+def inverse_recovery(
+    blocks: DataFrame, events: DataFrame, rate_hz: float, k: int, full_scale_uv: float | None, baseline_ms: tuple[float, float], span_ms: float,
+    quiet_ms: float, factor: float, floor_uv: float, gentle_hz: float = 0.1, block_size: int = 128,
+) -> DataFrame:
+    """Recovery of each pulse after the recorder's own high-pass is inverted and a gentle one holds the drift."""
+    restored = gentle_highpass(without_highpass(blocks, k, full_scale_uv), gentle_hz, rate_hz)
+    return event_recovery(restored, events, rate_hz, baseline_ms, span_ms, quiet_ms, factor, floor_uv, block_size)
+
+
 def tail_summary(fits: DataFrame, keys: list[str], filter_tau_ms: float) -> DataFrame:
     """Good fits per group: median time constant and its ratio to the filter's, share of tails on the excursion's side, and
     what is left of recovery once the tail is subtracted."""

@@ -150,6 +150,14 @@ WHERE stop - "start" >= 3 GROUP BY sq.run_id, source, "start", stop""",
   OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS b FROM i)
 SELECT run_id, idx // {BLOCK} AS block_no, CAST(idx % {BLOCK} AS INT) AS k, round(y + 625e-4 / (1 - 625e-4) * b, 6) AS x FROM c""",
     ),
+    "gentle_highpass": Query(
+        lambda s, d: six(tails.gentle_highpass(blocks(s, d), 5.0, RATE).select("run_id", "block_no", F.posexplode("samples").alias("k", "y"))),
+        f"""WITH {SAMPLES}, c AS (SELECT tan(pi() * 5 / 1e2) AS t), g AS (SELECT 1 / (1 + t) AS gain, (1 - t) / (1 + t) AS fade FROM c
+), st AS (SELECT run_id, idx, value - coalesce(lag(value) OVER (PARTITION BY run_id ORDER BY idx), value) AS step FROM i)
+SELECT a.run_id, a.idx // {BLOCK} AS block_no, CAST(a.idx % {BLOCK} AS INT) AS k, round(sum(gain * pow(fade, a.idx - b.idx) * b.step), 6) + 0.0 AS y
+FROM st a JOIN st b ON a.run_id = b.run_id AND b.idx <= a.idx, g GROUP BY a.run_id, a.idx""",
+    ),
+    "inverse_filter_recovery": Query(lambda s, d: six(tails.inverse_recovery(blocks(s, d), onsets(s, d), RATE, 4, 95.0, (-50.0, 0.0), 100.0, 30.0, 2.0, 1.0, 1.0, BLOCK))),
     "event_band_power": Query(
         lambda s, d: six(sig.event_power(blocks(s, d), onsets(s, d), RATE, BANDS, {"base": (-50.0, 0.0), "post": (0.0, 50.0)}, (-10.0, 10.0), 80.0, 2, BLOCK)),
     ),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import evoked, regression, resampling, tails
+from pulsegrid.operators import evoked, regression, resampling, signals, tails
 from test_signals import blocks, events
 
 RATE = 2000.0
@@ -204,3 +204,34 @@ def test_dose_response_prefers_what_is_planted(spark):
     got = {r.c: r for r in regression.amplitude_response(df, ["c"], "i", "y").collect()}
     assert got["s"].preferred == "sigmoid" and got["s"].sigmoid_i50 == pytest.approx(80, abs=8) and not got["s"].artifact
     assert got["l"].artifact and got["l"].origin_m == pytest.approx(2, rel=0.02) and got["few"].preferred == "insufficient"
+
+
+def test_gentle_highpass_across_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = 500 + np.cumsum(rng.normal(0, 5, 128 * 7 + 40))
+    got = tails.gentle_highpass(blocks(spark, {"A": x, "B": -x}), 3.0, RATE).toPandas().sort_values("block_no")
+    k = np.tan(np.pi * 3.0 / RATE)
+    y, before, last = [], x[0], 0.0
+    for v in x:
+        last = (1 - k) / (1 + k) * last + (v - before) / (1 + k)
+        before = v
+        y.append(last)
+    for name, sign in (("A", 1), ("B", -1)):
+        own = np.concatenate(got[got.channel == name].samples.tolist())
+        assert np.allclose(own, sign * np.array(y)[: len(own)], atol=1e-8) and len(own) >= 128 * 7
+
+
+def test_recovery_without_the_recorders_highpass(spark):
+    """A step that the recorder's high-pass turned into a long tail is short again."""
+    from pulsegrid.functions import dsp
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 2, 128 * 120)
+    onsets = np.arange(3000, 12000, 2500)
+    for o in onsets:
+        x[o : o + 60] += 3000
+    y = dsp.one_pole_highpass(x, 7, start=0.0)
+    args = (events(spark, onsets), RATE)
+    before = signals.event_recovery(blocks(spark, {"A": y}), *args, (-200.0, -20.0), 1500.0, 20.0, 4.0, 100.0).toPandas()
+    after = tails.inverse_recovery(blocks(spark, {"A": y}), *args, 7, None, (-200.0, -20.0), 1500.0, 20.0, 4.0, 100.0).toPandas()
+    assert len(after) == len(onsets) and (after.recovery_ms < 90).all() and (before.recovery_ms > 150).all()
