@@ -22,9 +22,9 @@ def rounded(df, *cols):
 
 
 def first_trials(s, d, side: int):
-    """One row for each run and event number, those of an odd or even key left out on either side."""
-    t = trials(s, d).where((F.col("run_id") + F.col("event_number")) % 5 != side)
-    return t.select("run_id", "event_number").distinct()
+    """One row for each run and event number that has a retained trial in the window before (0) or behind (1) its pulse."""
+    t = trials(s, d)
+    return t.where(F.col("tax") > 0.01 if side == 0 else F.col("discount") > 0.01).select("run_id", "event_number").distinct()
 
 
 QUERIES = {
@@ -45,8 +45,8 @@ FROM c LEFT JOIN a USING (channel)""",
     ),
     "unique_key_pairing": Query(
         lambda s, d: pair.unique_pairs(first_trials(s, d, 0), first_trials(s, d, 1), ["run_id", "event_number"]),
-        f"""WITH {TRIALS}, a AS (SELECT DISTINCT run_id, event_number FROM tr WHERE (run_id + event_number) % 5 <> 0
-), b AS (SELECT DISTINCT run_id, event_number FROM tr WHERE (run_id + event_number) % 5 <> 1)
+        f"""WITH {TRIALS}, a AS (SELECT DISTINCT run_id, event_number FROM tr WHERE tax > 0.01
+), b AS (SELECT DISTINCT run_id, event_number FROM tr WHERE discount > 0.01)
 SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.event_number, b.event_number) AS event_number,
        CASE WHEN b.run_id IS NULL THEN 'only_a' WHEN a.run_id IS NULL THEN 'only_b' ELSE 'both' END AS side
 FROM a FULL JOIN b ON a.run_id = b.run_id AND a.event_number = b.event_number""",
