@@ -80,62 +80,79 @@ def scope_summary(pulses: DataFrame, runs: DataFrame, c: Capture = Capture()) ->
     return told.select("run_id", "n_pulses", "period_s", issues.alias("issues"))
 
 
-def pulse_phases(samples: DataFrame, runs: DataFrame, pulses: DataFrame, c: Capture = Capture(), grid_s: float = 0.005, smooth: int = 9) -> DataFrame:
+@dataclass(frozen=True)
+class Phases:
+    """Fixed values of the analysis of a pulse, times in seconds: the grid and how many of its points are averaged; how far
+    a pulse is looked at before its edge and behind it (at least, and in labelled widths); how early its first extreme may
+    lie and how late its second phase may end; the share of the near-steepest slope that a phase has."""
+
+    grid: float = 0.005
+    smooth: int = 9
+    before: float = 0.3
+    behind: float = 1.5
+    widths: float = 6.0
+    slack: float = 0.05
+    steep: float = 0.35
+
+
+def pulse_phases(samples: DataFrame, runs: DataFrame, pulses: DataFrame, c: Capture = Capture(), p: Phases = Phases()) -> DataFrame:
     """run_id, pulse, lead (1: the positive phase comes first), phase1_s, gap_s, phase2_s, envelope_s of each pulse.
 
     The trace is a voltage: a current step is a ramp, so phases are told by its extremes and by the last span of opposite
     slope before the second one. Each pulse's samples are put on the run's even grid, smoothed and differentiated; a group
     is one pulse. Pulses whose first extreme lies before the edge have no row.
     """
-    span = F.greatest(F.lit(1.5), 6 * F.col("labelled"))
-    begin = windowed(samples, runs, c).groupBy("run_id").agg(F.min("epoch_s").alias("origin"), F.max("epoch_s").alias("final"), F.first("width_s").alias("labelled"))
-    about = pulses.join(begin, "run_id").withColumn("from", F.col("edge_s") - 0.8).withColumn("to", F.col("edge_s") + span + 0.5)
+    span, margin = F.greatest(F.lit(p.behind), p.widths * F.col("labelled")), 100 * p.grid
+    begin = windowed(samples, runs, c).groupBy("run_id").agg(F.min("epoch_s").alias("origin"), F.first("width_s").alias("labelled"))
+    about = pulses.join(begin, "run_id").withColumn("from", F.col("edge_s") - p.before - margin).withColumn("to", F.col("edge_s") + span + margin)
     own = windowed(samples, runs, c).select("run_id", "epoch_s", "lead").join(about, "run_id")
     own = own.where((F.col("epoch_s") >= F.col("from")) & (F.col("epoch_s") <= F.col("to")))
-    own = own.groupBy("run_id", "pulse", "edge_s", "origin", "final", span.alias("span")).agg(F.array_sort(F.collect_list(F.struct("epoch_s", "lead"))).alias("x"))
+    own = own.groupBy("run_id", "pulse", "edge_s", "origin", span.alias("span")).agg(F.array_sort(F.collect_list(F.struct("epoch_s", "lead"))).alias("x"))
     names = ("lead", "phase1_s", "gap_s", "phase2_s", "envelope_s")
 
     def segment(batches):
         for batch in batches:
-            rows = batch.select(["edge_s", "origin", "final", "span", "x"]).to_pylist()
-            got = [phases_of(np.array([p["epoch_s"] for p in r["x"]]), np.array([p["lead"] for p in r["x"]]), r["edge_s"], r["origin"], r["final"], r["span"], grid_s, smooth) for r in rows]
-            keep = [k for k, g in enumerate(got) if g]
-            kept = batch.select(["run_id", "pulse"]).take(pa.array(keep, pa.int64()))
-            cols = list(zip(*[got[k] for k in keep])) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[1:])], ["run_id", "pulse", *names])
+            found: list[tuple] = []
+            for k, row in enumerate(batch.select(["edge_s", "origin", "span", "x"]).to_pylist()):
+                trace = np.array([(r["epoch_s"], r["lead"]) for r in row["x"]]).T
+                told = phases_of(*trace, row["edge_s"], row["origin"], row["span"], p)
+                found += [(k, *told)] if told else []
+            kept = batch.select(["run_id", "pulse"]).take(pa.array([f[0] for f in found], pa.int64()))
+            kinds = [pa.int32(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([f[i + 1] for f in found], t) for i, t in enumerate(kinds))], ["run_id", "pulse", *names])
 
     kind = pulses.schema["pulse"].dataType.simpleString()
     run = pulses.schema["run_id"].dataType.simpleString()
     return own.mapInArrow(segment, f"run_id {run}, pulse {kind}, lead int, phase1_s double, gap_s double, phase2_s double, envelope_s double")
 
 
-def phases_of(t, v, edge: float, origin: float, final: float, span: float, grid_s: float, smooth: int) -> tuple | None:
+def phases_of(times, trace, edge: float, origin: float, span: float, p: Phases) -> tuple | None:
     """lead, phase1, gap, phase2, envelope of one pulse; None where nothing can be told."""
-    if len(t) < 4:
+    if len(times) < 4:
         return None
-    half = smooth // 2 + 1
-    first, last = int(np.ceil((t[0] - origin) / grid_s)), int((min(t[-1], final) - origin) / grid_s)
-    grid = origin + grid_s * np.arange(first, last + 1)
-    if len(grid) < 2 * half + 3:
+    steps = np.arange(int(np.ceil((times[0] - origin) / p.grid)), int((times[-1] - origin) / p.grid) + 1)
+    rim = p.smooth // 2 + 1  # what smoothing sees only half of is left out
+    if len(steps) < 2 * rim + 3:
         return None
-    u = np.convolve(np.interp(grid, t, v), np.ones(smooth) / smooth, mode="same")
-    # what the smoothing sees only half of is left out
-    grid, u = grid[half:-half], u[half:-half]
-    s = np.gradient(u, grid)
-    near = (grid >= edge - 0.3) & (grid <= edge + span)
-    before = near & (grid < edge)
-    if not near.any():
+    even = origin + p.grid * steps
+    level = np.convolve(np.interp(even, times, trace), np.full(p.smooth, 1 / p.smooth), mode="same")[rim:-rim]
+    even = even[rim:-rim] - edge  # from here on seconds behind the edge
+    slope = np.gradient(level, even)
+    seen = (even >= -p.before) & (even <= span)
+    if not seen.any():
         return None
-    base = np.median(u[before]) if before.any() else u[near][0]
-    g, u, s = grid[near], u[near] - base, s[near]
-    top, bottom = float(g[np.argmax(u)]), float(g[np.argmin(u)])
-    lead = 1 if top < bottom else -1
-    one, two = min(top, bottom), max(top, bottom)
-    if one <= edge - 0.05:
+    quiet = level[seen & (even < 0)]
+    height = level[seen] - (np.median(quiet) if len(quiet) else level[seen][0])
+    even, slope = even[seen], slope[seen]
+    extremes = {1: float(even[height.argmax()]), -1: float(even[height.argmin()])}
+    lead = 1 if extremes[1] < extremes[-1] else -1
+    first, second = sorted(extremes.values())
+    if first <= -p.slack:
         return None
-    falling = np.flatnonzero((-lead * s > 0.35 * np.percentile(np.abs(s), 99)) & (g > one) & (g <= two + 0.05))
-    turn = float(g[falling[0]]) if len(falling) else None
-    return lead, one - edge, None if turn is None else turn - one, None if turn is None else two - turn, two - edge
+    back = -lead * slope > p.steep * np.percentile(np.abs(slope), 99)
+    turned = even[back & (even > first) & (even <= second + p.slack)]
+    turn = float(turned[0]) if len(turned) else None
+    return lead, first, None if turn is None else turn - first, None if turn is None else second - turn, second
 
 
 def phase_summary(phases: DataFrame) -> DataFrame:

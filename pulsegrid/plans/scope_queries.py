@@ -69,5 +69,5 @@ SELECT run_id, coalesce(n, 0) AS n_pulses, round(period, 6) AS period_s, concat_
 SELECT run_id, round(delta_s, 6) + 0.0 AS delta_s, round(z, 6) AS z, coalesce(z >= 15e-1, false) AS aligned FROM zz""",
     ),
     "scope_pulse_phases": Query(lambda s, d: six(scope.phase_summary(scope.pulse_phases(
-        captured(s, d), runs(s, d), found(s, d), HOURS, grid_s=4.0)))),
+        captured(s, d), runs(s, d), found(s, d), HOURS, scope.Phases(grid=4.0, before=24.0, behind=48.0, slack=4.0))))),
 }
