@@ -161,7 +161,19 @@ FROM st a JOIN st b ON a.run_id = b.run_id AND b.idx <= a.idx, g GROUP BY a.run_
     "event_band_power": Query(
         lambda s, d: six(sig.event_power(blocks(s, d), onsets(s, d), RATE, BANDS, {"base": (-50.0, 0.0), "post": (0.0, 50.0)}, (-10.0, 10.0), 80.0, 2, BLOCK)),
     ),
-    "event_recovery_kernel": Query(lambda s, d: six(sig.event_recovery(blocks(s, d), onsets(s, d), RATE, (-50.0, 0.0), 100.0, 30.0, 2.0, 1.0, BLOCK))),
+    "event_recovery_kernel": Query(
+        lambda s, d: six(sig.event_recovery(blocks(s, d), onsets(s, d), RATE, (-50.0, 0.0), 100.0, 30.0, 2.0, 1.0, BLOCK)),
+        f"""WITH {SAMPLES}, e AS (
+  SELECT o.run_id, event_number, idx - onset AS k, value FROM o JOIN i ON i.run_id = o.run_id AND idx >= onset - 5 AND idx < onset + 10 WHERE onset >= 5 AND onset + 10 <= o.total
+), b AS (SELECT run_id, event_number, avg(value) AS m, stddev_samp(value) AS sd, greatest(2 * stddev_samp(value), 1) AS lim FROM e WHERE k < 0 GROUP BY run_id, event_number
+), a AS (SELECT run_id, event_number, k, abs(value - m) > lim AS above FROM e JOIN b USING (run_id, event_number) WHERE k >= 0
+), w AS (SELECT *, sum(CASE WHEN above THEN 1 ELSE 0 END) OVER q AS loud, count(*) OVER q AS n FROM a
+  WINDOW q AS (PARTITION BY run_id, event_number ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)
+), c AS (SELECT run_id, event_number, min(k) FILTER (WHERE loud = 0 AND n = 3) AS calm FROM w GROUP BY run_id, event_number
+), r AS (SELECT a.run_id, a.event_number, any_value(calm) AS calm, max(k) FILTER (WHERE above AND k < calm) AS last FROM a JOIN c ON c.run_id = a.run_id AND c.event_number = a.event_number GROUP BY a.run_id, a.event_number)
+SELECT run_id, 'value' AS channel, event_number, round(sd, 6) AS baseline_sd_uv, round(lim, 6) AS threshold_uv,
+       CASE WHEN calm IS NULL THEN 100e0 ELSE coalesce(last + 1, 0) * 10e0 END AS recovery_ms, calm IS NULL AS censored FROM r JOIN b USING (run_id, event_number)""",
+    ),
     "welch_band_power": Query(lambda s, d: six(sig.spectra(sig.channel_arrays(blocks(s, d)), RATE, 32, BANDS, 5.0))),
     "spike_detection": Query(lambda s, d: spikes.amplitude_spikes(blocks(s, d), SPIKES, 4, BLOCK).drop("wave")),
     "polytrode_spikes": Query(lambda s, d: spikes.polytrode_spikes(
