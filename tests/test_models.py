@@ -2,13 +2,14 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import stats
-from pulsegrid.operators import models, regression, resampling
+from pulsegrid.operators import models, regression, resampling, waveforms
 
 
 def test_shapiro_of_published_weights():
@@ -193,3 +194,13 @@ def test_pseudo_onsets(spark):
     assert [r.onset for r in resampling.pseudo_onsets(df, ["c"], 5, 7, 20).where("c = 'b'").collect()] == []
     moved = resampling.pseudo_onsets(df, ["c"], 5, 8, 20, jitter=6, most=3).where("c = 'a'").orderBy("event_number").collect()
     assert len(moved) == 3 and all(0 <= r.onset - (5 + 20 * r.event_number) <= 6 for r in moved)
+
+
+def test_channel_pairs_by_cells(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(c), int(t)) for c, t in zip(rng.integers(0, 12, 600), rng.integers(0, 4000, 600))] + [(20, int(t)) for t in rng.integers(0, 4000, 200)]
+    df = spark.createDataFrame(rows, "c long, t long")
+    want = Counter((i, j, (b - a) // 10) for i, a in rows for j, b in rows if i < j and abs(b - a) <= 60)
+    for chunk in (100, 5000):  # with and without a channel that fills more than a chunk
+        got = waveforms.channel_pairs(df, "c", "t", 60, 10, chunk).collect()
+        assert {(r.i, r.j, r.bin): r.n for r in got} == want and len(got) == len(want)
