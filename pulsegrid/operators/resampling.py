@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .carry import sorted_groups
+from .carry import borders, sorted_groups
 
 
 def _fields(df: DataFrame, keys: list[str]) -> str:
@@ -82,39 +82,92 @@ def _poisson(rows: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return np.searchsorted(cdf, (h >> np.uint64(11)) / float(1 << 53)).astype(float)
 
 
-#: Rows whose weights a task holds at once.
-ROWS_AT_ONCE = 8192
+#: Weights (rows times draws) that a task holds at once.
+WEIGHTS_AT_ONCE = 1 << 21
 
 
-def sum_draws(df: DataFrame, keys: list[str], terms: dict[str, Column], row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
-    """keys, draw, w and the weighted sum of each term, of `n` resamples: every row weighs an own Poisson(1) count in each.
+def _lists(values: np.ndarray) -> pa.Array:
+    """A list column with a row for each row of values."""
+    rows, n = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * n, pa.int32()), pa.array(values.ravel()))
+
+
+def draw_sums(df: DataFrame, keys: list[str], terms: dict[str, Column], row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
+    """keys, w and the weighted sums of each term as arrays with an entry for each of `n` resamples, one row a group: every
+    row weighs an own Poisson(1) count in each resample.
 
-    Tasks add their rows up and hand on n sums for each group, however many rows it has. row_id: columns that tell rows of
-    a group apart; draws depend on them and the seed only. Rows with a null in any term do not count.
+    Rows are dealt by their group first, so a task hands on one row for each group that it holds; where a group fills
+    several partitions their sums are added once more. A task holds the sums of one group and of a slice of rows. row_id:
+    columns that tell rows of a group apart; draws depend on them and the seed only. Rows with a null in any term do not
+    count.
     """
-    summed = list(terms)
+    summed = ["w", *terms]
     held = [c.cast("double").alias(f"__{name}") for name, c in terms.items()]
-    rows = df.select(*keys, *held, F.xxhash64(F.lit(seed), *row_id).alias("__h")).dropna(subset=[f"__{x}" for x in summed])
-    names = [*keys, "draw", "w", *summed]
+    rows = df.select(*keys, *held, F.xxhash64(F.lit(seed), *row_id).alias("__h")).dropna(subset=[f"__{x}" for x in terms])
+
+    def runs(table: pa.Table) -> np.ndarray:
+        """The first rows of groups, and the number of rows."""
+        return np.concatenate([[0], borders(table, keys) if keys else [], [table.num_rows]]).astype(int)
+
+    def told(table: pa.Table, at: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
+        groups = [table.column(k).take(pa.array(at)).combine_chunks() for k in keys]
+        groups = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in groups]
+        return pa.RecordBatch.from_arrays([*groups, *map(_lists, sums)], [*keys, *summed])
+
+    def folded(slices: Iterator[tuple[pa.Table, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        """Sums of whole groups from rows sorted by group and the sums of each of their groups."""
+        last, carried = None, None
+        for table, sums in slices:
+            at = runs(table)[:-1]
+            if last is not None:
+                if keys and len(borders(pa.concat_tables([last, table.select(keys).slice(0, 1)]), keys)):
+                    yield told(last, np.zeros(1, int), carried)
+                else:
+                    for s, c in zip(sums, carried):
+                        s[0] += c[0]
+            if len(at) > 1:
+                yield told(table, at[:-1], [s[:-1] for s in sums])
+            last, carried = table.select(keys).slice(int(at[-1]), 1), [s[-1:].copy() for s in sums]
+        if carried is not None:
+            yield told(last, np.zeros(1, int), carried)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slices():
+            step = max(1, WEIGHTS_AT_ONCE // max(n, 1))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step):
+                    table = pa.Table.from_batches([batch.slice(lo, step)])
+                    first = runs(table)[:-1]
+                    weights = _poisson(table.column("__h").to_numpy(), np.arange(n))
+                    values = [table.column(f"__{x}").to_numpy()[:, None] * weights for x in summed[1:]]
+                    yield table, [np.add.reduceat(v, first) for v in (weights, *values)]
+
+        yield from folded(slices())
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slices():
+            step = max(1, WEIGHTS_AT_ONCE // max(n, 1))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step):
+                    table = pa.Table.from_batches([batch.slice(lo, step)]).combine_chunks()
+                    first = runs(table)[:-1]
+                    flat = [pa.concat_arrays(table.column(x).chunks).flatten().to_numpy().reshape(-1, n) for x in summed]
+                    yield table, [np.add.reduceat(v, first) for v in flat]
+
+        yield from folded(slices())
+
+    schema = (_fields(df, keys) + ", " if keys else "") + ", ".join(f"`{x}` array<double>" for x in summed)
+    if not keys:
+        return rows.mapInArrow(weigh, schema).coalesce(1).mapInArrow(merge, schema)
+    partial = rows.hint("rebalance", *keys).sortWithinPartitions(*keys).mapInArrow(weigh, schema)
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, schema)
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            code = batch.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(batch), int)
-            order = np.argsort(code, kind="stable")
-            for lo in range(0, len(order), ROWS_AT_ONCE):
-                part = order[lo : lo + ROWS_AT_ONCE]
-                first = np.flatnonzero(np.diff(code[part], prepend=-1))
-                own = batch.iloc[part]
-                weights = _poisson(own["__h"].to_numpy(), np.arange(n))
-                sums = [np.add.reduceat(weights, first)]
-                sums += [np.add.reduceat(own[f"__{x}"].to_numpy()[:, None] * weights, first) for x in summed]
-                out = {k: np.repeat(own[k].to_numpy()[first], n) for k in keys}
-                out |= {"draw": np.tile(np.arange(n), len(first))} | {x: v.ravel() for x, v in zip(["w", *summed], sums)}
-                yield pd.DataFrame(out)[names]
-
-    lead = _fields(df, keys) + ", " if keys else ""
-    schema = lead + "draw long, w double, " + ", ".join(f"`{x}` double" for x in terms)
-    return rows.mapInPandas(add, schema).groupBy(*keys, "draw").agg(*[F.sum(x).alias(x) for x in ("w", *terms)])
+
+def sum_draws(df: DataFrame, keys: list[str], terms: dict[str, Column], row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
+    """`draw_sums` with a row for each draw of each group: keys, draw, w and the sums."""
+    names = ["w", *terms]
+    each = draw_sums(df, keys, terms, row_id, n, seed).select(*keys, F.posexplode(F.arrays_zip(*names)).alias("draw", "__s"))
+    return each.select(*keys, F.col("draw").cast("long").alias("draw"), *[F.col("__s")[x].alias(x) for x in names])
 
 
 def stratified_draws(
@@ -135,22 +188,35 @@ def stratified_draws(
 
 
 def mean_draws(df: DataFrame, keys: list[str], value: str, row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
-    """keys, draw, mean: means of `n` resamples of each group; nulls do not count."""
-    sums = sum_draws(df, keys, {"s": F.col(value)}, row_id, n, seed)
-    return sums.where("w > 0").select(*keys, "draw", (F.col("s") / F.col("w")).alias("mean"))
+    """keys, means: means of `n` resamples of each group as an array, null for a resample without rows; nulls do not count."""
+    sums = draw_sums(df, keys, {"s": F.col(value)}, row_id, n, seed)
+    return sums.select(*keys, F.zip_with("s", "w", lambda s, w: F.when(w > 0, s / w)).alias("means"))
 
 
 def interval(draws: DataFrame, keys: list[str], value: Column, alpha: float = 0.05) -> DataFrame:
     return draws.groupBy(*keys).agg(F.percentile(value, alpha / 2).alias("lo"), F.percentile(value, 1 - alpha / 2).alias("hi"))
 
 
+def array_interval(draws: DataFrame, keys: list[str], values: Column, alpha: float = 0.05) -> DataFrame:
+    """keys, lo, hi: the same of groups whose draws are an array (nulls do not count); no rows for those without draws."""
+    known = draws.select(*keys, F.sort_array(F.array_compact(values)).alias("__v")).where(F.size("__v") > 0)
+
+    def at(p: float) -> Column:
+        place = p * (F.size("__v") - 1)
+        low = F.floor(place).cast("int")
+        a, b = F.get("__v", low), F.get("__v", F.ceil(place).cast("int"))
+        return a + (place - low) * (b - a)
+
+    return known.select(*keys, at(alpha / 2).alias("lo"), at(1 - alpha / 2).alias("hi"))
+
+
 def paired_db_intervals(df: DataFrame, keys: list[str], base: str, post: str, row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
     """keys, n_pairs, median_db, mean_db, lo, hi, contains_zero: mean change of pairs in dB and its bootstrap interval over
     pairs; pairs with a value that is not positive do not count."""
     db = F.when((F.col(base) > 0) & (F.col(post) > 0), 10 * F.log10(F.col(post) / F.col(base)))
     rows = df.withColumn("__db", db)
     per = rows.groupBy(*keys).agg(F.count("__db").alias("n_pairs"), F.percentile("__db", 0.5).alias("median_db"), F.avg("__db").alias("mean_db"))
-    both = per.join(interval(mean_draws(rows, keys, "__db", row_id, n, seed), keys, F.col("mean")), keys, "left")
+    both = per.join(array_interval(mean_draws(rows, keys, "__db", row_id, n, seed), keys, F.col("means")), keys, "left")
     return both.withColumn("contains_zero", F.coalesce((F.col("lo") <= 0) & (F.col("hi") >= 0), F.lit(False)))
 
 
@@ -160,8 +226,8 @@ def independent_db_intervals(df: DataFrame, keys: list[str], value: str, first:
     good = df.where(F.col(value) > 0)
     sides = [good.where(first), good.where(~first)]
     means = [x.groupBy(*keys).agg(F.avg(value).alias(f"m{k}")) for k, x in enumerate(sides)]
-    draws = [mean_draws(x, keys, value, row_id, n, seed + k).withColumnRenamed("mean", f"d{k}") for k, x in enumerate(sides)]
-    found = interval(draws[0].join(draws[1], [*keys, "draw"]), keys, 10 * F.log10(F.col("d1") / F.col("d0")))
+    draws = [mean_draws(x, keys, value, row_id, n, seed + k).withColumnRenamed("means", f"d{k}") for k, x in enumerate(sides)]
+    found = array_interval(draws[0].join(draws[1], keys), keys, F.zip_with("d0", "d1", lambda a, b: 10 * F.log10(b / a)))
     point = means[0].join(means[1], keys).select(*keys, (10 * F.log10(F.col("m1") / F.col("m0"))).alias("db"))
     return point.join(found, keys)
 
@@ -170,7 +236,7 @@ def fraction_intervals(df: DataFrame, keys: list[str], flag: Column, row_id: lis
     """keys, n, fraction, lo, hi: share of flagged rows and its bootstrap interval; null flags do not count."""
     rows = df.withColumn("__f", flag.cast("double"))
     per = rows.groupBy(*keys).agg(F.count("__f").alias("n"), F.avg("__f").alias("fraction"))
-    return per.where("n > 0").join(interval(mean_draws(rows, keys, "__f", row_id, n, seed), keys, F.col("mean")), keys, "left")
+    return per.where("n > 0").join(array_interval(mean_draws(rows, keys, "__f", row_id, n, seed), keys, F.col("means")), keys, "left")
 
 
 def difference_intervals(df: DataFrame, keys: list[str], value: str, first: Column, row_id: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
@@ -178,8 +244,8 @@ def difference_intervals(df: DataFrame, keys: list[str], value: str, first: Colu
     without both sides have no rows."""
     sides = [df.where(first), df.where(~first)]
     means = [x.groupBy(*keys).agg(F.avg(value).alias(f"m{k}")).dropna(subset=[f"m{k}"]) for k, x in enumerate(sides)]
-    draws = [mean_draws(x, keys, value, row_id, n, seed + k).withColumnRenamed("mean", f"d{k}") for k, x in enumerate(sides)]
-    found = interval(draws[0].join(draws[1], [*keys, "draw"]), keys, F.col("d1") - F.col("d0"))
+    draws = [mean_draws(x, keys, value, row_id, n, seed + k).withColumnRenamed("means", f"d{k}") for k, x in enumerate(sides)]
+    found = array_interval(draws[0].join(draws[1], keys), keys, F.zip_with("d0", "d1", lambda a, b: b - a))
     return means[0].join(means[1], keys).select(*keys, (F.col("m1") - F.col("m0")).alias("difference")).join(found, keys)
 
 
@@ -227,7 +293,8 @@ def spearman_intervals(df: DataFrame, keys: list[str], x: str, y: str, row_id: l
     per = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__u", "__v").alias("rho"), F.avg("__e").alias("__m"))
     draws = mean_draws(ranked, keys, "__e", row_id, n, seed).join(per, keys)
     # ties take from the ranks' spread; the effect is on the scale of untied ranks
-    found = interval(draws, keys, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho") + F.col("mean") - F.col("__m"))))
+    moved = F.transform("means", lambda m: F.when(m.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho") + m - F.col("__m")))))
+    found = array_interval(draws, keys, moved)
     return per.drop("__m").join(found, keys, "left")
 
 

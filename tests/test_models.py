@@ -204,3 +204,18 @@ def test_channel_pairs_by_cells(spark):
     for chunk in (100, 5000):  # with and without a channel that fills more than a chunk
         got = waveforms.channel_pairs(df, "c", "t", 60, 10, chunk).collect()
         assert {(r.i, r.j, r.bin): r.n for r in got} == want and len(got) == len(want)
+
+
+def test_draws_are_one_row_a_group(spark):
+    rows = [(i, None if i % 7 == 6 else i % 7, float(i % 11)) for i in range(700)]
+    df = spark.createDataFrame(rows, "i long, g long, v double").repartition(9)
+    sums = resampling.draw_sums(df, ["g"], {"s": F.col("v")}, ["i"], 40)
+    got = {r.g: r for r in sums.collect()}
+    assert sums.count() == len(got) == 7  # whatever the number of partitions that a group's rows lie in
+    hashes = dict(df.select("i", F.xxhash64(F.lit(0), "i").alias("h")).collect())
+    for g in (None, 0, 5):
+        own = [r for r in rows if r[1] == g]
+        weights = resampling._poisson(np.array([hashes[r[0]] for r in own]), np.arange(40))
+        assert np.allclose(got[g].w, weights.sum(0)) and np.allclose(got[g].s, np.array([r[2] for r in own]) @ weights)
+    whole = resampling.draw_sums(df, [], {"s": F.col("v")}, ["i"], 40).collect()
+    assert len(whole) == 1 and np.allclose(whole[0].w, sum(np.array(r.w) for r in got.values()))
