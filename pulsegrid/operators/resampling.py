@@ -315,7 +315,8 @@ def fake_onsets(intervals: DataFrame, keys: list[str], n: int, apart: int, seed:
     draws = draws.select(*keys, "__k", at.alias("__at"))
     pieces = laid.select(*[F.col(k).alias(f"__{k}") for k in keys], "start", "__from", (F.col("__from") + length).alias("__to"))
     on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("__at") >= F.col("__from"), F.col("__at") < F.col("__to")]
-    placed = draws.join(pieces, on).select(*keys, (F.col("start") + F.col("__at") - F.col("__from")).alias("onset"), "__k")
+    # draws are many for each channel, which Spark's estimate does not see: they are dealt, never broadcast
+    placed = draws.join(pieces.hint("merge"), on).select(*keys, (F.col("start") + F.col("__at") - F.col("__from")).alias("onset"), "__k")
 
     def reject(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by channel, in the order of the draws."""

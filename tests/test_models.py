@@ -219,3 +219,9 @@ def test_draws_are_one_row_a_group(spark):
         assert np.allclose(got[g].w, weights.sum(0)) and np.allclose(got[g].s, np.array([r[2] for r in own]) @ weights)
     whole = resampling.draw_sums(df, [], {"s": F.col("v")}, ["i"], 40).collect()
     assert len(whole) == 1 and np.allclose(whole[0].w, sum(np.array(r.w) for r in got.values()))
+
+
+def test_fake_onsets_never_broadcast_their_draws(spark):
+    df = spark.createDataFrame([(1, 0, 1000), (2, 0, 500)], "c long, start long, end long")
+    plan = resampling.fake_onsets(df, ["c"], 30, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
