@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import stats
 from .carry import sorted_groups
-from .resampling import sum_draws
+from .resampling import draw_sums
 
 #: Values that a normality test sees of a group.
 SAMPLE = 5000
@@ -143,45 +144,83 @@ def _rows(table: pa.Table, keys: list[str], rows: list[tuple]) -> Iterator[pa.Re
 def fixed_groups(df: DataFrame, keys: list[str], y: str, terms: list[str], group: str, row_id: list[str], n: int = 200, seed: int = 0) -> DataFrame:
     """The same rows by least squares with a level for each group instead, and intervals over resamples of rows.
 
-    The intercept is the level of the group that comes first. Levels are eliminated by each group's own sums, so no matrix
-    grows with the number of groups; a resample without the first group, or without a solution, is left out.
+    The intercept is the level of the group that comes first. Levels are eliminated by each group's own sums: a task adds
+    what is left of its groups up and hands on one row for each key, with an entry for each resample; so no matrix and no
+    task grows with the number of groups. A resample without the first group, or without a solution, is left out.
     """
     rows = df.dropna(subset=[y, *terms, group])
     pairs = _products(terms)
     col = lambda c: F.lit(1.0) if c == "1" else F.col(y if c == "y" else c).cast("double")
     products = {f"__{k}": col(a) * col(b) for k, (a, b) in enumerate(pairs)}
-    plain = rows.groupBy(*keys, group).agg(*[F.sum(c).alias(x) for x, c in products.items()])
-    names = [*keys, group, "draw", *products]
-    drawn = plain.withColumn("draw", F.lit(-1).cast("long")).select(*names)
+    names = [*keys, group, *products]
+    # the rows as they are come first, then the resamples
+    sums = rows.groupBy(*keys, group).agg(*[F.sum(c).alias(x) for x, c in products.items()]).select(*keys, group, *[F.array(x).alias(x) for x in products])
     if n:
-        drawn = drawn.unionByName(sum_draws(rows, [*keys, group], products, row_id, n, seed).select(*names))
+        drawn = draw_sums(rows, [*keys, group], products, row_id, n, seed).select(*keys, group, *[F.col(x).alias(f"d{x}") for x in products])
+        sums = sums.join(drawn, [*keys, group]).select(*keys, group, *[F.concat(x, f"d{x}").alias(x) for x in products])
+    m, size = len(terms), n + 1
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each key the eliminated sums of its groups, and the sums of the first of them; a slice of groups at once."""
+        held: dict[tuple, list] = {}
+        step = max(1, (1 << 18) // size)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                own = batch.slice(lo, step)
+                values = {p: own.column(f"__{k}").flatten().to_numpy().reshape(-1, size) for k, p in enumerate(pairs)}
+                sxx, sxy, _ = _sums(values, terms)
+                count = sxx[..., 0, 0]
+                safe = np.where(count > 0, count, 1)
+                within = sxx[..., 1:, 1:] - sxx[..., 0, 1:, None] * sxx[..., 0, None, 1:] / safe[..., None, None]
+                against = sxy[..., 1:] - sxx[..., 0, 1:] * (sxy[..., 0] / safe)[..., None]
+                within[count <= 0], against[count <= 0] = 0.0, 0.0
+                found = own.select(keys).to_pylist()
+                of: dict[tuple, list[int]] = {}
+                for i, r in enumerate(found):
+                    of.setdefault(tuple(r[k] for k in keys), []).append(i)
+                named = own.column(group).to_pylist()
+                for key, at in of.items():
+                    f = min(at, key=lambda i: named[i])
+                    level = np.concatenate([sxx[f, :, 0, :], sxy[f, :, :1]], 1)
+                    more = [named[f], level, within[at].sum(0), against[at].sum(0), len(at), int(count[at, 0].sum())]
+                    if key in held:
+                        was = held[key]
+                        head = was[:2] if was[0] <= more[0] else more[:2]
+                        more = [*head, *[a + b for a, b in zip(was[2:], more[2:])]]
+                    held[key] = more
+        if held:
+            lists = lambda k: pa.array([v[k].ravel().tolist() for v in held.values()], pa.list_(pa.float64()))
+            columns = [pa.array([k[i] for k in held], key_types[i]) for i in range(len(keys))]
+            columns += [pa.array([v[0] for v in held.values()], group_type), lists(1), lists(2), lists(3)]
+            columns += [pa.array([v[k] for v in held.values()], pa.int64()) for k in (4, 5)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "__group", "__level", "__within", "__against", "__groups", "__obs"])
+
+    key_types = [to_arrow_type(df.schema[k].dataType) for k in keys]
+    group_type = to_arrow_type(df.schema[group].dataType)
+    kept = f"__group {df.schema[group].dataType.simpleString()}, __level array<double>, __within array<double>, __against array<double>, __groups long, __obs long"
+    parts = sums.select(*names).mapInArrow(reduce, f"{_lead(df, keys)}, {kept}")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in sorted_groups(batches, keys):
             out: list[tuple] = []
+            get = lambda c, *shape: pa.concat_arrays(table.column(c).chunks).flatten().to_numpy().reshape(-1, size, *shape)
+            levels, within, against = get("__level", m + 2), get("__within", m, m), get("__against", m)
+            groups, obs = table.column("__groups").to_numpy(), table.column("__obs").to_numpy()
             for a, b in zip(cuts, cuts[1:]):
-                draw, names = table.column("draw").to_numpy()[a:b], table.column(group)[a:b].to_pylist()
-                values = {p: table.column(f"__{k}").to_numpy()[a:b] for k, p in enumerate(pairs)}
-                sxx, sxy, _ = _sums(values, terms)
-                count, first = sxx[:, 0, 0], np.array([x == min(names) for x in names])
-                safe = np.where(count > 0, count, 1)
-                within = sxx[:, 1:, 1:] - np.einsum("gi,gj->gij", sxx[:, 0, 1:], sxx[:, 0, 1:]) / safe[:, None, None]
-                against = sxy[:, 1:] - sxx[:, 0, 1:] * (sxy[:, 0] / safe)[:, None]
+                first, total, other = levels[a], within[a:b].sum(0), against[a:b].sum(0)  # sorted by the first group
                 found = {}
-                for d in np.unique(draw).tolist():
-                    at = (draw == d) & (count > 0)
-                    if not (at & first).any() or np.linalg.matrix_rank(m := within[at].sum(0)) < len(terms):
+                for d in range(size):
+                    count = first[d, 0]
+                    if count <= 0 or np.linalg.matrix_rank(total[d]) < m:
                         continue
-                    slopes = np.linalg.solve(m, against[at].sum(0))
-                    f = int(np.flatnonzero(at & first)[0])
-                    found[d] = np.append((sxy[f, 0] - sxx[f, 0, 1:] @ slopes) / count[f], slopes)
-                own = draw == -1
-                if own.sum() < 2 or -1 not in found:
+                    slopes = np.linalg.solve(total[d], other[d])
+                    found[d] = np.append((first[d, -1] - first[d, 1 : m + 1] @ slopes) / count, slopes)
+                if groups[a:b].sum() < 2 or 0 not in found:
                     continue
-                draws = np.array([v for d, v in found.items() if d >= 0])
+                draws = np.array([v for d, v in found.items() if d > 0])
                 for k, term in enumerate(["intercept", *terms]):
                     lo, hi = np.percentile(draws[:, k], [2.5, 97.5]).tolist() if len(draws) else (None, None)
-                    out.append((a, term, float(found[-1][k]), lo, hi, None, None, int(count[own].sum()), int(own.sum()), True, "fixed_groups"))
+                    out.append((a, term, float(found[0][k]), lo, hi, None, None, int(obs[a:b].sum()), int(groups[a:b].sum()), True, "fixed_groups"))
             yield from _rows(table, keys, out)
 
-    return drawn.repartition(*keys).sortWithinPartitions(*keys, group, "draw").mapInArrow(solve, f"{_lead(df, keys)}, {FIELDS}")
+    return parts.repartition(*keys).sortWithinPartitions(*keys, "__group").mapInArrow(solve, f"{_lead(df, keys)}, {FIELDS}")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -225,3 +226,12 @@ def test_fake_onsets_never_broadcast_their_draws(spark):
     df = spark.createDataFrame([(1, 0, 1000), (2, 0, 500)], "c long, start long, end long")
     plan = resampling.fake_onsets(df, ["c"], 30, 5)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_fixed_groups_take_many_groups(spark):
+    df = spark.range(12000).select(F.lit("k").alias("k"), "id", (F.col("id") % 4000).alias("g"), F.rand(3).alias("x"))
+    df = df.withColumn("y", 2 * F.col("x") + F.col("g") + F.lit(0.0))
+    began = time.time()
+    got = {r.term: r for r in models.fixed_groups(df, ["k"], "y", ["x"], "g", ["id"], 30).collect()}
+    assert time.time() - began < 60  # was squared in groups times draws
+    assert abs(got["x"].estimate - 2) < 1e-6 and got["x"].n_groups == 4000 and got["x"].lo <= 2 + 1e-6 and got["x"].hi >= 2 - 1e-6
