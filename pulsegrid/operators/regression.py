@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import dsp
 from .carry import sorted_groups
 from .pairing import theil_sen
-from .resampling import sum_draws
+from .resampling import draw_sums
 
 
 def ols(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3) -> DataFrame:
@@ -314,8 +314,8 @@ def i50_intervals(
     """
     levels = dose_levels(df, keys, current, response)
     known = df.where(F.col(current).isNotNull() & F.col(response).isNotNull()).withColumn("x", F.col(current).cast("double"))
-    drawn = sum_draws(known, [*keys, "x"], {"s": F.col(response)}, row_id, n, seed).where("w > 0")
-    drawn = drawn.groupBy(*keys, "x").agg(F.collect_list(F.struct("draw", (F.col("s") / F.col("w")).alias("m"))).alias("draws"))
+    drawn = draw_sums(known, [*keys, "x"], {"s": F.col(response)}, row_id, n, seed)
+    drawn = drawn.select(*keys, "x", F.zip_with("s", "w", lambda s, w: F.when(w > 0, s / w)).alias("draws"))
     both = levels.join(drawn, [*keys, "x"])
     lead = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -325,18 +325,13 @@ def i50_intervals(
             groups = [(*(c[a:b] for c in cols[:3]), 0.0, float(cols[4][a:b].max()) if cols[4][a:b].max() > 0 else 1.0) for a, b in zip(cuts, cuts[1:])]
             enough = [g for g, own in enumerate(groups) if len(own[0]) >= 3 and own[1].sum() >= 4]
             best = dsp.best_sigmoids([groups[g] for g in enough])
-            draws = table.column("draws").combine_chunks()
-            draws = draws.chunk(0) if isinstance(draws, pa.ChunkedArray) else draws
-            offsets, drawn = draws.offsets.to_numpy(), draws.values
+            drawn = pa.concat_arrays(table.column("draws").chunks).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
             rows = []
             for i, (p, _) in sorted(best.items()):
                 x, count, mean, _, top = groups[enough[i]]
                 lo, hi, *_ = dsp.sigmoid_bounds(x, top)
-                means = np.repeat(mean[None], n, 0)  # a current that drew nothing keeps its trials as they are
-                at = cuts[enough[i]]
-                flat = drawn.slice(offsets[at], offsets[at + len(x)] - offsets[at]).flatten()
-                level = np.repeat(np.arange(len(x)), np.diff(offsets[at : at + len(x) + 1]))
-                means[flat[0].to_numpy(), level] = flat[1].to_numpy()
+                own = drawn[cuts[enough[i]] : cuts[enough[i]] + len(x)].T
+                means = np.where(np.isnan(own), mean, own)  # a current that drew nothing keeps its trials as they are
                 many = [np.repeat(a[None], n, 0) for a in (x, np.sqrt(count) / top, p, lo, hi)]
                 got, cost = dsp.fit_sigmoids(many[0], means, *many[1:], rounds=40)
                 ended = np.isfinite(cost)
