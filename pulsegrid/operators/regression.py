@@ -345,6 +345,10 @@ def i50_intervals(
     return dealt.mapInArrow(fit, f"{lead}, i50 double, lo double, hi double, converged double")
 
 
+#: Fits that are sent to every task.
+MOST_BROADCAST = 1000
+
+
 def covariate_regression(df: DataFrame, keys: list[str], y: str, terms: list[str]) -> DataFrame:
     """Least squares of y on several terms with heteroscedasticity-robust (HC1) standard errors, per group.
 
@@ -373,7 +377,9 @@ def covariate_regression(df: DataFrame, keys: list[str], y: str, terms: list[str
             yield pd.DataFrame(out, columns=[*keys, "beta", "inverse", "n_rows"])
 
     solved = sums.mapInPandas(solve, shape + ", beta array<double>, inverse array<double>, n_rows long")
-    fitted = rows.join(solved, keys)
+    # where groups are few their fits go to the rows: dealt by group, all rows would lie in as few tasks
+    few = sums.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    fitted = rows.join(F.broadcast(solved) if few else solved, keys)
     residual = F.col(y) - sum((F.col("beta")[i] * F.col(c) for i, c in enumerate(cols)), F.lit(0.0))
     fitted = fitted.withColumn("__e2", residual * residual)
     meat = [F.sum(F.col("__e2") * F.col(a) * F.col(b)).alias(f"m{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]
