@@ -113,7 +113,9 @@ def decade_votes(flags: DataFrame, run: str, channel: str) -> DataFrame:
 
     flags: run, channel, residual, shift as from `decade_mislabels`; a channel is tested when it has a residual anywhere.
     """
-    tested = flags.withColumn("__on", F.max(F.col("residual").isNotNull()).over(Window.partitionBy(channel)))
+    # one row a channel, sent to the runs: a window over a channel would be all of its runs in one task
+    on = flags.where(F.col("residual").isNotNull()).select(channel).distinct().withColumn("__on", F.lit(True))
+    tested = flags.join(F.broadcast(on), channel, "left")
     tally = flags.where("shift <> 0").groupBy(run, "shift").agg(F.count_distinct(channel).alias("n"))
     best = tally.groupBy(run).agg(F.max_by("shift", F.struct("n", "shift")).alias("shift"), F.max("n").alias("n_agree"))
     per = tested.groupBy(run).agg(F.count_distinct(F.when(F.col("__on"), F.col(channel))).alias("n_tested")).join(best, run, "left")
