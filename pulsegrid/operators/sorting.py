@@ -159,12 +159,16 @@ def force_by_neighbours(
             c, names = right.column("c").to_numpy(), left.column("id").to_pylist()
             for lo in range(0, len(x), 256):
                 d = np.sqrt(((x[lo : lo + 256, None, :] - y[None]) ** 2).sum(2)) if len(y) * x.shape[1] < 1 << 17 else np.stack([np.sqrt(((a - y) ** 2).sum(1)) for a in x[lo : lo + 256]])
-                for i, row in enumerate(d):
-                    order = np.lexsort((c, row))[:k]
-                    order = order[row[order] < reach]
-                    ids += [names[lo + i]] * len(order)
-                    far += row[order].tolist()
-                    classes += c[order].tolist()
+                # those beyond the k-th distance are out; only the rest is sorted
+                edge = np.partition(d, k - 1, 1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+                i, j = np.nonzero((d <= edge) & (d < reach))
+                order = np.lexsort((c[j], d[i, j], i))
+                i, j = i[order], j[order]
+                kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[kept], j[kept]
+                ids += [names[lo + r] for r in i.tolist()]
+                far += d[i, j].tolist()
+                classes += c[j].tolist()
         from pyspark.sql.pandas.types import to_arrow_type
 
         return pa.table({"id": pa.array(ids, to_arrow_type(id_type)), "d": pa.array(far, pa.float64()), "c": pa.array(classes, pa.int64())})
