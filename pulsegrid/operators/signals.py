@@ -56,19 +56,46 @@ def epochs(blocks: DataFrame, events: DataFrame, lo: int, hi: int, pad: int = 0,
     )
 
 
-def per_row(arrays: DataFrame, kernel: Callable[[pd.Series], pd.DataFrame], schema: str) -> DataFrame:
-    """kernel's rows for each row of arrays (epochs or channels)."""
+def per_batch(arrays: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """kernel's rows for each batch of rows of arrays (epochs or channels)."""
 
     def run(batches):
         for batch in batches:
-            for k in range(len(batch)):
-                got = kernel(batch.iloc[k])
+            if len(batch):
+                got = kernel(batch)
                 if len(got):
                     yield got
 
     return arrays.mapInPandas(run, schema)
 
 
+def per_row(arrays: DataFrame, kernel: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
+    """kernel's rows, in the order of schema, for each row of arrays (epochs or channels); a batch's rows go out together."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def rows(batch: pd.DataFrame) -> pd.DataFrame:
+        columns = [batch[c].tolist() for c in batch.columns]
+        return pd.DataFrame([out for row in zip(*columns) for out in kernel(dict(zip(batch.columns, row)))], columns=names)
+
+    return per_batch(arrays, rows, schema)
+
+
+#: Numbers that a batch of epochs is filtered in at once.
+NUMBERS_AT_ONCE = 1 << 21
+
+
+def padded(batch: pd.DataFrame, before: int, behind: int):
+    """Rows of a batch and their epochs as rows of a matrix, each with `before` samples in front of its event and `behind`
+    from there on, reflected where the recording ends; a slice of them at once."""
+    step = max(1, NUMBERS_AT_ONCE // (before + behind))
+    for lo in range(0, len(batch), step):
+        own, rows = batch.iloc[lo : lo + step], []
+        for x, zero in zip(own["x"], own["zero"]):
+            x, lacking = np.asarray(x, float), (before - int(zero), behind - (len(x) - int(zero)))
+            rows.append(np.pad(x, lacking, mode="reflect") if any(lacking) else x)
+        yield own, np.stack(rows)
+
+
 TRIAL_POWER = "run_id string, channel string, event_number long, band string, win string, power_uv2 double"
 
 
@@ -85,19 +112,18 @@ def event_power(
     lo, hi, pad = min(at(a) for a, _ in spans), max(at(b) for _, b in spans), at(pad_ms)
     names = [c.split()[0] for c in TRIAL_POWER.split(", ")]
 
-    def kernel(row: pd.Series) -> pd.DataFrame:
-        x, zero = np.asarray(row["x"], float), int(row["zero"])
-        x = np.pad(x, (pad - lo - zero, pad + hi - (len(x) - zero)), mode="reflect")
-        zero = pad - lo
-        y, out = dsp.blank(x, [(zero + at(blank_ms[0]), zero + at(blank_ms[1]))]), []
-        for band, (f1, f2) in bands.items():
-            z = dsp.sosfiltfilt(dsp.butter_sos(order, f1, f2, rate_hz), y)
-            for name, (a, b) in windows.items():
-                w = z[zero + at(a) : zero + at(b)]
-                out.append((row["run_id"], row["channel"], row["event_number"], band, name, float((w**2).mean())))
-        return pd.DataFrame(out, columns=names)
+    def kernel(batch: pd.DataFrame) -> pd.DataFrame:
+        out, zero = [], pad - lo
+        for own, x in padded(batch, zero, pad + hi):
+            y = np.stack([dsp.blank(r, [(zero + at(blank_ms[0]), zero + at(blank_ms[1]))]) for r in x])
+            for band, (f1, f2) in bands.items():
+                z = dsp.sosfiltfilt(dsp.butter_sos(order, f1, f2, rate_hz), y)
+                for name, (a, b) in windows.items():
+                    power = (z[:, zero + at(a) : zero + at(b)] ** 2).mean(1)
+                    out.append(own[["run_id", "channel", "event_number"]].assign(band=band, win=name, power_uv2=power))
+        return pd.concat(out)[names]
 
-    return per_row(epochs(blocks, events, lo, hi, pad, block_size), kernel, TRIAL_POWER)
+    return per_batch(epochs(blocks, events, lo, hi, pad, block_size), kernel, TRIAL_POWER)
 
 
 RECOVERY = "run_id string, channel string, event_number long, baseline_sd_uv double, threshold_uv double, recovery_ms double, censored boolean"
@@ -112,9 +138,9 @@ def event_recovery(
     The threshold is k baseline deviations (n - 1), at least floor_uv; an epoch that never settles is censored at its end.
     """
     at = lambda ms: dsp.half_even(ms * rate_hz / 1000)
-    quiet, names = max(1, at(quiet_ms)), [c.split()[0] for c in RECOVERY.split(", ")]
+    quiet = max(1, at(quiet_ms))
 
-    def kernel(row: pd.Series) -> pd.DataFrame:
+    def kernel(row: dict) -> list[tuple]:
         x, zero = np.asarray(row["x"], float), int(row["zero"])
         base = x[: zero + at(baseline_ms[1])]
         sd = float(base.std(ddof=1)) if len(base) > 1 else 0.0
@@ -127,7 +153,7 @@ def event_recovery(
             time, censored = (before[-1] + 1 if len(before) else 0) / rate_hz * 1000, False
         else:
             time, censored = len(above) / rate_hz * 1000, True
-        return pd.DataFrame([(row["run_id"], row["channel"], row["event_number"], sd, limit, float(time), censored)], columns=names)
+        return [(row["run_id"], row["channel"], row["event_number"], sd, limit, float(time), censored)]
 
     return per_row(epochs(blocks, events, at(baseline_ms[0]), at(span_ms), 0, block_size), kernel, RECOVERY)
 
@@ -136,10 +162,9 @@ def spectra(arrays: DataFrame, rate_hz: float, nperseg: int, bands: dict[str, tu
     """run_id, channel, segment, band, power_uv2 from Welch spectra: a band's power, or with a comb the mean density of its
     bins that are not near a harmonic."""
 
-    def kernel(row: pd.Series) -> pd.DataFrame:
+    def kernel(row: dict) -> list[tuple]:
         f, p = dsp.welch(np.asarray(row["x"], float), rate_hz, nperseg)
         value = lambda lo, hi: dsp.band_mean(f, p, lo, hi, comb_hz) if comb_hz else dsp.band_power(f, p, lo, hi)
-        out = [(row["run_id"], row["channel"], row["segment"], b, value(lo, hi) if len(f) else None) for b, (lo, hi) in bands.items()]
-        return pd.DataFrame(out, columns=["run_id", "channel", "segment", "band", "power_uv2"])
+        return [(row["run_id"], row["channel"], row["segment"], b, value(lo, hi) if len(f) else None) for b, (lo, hi) in bands.items()]
 
     return per_row(arrays, kernel, "run_id string, channel string, segment long, band string, power_uv2 double")
