@@ -197,16 +197,6 @@ def test_pseudo_onsets(spark):
     assert len(moved) == 3 and all(0 <= r.onset - (5 + 20 * r.event_number) <= 6 for r in moved)
 
 
-def test_channel_pairs_by_cells(spark):
-    rng = np.random.default_rng(4)
-    rows = [(int(c), int(t)) for c, t in zip(rng.integers(0, 12, 600), rng.integers(0, 4000, 600))] + [(20, int(t)) for t in rng.integers(0, 4000, 200)]
-    df = spark.createDataFrame(rows, "c long, t long")
-    want = Counter((i, j, (b - a) // 10) for i, a in rows for j, b in rows if i < j and abs(b - a) <= 60)
-    for chunk in (100, 5000):  # with and without a channel that fills more than a chunk
-        got = waveforms.channel_pairs(df, "c", "t", 60, 10, chunk).collect()
-        assert {(r.i, r.j, r.bin): r.n for r in got} == want and len(got) == len(want)
-
-
 def test_draws_are_one_row_a_group(spark):
     rows = [(i, None if i % 7 == 6 else i % 7, float(i % 11)) for i in range(700)]
     df = spark.createDataFrame(rows, "i long, g long, v double").repartition(9)
@@ -222,12 +212,6 @@ def test_draws_are_one_row_a_group(spark):
     assert len(whole) == 1 and np.allclose(whole[0].w, sum(np.array(r.w) for r in got.values()))
 
 
-def test_fake_onsets_never_broadcast_their_draws(spark):
-    df = spark.createDataFrame([(1, 0, 1000), (2, 0, 500)], "c long, start long, end long")
-    plan = resampling.fake_onsets(df, ["c"], 30, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" not in plan
-
-
 def test_fixed_groups_take_many_groups(spark):
     df = spark.range(12000).select(F.lit("k").alias("k"), "id", (F.col("id") % 4000).alias("g"), F.rand(3).alias("x"))
     df = df.withColumn("y", 2 * F.col("x") + F.col("g") + F.lit(0.0))
@@ -235,3 +219,19 @@ def test_fixed_groups_take_many_groups(spark):
     got = {r.term: r for r in models.fixed_groups(df, ["k"], "y", ["x"], "g", ["id"], 30).collect()}
     assert time.time() - began < 60  # was squared in groups times draws
     assert abs(got["x"].estimate - 2) < 1e-6 and got["x"].n_groups == 4000 and got["x"].lo <= 2 + 1e-6 and got["x"].hi >= 2 - 1e-6
+
+
+def test_fake_onsets_never_broadcast_their_draws(spark):
+    df = spark.range(2).select(F.col("id").alias("c"), F.lit(0).cast("long").alias("start"), (F.col("id") * 500 + 500).alias("end"))  # known to be small
+    plan = resampling.fake_onsets(df, ["c"], 30, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_channel_pairs_by_cells(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(c), int(t)) for c, t in zip(rng.integers(0, 12, 600), rng.integers(0, 4000, 600))] + [(20, int(t)) for t in rng.integers(0, 4000, 200)]
+    df = spark.createDataFrame(rows, "c long, t long")
+    want = Counter((i, j, (b - a) // 10) for i, a in rows for j, b in rows if i < j and abs(b - a) <= 60)
+    for chunk in (100, 5000):  # with and without a channel that fills more than a chunk
+        got = waveforms.channel_pairs(df, "c", "t", 60, 10, chunk).collect()
+        assert {(r.i, r.j, r.bin): r.n for r in got} == want and len(got) == len(want)
