@@ -257,11 +257,17 @@ def residual_covariates(df: DataFrame, keys: list[str], covariate: str, residual
 
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Counts, and the skewness of values and of the logarithms of positive ones."""
+    """Counts, the skewness of values and of the logarithms of positive ones, and the scale to analyse them on by these:
+    insufficient (fewer than three values), raw where some are not positive, log where that is less skewed, else raw."""
     logs = df.withColumn("__log", F.when(F.col(value) > 0, F.log10(value)))
-    return logs.groupBy(*keys).agg(
+    per = logs.groupBy(*keys).agg(
         F.count(value).alias("n"), F.count_if(F.col(value) <= 0).alias("n_nonpositive"), F.skewness(value).alias("skew"), F.skewness("__log").alias("log_skew")
     )
+    scale = (
+        F.when(F.col("n") < 3, "insufficient").when(F.col("n_nonpositive") > 0, "raw (non-positive values present)")
+        .when(F.abs("log_skew") < F.abs("skew"), "log").otherwise("raw")
+    )
+    return per.withColumn("scale", scale)
 
 
 def dose_levels(df: DataFrame, keys: list[str], current: str, response: str) -> DataFrame:

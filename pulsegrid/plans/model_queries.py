@@ -375,7 +375,8 @@ FROM m a JOIN m b ON a.channel < b.channel AND abs(b.t - a.t) <= {HOUR} GROUP BY
         lambda s, d: six(reg.moments(shifted(s, d), ["contact"], "v")),
         f"""WITH {SHIFTED}
 ), q AS (SELECT contact, count(*) AS n, count(*) FILTER (WHERE v <= 0) AS np, avg(pow(v - m, 3)) / pow(var_pop(v), 1.5) AS sk, avg(pow(l - lm, 3)) / pow(var_pop(l), 1.5) AS ls FROM c GROUP BY contact)
-SELECT contact, n, np AS n_nonpositive, round(sk, 6) + 0.0 AS skew, round(ls, 6) + 0.0 AS log_skew FROM q""",
+SELECT contact, n, np AS n_nonpositive, round(sk, 6) + 0.0 AS skew, round(ls, 6) + 0.0 AS log_skew,
+       CASE WHEN n < 3 THEN 'insufficient' WHEN np > 0 THEN 'raw (non-positive values present)' WHEN abs(ls) < abs(sk) THEN 'log' ELSE 'raw' END AS scale FROM q""",
     ),
     "normality_checks": Query(lambda s, d: six(models.normality_checks(shifted(s, d), ["contact"], "v", TRIAL_ID))),
     "normal_quantile_points": Query(

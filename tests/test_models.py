@@ -235,3 +235,10 @@ def test_channel_pairs_by_cells(spark):
     for chunk in (100, 5000):  # with and without a channel that fills more than a chunk
         got = waveforms.channel_pairs(df, "c", "t", 60, 10, chunk).collect()
         assert {(r.i, r.j, r.bin): r.n for r in got} == want and len(got) == len(want)
+
+
+def test_moments_tell_the_scale(spark):
+    groups = {"few": [1.0, 2.0], "other": [-1.0, 2.0, 3.0], "log": [1.0, 10.0, 100.0, 1000.0], "raw": [1.0, 2.0, 3.0, 4.0]}
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double")
+    got = {r.g: r.scale for r in regression.moments(df, ["g"], "v").collect()}
+    assert got == {"few": "insufficient", "other": "raw (non-positive values present)", "log": "log", "raw": "raw"}
