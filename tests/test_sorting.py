@@ -102,6 +102,20 @@ def knee_by_hand(scores, most, least, nd=10):
     return int(min(most, max(least, most - (above[hit[0]] + nd // 2) + 1)))
 
 
+def test_ranges_are_cut_by_exact_counts(spark):
+    rng = np.random.default_rng(8)
+    values = {0: rng.normal(size=400), 1: np.round(rng.exponential(5, 300)), 2: np.full(5, 2.5), 3: np.array([1e300, 0.0, 1.0, 1.0, np.inf, np.nan, -3.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "g int, y double").repartition(5)
+    got = waveforms.ranked(df, "g", "y", 8)
+    assert "percentile_approx" not in got._jdf.queryExecution().toString()  # merges by order of arrival, so differs when computed again
+    for k, vs in values.items():
+        rows = sorted((np.nan_to_num(r.y, nan=np.inf, posinf=1.7e308), r.lower, r.upper) for r in got.where(f"g = {k}").collect())
+        vs = np.sort(np.nan_to_num(vs, nan=np.inf, posinf=1.7e308))
+        assert len(rows) == len(vs)
+        for v, lower, upper in rows:
+            assert lower == pytest.approx((vs < v).mean()) and upper == pytest.approx((vs <= v).mean())
+
+
 def test_features_above_the_knee(spark):
     rng = np.random.default_rng(6)
     seen = set()
