@@ -65,7 +65,8 @@ def scope_pulses(samples: DataFrame, runs: DataFrame, c: Capture = Capture()) ->
         F.count("*").alias("n"), F.min_by("foot", "epoch_s").alias("edge_s"), F.max("epoch_s").alias("last_s"), F.first("width_s").alias("labelled"),
     )
     found = found.withColumn("width_s", F.col("last_s") - F.col("edge_s")).where((F.col("n") >= 3) & (F.col("width_s") >= c.least_width * F.col("labelled")))
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy("edge_s")) - 1
+    # pulses on one ramp have the same edge
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("edge_s", "last_s")) - 1
     return found.select("run_id", place.alias("pulse"), "edge_s", "width_s")
 
 

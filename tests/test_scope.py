@@ -104,3 +104,19 @@ def test_noise_has_no_pulses(spark):
     samples = spark.createDataFrame([("n", 100 + 0.01 * k, float(x)) for k, x in enumerate(rng.normal(size=3000))], "run_id string, epoch_s double, lead double")
     runs = spark.createDataFrame([("n", 105.0, 4, 0.3, 4.0)], "run_id string, onset_s double, n_expected int, width_s double, interval_s double")
     assert scope.scope_pulses(samples, runs).collect() == []
+
+
+def test_pulses_on_one_ramp_are_numbered_by_their_ends(spark):
+    def trace(k):
+        v = 0.3 * np.sin(np.arange(900.0) + k) * 0.01
+        v[200:560] = 4  # above the low floor throughout
+        v[220:250] = v[400 + k % 50 : 500 + k % 50] = 10
+        return v
+
+    rows = [(k, 100 + 0.01 * j, float(x)) for k in range(40) for j, x in enumerate(trace(k))]
+    samples = spark.createDataFrame(rows, "run_id int, epoch_s double, lead double").repartition(7)
+    runs = spark.createDataFrame([(k, 101.0, 2, 0.3, 1.0) for k in range(40)], "run_id int, onset_s double, n_expected int, width_s double, interval_s double")
+    found = scope.scope_pulses(samples, runs, scope.Capture())
+    got = found.orderBy("run_id", "pulse").toPandas()
+    assert len(got) == 80 and got.groupby("run_id").edge_s.nunique().eq(1).all()
+    assert list(got.pulse) == [0, 1] * 40 and (got.width_s[1::2].values > got.width_s[::2].values).all()
