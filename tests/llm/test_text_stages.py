@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -443,6 +444,24 @@ def test_secrets_the_network_adds(table):
     assert net.recall >= 0.9 and net.precision > 0.8
 
 
+def test_secrets_are_learned_from_all_documents(table, monkeypatch):
+    """Every candidate of every document counts, none is left out by a sample; more shards learn as well as one."""
+    rows = secret_rows()
+    many = "\n".join(f"secret = {zlib.crc32(b'%d' % k):08x}{k:08x}" for k in range(1700))  # over 4,000 positives
+    rows += [(5000, many)]
+    want = [0, 0, 0]
+    for i, text in rows:
+        found = secrets.labelled(text, np.random.default_rng([7, zlib.crc32(text.encode())]))
+        want[secrets.part_of(i)] += sum(w is not None for _, w in found)
+    net = secrets.fit(table(rows))
+    assert net.learned == tuple(want) and sum(want) > 8000
+    monkeypatch.setattr(secrets, "SHARD", 100)
+    net = secrets.fit(table(secret_rows()))
+    again = secrets.fit(table(secret_rows()[::-1]).repartition(5))
+    assert net.recall >= 0.9 and net.precision > 0.8
+    assert (net.kernel == again.kernel).all() and (net.scale == again.scale).all() and net.threshold == again.threshold
+
+
 def test_secrets_candidates():
     text = "short1 Abcdefgh abcdefgh abcDefgh 12345678 abcdefghijklmnopqrstuvwxyzab a1b2c3d4 ABCDEFGH x=abcdefgh1"
     data = np.frombuffer(text.encode(), np.uint8)
