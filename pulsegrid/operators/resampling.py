@@ -8,6 +8,8 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -27,18 +29,75 @@ def _seed(key: tuple, seed: int) -> int:
     return zlib.crc32("|".join(map(str, key)).encode()) + seed
 
 
+#: Groups of up to this many values are resampled many at once.
+SMALL = 64
+
+
+@lru_cache(None)
+def _middles(m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of middle places (from 0, equal for odd m) of a resample of m values out of m, and their cumulated
+    probabilities."""
+    low = (m + 1) // 2
+    # resamples whose value at the middle lies at rank r or before
+    upto = [sum(comb(m, k) * r**k * (m - r) ** (m - k) for k in range(low, m + 1)) for r in range(m + 1)]
+    pairs = []
+    for a in range(1, m + 1):
+        apart = {}
+        if m % 2 == 0:
+            first = comb(m, low) * (a**low - (a - 1) ** low)
+            apart = {b: first * ((m - b + 1) ** low - (m - b) ** low) for b in range(a + 1, m + 1)}
+        pairs += [(a, a, upto[a] - upto[a - 1] - sum(apart.values())), *((a, b, w) for b, w in apart.items())]
+    sums, total = [], 0
+    for *_, w in pairs:
+        total += w
+        sums.append(total / m**m)
+    return np.array([p[0] for p in pairs]) - 1, np.array([p[1] for p in pairs]) - 1, np.array(sums)
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Whether keys of a equal those of b, which are named __k_...; nulls equal each other."""
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"__k_{k}"]) for k in keys])
+
+
 def median_intervals(df: DataFrame, keys: list[str], value: str, n: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """keys, n, median, lo, hi: each group's median and the percentile bootstrap interval of it.
 
     The median of a resample of m values is the value at a rank whose distribution depends on m alone: the middle order
     statistics of m uniform draws. So only ranks are drawn, `n` pairs for each group, and looked up among the ranked
-    values. A group's draws depend on its keys and the seed only. Nulls do not count; groups without values have no rows.
+    values. Groups of up to SMALL values are one row each with all of them, and the pairs of all groups of a size in a
+    batch are drawn at once, from the probabilities of each pair. A group's draws depend on its keys and the seed only.
+    Nulls do not count; groups without values have no rows.
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    ranked = known.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("__v")))
-    sizes = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("__v", 0.5).alias("median"))
+    group = Window.partitionBy(*keys)
+    ranked = known.withColumn("__r", F.row_number().over(group.orderBy("__v"))).withColumn("__n", F.count("*").over(group))
+    few = ranked.where(F.col("__n") <= SMALL).groupBy(*keys).agg(F.sort_array(F.collect_list("__v")).alias("__held"))
+    ranked = ranked.where(F.col("__n") > SMALL)
+    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("__v", 0.5).alias("median"))
 
     lead = _fields(df, keys)
+    schema = lead + ", n long, median double, lo double, hi double"
+
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("__held")
+            sizes, values = np.diff(held.offsets.to_numpy()).astype(int), held.flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            rows = zip(*(batch.column(k).to_pylist() for k in keys)) if keys else [()] * len(sizes)
+            seeds = np.array([_seed(key, seed) for key in rows], np.int64)
+            out = np.empty((3, len(sizes)))
+            for m in np.unique(sizes):
+                first, second, upto = _middles(int(m))
+                own = np.flatnonzero(sizes == m)
+                step = max(1, WEIGHTS_AT_ONCE // n)
+                for some in (own[lo : lo + step] for lo in range(0, len(own), step)):
+                    place = np.searchsorted(upto, _uniforms(seeds[some], np.arange(n)), "right")
+                    base = starts[some][:, None]
+                    medians = 0.5 * values[base + first[place]] + 0.5 * values[base + second[place]]
+                    out[0, some] = 0.5 * values[starts[some] + (m - 1) // 2] + 0.5 * values[starts[some] + m // 2]
+                    out[1:, some] = np.percentile(medians, [50 * alpha, 100 - 50 * alpha], axis=1)
+            cols = [*(batch.column(k) for k in keys), pa.array(sizes, pa.int64()), *map(pa.array, out)]
+            yield pa.RecordBatch.from_arrays(cols, [*keys, "n", "median", "lo", "hi"])
 
     def ranks(key: tuple, m: int) -> np.ndarray:
         """(2, n): the two middle ranks of each resample, equal for odd m."""
@@ -67,19 +126,28 @@ def median_intervals(df: DataFrame, keys: list[str], value: str, n: int = 1000,
 
     asked = sizes.select(*keys, "n").mapInPandas(wanted, lead + ", __r array<int>").select(*keys, F.explode("__r").alias("__r"))
     # as many values a group as there are distinct ranks, at most 2 n
-    held = asked.join(ranked, [*keys, "__r"]).groupBy(*keys).agg(F.collect_list(F.struct("__r", "__v")).alias("__held"))
-    return sizes.join(held, keys).mapInPandas(look_up, lead + ", n long, median double, lo double, hi double")
+    asked = asked.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__r").alias("__asked"))
+    met = ranked.join(asked, _same(ranked, asked, keys) & (ranked["__r"] == asked["__asked"]))
+    held = met.groupBy(*keys).agg(F.collect_list(F.struct("__r", "__v")).alias("__held"))
+    held = held.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__held")
+    told = sizes.join(held, _same(sizes, held, keys)).select(*keys, "n", "median", "__held").mapInPandas(look_up, schema)
+    return few.mapInArrow(at_once, schema).unionByName(told)
 
 
-def _poisson(rows: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Poisson(1) weights (rows, draws) that depend on a row's hash and the draw only."""
+def _uniforms(rows: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Uniform numbers from 0 to 1 (rows, draws) that depend on a row's hash and the draw only."""
     with np.errstate(over="ignore"):
         h = rows.astype(np.uint64)[:, None] + draws.astype(np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
         h ^= h >> np.uint64(31)
+    return (h >> np.uint64(11)) / float(1 << 53)
+
+
+def _poisson(rows: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights (rows, draws) that depend on a row's hash and the draw only."""
     cdf = np.cumsum(np.exp(-1.0) / np.cumprod([1, 1, 2, 3, 4, 5, 6, 7, 8, 9]))
-    return np.searchsorted(cdf, (h >> np.uint64(11)) / float(1 << 53)).astype(float)
+    return np.searchsorted(cdf, _uniforms(rows, draws)).astype(float)
 
 
 #: Weights (rows times draws) that a task holds at once.

@@ -1,5 +1,8 @@
 """Evoked responses, pulse trains, tails and resampling beside NumPy and planted truths."""
 
+import collections
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +174,27 @@ def test_medians_are_resampled_by_rank(spark):
         assert (got[g].lo, got[g].hi) == pytest.approx(tuple(want), abs=0.06) and got[g].median == pytest.approx(np.median(x))
 
 
+def test_medians_of_small_groups_are_resampled_at_once(spark):
+    """Pairs of middle places as often as in all resamples; groups of any size, those of a null key too, have rows."""
+    for m in (1, 2, 3, 4, 5):
+        seen = collections.Counter(tuple(sorted(x)[k] for k in ((m - 1) // 2, m // 2)) for x in itertools.product(range(m), repeat=m))
+        first, second, upto = resampling._middles(m)
+        assert {(a, b): n / m**m for (a, b), n in seen.items()} == pytest.approx(
+            {(a, b): p for a, b, p in zip(first.tolist(), second.tolist(), np.diff(upto, prepend=0)) if p}
+        )
+    rng = np.random.default_rng(12)
+    sizes = {None: 7, "": 1, "a": 64, "b": 65, "c": 6}
+    rows = [(g, h, float(v)) for g, m in sizes.items() for h in (None, 1) for v in rng.normal(size=m)]
+    rows += [(None, 2, float(v)) for v in rng.normal(size=70)]
+    df = spark.createDataFrame(rows, "g string, h int, v double")
+    got = {(r.g, r.h): r for r in resampling.median_intervals(df, ["g", "h"], "v", 3000).collect()}
+    assert set(got) == {(g, h) for g, h, _ in rows}
+    for key, r in got.items():
+        x = np.array([v for g, h, v in rows if (g, h) == key])
+        want = np.quantile(np.median(x[rng.integers(len(x), size=(8000, len(x)))], 1), [0.025, 0.975])
+        assert r.n == len(x) and r.median == pytest.approx(np.median(x)) and (r.lo, r.hi) == pytest.approx(tuple(want), abs=0.25)
+
+
 def test_means_are_resampled_in_parts(spark):
     rng = np.random.default_rng(11)
     rows = [(k, "a" if k % 2 else "b", float(np.exp(rng.normal())), float(np.exp(rng.normal(0.3)))) for k in range(600)]
