@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pairing as pair
+from ..operators.dealing import dealt
 from .bindings import DAY, HOUR, MARKERS, SIGNAL, TRIALS, load, markers, signal, trials
 from .query import Query
 
@@ -24,7 +25,8 @@ def rounded(df, *cols):
 def first_trials(s, d, side: int):
     """One row for each run and event number that has a retained trial in the window before (0) or behind (1) its pulse."""
     t = trials(s, d)
-    return t.where(F.col("tax") > 0.01 if side == 0 else F.col("discount") > 0.01).select("run_id", "event_number").distinct()
+    own = t.where(F.col("tax") > 0.01 if side == 0 else F.col("discount") > 0.01).select("run_id", "event_number")
+    return dealt(own, ["run_id", "event_number"], t).distinct()
 
 
 QUERIES = {
