@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .dealing import dealt
+
 
 def quantile_row(value: str) -> list[Column]:
     return [F.count(value).alias("n"), F.percentile(value, 0.25).alias("q25"), F.percentile(value, 0.5).alias("median"),
@@ -134,6 +136,8 @@ def common_values(df: DataFrame, keys: list[str], value: str, width: float, leas
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks for ties, and the number of points."""
+    df = dealt(df.select(*dict.fromkeys([*keys, x, y])), keys)
+
     def ranks(c: str) -> Column:
         w = Window.partitionBy(*keys)
         return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
