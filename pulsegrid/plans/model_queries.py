@@ -8,6 +8,7 @@ from ..functions import parsing, words
 from ..operators import models, resampling, sorting
 from ..operators import regression as reg
 from ..operators import waveforms as wave
+from ..operators.dealing import dealt
 from .bindings import HOUR, SIGNAL, TRIALS, load, markers, signal, trials
 from .query import Query
 from .summary_queries import six
@@ -442,7 +443,7 @@ SELECT contact, reach_hz, CASE WHEN reach_hz IS NULL THEN 'never' WHEN reach_hz
     ),
     "setting_recommendation": Query(
         lambda s, d: six(reg.recommendation(
-            doses(s, d).groupBy("contact", "part").agg(F.percentile("response", 0.5).alias("rec"), F.round(F.avg("discount") * 100, 9).alias("noise"), (F.max("current") * 100).alias("upper"), F.avg((F.col("response") >= 40).cast("int")).alias("cens")),
+            dealt(doses(s, d), ["contact"], trials(s, d)).groupBy("contact", "part").agg(F.percentile("response", 0.5).alias("rec"), F.round(F.avg("discount") * 100, 9).alias("noise"), (F.max("current") * 100).alias("upper"), F.avg((F.col("response") >= 40).cast("int")).alias("cens")),
             ["contact"], "part", "rec", "noise", "upper", "cens", F.col("part") % 50 == 0)),
         f"""WITH {DOSES}, g AS (SELECT contact, part, quantile_cont(response, 0.5) AS rec, round(avg(discount) * 100, 9) AS noise, max(current) * 100 AS upper, avg(CASE WHEN response >= 40 THEN 1 ELSE 0 END) AS cens FROM ds GROUP BY contact, part
 ), l AS (SELECT contact, coalesce(arg_min(noise, part) FILTER (WHERE part % 50 = 0), quantile_cont(noise, 0.5)) AS ref FROM g GROUP BY contact
