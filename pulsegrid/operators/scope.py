@@ -42,13 +42,12 @@ def scope_pulses(samples: DataFrame, runs: DataFrame, c: Capture = Capture()) ->
     so a pulse begins where the samples before it, without a gap, last rise from the low floor. Runs of fewer than ten
     samples have none.
     """
-    rows = windowed(samples, runs, c)
-    centre = rows.groupBy("run_id").agg(F.percentile("lead", 0.5).alias("centre"), F.count("*").alias("n")).where("n >= 10")
-    rows = rows.join(centre.select("run_id", "centre"), "run_id").withColumn("deviation", F.abs(F.col("lead") - F.col("centre")))
-    spread = rows.groupBy("run_id").agg(F.percentile("deviation", 0.5).alias("half"), F.percentile("deviation", 0.995).alias("top"))
-    rows = rows.join(spread, "run_id")
-    mad = rows.groupBy("run_id").agg((1.4826 * F.percentile(F.abs(F.col("deviation") - F.col("half")), 0.5)).alias("sd"))
-    rows = rows.join(mad, "run_id")
+    own = Window.partitionBy("run_id")
+    rows = windowed(samples, runs, c).withColumns({"centre": F.percentile("lead", 0.5).over(own), "n": F.count("*").over(own)})
+    rows = rows.where("n >= 10").drop("n").withColumn("deviation", F.abs(F.col("lead") - F.col("centre")))
+    # over the run's rows that are there: no join of them with what comes of them, each of which would sort both once more
+    rows = rows.withColumns({"half": F.percentile("deviation", 0.5).over(own), "top": F.percentile("deviation", 0.995).over(own)})
+    rows = rows.withColumn("sd", 1.4826 * F.percentile(F.abs(F.col("deviation") - F.col("half")), 0.5).over(own))
     high = F.greatest(c.high * F.col("top"), c.high_sd * F.col("sd"))
     low = F.greatest(c.low * F.col("top"), c.low_sd * F.col("sd"))
     by_time = Window.partitionBy("run_id").orderBy("epoch_s")

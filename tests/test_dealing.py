@@ -3,7 +3,7 @@
 import pytest
 
 from pulsegrid.operators import dealing
-from pulsegrid.plans import bindings, catalog
+from pulsegrid.plans import bindings, catalog, scope_queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -24,3 +24,10 @@ def test_queries_are_dealt_by_rows(spark, monkeypatch, name):
     monkeypatch.setattr(dealing, "TASK_ROWS", 150)
     want = -(-bindings.trials(spark, DIR).count() // 150)
     assert catalog.QUERIES[name].run(spark, DIR).rdd.getNumPartitions() == want
+
+
+def test_pulses_do_not_join_a_run_with_what_comes_of_it(spark, capsys):
+    """Samples meet their run, and nothing else is joined: every join of them holds sort memory in the same task."""
+    scope_queries.found(spark, DIR).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Join") == 1
