@@ -69,7 +69,9 @@ def test_latencies_are_of_the_largest_doubles(spark):
             x = np.array([*base, *part])
             r = np.abs(x[4:] - (((x[0] + x[1]) + x[2]) + x[3]) / 4)
             df = spark.createDataFrame([("r", "A", 0, x.tolist())], "run_id string, channel string, block_no long, samples array<double>")
-            got = evoked.pulse_responses(df, events(spark, [4]), 1000.0, p, 16).first()
+            responses = evoked.pulse_responses(df, events(spark, [4]), 1000.0, p, 16)
+            got, summary = responses.first(), evoked.evoked_summary(responses).first()
+            assert (summary.latency_ms, summary.post_latency_ms) == ((3, 3) if part[2] == a else (2, 2))
             assert (got.latency_ms, got.post_latency_ms) == (np.argmax(r), 2 + np.argmax(r[2:])) == ((3, 3) if part[2] == a else (2, 2))
 
 
