@@ -242,3 +242,18 @@ def test_moments_tell_the_scale(spark):
     df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double")
     got = {r.g: r.scale for r in regression.moments(df, ["g"], "v").collect()}
     assert got == {"few": "insufficient", "other": "raw (non-positive values present)", "log": "log", "raw": "raw"}
+
+
+def test_blocks_of_channels_are_shuffled_packed(spark):
+    x = np.array([0, 5, -7, 1 << 62, -(1 << 62), 3])
+    assert np.array_equal(waveforms.unpack(waveforms.pack(x), len(x)), x) and len(waveforms.pack(np.arange(20000) % 100)) < 20000
+    rng = np.random.default_rng(5)
+    rows = [(int(c) * 1_000_003 - 9_000_000, int(t)) for c, t in zip(rng.integers(0, 60, 1200), rng.integers(-30000, 30000, 1200))]
+    df = spark.createDataFrame(rows, "c long, t long")
+    want = Counter((i, j, (b - a) // 70) for i, a in rows for j, b in rows if i < j and abs(b - a) <= 400)
+    got = waveforms.channel_pairs(df, "c", "t", 400, 70, 40)  # 30 pieces, in 24 blocks
+    found = got.collect()
+    assert {(r.i, r.j, r.bin): r.n for r in found} == want and len(found) == len(want)
+    # blocks are put together before they are copied
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("FlatMapGroupsInArrow") < plan.index("explode") < plan.rindex("FlatMapGroupsInArrow")
