@@ -72,6 +72,33 @@ def test_forced_by_neighbours(spark, chunk):
         assert (got[k].votes, got[k]["class"]) == (n, -c if n >= 5 else 0)
 
 
+def test_neighbours_are_sought_in_near_boxes_only(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(900, 4)), rng.normal(5, 0.1, (400, 4)), np.repeat(rng.normal(size=(3, 4)), 60, 0)])  # loose, tight, repeated
+    cls = rng.integers(1, 5, len(x))
+    df = frame(spark, x, cls)
+    cells = sorting.cells_of(df.select("w"), sorting.gram_sums(df, None, "w")[0], 40)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert len(cells.lows) > 30
+    away = cells.away(cells.turned(x))
+    at = cells.first[cells.of(cells.turned(x))]
+    assert (away[:, at] <= d + 1e-9).all() and (away[np.arange(len(x)), at] < 1e-12).all()
+    near = np.sort(d, 1)[:, 4]
+    assert (away <= near[:, None] + 1e-9).mean() < 0.35  # most boxes are never met
+    y = np.concatenate([x[::3], rng.normal(3, 2, (40, 4)), [[np.nan, 0, 0, 0], [np.inf, 0, 0, 0]]])
+    got = {r.id: r for r in sorting.force_by_neighbours(frame(spark, y, np.zeros(len(y), int)), df, "class", "w", "id", 5, 3, 0.5, 40).collect()}
+    reach = 0.5 * math.sqrt(x.var(0).sum())
+    assert len(got) == len(y)
+    for k, v in enumerate(y):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        order = np.lexsort((cls, d))[:5]
+        votes = collections.Counter(cls[order[d[order] < reach]].tolist())
+        n, c = max(((n, -c) for c, n in votes.items()), default=(0, 0))
+        assert (got[k].votes, got[k]["class"]) == (n, -c if n >= 3 else 0)
+    same = sorting.force_by_neighbours(df, frame(spark, np.ones((9, 4)), np.ones(9, int)), "class", "w", "id", 5, 3, 1.0)
+    assert {(r.votes, r["class"]) for r in same.collect()} == {(0, 0)}
+
+
 def test_scores_are_gaps_to_the_normal_distribution(spark):
     rng = np.random.default_rng(4)
     features = {0: rng.normal(size=500), 1: rng.exponential(size=500), 2: np.round(rng.normal(size=500)), 3: rng.normal(size=8)}
